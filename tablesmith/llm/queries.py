@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesmith.llm import byte_bpe, language_id
+from tablesmith.llm import byte_bpe, language_id, secrets, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,21 @@ def fold(k: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % k
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+    def of(*kinds: str) -> Column:
+        return F.filter("spans", lambda s: s["kind"].isin(*kinds))
+
+    count = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in secrets.BASE]
+    return found.select("doc_id", *count, F.sha2(secrets.join_spans(of(*secrets.BASE)), 256).alias("base_sha256"), secrets.join_spans(F.col("spans")).alias("spans"))
+
+
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.train(docs, fold(3) != 1)
@@ -30,5 +45,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op8_language_id, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_simhash_near_dedup, op8_language_id, op10_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {}
