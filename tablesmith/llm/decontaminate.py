@@ -69,18 +69,20 @@ def find_leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
 
 def _leaks_of_width(docs: DataFrame, items: DataFrame, index: DataFrame, rows: int, width: int, similarity: float, radius: int) -> DataFrame:
     hashed = docs.select("id", F.xxhash64("text").alias("t"), words(F.col("text")).alias("w")).select("id", "t", shingles("w", width).alias("hs"))
-    places = hashed.select("id", "t", "hs", F.posexplode("hs").alias("pos", "h"))
+    # The outer form adds no filter on the array's size, which would be pushed below and computed with the words inlined in it.
+    places = hashed.select("id", "t", "hs", F.posexplode_outer("hs").alias("pos", "h"))
     # The windows are cut in the same stage, so that only positions of the index leave it.
     starts = places.join(small(index, rows), "h").select("id", "t", "item", "same", "m", F.struct("pos", F.expr("slice(hs, pos + 1, m)").alias("win")).alias("s"))
     dense = starts.groupBy("id", "t", "item", "same", "m").agg(F.sort_array(F.collect_set("s")).alias("s"))
     need = f"cast(ceil({similarity} * m - 0.000000001) as int)"
-    dense = dense.select("id", "t", "item", "same", "m", F.explode(F.expr(f"filter(s, (x, i) -> coalesce(get(s, i + {need} - 1).pos < x.pos + m, false))")).alias("s"))
+    dense = dense.select("id", "t", "item", "same", "m", F.explode_outer(F.expr(f"filter(s, (x, i) -> coalesce(get(s, i + {need} - 1).pos < x.pos + m, false))")).alias("s")).filter("s.pos IS NOT NULL")
     windows = dense.select("id", "t", F.col("s.pos").alias("start"), F.col("s.win").alias("win")).distinct().withColumn("fp", fingerprint("win"))
     by_block = items.select("item", "same", F.col("hs").alias("own"), "m", F.col("fp").alias("item_fp"), F.explode(blocks("fp", radius)).alias("b")).select("item", "own", "m", "item_fp", "b.*")
-    near = windows.withColumn("b", F.explode(blocks("fp", radius))).select("id", "t", "start", "win", "fp", "b.*").join(small(by_block, rows * (radius + 1)), ["block", "bits"])
+    near = windows.withColumn("b", F.explode_outer(blocks("fp", radius))).select("id", "t", "start", "win", "fp", "b.*").join(small(by_block, rows * (radius + 1)), ["block", "bits"])
     near = near.withColumn("differing_bits", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))).filter((F.col("differing_bits") <= radius) & (F.size("win") <= F.col("m")) & (F.size("win") >= similarity * F.col("m")))
     # A pair that agrees in several blocks is verified at the first of them.
-    first = F.expr("array_min(transform(filter(sequence(0, {0}), k -> ({1})), k -> k))".format(radius, " OR ".join(f"(k = {i} AND ((fp ^ item_fp) & {_mask(i, radius)}L) = 0L)" for i in range(radius + 1))))
+    differ = F.col("fp").bitwiseXOR(F.col("item_fp"))
+    first = F.coalesce(*[F.when(differ.bitwiseAND(F.lit(_mask(i, radius))) == 0, F.lit(i)) for i in range(radius + 1)])
     near = near.filter(F.col("block") == first)
     shared = F.expr("aggregate(array_distinct(own), 0, (n, h) -> n + least(size(filter(own, x -> x = h)), size(filter(win, x -> x = h))))")
     near = near.withColumn("shared", shared).withColumn("similarity", F.col("shared") / (F.size("win") + F.col("m") - F.col("shared")))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesmith.llm import byte_bpe, decontaminate, language_id, license_scan, lm_score, secrets, simhash, url_filter
+from tablesmith.llm import byte_bpe, decontaminate, hnsw, language_id, license_scan, lm_score, secrets, simhash, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,20 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict", "mined_rule")
 
 
+def toxicity_index(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Index:
+    return toxicity.train(docs, table(spark, sf_dir, "labels"), fold(5) != 0)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = toxicity.score(docs, toxicity_index(spark, docs, sf_dir))
+    return out.select("doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "neighbours", "terms")
+
+
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.train(docs, fold(3) != 1)
@@ -68,5 +82,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_lm_score, op3_license_scan, op4_simhash_near_dedup, op5_url_filter, op8_language_id, op9_decontamination, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_lm_score, op3_license_scan, op4_simhash_near_dedup, op5_url_filter, op6_toxicity, op7_embedding_near_dedup, op8_language_id, op9_decontamination, op10_byte_bpe)}
 ORACLE_SQL = {"op3_license_scan": license_scan.oracle_sql()}
