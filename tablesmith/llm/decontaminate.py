@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablesmith.llm.components import cut
+
 WIDTH, SIMILARITY, RADIUS = 5, 0.8, 20
 #: A side of at most so many rows of fixed size may be broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 500_000
@@ -97,5 +99,5 @@ def _mask(block: int, radius: int) -> int:
 
 def decontaminate(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``df`` (all columns) whose id is not that of a row that leaks an item. Rows without an id stay."""
-    leaks = find_leaks(df, items, id_col, text_col, **options).select(id_col).distinct()
-    return df.join(leaks, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+    leaks = cut(find_leaks(df, items, id_col, text_col, **options).select(id_col).distinct())
+    return df.join(small(leaks, leaks.count()), id_col, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])

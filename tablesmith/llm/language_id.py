@@ -82,7 +82,7 @@ class Scorer(dict):
 
     def logs(self, counts: dict[str, list[int]]) -> tuple[dict[str, int], np.ndarray]:
         """Smoothed log frequencies in each language: a row for each key."""
-        found = np.array(list(counts.values()), dtype=float).reshape(-1, self.n)
+        found = np.array(list(counts.values()), dtype=float).reshape(len(counts), self.n)
         return {key: i for i, key in enumerate(counts)}, np.log((found + 0.1) / (found.sum(axis=0) + 0.1 * max(1, len(found))))
 
     def weigh(self, word: str) -> np.ndarray:

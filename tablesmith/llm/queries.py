@@ -77,9 +77,14 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def bpe_digests() -> list[Column]:
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return [F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")]
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = byte_bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return out.select("doc_id", *bpe_digests())
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_lm_score, op3_license_scan, op4_simhash_near_dedup, op5_url_filter, op6_toxicity, op7_embedding_near_dedup, op8_language_id, op9_decontamination, op10_byte_bpe)}
