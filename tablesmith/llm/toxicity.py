@@ -1,7 +1,8 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-A bounded sample of the labelled rows gives the examples. Terms are the words that the labels make significant there (chi-squared
-above 2 ln of the number of words tested, so that chance leaves about one); their document frequencies come from all rows.
+A bounded sample of the labelled rows gives the examples, one of each group of near copies, lest the words of a copied text
+look significant. Terms are the words that the labels make significant there (chi-squared above 2.5 ln of the number of words tested, so that chance
+leaves hardly any; label 1 at least halfway from its overall share to all); their document frequencies come from all rows.
 The index holds, for each term, its postings and their maximum in each block of examples. A search adds up the maxima to
 a bound for each block and scores blocks from the highest bound on until no bound reaches the k-th best cosine, so the
 neighbours are exact. Their votes, weighted by cosine and shrunk towards the share of label 1, give the score; a text without
@@ -24,7 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablesmith.llm import simhash
 from tablesmith.llm.batches import id_and_text, steps, texts
+from tablesmith.llm.components import cut
 
 WORD = re.compile(r"\w+")
 BLOCK = 64
@@ -109,7 +112,9 @@ def train(df: DataFrame, labels: DataFrame, learn: Column, label_col: str = "tox
         return Index()
     known = known.filter(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1_000_000)) < 1_000_000 * max_examples / n).groupBy("id").agg(F.max("label").alias("label"))
     rows = id_and_text(df, id_col, text_col)
-    sample = rows.join(F.broadcast(known), "id").select("id", "text", "label")  # at most about max_examples narrow rows
+    sample = cut(rows.join(F.broadcast(known), "id").select("id", "text", "label"))  # at most about max_examples narrow rows
+    alone = simhash.near_duplicates(sample, "id").filter("id = component_id").select("id").distinct()
+    sample = cut(sample.join(F.broadcast(alone), "id").dropDuplicates(["id"]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = {0: Counter(), 1: Counter()}
@@ -127,8 +132,9 @@ def train(df: DataFrame, labels: DataFrame, learn: Column, label_col: str = "tox
     t1, t0 = total[""]["n1"], total[""]["n0"]
     kinds = tally.count()
     chi = (t1 + t0) * F.pow(F.col("n1") * F.lit(float(t0)) - F.col("n0") * F.lit(float(t1)), 2) / ((F.col("n1") + F.col("n0")) * (F.lit(t1 + t0) - F.col("n1") - F.col("n0")) * float(max(t1, 1)) * float(max(t0, 1)))
-    terms = tally.filter((F.col("w") != "") & (F.col("n1") * t0 > F.col("n0") * t1) & (F.col("n1") > 1) & (F.col("n1") + F.col("n0") < t1 + t0)).withColumn("chi", chi)
-    terms = [r["w"] for r in terms.filter(F.col("chi") >= 2 * log(kinds)).orderBy(F.desc("chi"), "w").limit(max_terms).collect()]
+    precise = F.col("n1") >= (1 + t1 / (t1 + t0)) / 2 * (F.col("n1") + F.col("n0"))
+    terms = tally.filter((F.col("w") != "") & precise & (F.col("n1") > 1) & (F.col("n1") + F.col("n0") < t1 + t0)).withColumn("chi", chi)
+    terms = [r["w"] for r in terms.filter(F.col("chi") >= 2.5 * log(kinds)).orderBy(F.desc("chi"), "w").limit(max_terms).collect()]
     held = df.sparkSession.sparkContext.broadcast(frozenset(terms))
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +161,7 @@ def train(df: DataFrame, labels: DataFrame, learn: Column, label_col: str = "tox
     return Index.build([e for e in examples if e[2]], idf, share, (sum(bare) + share) / (len(bare) + 1))
 
 
-def score(df: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text", k: int = 15, prior: float = 0.5) -> DataFrame:
+def score(df: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text", k: int = 15, prior: float = 1.0) -> DataFrame:
     """``id_col``, ``score`` (0 to 1), ``neighbours`` (ids of the nearest examples) and ``terms`` (those found) of every row."""
     src = id_and_text(df, id_col, text_col)
     held = df.sparkSession.sparkContext.broadcast(index)
@@ -181,7 +187,7 @@ def score(df: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "
     return src.mapInArrow(run, f"`{id_col}` {src.schema['id'].dataType.simpleString()}, score double, neighbours array<string>, terms array<string>")
 
 
-def keep_clean(df: DataFrame, index: Index, text_col: str = "text", threshold: float = 0.5, k: int = 15, prior: float = 0.5) -> DataFrame:
+def keep_clean(df: DataFrame, index: Index, text_col: str = "text", threshold: float = 0.5, k: int = 15, prior: float = 1.0) -> DataFrame:
     """The rows of ``df`` (all columns) whose text scores below ``threshold``."""
     at = df.columns.index(text_col)
     held = df.sparkSession.sparkContext.broadcast(index)
