@@ -207,14 +207,14 @@ def o3_cycle_report(spark, sf_dir):
     return depgraph.cycle_report(depgraph.levels(customer.select(name(key).alias("table")), ring.unionByName(loop)))
 
 
-@query(f"WITH e AS (SELECT * FROM {ROW_EDGES_SQL} WHERE child NOT LIKE 'o%'), u AS (SELECT child AS t, string_agg(DISTINCT parent, ',' ORDER BY parent) AS p FROM e GROUP BY 1), d AS (SELECT parent AS t, string_agg(DISTINCT child, ',' ORDER BY child) AS c FROM e GROUP BY 1) SELECT coalesce(u.t, d.t) AS \"table\", coalesce(p, '') AS parents, coalesce(c, '') AS children FROM u FULL JOIN d ON u.t = d.t")
+@query(f"WITH e AS (SELECT * FROM {ROW_EDGES_SQL}), u AS (SELECT child AS t, string_agg(DISTINCT parent, ',' ORDER BY parent) AS p FROM e GROUP BY 1), d AS (SELECT parent AS t, string_agg(DISTINCT child, ',' ORDER BY child) AS c FROM e GROUP BY 1) SELECT coalesce(u.t, d.t) AS \"table\", coalesce(p, '') AS parents, coalesce(c, '') AS children FROM u FULL JOIN d ON u.t = d.t")
 def o4_neighbours(spark, sf_dir):
-    return depgraph.neighbours(row_edges(spark, sf_dir).filter(~F.col("child").startswith("o")))
+    return depgraph.neighbours(row_edges(spark, sf_dir))
 
 
-@query("WITH o AS (SELECT * FROM orders WHERE o_orderkey % 50 = 0), c AS (SELECT * FROM customer WHERE c_custkey IN (SELECT o_custkey FROM o)), n AS (SELECT * FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM c)) SELECT 'o' || o_orderkey AS \"table\", false AS auto_added FROM o UNION ALL SELECT 'c' || c_custkey, true FROM c UNION ALL SELECT 'n' || n_nationkey, true FROM n UNION ALL SELECT DISTINCT 'r' || n_regionkey, true FROM n")
+@query("WITH o AS (SELECT * FROM orders WHERE o_orderstatus = 'P'), c AS (SELECT * FROM customer WHERE c_custkey IN (SELECT o_custkey FROM o)), n AS (SELECT * FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM c)) SELECT 'o' || o_orderkey AS \"table\", false AS auto_added FROM o UNION ALL SELECT 'c' || c_custkey, true FROM c UNION ALL SELECT 'n' || n_nationkey, true FROM n UNION ALL SELECT DISTINCT 'r' || n_regionkey, true FROM n")
 def o5_selection_closure(spark, sf_dir):
-    chosen = one(spark, sf_dir, "orders").filter("o_orderkey % 50 = 0").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("table"))
+    chosen = one(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("table"))
     return depgraph.close_selection(row_edges(spark, sf_dir), chosen)
 
 
@@ -317,9 +317,10 @@ def v8_malformed(spark, sf_dir):
     return checks.malformed(one(spark, sf_dir, "customer"), "c_name", "[02468]$").select("c_custkey", "c_name")
 
 
-@query("SELECT value, count(o_orderkey) AS n FROM (VALUES ('F'), ('O'), ('X')) AS d(value) LEFT JOIN orders ON o_orderstatus = value AND o_orderkey % 100 = 0 GROUP BY 1 HAVING count(o_orderkey) < 5000")
+@query("SELECT value, count(o_orderkey) AS n FROM (VALUES ('F'), ('O'), ('X')) AS d(value) LEFT JOIN orders ON o_orderstatus = value GROUP BY 1 HAVING count(o_orderkey) * 2 < (SELECT count(*) FROM orders)")
 def v9_undercovered(spark, sf_dir):
-    return checks.undercovered(one(spark, sf_dir, "orders").filter("o_orderkey % 100 = 0"), "o_orderstatus", ["F", "O", "X"], 5000)
+    orders = one(spark, sf_dir, "orders")
+    return checks.undercovered(orders, "o_orderstatus", ["F", "O", "X"], -(-orders.count() // 2))
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE c_nationkey % 5 = 1 OR o_custkey % 9 = 0")
