@@ -13,6 +13,7 @@ from tablesmith.operators import assign, checks, depgraph, gaps, profile, synth
 from tablesmith.sources import sinks
 from tablesmith.sources import tables as src
 from tablesmith.spec import SchemaSpec
+from tablesmith.streaming import checks as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -366,6 +367,13 @@ def v16_structure_differences(spark, sf_dir):
     return checks.structure_differences(a, b).crossJoin(F.broadcast(held)).drop("x")
 
 
+@query("SELECT strftime(time_bucket(INTERVAL '1 hour', CAST(ts AS TIMESTAMP)), '%Y-%m-%d %H:%M:%S') AS start, 'small' AS \"rule\", count(*) AS n FROM events WHERE NOT value < 50 GROUP BY 1 UNION ALL SELECT strftime(time_bucket(INTERVAL '1 hour', CAST(ts AS TIMESTAMP)), '%Y-%m-%d %H:%M:%S'), 'known', count(*) FROM events WHERE event_type NOT IN ('click', 'view') GROUP BY 1")
+def v_windowed_violations(spark, sf_dir):
+    rules = {"small": F.col("value") < 50, "known": F.col("event_type").isin("click", "view")}
+    found = streaming.windowed_counts(one(spark, sf_dir, "events"), rules, "ts")
+    return found.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
 def generated(spark: SparkSession, sf_dir: str, wanted: dict[str, str]) -> DataFrame:
     """``o_orderkey`` and generated columns: name, generator."""
     return one(spark, sf_dir, "orders").select("o_orderkey", *[G.generate(g, cells("t", name, "o_orderkey")).alias(name) for name, g in wanted.items()])
