@@ -78,23 +78,17 @@ def _leaks_of_width(docs: DataFrame, items: DataFrame, index: DataFrame, rows: i
     dense = starts.groupBy("id", "t", "item", "same", "m").agg(F.sort_array(F.collect_set("s")).alias("s"))
     need = f"cast(ceil({similarity} * m - 0.000000001) as int)"
     dense = dense.select("id", "t", "item", "same", "m", F.explode_outer(F.expr(f"filter(s, (x, i) -> coalesce(get(s, i + {need} - 1).pos < x.pos + m, false))")).alias("s")).filter("s.pos IS NOT NULL")
-    windows = dense.select("id", "t", F.col("s.pos").alias("start"), F.col("s.win").alias("win")).distinct().withColumn("fp", fingerprint("win"))
-    by_block = items.select("item", "same", F.col("hs").alias("own"), "m", F.col("fp").alias("item_fp"), F.explode(blocks("fp", radius)).alias("b")).select("item", "own", "m", "item_fp", "b.*")
-    near = windows.withColumn("b", F.explode_outer(blocks("fp", radius))).select("id", "t", "start", "win", "fp", "b.*").join(small(by_block, rows * (radius + 1)), ["block", "bits"])
-    near = near.withColumn("differing_bits", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))).filter((F.col("differing_bits") <= radius) & (F.size("win") <= F.col("m")) & (F.size("win") >= similarity * F.col("m")))
-    # A pair that agrees in several blocks is verified at the first of them.
-    differ = F.col("fp").bitwiseXOR(F.col("item_fp"))
-    first = F.coalesce(*[F.when(differ.bitwiseAND(F.lit(_mask(i, radius))) == 0, F.lit(i)) for i in range(radius + 1)])
-    near = near.filter(F.col("block") == first)
+    windows = cut(dense.select("id", "t", F.col("s.pos").alias("start"), F.col("s.win").alias("win")).distinct().withColumn("fp", fingerprint("win")))
+    # The join on blocks carries fingerprints alone and ends with distinct pairs, so the exact similarity is worked out once for each.
+    by_block = items.select("item", "same", F.col("fp").alias("item_fp"), F.explode(blocks("fp", radius)).alias("b")).select("item", "same", "item_fp", "b.*")
+    near = windows.select("id", "t", "start", "fp", F.explode_outer(blocks("fp", radius)).alias("b")).select("id", "t", "start", "fp", "b.*").join(small(by_block, rows * (radius + 1)), ["block", "bits"])
+    near = near.select("id", "t", "start", "item", "same", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).alias("differing_bits")).filter(F.col("differing_bits") <= radius).distinct()
+    own = windows.select(F.col("id").alias("w_id"), F.col("t").alias("w_t"), F.col("start").alias("w_start"), "win")
+    same_window = F.col("id").eqNullSafe(F.col("w_id")) & F.col("t").eqNullSafe(F.col("w_t")) & (F.col("start") == F.col("w_start"))
+    pairs = near.join(own, same_window).select("id", "start", "win", "item", "same", "differing_bits").join(small(items.select("item", "same", F.col("hs").alias("own"), "m"), rows), ["item", "same"])
     shared = F.expr("aggregate(array_distinct(own), 0, (n, h) -> n + least(size(filter(own, x -> x = h)), size(filter(win, x -> x = h))))")
-    near = near.withColumn("shared", shared).withColumn("similarity", F.col("shared") / (F.size("win") + F.col("m") - F.col("shared")))
-    return near.filter(F.col("similarity") >= similarity).select("id", "item", "start", "similarity", "differing_bits")
-
-
-def _mask(block: int, radius: int) -> int:
-    edges = [round(64 * i / (radius + 1)) for i in range(radius + 2)]
-    bits = ((1 << (edges[block + 1] - edges[block])) - 1) << edges[block]
-    return bits - (1 << 64) if bits >> 63 else bits
+    pairs = pairs.withColumn("shared", shared).withColumn("similarity", F.col("shared") / (F.size("win") + F.col("m") - F.col("shared")))
+    return pairs.filter(F.col("similarity") >= similarity).select("id", "item", "start", "similarity", "differing_bits")
 
 
 def decontaminate(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
