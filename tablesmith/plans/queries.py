@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -423,6 +424,16 @@ def g6_sentences_and_json(spark, sf_dir):
     return generated(spark, sf_dir, {"s": "sentence", "j": "json"}).withColumn("cut", F.lower(G.fit_length(F.col("s"), 9)))
 
 
+def sentence_sql(words: list[str]) -> str:
+    text = f"concat_ws(' ', {', '.join(words)})"
+    return f"upper(left({text}, 1)) || substr({text}, 2) || '.'"
+
+
+@query(f"SELECT o_orderkey, {" || ' ' || ".join(sentence_sql(words_sql('p', 24)[8 * i : 8 * i + 8]) for i in range(3))} AS p FROM orders")
+def g7_paragraphs(spark, sf_dir):
+    return generated(spark, sf_dir, {"p": "paragraph(1)"})
+
+
 CUSTOMER_INDEX = "(SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS idx, c_custkey FROM customer)"
 
 
@@ -480,6 +491,14 @@ def d4_composite_temporal_keys(spark, sf_dir):
     return made["reading"].agg(F.count("*").alias("rows"), F.count_distinct("tag_id", "day").alias("distinct_keys")).crossJoin(bad)
 
 
+@query(f"SELECT i + 1 AS id, 1 + {h('line', 'quantity', 'i')} % 9 AS quantity, CAST(i * 3 AS BIGINT) AS price, (1 + {h('line', 'quantity', 'i')} % 9) * i * 3 AS total, CAST(NULL AS BIGINT) AS voucher FROM {ROWS_SQL}")
+def d13_generated_pinned_and_optional_columns(spark, sf_dir):
+    """A computed column, one pinned to an expression, and an optional reference to a table without rows."""
+    spec = SchemaSpec.of({"line": {"id": {"type": "bigint", "pk": True}, "quantity": {"type": "bigint", "generator": "number(1,9)"}, "price": {"type": "bigint", "generator": "number(1,9)"}, "total": {"type": "bigint", "generated": "quantity * price"}, "voucher": {"type": "bigint", "fk": "voucher.id", "nullable": True}}, "voucher": {"id": {"type": "bigint", "pk": True}}})
+    n = one(spark, sf_dir, "customer").count()
+    return synth.synthesize(spark, spec, rows=n, targets=["line"], overrides={"line": {"price": F.col("_row") * 3}}, seed=SEED, hash_kind="md5").tables["line"]
+
+
 @query("SELECT o_orderkey, i + 1 AS seq, DATE '2000-01-01' + CAST(i AS INT) AS day, strftime(TIMESTAMP '2000-01-01' + to_seconds(i), '%Y-%m-%d %H:%M:%S') AS at FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders)")
 def d8_sequences(spark, sf_dir):
     index = src.dense_index(one(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key")))
@@ -520,6 +539,33 @@ def r5_fill_empty_tables(spark, sf_dir):
     return filled.tables["supplier"]
 
 
+@query("SELECT CAST(NULL AS VARCHAR) AS \"table\", CAST(NULL AS BIGINT) AS n FROM customer WHERE false")
+def v14_no_gaps_after_a_fill(spark, sf_dir):
+    t = load(spark, sf_dir, "nation")
+    return checks.gaps_left({**t, "supplier": r5_fill_empty_tables(spark, sf_dir)})
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder beside the session's checkpoints, which all executors share."""
+    src.cut_lineage(spark.range(1))  # sets the folder where none is
+    return f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
+
+
+@query("SELECT o_orderkey, c_custkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
+def k1_loaded_tables(spark, sf_dir):
+    t, base = load(spark, sf_dir, "orders", "customer"), shared_folder(spark)
+    sinks.write_tables(t, ["customer", "orders"], base)
+    back = src.load_tables(spark, base, ["customer", "orders"])
+    return back["orders"].join(back["customer"], F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_custkey", "c_name")
+
+
+@query("SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey FROM customer")
+def k3_json_round_trip(spark, sf_dir):
+    base = shared_folder(spark)
+    sinks.write_text({"customer": one(spark, sf_dir, "customer")}, base, "json")
+    return src.load_export(spark, f"{base}/customer", "json").select("c_custkey", "c_name", "c_nationkey")
+
+
 @query("SELECT 'INSERT INTO \"part\" (\"p_brand\", \"p_name\", \"p_partkey\", \"p_size\") VALUES (''' || p_brand || ''', ''' || replace(p_name || '''s', '''', '''''') || ''', ' || p_partkey || ', ' || coalesce(CAST(CASE WHEN p_size > 10 THEN p_size END AS VARCHAR), 'NULL') || ');' AS statement FROM part")
 def k2_insert_statements(spark, sf_dir):
     part = one(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.lit("'s")).alias("p_name"), F.when(F.col("p_size") > 10, F.col("p_size")).alias("p_size"), "p_brand")
