@@ -21,7 +21,7 @@ def report(checks: dict[str, DataFrame]) -> DataFrame:
 
 def orphans(child: DataFrame, column: str, parent: DataFrame, ref_column: str) -> DataFrame:
     """Rows whose non-null reference has no parent; the parent's scan reads the key alone."""
-    return child.filter(F.col(column).isNotNull()).join(parent.select(F.col(ref_column).alias(column)).distinct(), column, "left_anti")
+    return child.filter(F.col(column).isNotNull()).join(parent.select(F.col(ref_column).alias(column)), column, "left_anti")
 
 
 def nulls(df: DataFrame, *columns: str) -> DataFrame:
@@ -48,7 +48,7 @@ def out_of_range(df: DataFrame, column: str, low: float | Column | None = None,
 def outside_domain(df: DataFrame, column: str, values: list | DataFrame) -> DataFrame:
     """Rows whose value is none of ``values`` (a list, or a DataFrame's first column for large domains); null passes."""
     if isinstance(values, DataFrame):
-        return df.filter(F.col(column).isNotNull()).join(values.select(values[values.columns[0]].alias(column)).distinct(), column, "left_anti")
+        return df.filter(F.col(column).isNotNull()).join(values.select(values[values.columns[0]].alias(column)), column, "left_anti")
     return df.filter(F.col(column).isNotNull() & ~F.col(column).isin(*values))
 
 
