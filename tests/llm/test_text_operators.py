@@ -81,7 +81,8 @@ def test_toxicity_neighbours_are_exact():
 
 
 def test_toxicity_on_held_out_rows(spark):
-    docs = spark.createDataFrame([(i, ("plain words here " * 3 + ("nasty" if i % 6 == 0 else "kind") + f" n{i % 11}")) for i in range(600)] + [(1000, None), (1001, ""), (1002, "NASTY " * 40_000)], "doc_id long, text string").withColumn("toxic", F.lit("clash"))
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, " ".join([*rng.choices([f"w{k}" for k in range(300)], k=25), "nasty" if i % 6 == 0 else "kind"])) for i in range(600)] + [(1000, None), (1001, ""), (1002, "NASTY " * 40_000)], "doc_id long, text string").withColumn("toxic", F.lit("clash"))
     labels = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(600)], "doc_id long, toxic int")
     index = toxicity.train(docs, labels, queries.fold(5) != 0)
     got = {r.doc_id: r.score for r in toxicity.score(docs, index).collect()}
