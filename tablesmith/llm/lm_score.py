@@ -108,11 +108,9 @@ def _send(block: int, texts: pa.Array, learn: np.ndarray, parts: int) -> pa.Tabl
 def _add_up(sent: pa.Table) -> pa.Table:
     sizes, raw_keys, raw_counts = (sent.column(c).to_pylist() for c in ("sizes", "keys", "counts"))
     keys, counts = [], [unpack(c, np.uint32) for c in raw_counts]
-    for (words, pairs), raw in zip(sizes, raw_keys, strict=True):
-        cut = words * 8
-        keys.append((np.cumsum(unpack(raw[:cut], np.uint64), dtype=np.uint64), np.cumsum(unpack(raw[cut:], np.uint64), dtype=np.uint64)))
-        del words, pairs
-    del raw_keys
+    for (words, _), raw in zip(sizes, raw_keys, strict=True):
+        keys.append((np.cumsum(unpack(raw[: words * 8], np.uint64), dtype=np.uint64), np.cumsum(unpack(raw[words * 8 :], np.uint64), dtype=np.uint64)))
+    del raw_keys, raw_counts
     sums, learned, kinds = [], 0, 0
     for side in (0, 1):
         own = [(c[: n[0]] if side == 0 else c[n[0] :]) for c, n in zip(counts, sizes, strict=True)]
@@ -169,7 +167,7 @@ def _score(docs: pa.Table, answers: pa.Table, prior: float, id_col: str) -> pa.T
     return pa.table([docs.column("id"), pa.array(tokens.ends - tokens.starts), pa.array(known), pa.array([learned] * n, pa.int64()), pa.array(base), pa.array(score)], names=[id_col, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
-def score(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", prior: float = 30.0, block_bytes: int = 12 << 20, part_bytes: int = 24 << 20) -> DataFrame:
+def score(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", prior: float = 30.0, block_bytes: int = 8 << 20, part_bytes: int = 12 << 20) -> DataFrame:
     """``id_col``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` of every row.
 
     The model learns from the rows where ``learn`` holds. ``block_bytes`` and ``part_bytes`` bound the text behind one block
