@@ -10,12 +10,22 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Rows that Spark may put into one Arrow batch: texts are long, and both sides of a task hold whole batches.
+BATCH_ROWS = 1000
 #: Bytes of text that one step of a task works on; bounds the memory of a task whatever the length of the rows.
 STEP_BYTES = 4 << 20
 
 
+def small_batches(df: DataFrame) -> None:
+    """Lower the session's Arrow batches to ``BATCH_ROWS`` rows; a lower setting stays."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+
+
 def id_and_text(df: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     """The two columns an operator reads, so that other columns (whatever their names) are pruned from the scan."""
+    small_batches(df)
     return df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), *more)
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablesmith.llm import simhash
-from tablesmith.llm.batches import id_and_text, steps, texts
+from tablesmith.llm.batches import id_and_text, small_batches, steps, texts
 from tablesmith.llm.components import cut
 
 WORD = re.compile(r"\w+")
@@ -189,6 +189,7 @@ def score(df: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "
 
 def keep_clean(df: DataFrame, index: Index, text_col: str = "text", threshold: float = 0.5, k: int = 15, prior: float = 1.0) -> DataFrame:
     """The rows of ``df`` (all columns) whose text scores below ``threshold``."""
+    small_batches(df)
     at = df.columns.index(text_col)
     held = df.sparkSession.sparkContext.broadcast(index)
 
