@@ -1,95 +1,161 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-A bounded sample of the labelled rows gives the examples, one of each group of near copies, lest the words of a copied text
-look significant. Terms are the words that the labels make significant there (chi-squared above 2.5 ln of the number of words tested, so that chance
-leaves hardly any; label 1 at least halfway from its overall share to all); their document frequencies come from all rows.
-The index holds, for each term, its postings and their maximum in each block of examples. A search adds up the maxima to
+A bounded sample of the labelled rows gives the examples, one of each group of near copies, lest a copied text fills the neighbours.
+All words of all examples are indexed. A word weighs its TF-IDF times its chi-squared with the label among the examples (plus
+``FLOOR``, so that no word is without weight): by plain TF-IDF the many rare words, which say nothing of the label, would decide.
+Document frequencies come from all rows. Words are 64-bit hashes.
+
+The index holds, for each word, its postings and their maximum in each block of examples. A search adds up the maxima to
 a bound for each block and scores blocks from the highest bound on until no bound reaches the k-th best cosine, so the
 neighbours are exact. Their votes, weighted by cosine and shrunk towards the share of label 1, give the score; a text without
-terms gets the share of label 1 among examples without terms.
+words of an example gets the share of label 1 among examples without words.
 
-Edge cases: null and empty texts have no terms; ties in cosine go to the smaller id; repeated rows are scored alike; without
+Edge cases: null and empty texts have no words; ties in cosine go to the smaller id; repeated rows are scored alike; without
 examples the score is 0; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 from math import log
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablesmith.llm import simhash
-from tablesmith.llm.batches import id_and_text, small_batches, steps, texts
+from tablesmith.llm.batches import id_and_text, list_array, small_batches, steps, texts
 from tablesmith.llm.components import cut
 
 WORD = re.compile(r"\w+")
 BLOCK = 64
+FLOOR = 0.1
+#: Counts of document frequencies travel in pieces of so many words.
+PIECE = 1 << 14
 
 
 def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def hashes(terms) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in terms), np.uint64, len(terms))
+
+
+def ranges(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    size = stop - start
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+def narrow(x: np.ndarray) -> np.ndarray:
+    """In the smallest type that holds it."""
+    return x.astype(np.min_scalar_type(int(x.max())) if len(x) else np.uint8)
+
+
+def none(kind: type) -> np.ndarray:
+    return field(default_factory=lambda: np.zeros(0, kind))
+
+
 @dataclass
 class Index:
-    """Examples with terms as normalised TF-IDF postings by term, with the maximum of each block."""
+    """Postings (example and count) by word. Weights and blocks are worked out where a search first needs them, so that little is broadcast."""
 
     ids: list = field(default_factory=list)
-    labels: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    idf: dict[str, float] = field(default_factory=dict)
-    postings: dict[str, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
-    maxima: dict[str, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
+    labels: np.ndarray = none(float)
+    keys: np.ndarray = none(np.uint64)
+    idf: np.ndarray = none(float)
+    marked: np.ndarray = none(bool)
+    first: np.ndarray = none(np.int32)
+    at: np.ndarray = none(np.int32)
+    n: np.ndarray = none(np.int32)
     share: float = 0.0
     bare: float = 0.0
 
     @staticmethod
     def build(examples: list[tuple], idf: dict[str, float], share: float, bare: float) -> Index:
-        """``examples``: (id, label, {term: count}) in the order of ids."""
-        index = Index([e[0] for e in examples], np.array([e[1] for e in examples], dtype=float), idf, share=share, bare=bare)
-        found: dict[str, list] = {}
-        for i, (_, _, counts) in enumerate(examples):
-            for term, weight in index.weigh(counts).items():
-                found.setdefault(term, []).append((i, weight))
-        for term, rows in found.items():
-            at, weight = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-            blocks, first = np.unique(at // BLOCK, return_index=True)
-            index.postings[term], index.maxima[term] = (at, weight), (blocks, np.maximum.reduceat(weight, first))
-        return index
+        """``examples``: (id, label, {term: count}) in the order of ids; ``idf``: the weight of each term."""
+        known = [(i, t, n) for i, (_, _, counts) in enumerate(examples) for t, n in counts.items() if t in idf]
+        names = hashes(list(idf))
+        order = np.argsort(names)
+        keys = names[order]
+        return Index.of([e[0] for e in examples], np.array([e[1] for e in examples], dtype=float), keys, np.array(list(idf.values()), dtype=float)[order], np.ones(len(keys), bool), np.array([i for i, _, _ in known], np.int32), np.searchsorted(keys, hashes([t for _, t, _ in known])), np.array([n for _, _, n in known]), share, bare)
+
+    @staticmethod
+    def of(ids: list, labels: np.ndarray, keys: np.ndarray, idf: np.ndarray, marked: np.ndarray, doc: np.ndarray, term: np.ndarray, n: np.ndarray, share: float, bare: float) -> Index:
+        """From parallel arrays of example, place in ``keys`` and count."""
+        order = np.argsort(term.astype(np.int64) * len(ids) + doc)
+        first = np.append(0, np.cumsum(np.bincount(term, minlength=len(keys))))
+        return Index(ids, labels, keys, idf, marked, narrow(first), narrow(doc[order]), narrow(n[order]), share, bare)
+
+    @cached_property
+    def blocks(self) -> tuple[np.ndarray, ...]:
+        """Each word's first block, and by block its number, its maximum and its first posting; the weight of each posting."""
+        size = np.diff(self.first.astype(np.int64))
+        weight = (1 + np.log(self.n.astype(float))) * np.repeat(self.idf, size)
+        weight /= np.sqrt(np.bincount(self.at, weight * weight, len(self.ids)))[self.at]
+        term, block = np.repeat(np.arange(len(size), dtype=np.int32), size), self.at // BLOCK
+        start = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.zeros(0, int)
+        most = np.maximum.reduceat(weight, start) if len(term) else np.zeros(0)
+        first = np.searchsorted(term[start], np.arange(len(size) + 1))
+        return first.astype(np.int32), block[start].astype(np.int32), most, np.append(start, len(term)).astype(np.int32), weight
+
+    def __getstate__(self) -> bytes:
+        return zlib.compress(pickle.dumps({k: v for k, v in self.__dict__.items() if k != "blocks"}, 5), 1)
+
+    def __setstate__(self, state: bytes) -> None:
+        self.__dict__.update(pickle.loads(zlib.decompress(state)))
+
+    def place(self, terms: list[str]) -> np.ndarray:
+        """The place of each term in ``keys``, -1 if it is not there."""
+        names = hashes(terms)
+        found = np.minimum(np.searchsorted(self.keys, names), max(len(self.keys) - 1, 0))
+        return np.where(self.keys[found] == names, found, -1) if len(self.keys) else np.full(len(names), -1)
+
+    def query(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """The places, weights and names of the known terms."""
+        names = list(counts)
+        term = self.place(names)
+        known = np.flatnonzero(term >= 0)
+        weight = (1 + np.log(np.fromiter(counts.values(), float, len(names))[known])) * self.idf[term[known]]
+        return term[known], weight / np.sqrt(weight @ weight) if len(known) else weight, [names[i] for i in known]
 
     def weigh(self, counts: dict[str, int]) -> dict[str, float]:
-        raw = {t: (1 + log(n)) * self.idf[t] for t, n in counts.items() if t in self.idf}
-        norm = sum(w * w for w in raw.values()) ** 0.5
-        return {t: w / norm for t, w in raw.items()}
+        _, weight, names = self.query(counts)
+        return dict(zip(names, weight.tolist(), strict=True))
 
     def nearest(self, counts: dict[str, int], k: int) -> list[tuple[int, float]]:
         """The ``k`` examples of highest positive cosine, ties by place."""
-        query = {t: w for t, w in self.weigh(counts).items() if t in self.postings}
-        bound = np.zeros(-(-len(self.ids) // BLOCK))
-        for term, w in query.items():
-            blocks, most = self.maxima[term]
-            bound[blocks] += w * most
+        term, q, _ = self.query(counts)
+        first, block, most, start, weight = self.blocks
+        lo, hi = first[term].astype(np.int64), first[term + 1].astype(np.int64)
+        entry, q = ranges(lo, hi), np.repeat(q, hi - lo)
+        block = block[entry]
+        bound = np.bincount(block, q * most[entry], -(-len(self.ids) // BLOCK))
         order = np.argsort(-bound, kind="stable")
         order = order[: np.count_nonzero(bound > 0)]
         best: list[tuple[float, int]] = []
-        start, step = 0, 8
-        while start < len(order) and (len(best) < k or bound[order[start]] >= -best[-1][0] - 1e-12):
+        begin, step = 0, 32
+        while begin < len(order) and (len(best) < k or bound[order[begin]] >= -best[-1][0] - 1e-12):
             chosen = np.zeros(len(bound), dtype=bool)
-            chosen[order[start : start + step]] = True
-            score = np.zeros(len(self.ids))
-            for term, w in query.items():
-                at, weight = self.postings[term]
-                on = chosen[at // BLOCK]
-                score[at[on]] += w * weight[on]
+            chosen[order[begin : begin + step]] = True
+            on = chosen[block]
+            lo, hi = start[entry[on]].astype(np.int64), start[entry[on] + 1].astype(np.int64)
+            rows = ranges(lo, hi)
+            score = np.bincount(self.at[rows], np.repeat(q[on], hi - lo) * weight[rows], len(self.ids))
             at = np.flatnonzero(score)
+            if len(at) > 4 * k:  # only those that reach the k-th best, ties included
+                at = at[score[at] >= np.partition(score[at], -k)[-k]]
             best = sorted([*best, *zip((-score[at]).tolist(), at.tolist(), strict=True)])[:k]
-            start, step = start + step, step * 2
+            begin, step = begin + step, step * 4
         return [(i, -s) for s, i in best]
 
     def score(self, counts: dict[str, int], k: int, prior: float) -> tuple[float, list[int]]:
@@ -101,10 +167,10 @@ class Index:
         return float((weight @ votes + prior * self.share) / (weight.sum() + prior)), [i for i, _ in near]
 
 
-def train(df: DataFrame, labels: DataFrame, learn: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_examples: int = 20_000, max_terms: int = 20_000) -> Index:
+def train(df: DataFrame, labels: DataFrame, learn: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_examples: int = 20_000) -> Index:
     """Build the index from about ``max_examples`` rows of ``labels`` where ``learn`` holds, drawn by a hash of the id.
 
-    ``max_examples`` and ``max_terms`` bound the index, so it may be broadcast; frequencies cover all rows of ``df``.
+    ``max_examples`` bounds the index by the words of so many texts, so it may be broadcast; frequencies cover all rows of ``df``.
     """
     known = labels.filter(learn & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     n = known.count()
@@ -116,70 +182,83 @@ def train(df: DataFrame, labels: DataFrame, learn: Column, label_col: str = "tox
     alone = simhash.near_duplicates(sample, "id").filter("id = component_id").select("id").distinct()
     sample = cut(sample.join(F.broadcast(alone), "id").dropDuplicates(["id"]))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = {0: Counter(), 1: Counter()}
-        for batch in batches:
-            for text, label in zip(texts(batch), batch.column("label").to_pylist(), strict=True):
-                seen[int(label > 0)].update(set(words(text)))
-                seen[int(label > 0)][""] += 1
-        names = [*dict.fromkeys([*seen[0], *seen[1]])]
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([seen[k][w] for w in names], pa.int64()) for k in (1, 0))], names=["w", "n1", "n0"])
-
-    tally = sample.mapInArrow(count, "w string, n1 long, n0 long").groupBy("w").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-    total = {r["w"]: r for r in tally.filter("w = ''").collect()}
-    if not total:
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches):
+            found = [Counter(words(t)) for t in texts(batch)]
+            sizes = np.array([len(f) for f in found], dtype=np.int32)
+            flat = hashes([w for f in found for w in f]).view(np.int64)
+            times = np.array([n for f in found for n in f.values()], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), list_array(flat, sizes, pa.int64()), list_array(times, sizes, pa.int32())], names=["id", "label", "h", "n"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    got = sample.mapInArrow(vectors, f"id {kind}, label int, h array<long>, n array<int>").toArrow().combine_chunks()
+    if not got.num_rows:
         return Index()
-    t1, t0 = total[""]["n1"], total[""]["n0"]
-    kinds = tally.count()
-    chi = (t1 + t0) * F.pow(F.col("n1") * F.lit(float(t0)) - F.col("n0") * F.lit(float(t1)), 2) / ((F.col("n1") + F.col("n0")) * (F.lit(t1 + t0) - F.col("n1") - F.col("n0")) * float(max(t1, 1)) * float(max(t0, 1)))
-    precise = F.col("n1") >= (1 + t1 / (t1 + t0)) / 2 * (F.col("n1") + F.col("n0"))
-    terms = tally.filter((F.col("w") != "") & precise & (F.col("n1") > 1) & (F.col("n1") + F.col("n0") < t1 + t0)).withColumn("chi", chi)
-    terms = [r["w"] for r in terms.filter(F.col("chi") >= 2.5 * log(kinds)).orderBy(F.desc("chi"), "w").limit(max_terms).collect()]
-    held = df.sparkSession.sparkContext.broadcast(frozenset(terms))
+    ids, label = got.column("id").to_pylist(), np.asarray(got.column("label")) > 0
+    h, times = (np.concatenate([np.zeros(0, np.int64), *(np.asarray(c.flatten()) for c in got.column(x).chunks)]) for x in ("h", "n"))
+    size = np.concatenate([np.asarray(c.value_lengths()) for c in got.column("h").chunks])
+    del got
+    order = sorted(range(len(ids)), key=ids.__getitem__)
+    rank = np.empty(len(ids), np.int32)
+    rank[order] = np.arange(len(ids), dtype=np.int32)
+    keys, term = np.unique(h.view(np.uint64), return_inverse=True)
+    term = term.astype(np.int32)
+    del h
+    t1, t = int(label.sum()), len(ids)
+    n1 = np.bincount(term, np.repeat(label, size).astype(float), len(keys))
+    both = np.bincount(term, minlength=len(keys))
+    t0 = t - t1
+    chi = t * (n1 * t0 - (both - n1) * t1) ** 2 / np.maximum(both * (t - both) * float(max(t1, 1)) * max(t0, 1), 1)
+    marked = (chi >= 2.5 * log(max(len(keys), 2))) & (n1 * t > both * t1)
+    held = df.sparkSession.sparkContext.broadcast(keys)
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        keys, seen = held.value, np.zeros(len(held.value) + 1, dtype=np.int32)  # the last one counts rows
         for batch in steps(batches):
             for text in texts(batch):
-                seen.update(held.value & set(words(text)))
-                seen[""] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["w", "n"])
-
-    df_of = {r["w"]: r["n"] for r in rows.select("text").mapInArrow(frequency, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()}
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
-            found = [[(w, n) for w, n in Counter(words(t)).items() if w in held.value] for t in texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array([[w for w, _ in f] for f in found], pa.list_(pa.string())), pa.array([[n for _, n in f] for f in found], pa.list_(pa.int64()))], names=["id", "label", "w", "n"])
+                seen[-1] += 1
+                names = hashes(set(words(text)))
+                found = np.minimum(np.searchsorted(keys, names), len(keys) - 1) if len(keys) else names[:0]
+                seen[found[keys[found] == names] if len(keys) else found] += 1
+        if seen[-1]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(-(-len(seen) // PIECE)), pa.int64()), pa.array([seen[i : i + PIECE].tobytes() for i in range(0, len(seen), PIECE)], pa.binary())], names=["piece", "n"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for piece, n in zip(batch.column("piece").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                one = np.frombuffer(n, np.int32)
+                seen[piece] = seen[piece] + one if piece in seen else one.astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array([x.tobytes() for x in seen.values()], pa.binary())], names=["piece", "n"])
 
-    kind = rows.schema["id"].dataType.simpleString()
-    examples = sorted((r["id"], int(r["label"] > 0), dict(zip(r["w"], r["n"], strict=True))) for r in sample.mapInArrow(vectors, f"id {kind}, label int, w array<string>, n array<long>").collect())
-    bare = [label for _, label, counts in examples if not counts]
-    share = t1 / (t1 + t0)
-    everything = df_of.get("", 0)
-    idf = {t: log((everything + 1) / (df_of.get(t, 0) + 1)) + 1 for t in terms}
-    return Index.build([e for e in examples if e[2]], idf, share, (sum(bare) + share) / (len(bare) + 1))
+    pieces = rows.select("text").mapInArrow(frequency, "piece long, n binary").repartition("piece").mapInArrow(total, "piece long, n binary").collect()
+    df_of = np.concatenate([np.frombuffer(r["n"], np.int64) for r in sorted(pieces, key=lambda r: r["piece"])])
+    held.destroy()
+    idf = (np.log((df_of[-1] + 1) / (df_of[:-1] + 1)) + 1) * (chi + FLOOR)
+    idf = idf.astype(np.float32)
+    bare = label[size == 0]
+    share = t1 / t
+    return Index.of([ids[i] for i in order], label[order].astype(float), keys, idf, marked, np.repeat(rank, size), term, times, share, (int(bare.sum()) + share) / (len(bare) + 1))
 
 
 def score(df: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text", k: int = 15, prior: float = 1.0) -> DataFrame:
-    """``id_col``, ``score`` (0 to 1), ``neighbours`` (ids of the nearest examples) and ``terms`` (those found) of every row."""
+    """``id_col``, ``score`` (0 to 1), ``neighbours`` (ids of the nearest examples) and ``terms`` (those found that speak for label 1 beyond chance) of every row."""
     src = id_and_text(df, id_col, text_col)
     held = df.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, vocabulary, done = held.value, held.value.idf.keys(), {}
+        index, done = held.value, {}
         for batch in steps(batches):
             got = []
             for text in texts(batch):
-                found = words(text)
-                terms = vocabulary & set(found)
-                counts = Counter(w for w in found if w in terms) if terms else {}
-                key = tuple(sorted(counts.items()))
+                key = xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
                 if key not in done:
-                    if len(done) > 50_000:
+                    if len(done) > 10_000:
                         done.clear()
+                    counts = Counter(words(text))
                     value, near = index.score(counts, k, prior)
-                    done[key] = value, [str(index.ids[i]) for i in near], sorted(terms)
+                    term, _, names = index.query(counts)
+                    done[key] = value, [str(index.ids[i]) for i in near], sorted(w for w, m in zip(names, index.marked[term].tolist(), strict=True) if m)
                 got.append(done[key])
             columns = zip(*got, strict=True) if got else ([], [], [])
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(list(c), kind) for c, kind in zip(columns, (pa.float64(), pa.list_(pa.string()), pa.list_(pa.string())), strict=True))], names=[id_col, "score", "neighbours", "terms"])
@@ -194,13 +273,9 @@ def keep_clean(df: DataFrame, index: Index, text_col: str = "text", threshold: f
     held = df.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, vocabulary = held.value, held.value.idf.keys()
+        index = held.value
         for batch in batches:
-            keep = []
-            for text in batch.column(at).to_pylist():
-                found = words(text or "")
-                terms = vocabulary & set(found)
-                keep.append(index.score(Counter(w for w in found if w in terms) if terms else {}, k, prior)[0] < threshold)
+            keep = [index.score(Counter(words(text or "")), k, prior)[0] < threshold for text in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

@@ -93,6 +93,20 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.score(docs.limit(0), index).count() == 0
 
 
+def test_toxicity_reaches_documents_of_rare_words(spark):
+    # Each word occurs in two toxic examples only, or in toxic and clean ones alike: none is significant by itself.
+    rng = random.Random(4)
+    common = [f"c{i}" for i in range(40)]
+    toxic = [(i, " ".join([*rng.choices(common, k=12), f"bad{i // 2}", f"vile{i // 2}", f"mean{i // 2}"])) for i in range(60)]
+    clean = [(i, " ".join([*rng.choices(common, k=12), f"nice{i // 2}", f"good{i // 2}"])) for i in range(60, 360)]
+    index = toxicity.train(spark.createDataFrame(toxic + clean, "doc_id long, text string"), spark.createDataFrame([(i, int(i < 60)) for i in range(360)], "doc_id long, toxic int"), F.lit(True))
+    assert len(index.ids) == 360
+    asked = [(1000 + i, f"bad{i} vile{i} mean{i}") for i in range(30)] + [(2000 + i, f"nice{30 + i} good{30 + i}") for i in range(30)]
+    got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(asked, "doc_id long, text string"), index).collect()}
+    assert all({str(2 * i), str(2 * i + 1)} == set(got[1000 + i].neighbours) and got[1000 + i].score > 0.5 for i in range(30))
+    assert all(got[2000 + i].neighbours and got[2000 + i].score < index.share for i in range(30))
+
+
 def plain_leaks(docs, items):
     import re
 
