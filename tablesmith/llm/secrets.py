@@ -36,10 +36,12 @@ NAME_END = re.compile(r"[A-Za-z0-9_$.-]")
 IDENTIFIER = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.]*")
 WORDS_OF_NAME = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 #: How sensitive a name is by the words in it.
-WEIGHTS = {"password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "secret": 1.0, "token": 1.0, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "bearer": 0.9, "authorization": 0.9, "auth": 0.7, "signature": 0.6, "key": 0.6, "salt": 0.5, "cert": 0.5, "dsn": 0.5}
+WEIGHTS = {"password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "secret": 1.0, "token": 1.0, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "bearer": 0.9, "authorization": 0.9, "auth": 0.7, "signature": 0.6, "key": 0.6, "salt": 0.6, "cert": 0.6, "dsn": 0.6}
 PAIRS = {("api", "key"): 1.0, ("private", "key"): 1.0, ("access", "key"): 1.0, ("client", "secret"): 1.0, ("account", "key"): 0.9, ("encryption", "key"): 1.0}
 PLACEHOLDER = re.compile(r"(?i)^(?:change_?me|example|placeholder|none|null|true|false|undefined|password|secret|token|your[_-].*|<.*>|\$\{.*|\{\{.*|%\(.*|(.)\1*|\*+|x+)$")
 THRESHOLD = 0.55
+#: A value keeps repeats of a literal among so many; beyond that each literal counts once.
+REPEATS = 64
 
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("at", pa.int32()), ("name", pa.string()), ("score", pa.float64())])
 SPAN_SQL = "array<struct<kind:string,start:int,end:int,at:int,name:string,score:double>>"
@@ -57,6 +59,8 @@ def shape(value: str) -> float:
         return 0.0
     n = len(value)
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
+    if n >= 16 and entropy >= 3 and any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and not any(c.isspace() for c in value):
+        return 1.0
     mixed = any(c.isdigit() for c in value) + any(not c.isalnum() for c in value)
     return min(1.0, 0.3 * min(1, n / 16) + 0.4 * min(1, entropy / 3) + 0.15 * mixed)
 
@@ -95,6 +99,21 @@ def lex(text: str) -> Iterator[tuple[str, list[tuple[str, int, int, bool]]]]:
             yield name, parts
 
 
+def spread(value: list) -> list[tuple[str, int, int, bool]]:
+    """The literals of a bound value, in which earlier values stand as they are (so that constants built on each other take little room)."""
+    out, seen, done, stack = [], set(), set(), [value]
+    while stack:
+        item = stack.pop()
+        if isinstance(item, tuple):
+            if len(out) < REPEATS or item not in seen:
+                seen.add(item)
+                out.append(item)
+        elif len(out) < REPEATS or id(item) not in done:
+            done.add(id(item))
+            stack += reversed(item)
+    return out
+
+
 def scan(text: str) -> list[dict]:
     """All spans by start, then kind. ``at``: where the secret itself begins within the span."""
     spans = []
@@ -104,19 +123,21 @@ def scan(text: str) -> list[dict]:
         spans += [("access", m.start(), m.end(), m.start(), "", 1.0) for m in ACCESS.finditer(text)]
     spans += [("hex", m.start(), m.end(), m.start(), "", 1.0) for m in HEX.finditer(text)]
     if "=" in text or ":" in text:
-        bound: dict[str, list[tuple[str, int, int, bool]]] = {}
+        bound: dict[str, list] = {}
         base, seen = list(spans), set()
         for name, parts in lex(text):
-            literals: list[tuple[str, int, int, bool, str]] = []
+            own: list = []
             for value, start, end, quoted in parts:
                 if not quoted and IDENTIFIER.fullmatch(value) and value in bound:
-                    literals += [(*p, "const") for p in bound[value]]
+                    own += [bound[value]] if bound[value] else []
                 elif quoted or (any(c.isdigit() for c in value) and len(value) >= 8):
-                    literals.append((value, start, end, quoted, "lexed"))
-            bound[name] = [p[:4] for p in literals][:64]
+                    own.append((value, start, end, quoted))
+            bound[name] = own
             weight = sensitivity(name)
-            if not weight or not literals:
+            if not weight or not own:
                 continue
+            here = {p for p in own if isinstance(p, tuple)}
+            literals = [(*p, "lexed" if p in here else "const") for p in spread(own)]
             score = weight * shape("".join(p[0] for p in literals))
             if score < THRESHOLD:
                 continue

@@ -33,6 +33,21 @@ def test_constants_propagate_into_sensitive_names():
     assert secrets.scan('db_pwd = "changeme"') == []
 
 
+def test_every_listed_name_can_fire():
+    for name in [*secrets.WEIGHTS, "signing_key", *("_".join(p) for p in secrets.PAIRS)]:
+        text = f'{name} = "A8fJ3kL0qPz9Xw2Vb7Nm"'
+        assert secrets.redact(text) in (f'{name} = "[REDACTED]"', f"{name} = [REDACTED]"), name
+    assert secrets.scan('sort_key = "first name then last name"') == []
+
+
+def test_long_constants_are_redacted_whole():
+    parts = [f"q{i}Zx{i * 7919}" for i in range(150)]
+    text = "BLOB = " + " + ".join(f'"{p}"' for p in parts) + "\npassword = BLOB\n"
+    assert not [p for p in parts if f'"{p}"' in secrets.redact(text)]
+    chain = 'c0 = "Zq9x"\n' + "".join(f"c{i} = c{i - 1} + c{i - 1}\n" for i in range(1, 200)) + "password = c199\n"
+    assert '"Zq9x"' not in secrets.redact(chain)
+
+
 def test_redaction_keeps_names_and_everything_else(spark):
     rows = spark.createDataFrame([(1, 'a token = "0123456789abcdef01234567" z', "x"), (2, None, "y"), (3, "clean", None)], "doc_id long, text string, id string")
     got = {r.doc_id: (r.text, r.id) for r in secrets.redact_secrets(rows).collect()}
