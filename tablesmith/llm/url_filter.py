@@ -15,9 +15,10 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablesmith.llm.components import cut
+from tablesmith.llm.decontaminate import small
+
 BAD = "label=bad"
-#: Rules mined are at most so many (the most confident ones), which bounds what is broadcast.
-MAX_RULES = 10_000
 
 
 def host(url: Column) -> Column:
@@ -59,21 +60,35 @@ def mine(urls: DataFrame, bad: Column, url_col: str = "url", least: int = 20, su
     none = session.createDataFrame([], "rule long, antecedent array<string>, confidence double, lift double")
     if not n_bad or n_bad < least:
         return none
-    model = FPGrowth(itemsCol="items", minSupport=max(support, least / n), minConfidence=confidence).fit(rows.select("items"))
-    found = model.associationRules.filter((F.col("consequent")[0] == BAD) & (F.col("lift") >= lift)).select(F.sort_array("antecedent").alias("antecedent"), "confidence", "lift")
-    found = found.orderBy(F.desc("confidence"), F.size("antecedent"), F.array_join("antecedent", " ")).limit(MAX_RULES).collect()
-    kept: list = []
-    for r in found:
-        if not any(set(k["antecedent"]) <= set(r["antecedent"]) for k in kept):
-            kept.append(r)
-    return session.createDataFrame([(i, r["antecedent"], r["confidence"], r["lift"]) for i, r in enumerate(kept)], none.schema) if kept else none
+    model = FPGrowth(itemsCol="items", minSupport=max(support, least / n), minConfidence=0.0).fit(rows.select("items"))
+    found = cut(model.associationRules.filter(F.col("consequent")[0] == BAD).select(F.sort_array("antecedent").alias("antecedent"), "confidence", "lift"))
+    kept = minimal(found).filter((F.col("confidence") >= confidence) & (F.col("lift") >= lift))
+    ordered = kept.orderBy(F.desc("confidence"), F.size("antecedent"), F.array_join("antecedent", " "))
+    return cut(session.createDataFrame(ordered.rdd.zipWithIndex().map(lambda r: (r[1], *r[0])), none.schema))
+
+
+def minimal(rules: DataFrame) -> DataFrame:
+    """The rules (every subset of an antecedent has one) without a rule of fewer tokens and as much confidence within them.
+
+    Size by size: the best confidence within a rule is that of its subsets of one token less, so each rule is joined to those only.
+    """
+    most = rules.agg(F.max(F.size("antecedent"))).first()[0]
+    out, below = rules.filter(F.size("antecedent") == 1), rules.filter(F.size("antecedent") == 1).select("antecedent", F.col("confidence").alias("top"))
+    for size in range(2, (most or 0) + 1):
+        own = rules.filter(F.size("antecedent") == size)
+        less = own.select(F.col("antecedent").alias("whole"), F.explode("antecedent").alias("token")).select("whole", F.array_remove("whole", F.col("token")).alias("antecedent"))
+        within = less.join(below, "antecedent").groupBy("whole").agg(F.max("top").alias("within")).withColumnRenamed("whole", "antecedent")
+        own = cut(own.join(within, "antecedent", "left").withColumn("within", F.coalesce("within", F.lit(0.0))))
+        out = out.unionByName(own.filter("within < confidence").select(*rules.columns))
+        below = own.select("antecedent", F.greatest("confidence", "within").alias("top"))
+    return out
 
 
 def fired(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
     """``url`` and ``mined_rule`` (the lowest number) of each distinct URL on which a mined rule fires."""
     index = rules.select("rule", F.size("antecedent").alias("size"), F.explode("antecedent").alias("token"))
     seen = urls.select(F.col(url_col).alias("url")).filter(F.col("url").contains("://")).distinct().select("url", F.explode(tokens(F.col("url"))).alias("token"))
-    hits = seen.join(F.broadcast(index), "token").groupBy("url", "rule", "size").agg(F.count("*").alias("n"))
+    hits = seen.join(small(index, index.count()), "token").groupBy("url", "rule", "size").agg(F.count("*").alias("n"))
     return hits.filter("n = size").groupBy("url").agg(F.min("rule").alias("mined_rule"))
 
 

@@ -51,6 +51,17 @@ def test_mined_rules_fire_by_all_their_tokens(spark):
     assert not any(a < b for a in sets for b in sets)
 
 
+def test_redundant_supersets_crowd_out_no_rule(spark):
+    # One wholly bad URL shape of 15 tokens has some 32,000 rules of confidence 1; another host is bad in three pages of four.
+    deep = "http://a.b.c.bad.net/" + "/".join(f"p{k}" for k in range(10))
+    urls = [(i, deep, 1) for i in range(100)] + [(i, f"http://half.org/{i}", int(i % 4 > 0)) for i in range(100, 200)] + [(i, f"http://good.com/{i}", 0) for i in range(200, 600)]
+    df = spark.createDataFrame(urls, "page_id long, url string, toxic int")
+    rules = url_filter.mine(df, F.col("toxic") == 1).collect()
+    assert sorted(t for r in rules for t in r.antecedent if r.confidence == 1) == sorted([*(f"path=p{k}" for k in range(10)), *(f"host={h}" for h in ("a.b.c.bad.net", "b.c.bad.net", "c.bad.net", "bad.net", "net"))])
+    assert {t for r in rules for t in r.antecedent if r.confidence < 1} == {"host=half.org", "host=org"}
+    assert [r["rule"] for r in rules] == list(range(17))
+
+
 def brute(ids, vectors, least=0.9):
     good = [i for i, v in enumerate(vectors) if v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     links = {i: set() for i in range(len(ids))}
