@@ -17,7 +17,10 @@ STEP_BYTES = 4 << 20
 
 
 def small_batches(df: DataFrame) -> None:
-    """Lower the session's Arrow batches to ``BATCH_ROWS`` rows; a lower setting stays."""
+    """Lower the session's Arrow batches to ``BATCH_ROWS`` rows; a lower setting stays.
+
+    Spark reads the setting when a plan runs, so it can't be restored here: it holds for the session's later queries too.
+    """
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
         conf.set(name, str(BATCH_ROWS))
@@ -29,10 +32,10 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str, *more: Column) -> Dat
     return df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), *more)
 
 
-def steps(batches: Iterator[pa.RecordBatch], limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches into slices of about ``limit`` bytes of their ``text`` column (one row at least)."""
+def steps(batches: Iterator[pa.RecordBatch], limit: int = STEP_BYTES, column: str | int = "text") -> Iterator[pa.RecordBatch]:
+    """Cut batches into slices of about ``limit`` bytes of their text column (one row at least)."""
     for batch in batches:
-        size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0), dtype=np.int64))
+        size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64))
         start = 0
         while start < batch.num_rows:
             done = size[start - 1] if start else 0

@@ -176,7 +176,7 @@ def redact_secrets(df: DataFrame, text_col: str = "text", mark: str = "[REDACTED
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in steps(batches, column=at):
             new = pa.array([None if t is None else redact(t, mark) for t in batch.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([new if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
 

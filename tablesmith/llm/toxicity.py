@@ -5,12 +5,15 @@ All words of all examples are indexed. A word weighs its TF-IDF times its chi-sq
 ``FLOOR``, so that no word is without weight): by plain TF-IDF the many rare words, which say nothing of the label, would decide.
 Document frequencies come from all rows. Words are 64-bit hashes.
 
-The index holds, for each word, its postings and their maximum in each block of examples. A search adds up the maxima to
-a bound for each block and scores blocks from the highest bound on until no bound reaches the k-th best cosine, so the
-neighbours are exact. Their votes, weighted by cosine and shrunk towards the share of label 1, give the score; a text without
-words of an example gets the share of label 1 among examples without words.
-
-Edge cases: null and empty texts have no words; ties in cosine go to the smaller id; repeated rows are scored alike; without
+The index holds, for each word, its postings; those of a frequent word stand as a full row in each block of examples, beside its
+maximum in the block. A search adds up the postings of the rare words, and for the frequent ones the maxima: a bound for each block.
+The blocks of the highest bounds give a first k-th best cosine; every block whose bound reaches it is then scored in full. So the
+neighbours are exact, and all that tie with the k-th are in. Their votes, weighted by cosine and shrunk towards the share of label 1,
+are calibrated by a logistic curve that is fitted to a tenth of the sample, which the index does not hold. A text without words of
+an example gets the share of label 1 among examples without words.
+
+Edge cases: null and empty texts have no words; examples that tie are all taken, so ids decide nothing; repeated rows are scored alike;
+rows of ``labels`` or of the table without an id are no examples but are scored; very long texts are read whole; without
 examples the score is 0; an empty table gives an empty result; other columns are not read.
 """
 
@@ -32,12 +35,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablesmith.llm import simhash
-from tablesmith.llm.batches import id_and_text, list_array, small_batches, steps, texts
+from tablesmith.llm.batches import Numbering, id_and_text, list_array, small_batches, steps, texts
 from tablesmith.llm.components import cut
 
 WORD = re.compile(r"\w+")
 BLOCK = 64
 FLOOR = 0.1
+#: A word that over one in so many examples holds has full rows in the blocks.
+FREQUENT = 16
+#: Texts that are searched together, and blocks of each that are scored first. Cosines nearer than TIE are equal.
+TOGETHER, FIRST, TIE = 128, 8, 1e-9
+#: Words whose places a task remembers.
+KEPT_WORDS = 300_000
 #: Counts of document frequencies travel in pieces of so many words.
 PIECE = 1 << 14
 
@@ -50,6 +59,24 @@ def hashes(terms) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in terms), np.uint64, len(terms))
 
 
+class Places(dict):
+    """The places of words among sorted hashes (-1: not there); a task forgets its words beyond ``KEPT_WORDS`` of them."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+
+    def of(self, names: list[str]) -> np.ndarray:
+        new = [w for w in dict.fromkeys(names) if w not in self]
+        if len(self) + len(new) > KEPT_WORDS:
+            self.clear()
+            new = list(dict.fromkeys(names))
+        if new:
+            own = hashes(new)
+            at = np.minimum(np.searchsorted(self.keys, own), max(len(self.keys) - 1, 0))
+            self.update(zip(new, np.where(self.keys[at] == own, at, -1).tolist() if len(self.keys) else [-1] * len(new), strict=True))
+        return np.fromiter(map(self.__getitem__, names), np.int64, len(names))
+
+
 def ranges(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """The numbers of all ranges, one after the other."""
     size = stop - start
@@ -79,6 +106,8 @@ class Index:
     n: np.ndarray = none(np.int32)
     share: float = 0.0
     bare: float = 0.0
+    slope: float = 0.0
+    shift: float = 0.0
 
     @staticmethod
     def build(examples: list[tuple], idf: dict[str, float], share: float, bare: float) -> Index:
@@ -98,79 +127,128 @@ class Index:
 
     @cached_property
     def blocks(self) -> tuple[np.ndarray, ...]:
-        """Each word's first block, and by block its number, its maximum and its first posting; the weight of each posting."""
+        """Each frequent word's place among these (-1: rare), their full rows and maxima by block; the rare words' postings and weights."""
         size = np.diff(self.first.astype(np.int64))
         weight = (1 + np.log(self.n.astype(float))) * np.repeat(self.idf, size)
         weight /= np.sqrt(np.bincount(self.at, weight * weight, len(self.ids)))[self.at]
-        term, block = np.repeat(np.arange(len(size), dtype=np.int32), size), self.at // BLOCK
-        start = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.zeros(0, int)
-        most = np.maximum.reduceat(weight, start) if len(term) else np.zeros(0)
-        first = np.searchsorted(term[start], np.arange(len(size) + 1))
-        return first.astype(np.int32), block[start].astype(np.int32), most, np.append(start, len(term)).astype(np.int32), weight
+        often = size > max(BLOCK, len(self.ids) // FREQUENT)
+        place = np.where(often, np.cumsum(often) - 1, -1)
+        wide = -(-len(self.ids) // BLOCK)
+        full = np.zeros((wide, int(often.sum()), BLOCK))
+        on = np.repeat(often, size)
+        full[self.at[on] // BLOCK, np.repeat(place, size)[on], self.at[on] % BLOCK] = weight[on]
+        first = np.append(0, np.cumsum(np.where(often, 0, size)))
+        return place, full, full.max(axis=2), first, self.at[~on].astype(np.int32), weight[~on]
 
     def __getstate__(self) -> bytes:
-        return zlib.compress(pickle.dumps({k: v for k, v in self.__dict__.items() if k != "blocks"}, 5), 1)
+        return zlib.compress(pickle.dumps({k: v for k, v in self.__dict__.items() if k not in ("blocks", "places")}, 5), 1)
 
     def __setstate__(self, state: bytes) -> None:
         self.__dict__.update(pickle.loads(zlib.decompress(state)))
 
-    def place(self, terms: list[str]) -> np.ndarray:
-        """The place of each term in ``keys``, -1 if it is not there."""
-        names = hashes(terms)
-        found = np.minimum(np.searchsorted(self.keys, names), max(len(self.keys) - 1, 0))
-        return np.where(self.keys[found] == names, found, -1) if len(self.keys) else np.full(len(names), -1)
-
-    def query(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """The places, weights and names of the known terms."""
+    @cached_property
+    def places(self) -> Places:
+        return Places(self.keys)
+
+    def queries(self, texts: list[dict[str, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For all known terms of all texts: the text's number, the term's place and its weight in the text's unit vector."""
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        term = self.places.of([w for t in texts for w in t])
+        times = np.fromiter((n for t in texts for n in t.values()), float, len(term))
+        known = term >= 0
+        row, term = np.repeat(np.arange(len(texts)), size)[known], term[known]
+        weight = (1 + np.log(times[known])) * self.idf[term]
+        return row, term, weight / np.sqrt(np.bincount(row, weight * weight, len(texts)))[row]
+
+    def evidence(self, counts: dict[str, int]) -> list[str]:
+        """The text's terms that speak for label 1 beyond chance."""
         names = list(counts)
-        term = self.place(names)
-        known = np.flatnonzero(term >= 0)
-        weight = (1 + np.log(np.fromiter(counts.values(), float, len(names))[known])) * self.idf[term[known]]
-        return term[known], weight / np.sqrt(weight @ weight) if len(known) else weight, [names[i] for i in known]
-
-    def weigh(self, counts: dict[str, int]) -> dict[str, float]:
-        _, weight, names = self.query(counts)
-        return dict(zip(names, weight.tolist(), strict=True))
-
-    def nearest(self, counts: dict[str, int], k: int) -> list[tuple[int, float]]:
-        """The ``k`` examples of highest positive cosine, ties by place."""
-        term, q, _ = self.query(counts)
-        first, block, most, start, weight = self.blocks
-        lo, hi = first[term].astype(np.int64), first[term + 1].astype(np.int64)
-        entry, q = ranges(lo, hi), np.repeat(q, hi - lo)
-        block = block[entry]
-        bound = np.bincount(block, q * most[entry], -(-len(self.ids) // BLOCK))
-        order = np.argsort(-bound, kind="stable")
-        order = order[: np.count_nonzero(bound > 0)]
-        best: list[tuple[float, int]] = []
-        begin, step = 0, 32
-        while begin < len(order) and (len(best) < k or bound[order[begin]] >= -best[-1][0] - 1e-12):
-            chosen = np.zeros(len(bound), dtype=bool)
-            chosen[order[begin : begin + step]] = True
-            on = chosen[block]
-            lo, hi = start[entry[on]].astype(np.int64), start[entry[on] + 1].astype(np.int64)
-            rows = ranges(lo, hi)
-            score = np.bincount(self.at[rows], np.repeat(q[on], hi - lo) * weight[rows], len(self.ids))
-            at = np.flatnonzero(score)
-            if len(at) > 4 * k:  # only those that reach the k-th best, ties included
-                at = at[score[at] >= np.partition(score[at], -k)[-k]]
-            best = sorted([*best, *zip((-score[at]).tolist(), at.tolist(), strict=True)])[:k]
-            begin, step = begin + step, step * 4
-        return [(i, -s) for s, i in best]
-
-    def score(self, counts: dict[str, int], k: int, prior: float) -> tuple[float, list[int]]:
-        near = self.nearest(counts, k)
-        if not near:
-            return self.bare, []
-        weight = np.array([c for _, c in near])
-        votes = self.labels[[i for i, _ in near]]
-        return float((weight @ votes + prior * self.share) / (weight.sum() + prior)), [i for i, _ in near]
-
-
-def train(df: DataFrame, labels: DataFrame, learn: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_examples: int = 20_000) -> Index:
+        term = self.places.of(names)
+        return sorted(names[i] for i in np.flatnonzero(term >= 0) if self.marked[term[i]])
+
+    def nearest(self, texts: list[dict[str, int]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text the ``k`` examples of highest positive cosine and all that tie with the last of them, best first, with the cosines."""
+        if not self.ids:
+            return [(np.zeros(0, int), np.zeros(0))] * len(texts)
+        return [near for i in range(0, len(texts), TOGETHER) for near in self._together(texts[i : i + TOGETHER], k)]
+
+    def _together(self, texts: list[dict[str, int]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        place, full, most, first, at, weight = self.blocks
+        row, term, q = self.queries(texts)
+        lo, hi = first[term], first[term + 1]
+        entry, width = ranges(lo, hi), len(full) * BLOCK
+        score = np.bincount(np.repeat(row * width, hi - lo) + at[entry], np.repeat(q, hi - lo) * weight[entry], len(texts) * width).astype(float).reshape(len(texts), len(full), BLOCK)
+        often = place[term] >= 0
+        dense = np.zeros((len(texts), full.shape[1]))
+        dense[row[often], place[term[often]]] = q[often]
+        bound = score.max(axis=2) + dense @ most.T
+        done = np.zeros(bound.shape, dtype=bool)
+
+        def fill(wanted: np.ndarray) -> None:
+            for block in np.flatnonzero(wanted.any(axis=0)):
+                rows = np.flatnonzero(wanted[:, block])
+                score[rows, block] += dense[rows] @ full[block]
+            done[wanted] = True
+
+        top = np.argpartition(-bound, min(FIRST, len(full)) - 1, axis=1)[:, :FIRST]
+        wanted = np.zeros(bound.shape, dtype=bool)
+        np.put_along_axis(wanted, top, True, axis=1)
+        fill(wanted)
+        tops = np.take_along_axis(score, top[:, :, None], axis=1).reshape(len(texts), -1)
+        least = np.partition(tops, -k, axis=1)[:, -k] if tops.shape[1] >= k else np.zeros(len(texts))
+        fill(~done & (bound > 0) & (bound >= least[:, None] - TIE))
+        score[~done] = 0
+        out = []
+        for own, low in zip(score.reshape(len(texts), width), least, strict=True):
+            near = np.flatnonzero((own > 0) & (own >= low - TIE))
+            if len(near) > k:
+                near = near[own[near] >= np.partition(own[near], -k)[-k] - TIE]
+            near = near[np.argsort(-own[near], kind="stable")]
+            out.append((near, own[near]))
+        return out
+
+    def votes(self, texts: list[dict[str, int]], k: int, prior: float) -> list[tuple[float, np.ndarray]]:
+        """Each text's share of votes for label 1, before calibration (nan: no neighbour), and its neighbours."""
+        return [(float((c @ self.labels[near] + prior * self.share) / (c.sum() + prior)) if len(near) else np.nan, near) for near, c in self.nearest(texts, k)]
+
+    def calibrated(self, vote: float) -> float:
+        if np.isnan(vote):
+            return self.bare
+        return float(1 / (1 + np.exp(-np.clip(self.slope * vote + self.shift, -500, 500)))) if self.slope > 0 else vote
+
+    def scores(self, texts: list[dict[str, int]], k: int, prior: float) -> list[tuple[float, np.ndarray]]:
+        return [(self.calibrated(v), near) for v, near in self.votes(texts, k, prior)]
+
+
+def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of the logistic curve of greatest likelihood, with targets drawn in from 0 and 1 by the number of rows; (0, 0) without both labels."""
+    n1 = int(y.sum())
+    if not 0 < n1 < len(y):
+        return 0.0, 0.0
+    target = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (len(y) - n1 + 2))
+    both = np.stack([x, np.ones(len(x))], axis=1)
+    beta = np.array([0.0, np.log(n1 / (len(y) - n1))])
+
+    def loss(b: np.ndarray) -> float:
+        z = both @ b
+        return float((np.logaddexp(0, z) - target * z).sum())
+
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(both @ beta, -500, 500)))
+        step = np.linalg.solve(both.T @ (both * (p * (1 - p))[:, None]) + 1e-9 * np.eye(2), both.T @ (target - p))
+        while loss(beta + step) > loss(beta) and np.abs(step).max() > 1e-9:
+            step /= 2
+        beta = beta + step
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(beta[0]), float(beta[1])
+
+
+def train(df: DataFrame, labels: DataFrame, learn: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_examples: int = 20_000, k: int = 15, prior: float = 1.0) -> Index:
     """Build the index from about ``max_examples`` rows of ``labels`` where ``learn`` holds, drawn by a hash of the id.
 
     ``max_examples`` bounds the index by the words of so many texts, so it may be broadcast; frequencies cover all rows of ``df``.
+    A tenth of the sample stays out of the index: the votes on it, for ``k`` and ``prior``, give the calibration.
     """
     known = labels.filter(learn & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     n = known.count()
@@ -181,6 +259,7 @@ def train(df: DataFrame, labels: DataFrame, learn: Column, label_col: str = "tox
     sample = cut(rows.join(F.broadcast(known), "id").select("id", "text", "label"))  # at most about max_examples narrow rows
     alone = simhash.near_duplicates(sample, "id").filter("id = component_id").select("id").distinct()
     sample = cut(sample.join(F.broadcast(alone), "id").dropDuplicates(["id"]))
+    apart = F.pmod(F.xxhash64(F.lit("calibrate"), "id"), F.lit(10)) == 0
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
@@ -191,7 +270,7 @@ def train(df: DataFrame, labels: DataFrame, learn: Column, label_col: str = "tox
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), list_array(flat, sizes, pa.int64()), list_array(times, sizes, pa.int32())], names=["id", "label", "h", "n"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    got = sample.mapInArrow(vectors, f"id {kind}, label int, h array<long>, n array<int>").toArrow().combine_chunks()
+    got = sample.filter(~apart).mapInArrow(vectors, f"id {kind}, label int, h array<long>, n array<int>").toArrow().combine_chunks()
     if not got.num_rows:
         return Index()
     ids, label = got.column("id").to_pylist(), np.asarray(got.column("label")) > 0
@@ -213,13 +292,12 @@ def train(df: DataFrame, labels: DataFrame, learn: Column, label_col: str = "tox
     held = df.sparkSession.sparkContext.broadcast(keys)
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, seen = held.value, np.zeros(len(held.value) + 1, dtype=np.int32)  # the last one counts rows
+        places, seen = Places(held.value), np.zeros(len(held.value) + 1, dtype=np.int32)  # the last one counts rows
         for batch in steps(batches):
             for text in texts(batch):
                 seen[-1] += 1
-                names = hashes(set(words(text)))
-                found = np.minimum(np.searchsorted(keys, names), len(keys) - 1) if len(keys) else names[:0]
-                seen[found[keys[found] == names] if len(keys) else found] += 1
+                found = places.of(list(set(words(text))))
+                seen[found[found >= 0]] += 1
         if seen[-1]:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(-(-len(seen) // PIECE)), pa.int64()), pa.array([seen[i : i + PIECE].tobytes() for i in range(0, len(seen), PIECE)], pa.binary())], names=["piece", "n"])
 
@@ -238,7 +316,23 @@ def train(df: DataFrame, labels: DataFrame, learn: Column, label_col: str = "tox
     idf = idf.astype(np.float32)
     bare = label[size == 0]
     share = t1 / t
-    return Index.of([ids[i] for i in order], label[order].astype(float), keys, idf, marked, np.repeat(rank, size), term, times, share, (int(bare.sum()) + share) / (len(bare) + 1))
+    index = Index.of([ids[i] for i in order], label[order].astype(float), keys, idf, marked, np.repeat(rank, size), term, times, share, (int(bare.sum()) + share) / (len(bare) + 1))
+    known = vote(sample.filter(apart), index, k, prior).toArrow()  # about a tenth of max_examples
+    x, y = np.asarray(known.column("vote")), np.asarray(known.column("label")).astype(float)
+    index.slope, index.shift = logistic(x[~np.isnan(x)], y[~np.isnan(x)])
+    return index
+
+
+def vote(sample: DataFrame, index: Index, k: int, prior: float) -> DataFrame:
+    """``vote`` (before calibration) and ``label`` of rows with ``text`` and ``label``."""
+    held = sample.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches):
+            got = held.value.votes([Counter(words(t)) for t in texts(batch)], k, prior)
+            yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in got], pa.float64()), batch.column("label")], names=["vote", "label"])
+
+    return sample.select("text", "label").mapInArrow(run, "vote double, label int")
 
 
 def score(df: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text", k: int = 15, prior: float = 1.0) -> DataFrame:
@@ -247,20 +341,16 @@ def score(df: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "
     held = df.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, done = held.value, {}
+        index = held.value
         for batch in steps(batches):
+            rows = texts(batch)
+            number = Numbering()
+            place = [number[t] for t in rows]  # equal texts of a step are searched once
+            found = [Counter(words(t)) for t in number]
             got = []
-            for text in texts(batch):
-                key = xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
-                if key not in done:
-                    if len(done) > 10_000:
-                        done.clear()
-                    counts = Counter(words(text))
-                    value, near = index.score(counts, k, prior)
-                    term, _, names = index.query(counts)
-                    done[key] = value, [str(index.ids[i]) for i in near], sorted(w for w, m in zip(names, index.marked[term].tolist(), strict=True) if m)
-                got.append(done[key])
-            columns = zip(*got, strict=True) if got else ([], [], [])
+            for counts, (value, near) in zip(found, index.scores(found, k, prior), strict=True):
+                got.append((value, [str(index.ids[i]) for i in near], index.evidence(counts)))
+            columns = zip(*[got[i] for i in place], strict=True) if got else ([], [], [])
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(list(c), kind) for c, kind in zip(columns, (pa.float64(), pa.list_(pa.string()), pa.list_(pa.string())), strict=True))], names=[id_col, "score", "neighbours", "terms"])
 
     return src.mapInArrow(run, f"`{id_col}` {src.schema['id'].dataType.simpleString()}, score double, neighbours array<string>, terms array<string>")
@@ -273,9 +363,10 @@ def keep_clean(df: DataFrame, index: Index, text_col: str = "text", threshold: f
     held = df.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = held.value
-        for batch in batches:
-            keep = [index.score(Counter(words(text or "")), k, prior)[0] < threshold for text in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+        for batch in steps(batches, column=at):
+            number = Numbering()
+            place = [number[t or ""] for t in batch.column(at).to_pylist()]
+            got = held.value.scores([Counter(words(t)) for t in number], k, prior)
+            yield batch.filter(pa.array([got[i][0] < threshold for i in place], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

@@ -10,7 +10,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tablesmith.llm import byte_bpe, decontaminate, language_id, license_scan, queries, toxicity
+from tablesmith.llm import byte_bpe, decontaminate, language_id, license_scan, queries
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -65,48 +65,6 @@ def test_license_scan_against_sql(spark, sf, tmp_path):
     assert license_scan.scan(rows.limit(0)).count() == 0
 
 
-def test_toxicity_neighbours_are_exact():
-    rng = random.Random(2)
-    words = [f"w{i}" for i in range(40)]
-    idf = {w: rng.uniform(1, 5) for w in words}
-    examples = [(i, rng.randint(0, 1), dict(Counter(rng.choices(words, k=rng.randint(1, 6))))) for i in range(900)]
-    index = toxicity.Index.build(examples, idf, 0.3, 0.1)
-    for _ in range(60):
-        query = dict(Counter(rng.choices(words, k=rng.randint(1, 5))))
-        q = index.weigh(query)
-        plain = sorted((-sum(q.get(t, 0) * w for t, w in index.weigh(c).items()), i) for i, _, c in examples)[:15]
-        got = index.nearest(query, 15)
-        assert [round(-s, 9) for s, _ in plain if s < 0] == [round(s, 9) for _, s in got]
-    assert index.score({}, 15, 0.5) == (0.1, [])
-
-
-def test_toxicity_on_held_out_rows(spark):
-    rng = random.Random(8)
-    docs = spark.createDataFrame([(i, " ".join([*rng.choices([f"w{k}" for k in range(300)], k=25), "nasty" if i % 6 == 0 else "kind"])) for i in range(600)] + [(1000, None), (1001, ""), (1002, "NASTY " * 40_000)], "doc_id long, text string").withColumn("toxic", F.lit("clash"))
-    labels = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(600)], "doc_id long, toxic int")
-    index = toxicity.train(docs, labels, queries.fold(5) != 0)
-    got = {r.doc_id: r.score for r in toxicity.score(docs, index).collect()}
-    assert all((got[i] >= 0.5) == (i % 6 == 0) for i in range(600)) and got[1002] > 0.5 > got[1000] == got[1001]
-    assert sorted(r.doc_id for r in toxicity.keep_clean(docs, index).collect()) == [i for i in sorted(got) if got[i] < 0.5]
-    nobody = toxicity.train(docs, labels.limit(0), F.lit(True))
-    assert toxicity.score(docs, nobody).filter("score <> 0").count() == 0
-    assert toxicity.score(docs.limit(0), index).count() == 0
-
-
-def test_toxicity_reaches_documents_of_rare_words(spark):
-    # Each word occurs in two toxic examples only, or in toxic and clean ones alike: none is significant by itself.
-    rng = random.Random(4)
-    common = [f"c{i}" for i in range(40)]
-    toxic = [(i, " ".join([*rng.choices(common, k=12), f"bad{i // 2}", f"vile{i // 2}", f"mean{i // 2}"])) for i in range(60)]
-    clean = [(i, " ".join([*rng.choices(common, k=12), f"nice{i // 2}", f"good{i // 2}"])) for i in range(60, 360)]
-    index = toxicity.train(spark.createDataFrame(toxic + clean, "doc_id long, text string"), spark.createDataFrame([(i, int(i < 60)) for i in range(360)], "doc_id long, toxic int"), F.lit(True))
-    assert len(index.ids) == 360
-    asked = [(1000 + i, f"bad{i} vile{i} mean{i}") for i in range(30)] + [(2000 + i, f"nice{30 + i} good{30 + i}") for i in range(30)]
-    got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(asked, "doc_id long, text string"), index).collect()}
-    assert all({str(2 * i), str(2 * i + 1)} == set(got[1000 + i].neighbours) and got[1000 + i].score > 0.5 for i in range(30))
-    assert all(got[2000 + i].neighbours and got[2000 + i].score < index.share for i in range(30))
-
-
 def plain_leaks(docs, items):
     import re
 
