@@ -27,6 +27,7 @@ START = dt.date(2000, 1, 1)
 END = dt.date(2025, 12, 31)
 
 BARE = ("bool word sentence name firstname lastname username email phone street city state country zip url uuid ipv4 macaddress hexcolor productname company jobtitle latitude longitude float64 date time datetime json sequence").split()
+CALLED = ("number", "price", "randomstring", "paragraph", "float64")
 CALL = re.compile(r"^\s*([A-Za-z0-9_]+)\s*(?:\((.*)\))?\s*$", re.DOTALL)
 CUSTOM: dict[str, Callable[[Cells, list[str]], Column]] = {}
 
@@ -43,6 +44,13 @@ def parse(generator: str) -> tuple[str, list[str]]:
 
 
 def valid(generator: str) -> bool:
+    """Whether a generator string is recognized: empty, a bare name, or a call of one that takes arguments."""
+    text = (generator or "").strip()
+    called = re.fullmatch(r"(\w+)\(.*\)", text)
+    return not text or text in BARE or parse(text)[0] in CUSTOM or bool(called and called[1] in CALLED)
+
+
+def usable(generator: str) -> bool:
     """Whether a generator string is known and its arguments fit."""
     name, args = parse(generator)
     if name in CUSTOM or (name in BARE and not args) or name == "float64":
@@ -93,14 +101,14 @@ def _sentence(words: Column) -> Column:
 
 
 def generate(generator: str | None, cells: Cells, end: dt.date = END) -> Column:
-    """The column that a generator string stands for. An unknown one gives a word (see ``valid`` for warnings), none gives null."""
+    """The column that a generator string stands for. An unknown one gives a word (see ``usable`` for warnings), none gives null."""
     if not generator:
         return F.lit(None)
     name, args = parse(generator)
     if name in CUSTOM:
         return CUSTOM[name](cells, args)
     h, days = cells.h(), (end - START).days + 1
-    if not valid(generator):
+    if not usable(generator):
         name = "word"
     if name == "number":
         return number(h, int(float(args[0])), int(float(args[1])))

@@ -7,17 +7,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablesmith.functions.generators import BARE
+from tablesmith.functions.generators import BARE, CALLED
 
 #: Type names by what they hold.
 INTS = ["smallint", "int2", "mediumint", "int", "integer", "int4", "bigint", "int8", "tinyint"]
 DECIMALS = ["decimal", "numeric"]
 FLOATS = ["float", "double", "real", "float4", "float8", "double precision"]
-TEXTS = ["char", "varchar", "bpchar", "character varying", "character", "text", "tinytext", "mediumtext", "longtext", "uuid"]
+SEQUENCES = ["money", "smallmoney", "dec", "fixed", "serial", "bigserial", "smallserial"]
 DATES = ["date"]
 TIMES = ["time", "time without time zone", "time with time zone"]
 INSTANTS = ["datetime", "timestamp", "timestamptz", "timestamp without time zone", "timestamp with time zone"]
 BOOLS = ["bool", "boolean"]
+#: Types that come before the column's name, by dialect.
+STRICT = {"mysql": BOOLS + ["bit", "tinyint", "date", "time", "datetime", "timestamp", "json"], "pgx": BOOLS + DATES + TIMES + INSTANTS[1:] + ["json", "jsonb", "uuid"]}
 #: Fixed values: (exact names, suffixes, generator), in order of precedence.
 NAMES = [
     (["email"], ["_email"], "email"),
@@ -51,8 +53,8 @@ NAMES = [
     (["longitude", "lng", "lon"], [], "longitude"),
 ]
 #: Defaults by type name for the two dialects.
-MYSQL = [(BOOLS + ["tinyint", "bit"], "bool"), (["smallint", "mediumint", "int", "integer"], "number(1,1000)"), (["bigint"], "number(1,100000)"), (FLOATS, "float64"), (DECIMALS, "price(1,1000)"), (["char", "varchar"], "word"), (["text", "tinytext", "mediumtext", "longtext"], "sentence"), (DATES, "date"), (TIMES, "time"), (INSTANTS, "datetime"), (["year"], "number(2000,2025)"), (["json"], "json")]
-POSTGRES = [(BOOLS, "bool"), (["smallint", "int2"], "number(1,1000)"), (["int", "integer", "int4"], "number(1,10000)"), (["bigint", "int8"], "number(1,100000)"), (FLOATS, "float64"), (DECIMALS, "price(1,1000)"), (["money"], "price(1,10000)"), (["char", "varchar", "bpchar", "character varying", "character"], "word"), (["text"], "sentence"), (["uuid"], "uuid"), (DATES, "date"), (TIMES, "time"), (INSTANTS, "datetime"), (["json", "jsonb"], "json"), (["inet", "cidr"], "ipv4"), (["macaddr"], "macaddress")]
+MYSQL = [(BOOLS + ["tinyint", "bit"], "bool"), (["smallint", "mediumint", "int", "integer"], "number(1,1000)"), (["bigint"], "number(1,100000)"), (["float", "double", "real"], "float64"), (DECIMALS, "price(1,1000)"), (["char", "varchar"], "word"), (["text", "tinytext", "mediumtext", "longtext"], "sentence"), (DATES, "date"), (["time"], "time"), (["datetime", "timestamp"], "datetime"), (["year"], "number(2000,2025)"), (["json"], "json")]
+POSTGRES = [(BOOLS, "bool"), (["smallint", "int2"], "number(1,1000)"), (["int", "integer", "int4"], "number(1,10000)"), (["bigint", "int8"], "number(1,100000)"), (["serial", "bigserial", "smallserial"], ""), (["real", "float4", "float8", "double precision"], "float64"), (DECIMALS, "price(1,1000)"), (["money"], "price(1,10000)"), (["char", "varchar", "bpchar", "character varying", "character"], "word"), (["text"], "sentence"), (["uuid"], "uuid"), (DATES, "date"), (TIMES, "time"), (INSTANTS[1:], "datetime"), (["json", "jsonb"], "json"), (["inet", "cidr"], "ipv4"), (["macaddr"], "macaddress")]
 
 
 def _listed(values: Column) -> Column:
@@ -74,13 +76,13 @@ def by_name(name: Column) -> Column:
 
 def _fixed_point(kind: Column, ddl: Column) -> Column:
     """The bounds that precision and scale set, for types exactly decimal or numeric."""
-    digits = lambda pattern: F.regexp_extract(F.lower(ddl), pattern, 1).try_cast("int")
-    precision = digits(r"(?:decimal|numeric)\s*\(\s*([0-9]+)")
-    scale = F.coalesce(digits(r"\(\s*[0-9]+\s*,\s*([0-9]+)"), F.lit(0))
+    exact = F.trim(F.lower(ddl))
+    pattern = r"^(?:decimal|numeric|dec|fixed)\((\d+),\s*(\d+)\)$"
+    precision, scale = (F.regexp_extract(exact, pattern, i).try_cast("int") for i in (1, 2))
     most = lambda digits, cap: F.when(digits > 9, F.lit(cap)).otherwise(F.least(F.pow(F.lit(10), digits).cast("long") - 1, F.lit(cap)))
     whole = F.concat(F.lit("number(1,"), F.greatest(most(precision, 100_000), F.lit(1)).cast("string"), F.lit(")"))
     part = F.when(precision == scale, F.lit("price(0,0.99)")).otherwise(F.concat(F.lit("price(1,"), most(precision - scale, 1_000).cast("string"), F.lit(")")))
-    return F.when(kind.isin(*DECIMALS) & precision.isNotNull() & (precision > 0), F.when(scale == 0, whole).otherwise(part))
+    return F.when(kind.isin(*DECIMALS) & (precision > 0) & (scale <= precision), F.when(scale == 0, whole).otherwise(part))
 
 
 def assign_generators(catalog: DataFrame, overrides: dict[tuple[str, str], str] | None = None, default_dialect: str = "pgx") -> DataFrame:
@@ -92,16 +94,19 @@ def assign_generators(catalog: DataFrame, overrides: dict[tuple[str, str], str]
     listed = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     base = F.regexp_replace(kind, r"\s*\(.*", "")
-    strict = F.when(base.isin(*BOOLS), F.lit("bool")).when(base.isin(*DATES), F.lit("date")).when(base.isin(*TIMES), F.lit("time")).when(base.isin(*INSTANTS), F.lit("datetime")).when(base.isin("json", "jsonb"), F.lit("json")).when(base == "uuid", F.lit("uuid"))
+    dialect = F.coalesce("dialect", F.lit(default_dialect))
+    typed = F.when(dialect == "mysql", _by_type(base, MYSQL)).otherwise(_by_type(base, POSTGRES))
+    strict = F.when(reduce(lambda a, b: a | b, [(dialect == d) & base.isin(*kinds) for d, kinds in STRICT.items()]), typed)
+    text = base.contains("char") | base.contains("text") | base.isin("clob", "uuid")
+    temporal = base.contains("date") | base.contains("time")
     rule = (
         F.when(listed("enum_values"), _listed(F.col("enum_values")))
         .when(yes("pk"), F.lit(""))
         .when(listed("check_values"), _listed(F.col("check_values")))
         .when(F.col("check_min").isNotNull() & F.col("check_max").isNotNull(), F.concat(F.lit("number("), F.col("check_min").cast("string"), F.lit(","), F.col("check_max").cast("string"), F.lit(")")))
-        .when(yes("unique") & base.isin(*TEXTS), F.lit("uuid"))
-        .when(yes("unique") & base.isin(*INTS, *DECIMALS, *FLOATS, *DATES, *TIMES, *INSTANTS), F.lit("sequence"))
+        .when(yes("unique") & text, F.lit("uuid"))
+        .when(yes("unique") & (base.isin(*INTS, *DECIMALS, *FLOATS, *SEQUENCES) | temporal), F.lit("sequence"))
     )
-    typed = F.when(F.coalesce("dialect", F.lit(default_dialect)) == "mysql", _by_type(base, MYSQL)).otherwise(_by_type(base, POSTGRES))
     out = F.coalesce(rule, strict, _fixed_point(base, F.col("_ddl")), by_name(name), typed)
     for (table, column), generator in (overrides or {}).items():
         out = F.when((F.col("table") == table) & (F.col("column") == column), F.lit(generator)).otherwise(out)
@@ -109,7 +114,5 @@ def assign_generators(catalog: DataFrame, overrides: dict[tuple[str, str], str]
 
 
 def recognized(generator: Column) -> Column:
-    """Whether a generator string is one that the library knows."""
-    number = r"\s*-?\d+(\.\d+)?\s*"
-    grammar = rf"(?s)^\s*(({'|'.join(BARE)})|float64\(.*\)|(number|price)\({number},{number}\)|paragraph(\(({number})?\))?|randomstring\(.+\))\s*$"
-    return generator.rlike(grammar)
+    """Whether a generator string is recognized: empty, a bare name, or a call of one that takes arguments."""
+    return F.trim(generator).rlike(rf"(?s)^(|{'|'.join(BARE)}|({'|'.join(CALLED)})\(.*\))$")

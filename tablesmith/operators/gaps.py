@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +59,7 @@ def generated_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return row_counts(tables).rollup("table").agg(F.sum("n").alias("n")).select(F.coalesce("table", F.lit("(total)")).alias("table"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def dry_run(tables: dict[str, DataFrame]) -> dict[str, tuple[int, list]]:
-    """The count and one sample row of each table; nothing is written."""
-    return {t: (df.count(), df.limit(1).collect()) for t, df in sorted(tables.items())}
+def dry_run(tables: dict[str, DataFrame], keys: dict[str, str]) -> DataFrame:
+    """``table``, ``n`` and ``sample`` (the row of the smallest key, as JSON) of each table, in one job; nothing is written."""
+    parts = [df.agg(F.count("*").alias("n"), F.min_by(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])), keys[t]).alias("sample")).select(F.lit(t).alias("table"), "n", "sample") for t, df in sorted(tables.items())]
+    return reduce(DataFrame.unionByName, parts)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import combinations
+from math import prod
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,26 +56,36 @@ def enum_domains(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def key_candidates(df: DataFrame, columns: list[str] | None = None, max_columns: int = MAX_KEY_COLUMNS) -> list[tuple[str, ...]]:
-    """The smallest sets of columns without nulls whose values are unique, level by level.
+    """The smallest sets of columns without nulls whose values are unique, level by level, up to ``max_columns`` columns.
 
-    A set is counted exactly only if its estimated number of distinct values is near that of the rows; sets that hold a
-    key found before are left out.
+    Keys of more columns are not looked for (``key_table`` says how far the search went). A set is estimated only if its columns'
+    distinct values could be as many as the rows, and counted exactly only if its own estimate is near that; all exact counts of a
+    level are one job. Sets that hold a key found before are left out.
     """
     columns = sorted(columns or [f.name for f in _scalar(df)])
-    stats = df.agg(F.count("*").alias("n"), *[F.count(c).alias(f"c_{c}") for c in columns]).first()
-    n, full = stats["n"], [c for c in columns if stats[f"c_{c}"] == stats["n"]]
+    c = {name: F.col(f"`{name}`") for name in columns}
+    stats = df.agg(F.count("*").alias("n"), *[F.count(x).alias(f"c_{name}") for name, x in c.items()], *[F.approx_count_distinct(x, 0.02).alias(f"d_{name}") for name, x in c.items()]).first()
+    n, full = stats["n"], [name for name in columns if stats[f"c_{name}"] == stats["n"]]
     found: list[tuple[str, ...]] = []
     for size in range(1, max_columns + 1):
-        sets = [s for s in combinations(full, size) if not any(set(k) <= set(s) for k in found)]
+        sets = [s for s in combinations(full, size) if not any(set(k) <= set(s) for k in found) and prod(1.1 * stats[f"d_{x}"] for x in s) >= 0.9 * n]
         if not sets or not n:
             break
-        near = df.agg(*[F.approx_count_distinct(F.struct(*s), 0.02).alias(str(i)) for i, s in enumerate(sets)]).first()
-        for i, s in enumerate(sets):
-            if near[str(i)] >= 0.9 * n and df.groupBy(*s).count().filter("count > 1").isEmpty():
-                found.append(s)
+        near = df.agg(*[F.approx_count_distinct(F.struct(*[c[x] for x in s]), 0.02).alias(str(i)) for i, s in enumerate(sets)]).first()
+        likely = [s for i, s in enumerate(sets) if near[str(i)] >= 0.9 * n]
+        repeats = [df.groupBy(*[c[x] for x in s]).agg(F.count("*").alias("count")).agg(F.coalesce(F.max("count"), F.lit(0)).alias("most")).select(F.lit(i).alias("i"), "most") for i, s in enumerate(likely)]
+        if repeats:
+            most = {r["i"]: r["most"] for r in reduce(DataFrame.unionByName, repeats).collect()}  # one row for each candidate
+            found += [s for i, s in enumerate(likely) if most[i] == 1]
     return found
 
 
+def key_table(tables: dict[str, DataFrame], max_columns: int = MAX_KEY_COLUMNS) -> DataFrame:
+    """``table``, ``key`` (columns, comma-joined), ``n_columns`` and ``searched``: keys of more columns than that were not looked for."""
+    rows = [(t, ",".join(k), len(k), max_columns) for t, df in sorted(tables.items()) for k in key_candidates(df, max_columns=max_columns)]
+    return next(iter(tables.values())).sparkSession.createDataFrame(rows, "table string, key string, n_columns int, searched int")
+
+
 def unique_columns(df: DataFrame, primary: tuple[str, ...] = ()) -> list[str]:
     """Single columns of unique values, but for the chosen primary key."""
     return [k[0] for k in key_candidates(df, max_columns=1) if k != primary]
@@ -86,11 +97,12 @@ def _bare(column: str) -> str:
     return rest if rest and len(prefix) <= 2 else column
 
 
-def foreign_keys(tables: dict[str, DataFrame], names_only: bool = True) -> DataFrame:
+def foreign_keys(tables: dict[str, DataFrame], names_only: bool = False) -> DataFrame:
     """Ranked inclusion candidates: child, column, parent, ref_column, coverage, name_match, rank.
 
     Parents are unique columns. Pairs must agree in type and the child's range lie within the parent's; with
-    ``names_only`` their names must agree too, which comes before any join. Inclusion does not prove a foreign key.
+    ``names_only`` their names must agree too (which leaves out references of another name), else names only rank the candidates.
+    Inclusion does not prove a foreign key.
     """
     facts: dict[tuple[str, str], tuple] = {}
     for t, df in tables.items():
@@ -117,12 +129,24 @@ def foreign_keys(tables: dict[str, DataFrame], names_only: bool = True) -> DataF
 
 
 def parse_checks(clauses: DataFrame, clause_col: str = "clause") -> DataFrame:
-    """CHECK clauses with ``check_values`` (array), ``check_min`` and ``check_max`` (signed integers), as far as the text states them."""
+    """CHECK clauses with ``check_values`` (array), ``check_min`` and ``check_max`` (signed integers), as far as the text states them.
+
+    The first ``ARRAY[...]``, else the first ``in (...)``, gives the values. A range is ``between``, or ``>=`` and after it ``<=`` on one
+    column; a lower bound above the upper one is no range.
+    """
     clause = F.col(clause_col)
-    between = F.regexp_extract(clause, r"(?i)between\s+\(?(-?\d+)\)?\s+and\s+\(?(-?\d+)\)?", 1), F.regexp_extract(clause, r"(?i)between\s+\(?(-?\d+)\)?\s+and\s+\(?(-?\d+)\)?", 2)
-    pair = F.regexp_extract(clause, r">=\s*\(?(-?\d+)\b(?!\.)", 1), F.regexp_extract(clause, r"<=\s*\(?(-?\d+)\b(?!\.)", 1)
-    both = (pair[0] != "") & (pair[1] != "")
-    low, high = (F.when(between[0] != "", b).when(both, p).try_cast("long") for b, p in zip(between, pair, strict=True))
-    inner = F.when(clause.rlike(r"(?i)array\s*\["), F.regexp_extract(clause, r"(?is)array\s*\[(.*)\]", 1)).when(clause.rlike(r"(?i)\bin\s*\("), F.regexp_extract(clause, r"(?is)\bin\s*\((.*)\)", 1)).otherwise(F.lit(""))
-    values = F.transform(F.regexp_extract_all(inner, F.lit(r"'([^']*)'"), F.lit(1)), lambda v: F.regexp_replace(v, r"\\$", ""))
+    between = r"(?i)\w+[`\"]?\)?\s+between\s+\(?(-?\d+)\)?\s+and\s+\(?(-?\d+)\b"
+    pair = r"(?is)\b(\w+)[`\"]?\)?\s*>=\s*\(?(-?\d+)\b(?!\.).*?\b\1[`\"]?\)?\s*<=\s*\(?(-?\d+)\b(?!\.)"
+    is_between = F.regexp_extract(clause, between, 1) != ""
+    bounds = [F.when(is_between, F.regexp_extract(clause, between, i)).otherwise(F.regexp_extract(clause, pair, i + 1)).try_cast("long") for i in (1, 2)]
+    low, high = (F.when(bounds[0] <= bounds[1], x) for x in bounds)
+    inner = F.coalesce(F.nullif(F.regexp_extract(clause, r"(?is)array\s*\[([^\]]+)\]", 1), F.lit("")), F.regexp_extract(clause, r"(?is)\bin\s*\(([^)]+)\)", 1))
+    values = F.transform(F.regexp_extract_all(inner, F.lit(r"'([^']+)'"), F.lit(1)), lambda v: F.regexp_replace(v, r"\\+$", ""))
     return clauses.select("*", values.alias("check_values"), low.alias("check_min"), high.alias("check_max"))
+
+
+def enum_type_values(kind: Column) -> Column:
+    """The values that a type such as ``enum('a','b')`` or ``set('a')`` lists, trimmed and without quotes; empty for other types."""
+    inner = F.regexp_extract(kind, r"(?is)^\s*(?:enum|set)\s*\((.*)\)", 1)
+    parts = F.transform(F.split(inner, ","), lambda v: F.regexp_replace(F.trim(v), r"^['\"]+|['\"]+$", ""))
+    return F.filter(parts, lambda v: v != "")

@@ -3,6 +3,10 @@
 Every key of a synthesized table is a function of the row number, so a foreign key is that function at a random row of the
 parent: no join, no shuffle, and any table can be made without the others. Only keys of tables that hold rows already are looked up
 (by a join on their dense index). Uniqueness comes from bijections: dense numbers, mixed radix, affine permutations.
+
+A table that holds rows already is continued without repeating a key: integer and sequence keys start after the largest, uuids are
+salted by the keys held, and keys of a bounded domain (dates, times, short texts, combinations of parents, parents of a
+one-to-one reference) take the numbers of that domain that an anti join leaves free.
 """
 
 from __future__ import annotations
@@ -17,8 +21,8 @@ from pyspark.sql import functions as F
 from tablesmith.functions import generators as G
 from tablesmith.functions.hashing import Cells
 from tablesmith.operators.depgraph import order_tables
-from tablesmith.sources.tables import dense_index
-from tablesmith.spec import INTEGER_KEYS, ColumnSpec, SchemaSpec
+from tablesmith.sources.tables import cut_lineage, dense_index
+from tablesmith.spec import FRACTIONS, INTEGER_KEYS, ColumnSpec, SchemaSpec
 
 MULTIPLIER = 2_654_435_761
 
@@ -31,6 +35,10 @@ class Parent:
     made: int = 0
     index: dict[str, DataFrame] = field(default_factory=dict)
     next_key: dict[str, int] = field(default_factory=dict)
+    held: DataFrame | None = None
+    rows: int = 0
+    salt: dict[str, str] = field(default_factory=dict)
+    taken: dict[str, tuple[DataFrame, int]] = field(default_factory=dict)
 
     @property
     def size(self) -> int:
@@ -76,6 +84,7 @@ class Synthesizer:
         self.parents: dict[str, Parent] = {}
         self.warned: list[tuple[str, int, int, str]] = []
         self.placed: list[str] = []
+        self.planned: dict[str, int] = {}
 
     def cells(self, table: str, column: str, row: Column) -> Cells:
         return Cells(self.seed, table, column, row, self.kind)
@@ -102,35 +111,91 @@ class Synthesizer:
             sizes.append(size)
         return keys, sizes
 
+    def short(self, c: ColumnSpec) -> int | None:
+        """The number of base-36 digits of a text key that is too short for a uuid."""
+        text = not c.parent and self.domain(c) is None and c.type.lower() not in INTEGER_KEYS | FRACTIONS
+        return min(c.length(), 8) if text and (c.pk or c.unique) and c.length() and c.length() < 32 else None
+
+    def bounded(self, table: str) -> dict[str, tuple[list[str], list[int]]]:
+        """The keys of a bounded domain, by name (empty: the primary key): their columns and each column's number of values."""
+        keys, sizes = self.key_sizes(table)
+        out = {"": (keys, sizes)} if keys and sizes is not None else {}
+        for name, c in self.spec.tables[table].items():
+            if c.unique and c.parent and c.parent[0] != table and keys != [name]:
+                out[name] = [name], [self.parents[c.parent[0]].size]
+            elif (n := self.short(c)) is not None:
+                out[name] = [name], [36**n]
+        return out
+
+    def held_numbers(self, table: str, columns: list[str], sizes: list[int]) -> DataFrame:
+        """``number``: those of a bounded domain that the table's rows take up."""
+        at, step, number = self.parents[table].held.select(*columns), 1, F.lit(0).cast("long")
+        for name, size in zip(columns, sizes, strict=True):
+            c, value = self.spec.tables[table][name], F.col(name)
+            if c.parent:
+                index = self.parents[c.parent[0]].index.get(c.parent[1])
+                if index is None:
+                    return at.select(F.lit(0).cast("long").alias("number")).filter(F.lit(False))
+                at = at.join(index.select(F.col("key").alias(name), F.col("idx").alias(f"_p_{name}")), name)
+                place = F.col(f"_p_{name}")
+            elif c.type.lower() == "date":
+                place = F.datediff(value, F.lit(G.START)).cast("long")
+            elif self.short(c):
+                code = value.cast("string")
+                place = F.when(code.rlike(f"^[0-9a-z]{{{self.short(c)}}}$"), F.conv(code, 36, 10).cast("long"))
+            elif c.type.lower().startswith("time") and not c.type.lower().startswith("timestamp"):
+                place = F.unix_timestamp(F.concat(F.lit("1970-01-01 "), value.cast("string"))) - F.unix_timestamp(F.lit("1970-01-01 00:00:00"))
+            else:
+                place = F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ '2000-01-01 00:00:00', cast(`{name}` AS TIMESTAMP_NTZ))")
+            at = at.filter((place >= 0) & (place < size))
+            number, step = number + place * step, step * size
+        return at.select(number.alias("number")).distinct()
+
+    def take_stock(self, table: str) -> None:
+        """Count the numbers that the table's rows take up in each bounded domain."""
+        p = self.parents[table]
+        if p.rows and not p.taken:
+            for group, (columns, sizes) in self.bounded(table).items():
+                held = cut_lineage(self.held_numbers(table, columns, sizes))
+                p.taken[group] = held, held.count()
+
+    def free(self, table: str, group: str, n: int) -> DataFrame:
+        """``_row`` (0 .. n-1) and the free numbers of a bounded domain, in order."""
+        held, taken = self.parents[table].taken[group]
+        size = prod(self.bounded(table)[group][1])
+        left = self.spark.range(min(size, n + taken)).select(F.col("id").alias("key")).join(held.select(F.col("number").alias("key")), "key", "left_anti")
+        return dense_index(left).filter(F.col("idx") < n).select(F.col("idx").alias("_row"), F.col("key").alias(f"_n_{group}"))
+
+    def number(self, table: str, group: str, row: Column, spread: int | None = None) -> Column:
+        """A row's number in a bounded domain: a free one where the table holds rows, else the row itself or an affine permutation."""
+        if group in self.parents[table].taken:
+            return F.col(f"_n_{group}")
+        return row if spread is None else permuted(row, spread, self.seed)
+
     def key(self, table: str, column: str, row: Column) -> Column:
         """The value of a key (or sequence) column of a made table at a row, as a function of the row alone."""
-        c = self.spec.tables[table][column]
+        c, p = self.spec.tables[table][column], self.parents[table]
         if c.pk:
             keys, sizes = self.key_sizes(table)
             if sizes is not None and keys:
-                if all(self.spec.tables[table][k].parent for k in keys):
-                    at = digits(row, sizes)[keys.index(column)]
-                else:
-                    at = digits(permuted(row, prod(sizes), self.seed), sizes)[keys.index(column)]
+                spread = None if all(self.spec.tables[table][k].parent for k in keys) else prod(sizes)
+                at = digits(self.number(table, "", row, spread), sizes)[keys.index(column)]
                 return self.parent_key(c, at) if c.parent else self.temporal(c, at)
-            dense = next((k for k in keys if self.spec.tables[table][k].type.lower() in INTEGER_KEYS and not self.spec.tables[table][k].parent), None)
-            if c.type.lower() in INTEGER_KEYS and not c.parent:
-                return row + self.parents[table].next_key.get(column, 1) if column == dense else self.cells(table, column, row).h() % 1_000_000
-            if not c.parent and self.domain(c) is None:
-                return G.fit_length(G.uuid(self.cells(table, column, row).digest()), c.length()) if (c.length() or 36) >= 32 else self.short_key(row, c.length())
-        if c.unique and not c.parent:
-            if c.type.lower() in INTEGER_KEYS or c.type.lower() in ("decimal", "numeric"):
-                return row + self.parents[table].next_key.get(column, 1)
-            if self.domain(c):
-                return self.temporal(c, row)
-            return G.uuid(self.cells(table, column, row).digest()) if (c.length() or 36) >= 32 else self.short_key(row, c.length())
+            dense = next((k for k in keys if self.spec.tables[table][k].type.lower() in INTEGER_KEYS | FRACTIONS and not self.spec.tables[table][k].parent), None)
+            if c.type.lower() in INTEGER_KEYS | FRACTIONS and not c.parent:
+                return row + p.next_key.get(column, 1) if column == dense else self.cells(table, column, row).h() % 1_000_000
+        if (c.pk or c.unique) and not c.parent:
+            if (n := self.short(c)) is not None:
+                return F.lpad(F.lower(F.conv(self.number(table, column, row).cast("string"), 10, 36)), n, "0")
+            if c.unique and c.type.lower() in INTEGER_KEYS | FRACTIONS:
+                return row + p.next_key.get(column, 1)
+            if c.unique and self.domain(c):
+                return self.temporal(c, row + p.next_key.get(column, 0))
+            if self.domain(c) is None:
+                salted = F.concat(row.cast("string"), F.lit(p.salt[column])) if column in p.salt else row
+                return G.fit_length(G.uuid(self.cells(table, column, salted).digest()), c.length())
         return G.generate(c.generator, self.cells(table, column, row), self.end)
 
-    @staticmethod
-    def short_key(row: Column, length: int | None) -> Column:
-        """The row in base 36, padded, for text keys too short for a uuid."""
-        return F.lpad(F.lower(F.conv(row.cast("string"), 10, 36)), min(length or 8, 8), "0")
-
     def parent_key(self, c: ColumnSpec, at: Column) -> Column:
         """The referenced column of a made parent at place ``at`` of its keys."""
         table, ref = c.parent
@@ -141,22 +206,26 @@ class Synthesizer:
         """A foreign key's value, and the index into the parent's existing keys where that must be looked up."""
         parent, ref = c.parent
         if parent == table:
+            if "" in self.parents[table].taken or ref in self.parents[table].taken:
+                raise ValueError(f"{table}.{name} refers to free keys of its own table, which holds rows already")
             at = self_parent(row, self.depth)
             value = self.key(table, ref, at)
             own = self.key(table, ref, row)
             return (F.when(at.isNotNull(), value) if c.nullable else F.when(at.isNotNull(), value).otherwise(own)), None
         p = self.parents.get(parent, Parent())
         later = parent not in self.placed and not p.existing
+        if later and self.fill and parent in self.planned and not self.bounded(parent):
+            p.made = self.planned[parent]  # its keys are dense, so there will be as many
         if p.size == 0 or (later and not self.fill):
             if c.nullable:
                 return F.lit(None), None
             raise ValueError(f"no keys of {parent} for {table}.{name}")
         if c.pk and (sizes := self.key_sizes(table)[1]) is not None:
             keys = self.spec.keys(table)
-            number = row if all(self.spec.tables[table][k].parent for k in keys) else permuted(row, prod(sizes), self.seed)
-            at = digits(number, sizes)[keys.index(name)]
+            spread = None if all(self.spec.tables[table][k].parent for k in keys) else prod(sizes)
+            at = digits(self.number(table, "", row, spread), sizes)[keys.index(name)]
         elif c.unique:
-            at = permuted(row, p.size, self.seed)
+            at = self.number(table, name, row, p.size)
         else:
             at = self.cells(table, name, row).h() % p.size
         made = self.key(parent, ref, at - p.existing if p.existing else at) if p.made else F.lit(None)
@@ -166,23 +235,27 @@ class Synthesizer:
 
     def limit(self, table: str, wanted: int) -> int:
         """The rows a table can have; warns where keys made of foreign keys are fewer than wanted, raises where a key is exhausted."""
-        keys, sizes = self.key_sizes(table)
-        capacity = prod(sizes) if sizes is not None and keys else None
-        for name, c in self.spec.tables[table].items():
-            if c.unique and c.parent and c.parent[0] != table:
-                size = self.parents[c.parent[0]].size
-                capacity = size if capacity is None else min(capacity, size)
-            elif c.unique and not c.parent and self.domain(c) and not c.pk and wanted > self.domain(c):
-                raise ValueError(f"exhausted: {table}.{name} has {self.domain(c)} values for {wanted} rows")
-        if capacity is None or wanted <= capacity:
-            return wanted
-        if sizes and not all(self.spec.tables[table][k].parent for k in keys):
-            raise ValueError(f"exhausted: the key of {table} has {capacity} values for {wanted} rows")
-        self.warned.append((table, wanted, capacity, f"the keys of its parents make {capacity} combinations"))
-        return capacity
-
-    def rows(self, table: str, base: DataFrame, pinned: dict[str, Column] | None = None) -> DataFrame:
-        """Rows of a table from row numbers (column ``_row``); ``pinned`` columns take the given values."""
+        self.take_stock(table)
+        p, most, columns = self.parents[table], wanted, self.spec.tables[table]
+        for group, (names, sizes) in self.bounded(table).items():
+            capacity = prod(sizes) - p.taken.get(group, (None, 0))[1]
+            if capacity >= wanted:
+                continue
+            if not all(columns[k].parent for k in names):
+                raise ValueError(f"exhausted: {'the key' if not group else group} of {table} has {capacity} values for {wanted} rows")
+            most = min(most, capacity)
+        for name, c in columns.items():
+            if c.unique and not c.parent and not c.pk and self.domain(c):
+                room = (86_400 if self.domain(c) == 86_400 else self.domain(c) * 300) - p.next_key.get(name, 0)  # dates go on after the end
+                if wanted > room:
+                    raise ValueError(f"exhausted: {table}.{name} has {room} values for {wanted} rows")
+        if most < wanted:
+            self.warned.append((table, wanted, most, f"the keys of its parents make {most} combinations"))
+        return most
+
+    def rows(self, table: str, start: int, upto: int, pinned: dict[str, Column] | None = None) -> DataFrame:
+        """Rows ``start`` to ``upto`` (exclusive) of a table; ``pinned`` columns take the given values (expressions of ``_row``)."""
+        base = self.spark.range(start, upto).select(F.col("id").alias("_row"))
         columns, lookups = {}, {}
         for name, c in self.spec.tables[table].items():
             row = F.col("_row")
@@ -200,7 +273,9 @@ class Synthesizer:
             else:
                 value = G.generate(c.generator, self.cells(table, name, row), self.end)
             columns[name] = value
-        out = base.select(*base.columns, *[v.alias(n) for n, v in columns.items()], *[at.alias(f"_at_{n}") for n, (_, at) in lookups.items()])
+        for group in self.parents[table].taken:
+            base = base.join(self.free(table, group, upto), "_row")
+        out = base.select("_row", *[v.alias(n) for n, v in columns.items()], *[at.alias(f"_at_{n}") for n, (_, at) in lookups.items()])
         for name, ((parent, ref), _) in lookups.items():
             keys = self.parents[parent].index[ref].select(F.col("idx").alias(f"_at_{name}"), F.col("key").alias(f"_key_{name}"))
             out = out.join(keys, f"_at_{name}", "left").withColumn(name, F.coalesce(f"_key_{name}", name)).drop(f"_at_{name}", f"_key_{name}")
@@ -211,6 +286,39 @@ class Synthesizer:
                 out = out.withColumn(name, F.expr(c.generated).cast(c.spark_type()))
         return out
 
+    def describe(self, table: str, held: DataFrame) -> None:
+        """Note how a table's keys go on after the rows it holds."""
+        p, after, text = self.parents[table], [], []
+        for name, c in self.spec.tables[table].items():
+            if name not in held.columns or c.parent or not (c.pk or c.unique):
+                continue
+            kind, value = c.type.lower(), F.col(name)
+            if kind in INTEGER_KEYS | FRACTIONS:
+                after.append((F.floor(F.max(value)) + 1).cast("long").alias(name))
+            elif self.domain(c) and c.unique and not c.pk:
+                last = F.max(value)
+                if kind == "date":
+                    after.append(F.greatest(F.datediff(last, F.lit(G.START)) + 1, F.lit(0)).cast("long").alias(name))
+                elif self.domain(c) == 86_400:
+                    after.append((F.unix_timestamp(F.concat(F.lit("1970-01-01 "), last.cast("string"))) - F.unix_timestamp(F.lit("1970-01-01 00:00:00")) + 1).alias(name))
+                else:
+                    after.append(F.greatest(F.timestamp_diff("SECOND", F.expr("TIMESTAMP_NTZ '2000-01-01 00:00:00'"), last.cast("timestamp_ntz")) + 1, F.lit(0)).cast("long").alias(name))
+            elif self.short(c) is None and self.domain(c) is None:
+                text.append(F.sum(F.conv(F.substring(F.md5(value.cast("string")), 1, 8), 16, 10).cast("decimal(20,0)")).cast("string").alias(name))
+        facts = held.agg(F.count("*").alias("_n"), *after, *text).first().asDict()
+        p.held, p.rows = held, facts.pop("_n")
+        p.existing = min([index.count() for index in p.index.values()] or [p.rows])
+        p.next_key = {c: int(v) for c, v in facts.items() if v is not None and not isinstance(v, str)}
+        p.salt = {c: f"#{v}" for c, v in facts.items() if isinstance(v, str)} if p.rows else {}
+
+    def settle(self, table: str, made: DataFrame) -> DataFrame:
+        """Make a table with free keys fixed, and its keys, old and new, addressable."""
+        made, p = cut_lineage(made), self.parents[table]
+        if p.index:
+            p.index = {ref: dense_index(index.select("key").unionByName(made.select(F.col(ref).alias("key")))) for ref, index in p.index.items()}
+            p.existing, p.made = min(index.count() for index in p.index.values()), 0
+        return made
+
     def enum_columns(self, table: str) -> dict[str, list[str]]:
         """Columns of a fixed list of at most 12 values, by name, with the trimmed values."""
         found = {}
@@ -255,33 +363,32 @@ def synthesize(
             continue
         refs = sorted({ref for table, ref in referred if table == t and ref in held.columns})
         p.index = {ref: dense_index(held.select(F.col(ref).alias("key")).filter("key IS NOT NULL")) for ref in refs}
-        numeric = [c for c, v in spec.tables[t].items() if (v.pk or v.unique) and v.type.lower() in INTEGER_KEYS and c in held.columns]
-        facts = held.agg(F.count("*").alias("n"), *[F.max(c).alias(c) for c in numeric]).first()
-        p.existing = min([index.count() for index in p.index.values()] or [facts["n"]])
-        p.next_key = {c: int(facts[c] or 0) + 1 for c in numeric}
+        s.describe(t, held)
+    for t in wanted:
+        override, enums = (table_rows or {}).get(t, 0), s.enum_columns(t)
+        s.planned[t] = override if override > 0 else enum_rows * len(next(iter(enums.values()))) if enum_rows and enums else rows
     made: dict[str, DataFrame] = {}
     for t in wanted:
-        override = (table_rows or {}).get(t, 0)
-        enums = s.enum_columns(t)
+        override, enums = (table_rows or {}).get(t, 0), s.enum_columns(t)
         pinned = dict((overrides or {}).get(t, {}))
-        if override > 0 or not (enum_rows and enums):
-            n = s.limit(t, override if override > 0 else rows)
-        else:
+        n = s.limit(t, s.planned[t])
+        if override <= 0 and enum_rows and enums:
             name, values = next(iter(enums.items()))
-            n = s.limit(t, enum_rows * len(values))
             pinned[name] = F.element_at(F.array(*[F.lit(v) for v in values]), (F.floor(F.col("_row") / enum_rows) + 1).cast("int"))
         if n < 0:
             raise ValueError(f"rows of {t} below zero")
         s.parents[t].made = n
-        out = s.rows(t, spark.range(n).select(F.col("id").alias("_row")), pinned)
+        out = s.rows(t, 0, n, pinned)
         if min_enum_rows and override <= 0 and not enum_rows:
             out, n = top_up(s, t, out, n, enums, min_enum_rows, pinned)
             s.parents[t].made = n
         s.placed.append(t)
         made[t] = out.drop("_row")
+        if s.parents[t].taken:
+            made[t] = s.settle(t, made[t])
     for t in wanted:
         for name, c in spec.tables[t].items():
-            if c.generator and not G.valid(c.generator) and not c.parent and not c.pk:
+            if c.generator and not G.usable(c.generator) and not c.parent and not c.pk:
                 s.warned.append((t, 0, 0, f"unknown generator {c.generator} of {name}: word"))
     warnings = spark.createDataFrame(s.warned, "table string, requested long, generated long, reason string")
     return Synthesis(made, wanted, warnings)
@@ -295,12 +402,14 @@ def top_up(s: Synthesizer, table: str, out: DataFrame, n: int, enums: dict[str,
         lacking = [(v, least - n_held) for v, n_held in stored.items() if n_held < least]
         if not lacking:
             continue
-        total, start, value = sum(k for _, k in lacking), n, F.lit(None).cast("string")
+        room = s.limit(table, n + sum(k for _, k in lacking)) - n
+        start, value = n, F.lit(None).cast("string")
         for v, k in lacking:
+            k = min(k, n + room - start)
             value = F.when((F.col("_row") >= start) & (F.col("_row") < start + k), F.lit(v)).otherwise(value)
             start += k
-        more = s.rows(table, s.spark.range(n, n + total).select(F.col("id").alias("_row")), {**pinned, name: value})
-        out, n = out.unionByName(more), n + total
+        if start > n:
+            out, n = out.unionByName(s.rows(table, n, start, {**pinned, name: value})), start
     return out, n
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tablesmith.functions import generators as G
 from tablesmith.functions.hashing import Cells
-from tablesmith.operators import assign, checks, depgraph, gaps, profile, synth
+from tablesmith.operators import checks, depgraph, gaps, profile, synth
 from tablesmith.sources import sinks
 from tablesmith.sources import tables as src
 from tablesmith.spec import SchemaSpec
@@ -112,27 +112,22 @@ def profile_sql(table: str, columns: dict[str, str]) -> str:
     return " UNION ALL ".join(parts)
 
 
-@query(profile_sql("orders", {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_orderpriority": "string"}))
+@query(profile_sql("orders", {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double", "o_orderdate": "timestamp_ntz", "o_orderpriority": "string"}))
 def p2_profile_orders(spark, sf_dir):
-    return profile.profile_table(one(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), "orders")
+    return profile.profile_table(one(spark, sf_dir, "orders"), "orders")
 
 
-@query(profile_sql("lineitem", {"l_orderkey": "bigint", "l_linenumber": "int", "l_returnflag": "string", "l_linestatus": "string"}))
-def p8_profile_lineitem(spark, sf_dir):
-    return profile.profile_table(one(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus"), "lineitem")
+LINEITEM = {"l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "int", "l_quantity": "double", "l_extendedprice": "double", "l_discount": "double", "l_tax": "double", "l_returnflag": "string", "l_linestatus": "string", "l_shipdate": "timestamp_ntz"}
 
 
-@query("SELECT 'conversations' AS \"table\", 'conv_id,turn' AS key FROM conversations HAVING count(*) = count(DISTINCT (conv_id, turn)) UNION ALL SELECT 'orders', 'o_orderkey' FROM orders HAVING count(*) = count(DISTINCT o_orderkey) UNION ALL SELECT 'lineitem', 'l_orderkey,l_linenumber' FROM lineitem HAVING count(*) = count(DISTINCT (l_orderkey, l_linenumber))")
-def p3_key_candidates(spark, sf_dir):
-    wanted = {"conversations": ["conv_id", "turn"], "orders": ["o_orderkey", "o_custkey"], "lineitem": ["l_orderkey", "l_linenumber"]}
-    order = {"l_linenumber": 1, "turn": 1}
-    rows = [(t, ",".join(sorted(k, key=lambda c: order.get(c, 0)))) for t, columns in wanted.items() for k in profile.key_candidates(one(spark, sf_dir, t), columns, 2)]
-    return spark.createDataFrame(rows, "table string, key string")
+@query(profile_sql("lineitem", LINEITEM))
+def p8_profile_lineitem(spark, sf_dir):
+    return profile.profile_table(one(spark, sf_dir, "lineitem"), "lineitem")
 
 
 @query(" UNION ALL ".join(f"SELECT '{a}' AS child, '{b}' AS \"column\", '{c}' AS parent, '{d}' AS ref_column, CAST(count(DISTINCT {b}) FILTER ({b} IN (SELECT {d} FROM {c})) AS DOUBLE) / count(DISTINCT {b}) AS coverage FROM {a}" for a, b, c, d, _ in EDGES))
 def p5_foreign_keys(spark, sf_dir):
-    return profile.foreign_keys(load(spark, sf_dir, *CORE)).filter("rank = 1 AND coverage > 0").select("child", "column", "parent", "ref_column", "coverage")
+    return profile.foreign_keys(load(spark, sf_dir, *CORE), names_only=True).filter("rank = 1 AND coverage > 0").select("child", "column", "parent", "ref_column", "coverage")
 
 
 @query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", string_agg(DISTINCT {c}, ',' ORDER BY {c}) AS domain, count(DISTINCT {c}) AS n_values FROM {t}" for t, c in (("orders", "o_orderstatus"), ("orders", "o_orderpriority"))))
@@ -151,43 +146,6 @@ def p9_check_clauses(spark, sf_dir):
     return found.select("l_orderkey", "l_linenumber", "check_min", "check_max", F.array_join("check_values", ",").alias("check_values"))
 
 
-NAMES_OF_PARTS = ["email", "contact_email", "full_name", "firstname", "mobile", "city", "home_url", "birth_day", "created_at", "job_title", "title", "notes", "total", "my_uuid_ref", "stars", "age", "qty", "discount", "ip", "colour", "lat", "lon", "plain", "thing"]
-TYPES_OF_PARTS = ["integer", "bigint", "varchar(40)", "text", "boolean", "date", "numeric(10,2)", "numeric(4,0)", "decimal(2,2)", "jsonb", "uuid", "inet", "timestamp", "float8", "smallint"]
-
-
-def assign_sql() -> str:
-    name, kind = "c", "regexp_replace(t, '\\s*\\(.*', '')"
-    cases = []
-    quoted = lambda xs: ", ".join(f"'{x}'" for x in xs)
-    for names, suffixes, generator in assign.NAMES:
-        cases.append(f"WHEN {f"contains({name}, '{names}')" if suffixes is None else ' OR '.join([f'{name} IN ({quoted(names)})', *(f"suffix({name}, '{s}')" for s in suffixes)])} THEN '{generator}'")
-    for kinds, generator in assign.POSTGRES:
-        cases.append(f"WHEN k IN ({quoted(kinds)}) THEN '{generator}'")
-    fixed = {"numeric(10,2)": "price(1,1000)", "numeric(4,0)": "number(1,9999)", "decimal(2,2)": "price(0,0.99)"}
-    return f"""SELECT p_partkey, generator FROM (SELECT p_partkey, CASE WHEN p_partkey % 31 = 0 THEN 'randomstring(' || p_brand || ',' || p_type || ')' WHEN p_partkey % 29 = 0 THEN '' WHEN p_partkey % 23 = 0 THEN 'number(' || p_size || ',' || p_partkey || ')'
-WHEN p_partkey % 19 = 0 AND k IN ({quoted(assign.TEXTS)}) THEN 'uuid' WHEN p_partkey % 19 = 0 AND k IN ({quoted(assign.INTS + assign.DECIMALS + assign.FLOATS + assign.DATES + assign.TIMES + assign.INSTANTS)}) THEN 'sequence'
-WHEN k IN ('boolean') THEN 'bool' WHEN k = 'date' THEN 'date' WHEN k = 'timestamp' THEN 'datetime' WHEN k = 'jsonb' THEN 'json' WHEN k = 'uuid' THEN 'uuid'
-{' '.join(f"WHEN t = '{t}' THEN '{g}'" for t, g in fixed.items())} {' '.join(cases)} ELSE 'word' END AS generator
-FROM (SELECT *, {kind} AS k FROM (SELECT *, ([{quoted(NAMES_OF_PARTS)}])[p_partkey % {len(NAMES_OF_PARTS)} + 1] AS c, ([{quoted(TYPES_OF_PARTS)}])[p_partkey % {len(TYPES_OF_PARTS)} + 1] AS t FROM part)))"""
-
-
-@query(assign_sql())
-def a_assign_generators(spark, sf_dir):
-    key = F.col("p_partkey")
-    catalog = one(spark, sf_dir, "part").select(
-        "p_partkey", F.lit("t").alias("table"), G.pick(key, NAMES_OF_PARTS).alias("column"), F.lower(G.pick(key, TYPES_OF_PARTS)).alias("type"), (key % 29 == 0).alias("pk"), (key % 19 == 0).alias("unique"),
-        F.when(key % 31 == 0, F.array("p_brand", "p_type")).alias("enum_values"), F.when(key % 23 == 0, F.col("p_size").cast("long")).alias("check_min"), F.when(key % 23 == 0, key).alias("check_max"),
-    )
-    return assign.assign_generators(catalog).select("p_partkey", "generator")
-
-
-@query("SELECT o_orderkey, o_orderkey % 5 IN (0, 1, 2) AS known FROM orders")
-def a12_recognized_generators(spark, sf_dir):
-    key = F.col("o_orderkey")
-    text = F.when(key % 5 == 0, F.lit("email")).when(key % 5 == 1, F.concat(F.lit("number(1,"), key.cast("string"), F.lit(")"))).when(key % 5 == 2, F.concat(F.lit("randomstring(a ("), key.cast("string"), F.lit("),b)"))).when(key % 5 == 3, F.lit("number(1)")).otherwise(F.lit("nothing"))
-    return one(spark, sf_dir, "orders").select("o_orderkey", assign.recognized(text).alias("known"))
-
-
 @query(f"SELECT child, parent FROM {ROW_EDGES_SQL} WHERE NOT nullable AND child <> parent")
 def o1_hard_edges(spark, sf_dir):
     return depgraph.hard_edges(row_edges(spark, sf_dir)).select("child", "parent")
@@ -358,16 +316,6 @@ def v15_fk_counts(spark, sf_dir):
     return checks.fk_count_differences(row_edges(spark, sf_dir), expected)
 
 
-@query("SELECT * FROM (VALUES ('orders', 'o_clerk', NULL, 'string', NULL, 2), ('orders', 'o_custkey', 'bigint', 'int', 2, 1)) AS d(\"table\", \"column\", a_type, b_type, a_ordinal, b_ordinal) WHERE (SELECT count(*) FROM orders) > 0")
-def v16_structure_differences(spark, sf_dir):
-    orders = one(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    held = orders.limit(1).select(F.lit(1).alias("x"))
-    a = depgraph.column_catalog({"orders": orders})
-    other = orders.select(F.col("o_custkey").cast("int").alias("o_custkey"), F.lit("x").alias("o_clerk"))
-    b = depgraph.column_catalog({"orders": other}).unionByName(a.filter("column = 'o_orderkey'"))
-    return checks.structure_differences(a, b).crossJoin(F.broadcast(held)).drop("x")
-
-
 @query("SELECT strftime(time_bucket(INTERVAL '1 hour', CAST(ts AS TIMESTAMP)), '%Y-%m-%d %H:%M:%S') AS start, 'small' AS \"rule\", count(*) AS n FROM events WHERE NOT value < 50 GROUP BY 1 UNION ALL SELECT strftime(time_bucket(INTERVAL '1 hour', CAST(ts AS TIMESTAMP)), '%Y-%m-%d %H:%M:%S'), 'known', count(*) FROM events WHERE event_type NOT IN ('click', 'view') GROUP BY 1")
 def v_windowed_violations(spark, sf_dir):
     rules = {"small": F.col("value") < 50, "known": F.col("event_type").isin("click", "view")}
@@ -525,12 +473,6 @@ def d12_enum_top_up(spark, sf_dir):
     return made.tables["purchase"].groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'note_tag' AS \"table\", count(*) * 1000 AS requested, count(*) * 2 AS generated FROM customer")
-def d15_capacity_warning(spark, sf_dir):
-    n = one(spark, sf_dir, "customer").count()
-    return synth.capacity_warnings(spark, [("note_tag", n * 1000, [n, 2]), ("reading", 5, [n, 2])]).select("table", "requested", "generated")
-
-
 @query(f"SELECT i + 1 AS s_suppkey, n.n_nationkey AS s_nationkey FROM (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS i FROM customer) JOIN (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS idx, n_nationkey FROM nation) n ON n.idx = {h('supplier', 's_nationkey', 'i')} % (SELECT count(*) FROM nation)")
 def r5_fill_empty_tables(spark, sf_dir):
     t = load(spark, sf_dir, "nation", "supplier", "customer")

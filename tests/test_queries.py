@@ -6,7 +6,7 @@ import decimal
 import duckdb
 import pytest
 
-from tablesmith.plans.queries import ORACLE_SQL, QUERIES
+from tablesmith.plans.registry import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
