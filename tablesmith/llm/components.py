@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 def cut(df: DataFrame) -> DataFrame:
     """``df`` read back from the shared checkpoint folder, so that no later loss of an executor recomputes it.
 
-    The folder is the session's spark.checkpoint.dir; a temporary one is set only where none is, as in tests.
+    The folder is the session's spark.checkpoint.dir; a temporary one is set only where none is and the master is local, as in tests.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 
