@@ -4,8 +4,12 @@ Training counts words for each language on a bounded sample of the labelled rows
 language; an unseen word falls back to the longest character n-grams of it (word ends marked) that are known, and adds their
 mean log frequency. The language with the highest sum wins; the score is the normalised likelihood of the winner.
 
+Words are runs of letters and what counts as alphanumeric with them; a run without any letter (digits, fractions, circled or Roman
+numerals) is no word.
+
 Edge cases: a text that is null, empty or without any letter gets ``und`` and score 0; so does every text if there are no
-training rows; ties go to the language that sorts first; repeated rows are judged one by one; other columns are not read.
+training rows or the table is empty; ties go to the language that sorts first; repeated rows are judged one by one; rows without an
+id are judged like others and may be learned from; very long texts are read whole; other columns are not read.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablesmith.llm.batches import id_and_text, steps, texts
@@ -28,47 +32,55 @@ ORDERS = (5, 4, 3, 2, 1)
 KEPT_WORDS = 400_000
 
 
+def words(text: str) -> list[str]:
+    return [w for w in WORD.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))]
+
+
 @dataclass
 class Model:
+    """The languages in order; words and n-grams (as Arrow strings) with their counts in each language."""
+
     langs: list[str]
-    words: dict[str, list[int]]
-    grams: dict[str, list[int]]
+    words: pa.Array
+    word_counts: np.ndarray
+    grams: pa.Array
+    gram_counts: np.ndarray
 
 
-def train(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 1000, words_per_lang: int = 20_000) -> Model:
-    """Learn from about ``docs_per_lang`` rows of each language, drawn by a hash of the id from those where ``learn`` holds.
+def _counts(found: pa.Table, langs: list[str]) -> tuple[pa.Array, np.ndarray]:
+    keys = found.column("w").combine_chunks().dictionary_encode()
+    counts = np.zeros((len(keys.dictionary), len(langs)), dtype=np.int64)
+    at = np.searchsorted(np.array(langs), np.array(found.column("lang").to_pylist())) if found.num_rows else np.zeros(0, int)
+    np.add.at(counts, (np.asarray(keys.indices), at), np.asarray(found.column("n")))
+    return keys.dictionary, counts
 
-    The ``words_per_lang`` most frequent words of each language in that sample, and as many n-grams of each order, are kept.
-    Both bounds make the model's size independent of the input; scoring covers all rows.
+
+def train(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 1000) -> Model:
+    """Learn from about ``docs_per_lang`` rows of each language, drawn by a hash of the id (and text) from those where ``learn`` holds.
+
+    All words and n-grams of that sample are kept: its size, and so the model's, depends on the number of languages but not on that
+    of the rows.
     """
-    rows = df.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    share = [(F.col("lang") == F.lit(r["lang"]), docs_per_lang / r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()]
-    if not share:
-        return Model([], {}, {})
-    keep = F.coalesce(*[F.when(c, F.lit(x)) for c, x in share])
-    sample = rows.filter(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1_000_000)) < keep * 1_000_000)
+    rows = df.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    share = rows.groupBy("lang").agg((F.lit(docs_per_lang) / F.count("*")).alias("share"))
+    drawn = F.pmod(F.xxhash64(F.lit("sample"), "id", F.when(F.col("id").isNull(), F.col("text"))), F.lit(1_000_000)) < F.col("share") * 1_000_000
+    sample = rows.join(F.broadcast(share), "lang").filter(drawn)  # one row for each language
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = {}
-        for batch in batches:
+        for batch in steps(batches):
             for text, lang in zip(texts(batch), batch.column("lang").to_pylist(), strict=True):
-                seen.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
-        for lang, words in seen.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["lang", "w", "n"])
-
-    top = Window.partitionBy("lang", F.length("w")).orderBy(F.desc("n"), "w")
-    words = sample.select("text", "lang").mapInArrow(count, "lang string, w string, n long").groupBy("lang", "w").agg(F.sum("n").alias("n"))
-    grams = words.select("lang", "n", F.explode(F.flatten(F.array(*[F.expr(f"transform(sequence(1, greatest(length(w) + {3 - k}, 1)), i -> substring(concat('_', w, '_'), i, {k}))") for k in ORDERS]))).alias("w"))
-    grams = grams.filter(F.length("w") > 0).groupBy("lang", "w").agg(F.sum("n").alias("n"))
-    grams = grams.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= words_per_lang)
-    words = words.filter("n > 1").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))).filter(F.col("rank") <= words_per_lang)
-    rows_ = words.select(F.lit(True).alias("whole"), "lang", "w", "n").unionByName(grams.select(F.lit(False).alias("whole"), "lang", "w", "n")).collect()
-    langs = sorted({r["lang"] for r in rows_})
-    model = Model(langs, {}, {})
-    at = {lang: i for i, lang in enumerate(langs)}
-    for r in rows_:
-        (model.words if r["whole"] else model.grams).setdefault(r["w"], [0] * len(langs))[at[r["lang"]]] += r["n"]
-    return model
+                seen.setdefault(lang, Counter()).update(words(text))
+        for lang, own in seen.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], names=["lang", "w", "n"])
+
+    found = sample.select("text", "lang").mapInArrow(count, "lang string, w string, n long").groupBy("lang", "w").agg(F.sum("n").alias("n"))
+    cut = [F.expr(f"IF(length(w) + 2 >= {k}, transform(sequence(1, length(w) + {3 - k}), i -> substring(concat('_', w, '_'), i, {k})), array())") for k in ORDERS]
+    grams = found.select("lang", "n", F.explode(F.flatten(F.array(*cut))).alias("w")).groupBy("lang", "w").agg(F.sum("n").alias("n"))
+    both = found.select(F.lit(True).alias("whole"), "lang", "w", "n").unionByName(grams.select(F.lit(False).alias("whole"), "lang", "w", "n")).toArrow()  # what the sample holds
+    langs = sorted(set(both.column("lang").unique().to_pylist()))
+    whole = np.asarray(both.column("whole").combine_chunks().to_numpy(zero_copy_only=False), dtype=bool)
+    return Model(langs, *_counts(both.filter(pa.array(whole)), langs), *_counts(both.filter(pa.array(~whole)), langs))
 
 
 class Scorer(dict):
@@ -76,14 +88,14 @@ class Scorer(dict):
 
     def __init__(self, model: Model):
         self.n = len(model.langs)
-        self.known = self.logs(model.words)
-        self.grams = {k: self.logs({g: c for g, c in model.grams.items() if len(g) == k}) for k in ORDERS}
+        self.known = self.logs(model.words.to_pylist(), model.word_counts)
+        names, sizes = model.grams.to_pylist(), np.array([len(g) for g in model.grams.to_pylist()], dtype=int)
+        self.grams = {k: self.logs([names[i] for i in np.flatnonzero(sizes == k)], model.gram_counts[sizes == k]) for k in ORDERS}
         self.table = np.zeros((KEPT_WORDS, self.n))
 
-    def logs(self, counts: dict[str, list[int]]) -> tuple[dict[str, int], np.ndarray]:
-        """Smoothed log frequencies in each language: a row for each key."""
-        found = np.array(list(counts.values()), dtype=float).reshape(len(counts), self.n)
-        return {key: i for i, key in enumerate(counts)}, np.log((found + 0.1) / (found.sum(axis=0) + 0.1 * max(1, len(found))))
+    def logs(self, names: list[str], counts: np.ndarray) -> tuple[dict[str, int], np.ndarray]:
+        """Smoothed log frequencies in each language: a row for each name."""
+        return {name: i for i, name in enumerate(names)}, np.log((counts + 0.1) / (counts.sum(axis=0) + 0.1 * max(1, len(counts))))
 
     def weigh(self, word: str) -> np.ndarray:
         place, rows = self.known
@@ -105,12 +117,12 @@ class Scorer(dict):
 
     def score(self, text: str) -> tuple[int, float]:
         """The language's place (-1: none) and its normalised likelihood."""
-        words = WORD.findall(text.lower())
-        if not words or not self.n:
+        found = words(text)
+        if not found or not self.n:
             return -1, 0.0
         total = np.zeros(self.n)
-        for start in range(0, len(words), KEPT_WORDS // 2):
-            part = words[start : start + KEPT_WORDS // 2]
+        for start in range(0, len(found), KEPT_WORDS // 2):
+            part = found[start : start + KEPT_WORDS // 2]
             if len(self) + len(part) > KEPT_WORDS:
                 self.clear()
             total += self.table[np.fromiter(map(self.__getitem__, part), dtype=np.int64, count=len(part))].sum(axis=0)
