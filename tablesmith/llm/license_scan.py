@@ -1,11 +1,15 @@
 """License scan by sentence rules, with DataFrame functions only.
 
-A text is cut into sentences at line ends and after ``.``, ``!`` or ``?`` before white space. A sentence is normalised to
-lower-case ASCII words. Known sentences have identifiers; the text becomes the sequence of these, a run of other sentences
-being one gap. Rules, in order, are patterns over that sequence; a rule found makes later rules of the same family moot.
+Comment marks at line starts are taken off, then a text is cut into sentences twice: by paragraphs, whose wrapped lines are joined, and
+by lines, for notices that stand on a line of their own without a full stop. A sentence is normalised to lower-case ASCII words; a
+lead-in ("this project is ...") and the verb of a notice ("licensed under the ...") are reduced. Known sentences have
+identifiers; the text becomes the sequence of these, a run of other sentences being one gap. Rules are patterns over that sequence;
+a rule that matches either sequence gives its licence. BSD-2-Clause is moot where BSD-3-Clause is found, and "all rights
+reserved" where any licence is. Sentences without a word that every known sentence has one of are gaps without further work.
 
-Edge cases: null, empty and unlicensed texts have no licence (empty string) and verdict ``none``; repeated rows are judged one
-by one; texts of any length are read whole; an empty table gives an empty result; other columns are not read.
+Edge cases: null, empty and unlicensed texts have no licence (empty string) and verdict ``none``; licences are listed in the order of
+the rules, each once, however often and in whatever order the text has them; repeated rows and rows without an id are judged one by one;
+texts of any length are read whole; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -15,98 +19,123 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Identifiers and normalised sentences of public licence texts and notices.
+#: Identifiers and normalised sentences of public licence texts.
 SENTENCES = {
-    "apache2_short": "licensed under the apache license version 2 0",
-    "apache2_the": "licensed under the apache license version 2 0 the license",
-    "apache2_comply": "you may not use this file except in compliance with the license",
-    "apache2_copy": "you may obtain a copy of the license at",
-    "mit_short": "released under the mit license",
-    "mit_licensed": "licensed under the mit license",
-    "mit_grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software",
+    "mit_grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
     "mit_notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
-    "as_is": "the software is provided as is without warranty of any kind express or implied",
-    "gpl3_short": "this work is licensed under the gnu general public license version 3",
-    "gpl3_licensed": "licensed under the gnu general public license version 3",
-    "gpl_free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    "gpl2_free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
-    "gpl_warranty": "this program is distributed in the hope that it will be useful but without any warranty",
-    "lgpl_short": "licensed under the gnu lesser general public license version 3",
-    "agpl_short": "licensed under the gnu affero general public license version 3",
-    "bsd_short": "released under the bsd license",
+    "mit_as_is": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+    "isc_grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
     "bsd_grant": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "bsd_source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+    "bsd_binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     "bsd_name": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
-    "mpl2_short": "this source code form is subject to the terms of the mozilla public license v 2 0",
-    "cc_by_nc4": "licensed under cc by nc 4 0",
-    "cc_by4": "licensed under cc by 4 0",
-    "cc_by_sa4": "licensed under cc by sa 4 0",
-    "cc0": "licensed under cc0 1 0",
+    "apache_copy": "you may obtain a copy of the license at",
+    "apache_unless": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    "apache_title": "apache license version 2 0 january 2004 http www apache org licenses",
+    "gpl3_title": "gnu general public license version 3 29 june 2007",
+    "gpl2_title": "gnu general public license version 2 june 1991",
+    "lgpl3_title": "gnu lesser general public license version 3 29 june 2007",
+    "lgpl21_title": "gnu lesser general public license version 2 1 february 1999",
+    "agpl3_title": "gnu affero general public license version 3 19 november 2007",
+    "mpl2_form": "this source code form is subject to the terms of the mozilla public license v",
+    "mpl2_title": "mozilla public license version 2 0",
     "unlicense": "this is free and unencumbered software released into the public domain",
+    "zlib_grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
     "reserved": "all rights reserved",
 }
-#: In order: licence, family, class, pattern over the identifiers (each followed by a space; a gap is "- ").
+SENTENCES |= {f"{kind}{version.replace(' ', '')}_free_{subject}": f"this {subject} is free software you can redistribute it and or modify it under the terms of the gnu {word}general public license as published by the free software foundation either version {version} of the license or at your option any later version" for kind, word in (("gpl", ""), ("lgpl", "lesser "), ("agpl", "affero ")) for version in ("2", "2 1", "3") for subject in ("program", "library")}
+GNU = {"GPL": "general public license", "LGPL": "lesser general public license", "AGPL": "affero general public license"}
+CREATIVE = {"BY": "attribution", "BY-SA": "attribution sharealike", "BY-ND": "attribution noderivatives", "BY-NC": "attribution noncommercial", "BY-NC-SA": "attribution noncommercial sharealike", "BY-NC-ND": "attribution noncommercial noderivatives"}
+#: How notices name a licence, normalised.
+NAMES = {
+    "MIT": ["mit license", "mit", "expat license"],
+    "Apache-2.0": ["apache license version 2 0", "apache license 2 0", "apache 2 0 license", "apache 2 0", "apache license v2 0", "apache license version 2 0 the license", "apache license version 2 0 the license you may not use this file except in compliance with the license"],
+    "BSD-3-Clause": ["bsd 3 clause license", "3 clause bsd license", "bsd 3 clause", "new bsd license", "modified bsd license"],
+    "BSD-2-Clause": ["bsd 2 clause license", "2 clause bsd license", "bsd 2 clause", "simplified bsd license", "bsd license"],
+    "MPL-2.0": ["mozilla public license version 2 0", "mozilla public license 2 0", "mpl 2 0"],
+    "EPL-2.0": ["eclipse public license version 2 0", "eclipse public license 2 0", "epl 2 0"],
+    "BSL-1.0": ["boost software license version 1 0", "boost software license 1 0"],
+    "ISC": ["isc license"],
+    "Zlib": ["zlib license"],
+    "CC0-1.0": ["cc0 1 0", "cc0", "cc0 1 0 universal"],
+    "Unlicense": ["unlicense"],
+} | {
+    f"{short}-{version}": [f"gnu {long} {word}{v}" for word in ("version ", "v", "") for v in _versions] + [f"{g}{short.lower()}{word}{v}" for g in ("gnu ", "") for word in (" version ", " v", "v", " ") for v in _versions]
+    for short, long in GNU.items() for version in (("2.0", "3.0") if short == "GPL" else ("2.1", "3.0") if short == "LGPL" else ("3.0",)) for _versions in [[version.replace(".", " "), *([version[0]] if version.endswith(".0") else [])]]
+} | {f"CC-{code}-4.0": [f"cc {code.lower().replace('-', ' ')} 4 0", f"cc {code.lower().replace('-', ' ')} 4 0 license", f"creative commons {words} 4 0 international license", f"creative commons {words} 4 0 license"] for code, words in CREATIVE.items()}
+#: In order: licence, class, pattern over the identifiers (each followed by a space; a gap is "- "). A notice's identifier is "@" and the licence.
 RULES = [
-    ("AGPL-3.0", "gpl", "copyleft", "agpl_short "),
-    ("LGPL-3.0", "gpl", "copyleft", "lgpl_short "),
-    ("GPL-3.0-or-later", "gpl", "copyleft", "gpl_free (- )?(gpl_warranty )?"),
-    ("GPL-2.0-or-later", "gpl", "copyleft", "gpl2_free (- )?(gpl_warranty )?"),
-    ("GPL-3.0", "gpl", "copyleft", "(gpl3_short|gpl3_licensed) "),
-    ("Apache-2.0", "apache", "permissive", "(apache2_short|apache2_the (- )?(apache2_comply )?(- )?(apache2_copy )?)"),
-    ("MIT", "mit", "permissive", "(mit_short|mit_licensed|mit_grant (- )?(mit_notice )?(- )?as_is|mit_grant (- )?mit_notice) "),
-    ("BSD-3-Clause", "bsd", "permissive", "bsd_grant (- )?bsd_name "),
-    ("BSD-2-Clause", "bsd", "permissive", "(bsd_grant|bsd_short) "),
-    ("MPL-2.0", "mpl", "copyleft", "mpl2_short "),
-    ("CC-BY-NC-4.0", "cc", "noncommercial", "cc_by_nc4 "),
-    ("CC-BY-SA-4.0", "cc", "copyleft", "cc_by_sa4 "),
-    ("CC-BY-4.0", "cc", "permissive", "cc_by4 "),
-    ("CC0-1.0", "cc", "permissive", "cc0 "),
-    ("Unlicense", "unlicense", "permissive", "unlicense "),
-    ("Proprietary", "proprietary", "restricted", "reserved "),
+    ("AGPL-3.0-or-later", "copyleft", "agpl3_free_(program|library) "),
+    ("AGPL-3.0", "copyleft", "(@AGPL-3.0|agpl3_title) "),
+    ("LGPL-3.0-or-later", "copyleft", "lgpl3_free_(program|library) "),
+    ("LGPL-2.1-or-later", "copyleft", "lgpl21_free_(program|library) "),
+    ("LGPL-3.0", "copyleft", "(@LGPL-3.0|lgpl3_title) "),
+    ("LGPL-2.1", "copyleft", "(@LGPL-2.1|lgpl21_title) "),
+    ("GPL-3.0-or-later", "copyleft", "gpl3_free_(program|library) "),
+    ("GPL-2.0-or-later", "copyleft", "gpl2_free_(program|library) "),
+    ("GPL-3.0", "copyleft", "(@GPL-3.0|gpl3_title) "),
+    ("GPL-2.0", "copyleft", "(@GPL-2.0|gpl2_title) "),
+    ("Apache-2.0", "permissive", "(@Apache-2.0|apache_title|apache_copy (- )?apache_unless) "),
+    ("MIT", "permissive", "(@MIT|mit_grant (- )?(mit_notice|mit_as_is)) "),
+    ("ISC", "permissive", "(@ISC|isc_grant) "),
+    ("BSD-3-Clause", "permissive", "(@BSD-3-Clause|bsd_grant (- )?(bsd_source (- )?)?(bsd_binary (- )?)?bsd_name) "),
+    ("BSD-2-Clause", "permissive", "(@BSD-2-Clause|bsd_grant) "),
+    ("MPL-2.0", "copyleft", "(@MPL-2.0|mpl2_form|mpl2_title) "),
+    ("EPL-2.0", "copyleft", "@EPL-2.0 "),
+    ("BSL-1.0", "permissive", "@BSL-1.0 "),
+    ("Zlib", "permissive", "(@Zlib|zlib_grant) "),
+    *[(f"CC-{code}-4.0", "noncommercial" if "NC" in code else "restricted" if "ND" in code else "copyleft" if "SA" in code else "permissive", f"@CC-{code}-4.0 ") for code in CREATIVE],
+    ("CC0-1.0", "permissive", "@CC0-1.0 "),
+    ("Unlicense", "permissive", "(@Unlicense|unlicense) "),
+    ("Proprietary", "restricted", "reserved "),
 ]
+#: A rule that is moot where another is found.
+MOOT = {"BSD-2-Clause": ["BSD-3-Clause"], "Proprietary": [r[0] for r in RULES if r[0] != "Proprietary"]}
 CLASSES = ("restricted", "noncommercial", "copyleft", "permissive")
-END = r"([.!?])[\t\f\r ]+"
+COMMENT = r"(?m)^[ \t]*(?://+|/\*+|\*+/?|#+|--+|;+|%+)[ \t]*"
+LINE_END = r"\n|[.!?][ \t\f\r]+"
+PARAGRAPH_END = r"[.!?][\"')]*[ \t\f\r\n]+|:[ \t\r]*\n|\n[ \t\r]*\n|\n[ \t]*(?:[0-9]{1,2}|[a-z])[.)][ \t]+"
+#: Every known sentence and notice holds one of these.
+MARK = r"(?i)licen|permi|rights|redistrib|unencumbered|warrant|under[ \t\r\n]"
 OTHER = "[^A-Za-z0-9]+"
+LEAD_IN = "^(?:this|the|our|all|it)(?: [a-z0-9]+){0,4} (?:is|are) (?:dual )?(licensed|released|distributed|available|provided|made available) under "
+NOTICE = "^(?:licensed|released|distributed|available|provided|made available) under (?:the |a |an )?"
+SPDX = "^spdx license identifier "
 
 
-def _identifiers(text: Column) -> Column:
-    sentences = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), END, "$1\n"), "\n")
-    known = F.create_map(*[F.lit(x) for name, sentence in SENTENCES.items() for x in (sentence, name)])
-    return F.transform(sentences, lambda s: F.coalesce(F.element_at(known, F.trim(F.lower(F.regexp_replace(s, OTHER, " ")))), F.lit("-")))
+def known_sentences() -> dict[str, str]:
+    """Normalised and reduced sentences with their identifiers: the texts, the notices, and SPDX lines."""
+    found = {sentence: name for name, sentence in SENTENCES.items()}
+    for name, forms in NAMES.items():
+        found |= {f"under {form}": f"@{name}" for form in forms}
+        found |= {f"spdx {name.lower().replace('-', ' ').replace('.', ' ')}{end}": f"@{name}" for end in ("", " only", " or later")}
+    return found
+
+
+def _sequence(parts: Column, known: dict[str, str]) -> Column:
+    """The identifiers of sentences, those of other sentences being ``-``."""
+    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+
+    def identify(s: Column) -> Column:
+        plain = F.trim(F.lower(F.regexp_replace(s, OTHER, " ")))
+        reduced = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, LEAD_IN, "$1 under "), NOTICE, "under "), SPDX, "spdx ")
+        return F.when(s.rlike(MARK), F.when(reduced.isin(*known), F.element_at(table, reduced))).otherwise(F.lit(None).cast("string"))
+
+    return F.transform(parts, lambda s: F.coalesce(identify(s), F.lit("-")))
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``n_sentences`` (known ones), ``licenses`` (in the order of the rules, comma-joined), ``verdict`` (the strictest class)."""
-    found = df.select(F.col(id_col), _identifiers(F.col(text_col)).alias("ids"))
-    found = found.select(id_col, F.size(F.filter("ids", lambda s: s != "-")).cast("long").alias("n_sentences"), F.regexp_replace(F.concat(F.array_join("ids", " "), F.lit(" ")), "(- )+", "- ").alias("seq"))
-    chosen, before = [], {}
-    for name, family, _, pattern in RULES:
-        hit = F.col("seq").rlike(f"(^| ){pattern}")
-        earlier = before.setdefault(family, [])
-        chosen.append(F.when(hit & ~reduce(lambda x, y: x | y, earlier, F.lit(False)), F.lit(name)))
-        earlier.append(hit)
+    text, known = F.coalesce(F.col(text_col).cast("string"), F.lit("")), known_sentences()
+    plain = F.when(text.rlike(MARK), F.regexp_replace(text, COMMENT, "")).otherwise(F.lit(""))
+    found = df.select(F.col(id_col), plain.alias("plain")).select(id_col, *[_sequence(F.split("plain", end), known).alias(c) for c, end in (("lines", LINE_END), ("paragraphs", PARAGRAPH_END))])
+    count = F.greatest(*[F.size(F.filter(c, lambda s: s != "-")) for c in ("lines", "paragraphs")])
+    joined = [F.regexp_replace(F.concat(F.array_join(c, " "), F.lit(" ")), "(- )+", "- ").alias(c) for c in ("lines", "paragraphs")]
+    found = found.select(id_col, count.cast("long").alias("n_sentences"), *joined)
+    hit = {name: F.col("lines").rlike(p) | F.col("paragraphs").rlike(p) for name, _, pattern in RULES for p in ["(^| )" + pattern.replace(".", r"\.")]}
+    chosen = [F.when(hit[name] & ~reduce(lambda x, y: x | y, [hit[m] for m in MOOT.get(name, [])], F.lit(False)), F.lit(name)) for name, _, _ in RULES]
     found = found.select(id_col, "n_sentences", F.array_compact(F.array(*chosen)).alias("found"))
-    names = {c: [n for n, _, k, _ in RULES if k == c] for c in CLASSES}
     verdict = F.lit("none")
     for k in reversed(CLASSES):
-        verdict = F.when(F.arrays_overlap("found", F.array(*[F.lit(n) for n in names[k]])), F.lit(k)).otherwise(verdict)
+        verdict = F.when(F.arrays_overlap("found", F.array(*[F.lit(n) for n, c, _ in RULES if c == k])), F.lit(k)).otherwise(verdict)
     return found.select(id_col, "n_sentences", F.array_join("found", ",").alias("licenses"), verdict.alias("verdict"))
-
-
-def oracle_sql(id_col: str = "doc_id", text_col: str = "text", table: str = "documents") -> str:
-    """The same as SQL for DuckDB."""
-    known = "MAP {" + ", ".join(f"'{s}': '{n}'" for n, s in SENTENCES.items()) + "}"
-    cases, before = [], {}
-    for name, family, _, pattern in RULES:
-        hit = f"regexp_matches(seq, '(^| ){pattern}')"
-        earlier = before.setdefault(family, [])
-        cases.append(f"CASE WHEN {' AND '.join([hit, *(f'NOT {h}' for h in earlier)])} THEN '{name}' END")
-        earlier.append(hit)
-    verdict = "'none'"
-    for k in reversed(CLASSES):
-        verdict = f"CASE WHEN list_has_any(found, [{', '.join(f"'{n}'" for n, _, c, _ in RULES if c == k)}]) THEN '{k}' ELSE {verdict} END"
-    return f"""
-WITH s AS (SELECT {id_col}, string_split(regexp_replace(coalesce({text_col}, ''), '{END}', '\\1' || chr(10), 'g'), chr(10)) AS parts FROM {table}),
-i AS (SELECT {id_col}, [coalesce({known}[trim(lower(regexp_replace(p, '{OTHER}', ' ', 'g')))], '-') for p in parts] AS ids FROM s),
-q AS (SELECT {id_col}, len([x for x in ids if x <> '-']) AS n_sentences, regexp_replace(array_to_string(ids, ' ') || ' ', '(- )+', '- ', 'g') AS seq FROM i),
-f AS (SELECT {id_col}, n_sentences, [x for x in [{', '.join(cases)}] if x IS NOT NULL] AS found FROM q)
-SELECT {id_col}, CAST(n_sentences AS BIGINT) AS n_sentences, array_to_string(found, ',') AS licenses, {verdict} AS verdict FROM f"""

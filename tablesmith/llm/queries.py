@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesmith.llm import byte_bpe, decontaminate, hnsw, language_id, license_scan, lm_score, secrets, simhash, toxicity, url_filter
+from tablesmith.llm import byte_bpe, decontaminate, hnsw, language_id, license_scan, license_sql, lm_score, secrets, simhash, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,4 +88,4 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_lm_score, op3_license_scan, op4_simhash_near_dedup, op5_url_filter, op6_toxicity, op7_embedding_near_dedup, op8_language_id, op9_decontamination, op10_byte_bpe)}
-ORACLE_SQL = {"op3_license_scan": license_scan.oracle_sql()}
+ORACLE_SQL = {"op3_license_scan": license_sql.sql()}

@@ -1,7 +1,10 @@
 import base64
 import hashlib
+import math
 import random
-from collections import Counter
+import re
+import zlib
+from collections import Counter, defaultdict
 
 import duckdb
 import public_tokenizers
@@ -10,7 +13,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tablesmith.llm import byte_bpe, decontaminate, language_id, license_scan, queries
+from tablesmith.llm import byte_bpe, decontaminate, language_id, license_scan, license_sql, queries
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -47,27 +50,156 @@ def test_language_id(spark, sf):
     assert sum(lang[r.doc_id] == r.lang_pred for r in held) >= 0.95 * len(held)
     rows = spark.createDataFrame([(i, t, lg) for i, (t, lg) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de"), (None, "en"), ("x", None), ("the the", "en"), ("die die und", "de")] * 3)], "doc_id long, text string, lang string")
     model = language_id.train(rows, F.lit(True), docs_per_lang=10_000)
-    cases = [None, "", "12 34 !", "THE unseencat", "hundert", "the " * 500_000]
+    cases = [None, "", "12 34 !", "THE unseencat", "hundert", "the " * 500_000, "½ ² ① Ⅷ", "½ ² ① die"]
     got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string"), model).collect()}
-    assert [got[i][0] for i in range(6)] == ["und", "und", "und", "en", "de", "en"]
+    assert [got[i][0] for i in range(8)] == ["und", "und", "und", "en", "de", "en", "und", "de"]
     assert all(0 <= s <= 1 for _, s in got.values()) and got[0][1] == 0
     nothing = language_id.train(rows.limit(0), F.lit(True))
     assert language_id.identify(rows, nothing).filter("lang_pred <> 'und'").count() == 0
 
 
+def plain_languages(docs):
+    """The model and its scores by plain counting: all training rows are in the sample of so small a table."""
+    word = re.compile(r"[^\W\d_]+")
+    of = lambda t: [w for w in word.findall((t or "").lower()) if any(c.isalpha() for c in w)]
+    known, grams = defaultdict(Counter), {k: defaultdict(Counter) for k in range(1, 6)}
+    for d in docs:
+        if d.lang is not None and d.text is not None and zlib.crc32(str(d.doc_id).encode()) % 3 != 1:
+            for w in of(d.text):
+                known[w][d.lang] += 1
+                for k in grams:
+                    for i in range(len(w) + 3 - k):
+                        grams[k][f"_{w}_"[i : i + k]][d.lang] += 1
+    langs = sorted({lang for c in known.values() for lang in c})
+    total = {id(t): {lang: sum(c[lang] for c in t.values()) for lang in langs} for t in (known, *grams.values())}
+
+    def log(table, name):
+        return [math.log((table[name][lang] + 0.1) / (total[id(table)][lang] + 0.1 * len(table))) for lang in langs]
+
+    def weigh(w):
+        if w in known:
+            return log(known, w)
+        for k in range(5, 0, -1):
+            found = [log(grams[k], g) for g in (f"_{w}_"[i : i + k] for i in range(len(w) + 3 - k)) if g in grams[k]]
+            if found:
+                return [sum(x) / len(found) for x in zip(*found, strict=True)]
+        return [0.0] * len(langs)
+
+    out = {}
+    for d in docs:
+        found = of(d.text)
+        sums = [sum(x) for x in zip(*map(weigh, found), strict=True)]
+        best = max(range(len(langs)), key=lambda i: (sums[i], -i)) if found else None
+        out[d.doc_id] = ("und", 0.0) if best is None else (langs[best], 1 / sum(math.exp(max(x - sums[best], -700)) for x in sums))
+    return out
+
+
+def test_language_query_against_brute_force(spark, sf):
+    docs = queries.table(spark, sf, "documents").collect()
+    want = plain_languages(docs)
+    for r in queries.op8_language_id(spark, sf).collect():
+        assert r.lang_pred == want[r.doc_id][0] and abs(r.score - want[r.doc_id][1]) < 1e-6, r.doc_id
+
+
+def test_language_rows_of_any_shape(spark):
+    rows = spark.createDataFrame([(1, "der hund", "de", 5), (1, "der hund", "de", 5), (None, "the dog", "en", 6), (None, None, None, None), (3, "the hund", None, 1)], "doc_id long, text string, lang string, score int")
+    model = language_id.train(rows, F.lit(True))
+    got = language_id.identify(rows, model)
+    assert got.count() == 5 and {(r.doc_id, r.lang_pred) for r in got.filter("doc_id = 1 OR score = 0").collect()} == {(1, "de"), (None, "und")}
+    tie = language_id.train(spark.createDataFrame([(1, "same", "b"), (2, "same", "a")], "doc_id long, text string, lang string"), F.lit(True))
+    assert language_id.identify(rows.limit(1), tie).first().lang_pred == "a"
+    assert language_id.identify(rows.limit(0), model).count() == 0
+
+
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 Some Body. All rights reserved.
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY."""
+BSD_TEXT = """ * Copyright (c) 2019, Some Body
+ * All rights reserved.
+ *
+ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are met:
+ * 1. Redistributions of source code must retain the above copyright notice,
+ *    this list of conditions and the following disclaimer.
+ * 2. Redistributions in binary form must reproduce the above copyright notice,
+ *    this list of conditions and the following disclaimer in the documentation
+ *    and/or other materials provided with the distribution.
+"""
+BSD_NAME = """ * 3. Neither the name of the copyright holder nor the names of its
+ *    contributors may be used to endorse or promote products derived from
+ *    this software without specific prior written permission.
+"""
+APACHE_TEXT = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+"""
+GPL_TEXT = """// This program is free software: you can redistribute it and/or modify
+// it under the terms of the GNU General Public License as published by
+// the Free Software Foundation, either version 3 of the License, or
+// (at your option) any later version.
+"""
+LGPL_TEXT = GPL_TEXT.replace("program", "library").replace("GNU General", "GNU Lesser General").replace("version 3", "version 2.1")
+MPL_TEXT = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"""
+LICENSED = [
+    (None, "", "none"),
+    ("", "", "none"),
+    ("Code.\nReleased under the MIT License.", "MIT", "permissive"),
+    ("Licensed under CC BY 4.0. All rights reserved.", "CC-BY-4.0", "permissive"),
+    ("x\n" * 5000 + "Released under the BSD license!", "BSD-2-Clause", "permissive"),
+    ("All rights reserved.", "Proprietary", "restricted"),
+    (MIT_TEXT, "MIT", "permissive"),
+    (MIT_TEXT.replace("\n", "\r\n"), "MIT", "permissive"),
+    (BSD_TEXT, "BSD-2-Clause", "permissive"),
+    (BSD_TEXT + BSD_NAME, "BSD-3-Clause", "permissive"),
+    (APACHE_TEXT, "Apache-2.0", "permissive"),
+    (GPL_TEXT, "GPL-3.0-or-later", "copyleft"),
+    (LGPL_TEXT + "\n" + GPL_TEXT, "LGPL-2.1-or-later,GPL-3.0-or-later", "copyleft"),
+    (MPL_TEXT, "MPL-2.0", "copyleft"),
+    ("This project is licensed under the MIT License.", "MIT", "permissive"),
+    ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0", "copyleft"),
+    ("// SPDX-License-Identifier: GPL-2.0-or-later\nint main;", "GPL-2.0", "copyleft"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "CC-BY-NC-4.0", "noncommercial"),
+    ("The MIT licence is short. We talk about licenses, permission and rights under the sun.", "", "none"),
+    ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n Copyright (C) 1989", "GPL-2.0", "copyleft"),
+]
+
+
 def test_license_scan_against_sql(spark, sf, tmp_path):
-    texts = [None, "", "Code.\nReleased under the MIT License.", "Licensed under CC BY 4.0. All rights reserved.", "x\n" * 5000 + "Released under the BSD license!", "redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.\nNeither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."]
-    rows = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)], "doc_id long, text string, licenses string")
-    got = {r.doc_id: (r.n_sentences, r.licenses, r.verdict) for r in license_scan.scan(rows).collect()}
-    assert got == {0: (0, "", "none"), 1: (0, "", "none"), 2: (1, "MIT", "permissive"), 3: (2, "CC-BY-4.0,Proprietary", "restricted"), 4: (1, "BSD-2-Clause", "permissive"), 5: (2, "BSD-3-Clause", "permissive")}
-    want = duckdb.connect().execute(license_scan.oracle_sql(table=f"'{sf}/documents.parquet'")).fetchall()
-    assert sorted(tuple(r) for r in queries.op3_license_scan(spark, sf).collect()) == sorted(want)
-    assert license_scan.scan(rows.limit(0)).count() == 0
+    rows = spark.createDataFrame([(i, t, "z") for i, (t, _, _) in enumerate(LICENSED)], "doc_id long, text string, licenses string")
+    got = {r.doc_id: (r.licenses, r.verdict) for r in license_scan.scan(rows).collect()}
+    assert [got[i] for i in range(len(LICENSED))] == [(n, v) for _, n, v in LICENSED]
+    rows.write.parquet(str(tmp_path / "rows"))
+    for path, found in ((f"{tmp_path}/rows/*.parquet", license_scan.scan(rows)), (f"{sf}/documents.parquet", queries.op3_license_scan(spark, sf))):
+        want = duckdb.connect().execute(license_sql.sql(table=f"'{path}'")).fetchall()
+        assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+    assert license_scan.scan(rows.limit(0)).count() == 0 and license_scan.scan(rows.unionByName(rows).withColumn("doc_id", F.lit(None).cast("long"))).count() == 2 * len(LICENSED)
 
 
 def plain_leaks(docs, items):
-    import re
-
     def shingles(words, width):
         return Counter(tuple(words[i : i + width]) for i in range(len(words) - width + 1))
 
@@ -139,3 +271,33 @@ def test_pipeline(spark, sf, tmp_path):
 def test_pipeline_keeps_one_row_of_repeated_ids(spark, sf):
     docs = spark.createDataFrame([(1, "a b c d", "en", "s", 7), (1, "a b c d", "en", "s", 7), (2, "a b c d", None, None, None), (None, "x y z", "en", "s", 5), (3, None, "en", "s", 0)], queries.table(spark, sf, "documents").schema)
     assert sorted(str(r.doc_id) for r in corpus_pipeline.drop_near_copies(spark, docs, sf).collect()) == ["1", "3", "None"]
+
+
+def test_leaks_beyond_the_radius_and_by_shuffle(spark, monkeypatch):
+    rng = random.Random(9)
+    items = [(i, " ".join(rng.choices([f"v{k}" for k in range(500)], k=rng.randint(8, 14)))) for i in range(40)]
+    docs = []
+    for d in range(80):
+        copy = items[d % 40][1].split()
+        at = rng.randrange(len(copy))
+        docs.append((d, " ".join([f"x{d}", *copy[:at], *([] if d % 3 else ["odd"]), *copy[at + (d % 2) :], f"y{d}"])))
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = plain_leaks(docs, items)
+    assert len(want) > 10
+    for radius in (0, 12):  # whatever the blocks find, the exact check does the rest
+        assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(df, it, radius=radius).collect()} == want
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(df, it).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_leaks_in_a_very_long_text_and_of_many_items(spark):
+    few = spark.createDataFrame([(1, "a b " * 12), (2, "one two three four five six seven eight")], "item_id long, text string")
+    long = spark.createDataFrame([(1, "a b " * 500_000), (2, "w " * 300_000 + "one two three four five six seven eight" + " w" * 1000)], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(long, few).collect()} == {(1, 1), (2, 2)}
+    many = spark.range(20_000).selectExpr("id as item_id", "array_join(transform(sequence(1, 31), i -> concat('k', cast(pmod(xxhash64(id, i), 100000) as string))), ' ') as text")
+    docs = many.filter("item_id % 1000 = 7").selectExpr("item_id + 5 as doc_id", "concat('before ', text, ' after') as text")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, many).collect()} == {(1000 * i + 12, 1000 * i + 7) for i in range(20)}
