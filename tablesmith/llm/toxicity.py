@@ -31,6 +31,7 @@ from math import log
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,11 +43,14 @@ WORD = re.compile(r"\w+")
 BLOCK = 64
 FLOOR = 0.1
 #: A word that over one in so many examples holds has full rows in the blocks.
-FREQUENT = 16
-#: Texts that are searched together, and blocks of each that are scored first. Cosines nearer than TIE are equal.
-TOGETHER, FIRST, TIE = 128, 8, 1e-9
+FREQUENT = 20
+#: Texts that are searched together, and blocks of each that are scored first. Cosines nearer than TIE are equal; sums in single
+#: precision, by which candidates are found before their cosines are added up in double, are within NEAR.
+TOGETHER, FIRST, TIE, NEAR = 64, 8, 1e-6, 1e-5
+#: Bytes of text that a step works on: the counts of its words take several times as much.
+STEP = 1 << 20
 #: Words whose places a task remembers.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 100_000
 #: Counts of document frequencies travel in pieces of so many words.
 PIECE = 1 << 14
 
@@ -127,18 +131,25 @@ class Index:
 
     @cached_property
     def blocks(self) -> tuple[np.ndarray, ...]:
-        """Each frequent word's place among these (-1: rare), their full rows and maxima by block; the rare words' postings and weights."""
+        """The examples in the order of the blocks (those of a like frequent word together, which makes bounds tight), each frequent
+        word's place among these (-1: rare), their full rows and maxima by block, and the rare words' postings with their weights."""
         size = np.diff(self.first.astype(np.int64))
         weight = (1 + np.log(self.n.astype(float))) * np.repeat(self.idf, size)
-        weight /= np.sqrt(np.bincount(self.at, weight * weight, len(self.ids)))[self.at]
+        weight = (weight / np.sqrt(np.bincount(self.at, weight * weight, len(self.ids)))[self.at]).astype(np.float32)
         often = size > max(BLOCK, len(self.ids) // FREQUENT)
+        on, term = np.repeat(often, size), np.repeat(np.arange(len(size), dtype=np.int32), size)
+        most = np.lexsort((size[term[on]], self.n[on], self.at[on]))
+        chief = np.full(len(self.ids), -1)
+        chief[self.at[on][most]] = term[on][most]  # the last one of each example stays
+        order = np.argsort(chief, kind="stable")
+        at = np.empty(len(order), np.int32)
+        at[order] = np.arange(len(order), dtype=np.int32)
+        at = at[self.at]
         place = np.where(often, np.cumsum(often) - 1, -1)
-        wide = -(-len(self.ids) // BLOCK)
-        full = np.zeros((wide, int(often.sum()), BLOCK))
-        on = np.repeat(often, size)
-        full[self.at[on] // BLOCK, np.repeat(place, size)[on], self.at[on] % BLOCK] = weight[on]
+        full = np.zeros((-(-len(self.ids) // BLOCK), int(often.sum()), BLOCK), np.float32)
+        full[at[on] // BLOCK, place[term[on]], at[on] % BLOCK] = weight[on]
         first = np.append(0, np.cumsum(np.where(often, 0, size)))
-        return place, full, full.max(axis=2), first, self.at[~on].astype(np.int32), weight[~on]
+        return order, place, full, full.max(axis=2), first, at[~on], weight[~on]
 
     def __getstate__(self) -> bytes:
         return zlib.compress(pickle.dumps({k: v for k, v in self.__dict__.items() if k not in ("blocks", "places")}, 5), 1)
@@ -170,41 +181,59 @@ class Index:
         """For each text the ``k`` examples of highest positive cosine and all that tie with the last of them, best first, with the cosines."""
         if not self.ids:
             return [(np.zeros(0, int), np.zeros(0))] * len(texts)
-        return [near for i in range(0, len(texts), TOGETHER) for near in self._together(texts[i : i + TOGETHER], k)]
+        # Texts of a like most frequent word, as those of one language, mostly need the same blocks.
+        order = sorted(range(len(texts)), key=lambda i: max(zip(texts[i].values(), texts[i], strict=True), default=(0, ""))[1])
+        out: list = [None] * len(texts)
+        for i in range(0, len(order), TOGETHER):
+            own = order[i : i + TOGETHER]
+            for j, near in zip(own, self._together([texts[j] for j in own], k), strict=True):
+                out[j] = near
+        return out
 
     def _together(self, texts: list[dict[str, int]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        place, full, most, first, at, weight = self.blocks
+        order, place, full, most, first, at, weight = self.blocks
         row, term, q = self.queries(texts)
         lo, hi = first[term], first[term + 1]
         entry, width = ranges(lo, hi), len(full) * BLOCK
-        score = np.bincount(np.repeat(row * width, hi - lo) + at[entry], np.repeat(q, hi - lo) * weight[entry], len(texts) * width).astype(float).reshape(len(texts), len(full), BLOCK)
+        rare = np.bincount(np.repeat(row * width, hi - lo) + at[entry], np.repeat(q, hi - lo) * weight[entry], len(texts) * width).astype(float).reshape(len(texts), width)
+        score = rare.astype(np.float32).reshape(len(texts), len(full), BLOCK)
         often = place[term] >= 0
-        dense = np.zeros((len(texts), full.shape[1]))
+        dense = np.zeros((len(texts), full.shape[1]), np.float32)
         dense[row[often], place[term[often]]] = q[often]
         bound = score.max(axis=2) + dense @ most.T
         done = np.zeros(bound.shape, dtype=bool)
 
         def fill(wanted: np.ndarray) -> None:
             for block in np.flatnonzero(wanted.any(axis=0)):
-                rows = np.flatnonzero(wanted[:, block])
-                score[rows, block] += dense[rows] @ full[block]
-            done[wanted] = True
+                rows = wanted[:, block]
+                if 4 * np.count_nonzero(rows) > 3 * len(rows) and not done[:, block].any():
+                    score[:, block] += dense @ full[block]
+                    done[:, block] = True
+                else:
+                    score[rows, block] += dense[rows] @ full[block]
+                    done[rows, block] = True
 
         top = np.argpartition(-bound, min(FIRST, len(full)) - 1, axis=1)[:, :FIRST]
         wanted = np.zeros(bound.shape, dtype=bool)
         np.put_along_axis(wanted, top, True, axis=1)
         fill(wanted)
         tops = np.take_along_axis(score, top[:, :, None], axis=1).reshape(len(texts), -1)
-        least = np.partition(tops, -k, axis=1)[:, -k] if tops.shape[1] >= k else np.zeros(len(texts))
-        fill(~done & (bound > 0) & (bound >= least[:, None] - TIE))
+        least = np.partition(tops, -k, axis=1)[:, -k] - NEAR if tops.shape[1] >= k else np.full(len(texts), -NEAR)
+        fill(~done & (bound > 0) & (bound >= least[:, None]))
         score[~done] = 0
-        out = []
-        for own, low in zip(score.reshape(len(texts), width), least, strict=True):
-            near = np.flatnonzero((own > 0) & (own >= low - TIE))
+        out, start = [], np.searchsorted(row, np.arange(len(texts) + 1))
+        for i, (own, low) in enumerate(zip(score.reshape(len(texts), width), least, strict=True)):
+            near = np.flatnonzero((own > 0) & (own >= low))
+            if len(near) > k:
+                near = near[own[near] >= np.partition(own[near], -k)[-k] - NEAR]
+            at_ = slice(start[i], start[i + 1])
+            frequent = often[at_]
+            exact = rare[i, near] + q[at_][frequent] @ full[near[None, :] // BLOCK, place[term[at_][frequent]][:, None], near[None, :] % BLOCK].astype(float)
             if len(near) > k:
-                near = near[own[near] >= np.partition(own[near], -k)[-k] - TIE]
-            near = near[np.argsort(-own[near], kind="stable")]
-            out.append((near, own[near]))
+                on = exact >= np.partition(exact, -k)[-k] - TIE
+                near, exact = near[on], exact[on]
+            best = np.argsort(-exact, kind="stable")
+            out.append((order[near[best]], exact[best]))
         return out
 
     def votes(self, texts: list[dict[str, int]], k: int, prior: float) -> list[tuple[float, np.ndarray]]:
@@ -262,7 +291,7 @@ def train(df: DataFrame, labels: DataFrame, learn: Column, label_col: str = "tox
     apart = F.pmod(F.xxhash64(F.lit("calibrate"), "id"), F.lit(10)) == 0
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
+        for batch in steps(batches, STEP):
             found = [Counter(words(t)) for t in texts(batch)]
             sizes = np.array([len(f) for f in found], dtype=np.int32)
             flat = hashes([w for f in found for w in f]).view(np.int64)
@@ -293,11 +322,14 @@ def train(df: DataFrame, labels: DataFrame, learn: Column, label_col: str = "tox
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, seen = Places(held.value), np.zeros(len(held.value) + 1, dtype=np.int32)  # the last one counts rows
-        for batch in steps(batches):
-            for text in texts(batch):
-                seen[-1] += 1
-                found = places.of(list(set(words(text))))
-                seen[found[found >= 0]] += 1
+        for batch in steps(batches, STEP):
+            rows = texts(batch)
+            held_by = Counter()
+            for text in rows:
+                held_by.update(set(words(text)))
+            found = places.of(list(held_by))
+            seen[found[found >= 0]] += np.fromiter(held_by.values(), np.int32, len(found))[found >= 0]
+            seen[-1] += len(rows)
         if seen[-1]:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(-(-len(seen) // PIECE)), pa.int64()), pa.array([seen[i : i + PIECE].tobytes() for i in range(0, len(seen), PIECE)], pa.binary())], names=["piece", "n"])
 
@@ -317,18 +349,19 @@ def train(df: DataFrame, labels: DataFrame, learn: Column, label_col: str = "tox
     bare = label[size == 0]
     share = t1 / t
     index = Index.of([ids[i] for i in order], label[order].astype(float), keys, idf, marked, np.repeat(rank, size), term, times, share, (int(bare.sum()) + share) / (len(bare) + 1))
-    known = vote(sample.filter(apart), index, k, prior).toArrow()  # about a tenth of max_examples
+    held = df.sparkSession.sparkContext.broadcast(index)
+    known = vote(sample.filter(apart), held, k, prior).toArrow()  # about a tenth of max_examples
+    held.destroy()
     x, y = np.asarray(known.column("vote")), np.asarray(known.column("label")).astype(float)
     index.slope, index.shift = logistic(x[~np.isnan(x)], y[~np.isnan(x)])
     return index
 
 
-def vote(sample: DataFrame, index: Index, k: int, prior: float) -> DataFrame:
-    """``vote`` (before calibration) and ``label`` of rows with ``text`` and ``label``."""
-    held = sample.sparkSession.sparkContext.broadcast(index)
+def vote(sample: DataFrame, held: Broadcast, k: int, prior: float) -> DataFrame:
+    """``vote`` (before calibration, by a broadcast index) and ``label`` of rows with ``text`` and ``label``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
+        for batch in steps(batches, STEP):
             got = held.value.votes([Counter(words(t)) for t in texts(batch)], k, prior)
             yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in got], pa.float64()), batch.column("label")], names=["vote", "label"])
 
@@ -342,7 +375,7 @@ def score(df: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = held.value
-        for batch in steps(batches):
+        for batch in steps(batches, STEP):
             rows = texts(batch)
             number = Numbering()
             place = [number[t] for t in rows]  # equal texts of a step are searched once
@@ -363,7 +396,7 @@ def keep_clean(df: DataFrame, index: Index, text_col: str = "text", threshold: f
     held = df.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, column=at):
+        for batch in steps(batches, STEP, at):
             number = Numbering()
             place = [number[t or ""] for t in batch.column(at).to_pylist()]
             got = held.value.scores([Counter(words(t)) for t in number], k, prior)
