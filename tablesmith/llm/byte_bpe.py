@@ -2,7 +2,9 @@
 
 Texts are cut by the tokenizer's pattern; the distinct pieces that no earlier step has seen are put into matrices, one per
 length bucket, one padded row each. In every round each row merges its leftmost pair of minimum rank. Pairs are looked up in an
-open-addressing hash table, rows are compacted after each merge, and finished rows leave the matrix.
+open-addressing hash table, rows are compacted after each merge, and finished rows leave the matrix. The row of a very long piece is
+folded into a square, so that a round looks at one line of it and at the lines' minima instead of the whole row; it too merges the
+leftmost pair of minimum rank each round.
 
 Edge cases: a null or empty text has no ids and decodes to an empty value; rows with equal ids or texts are encoded one by
 one and all returned; an empty table gives an empty result with the same columns; other columns of the input are not read.
@@ -24,7 +26,7 @@ from tablesmith.llm.batches import Numbering, id_and_text, list_array, steps, te
 NONE = np.int64(1) << 40
 #: A task forgets its pieces beyond this number and learns them anew; only time depends on it.
 KEPT_PIECES = 300_000
-#: Pieces of more bytes are no row of a matrix.
+#: The row of a piece of more bytes is folded.
 LONG = 2048
 #: Cells of one padded matrix.
 CELLS = 1 << 21
@@ -115,34 +117,36 @@ class ByteBpe:
                     found[ok, p[ok]] = self.pairs.find(ids[ok, p[ok]], ids[ok, p[ok] + 1])
         return out
 
-    def merge_long(self, ids: np.ndarray) -> np.ndarray:
-        """As ``merge`` for one very long row: a round merges every occurrence of the minimum-rank pair, left to right.
-
-        Where a pair of lower rank would arise by that, the round merges the leftmost occurrence only, so results are equal.
-        """
-        found = self.pairs.find(ids[:-1], ids[1:])
-        while len(found) and (best := found.min()) != NONE:
-            at = np.flatnonzero(found == best)
-            if len(at) > 1:  # of overlapping occurrences every second one, from the left of each run
-                first = np.concatenate([[True], np.diff(at) > 1])
-                run = np.flatnonzero(first)[np.cumsum(first) - 1]
-                at = at[(np.arange(len(at)) - run) % 2 == 0]
-            for chosen in (at, at[:1]):
-                kept = np.ones(len(ids), dtype=bool)
-                kept[chosen + 1] = False
-                new = ids.copy()
-                new[chosen] = best
-                new = new[kept]
-                place = chosen - np.arange(len(chosen))
-                touched = np.unique(np.concatenate([place - 1, place]))
-                touched = touched[(touched >= 0) & (touched < len(new) - 1)]
-                ranks = self.pairs.find(new[touched], new[touched + 1])
-                if len(chosen) == 1 or not (ranks < best).any():
-                    break
-            found = np.delete(found, chosen)
-            ids = new
-            found[touched] = ranks
-        return ids
+    def merge_folded(self, ids: np.ndarray) -> np.ndarray:
+        """As ``merge`` for one very long row: its pairs' ranks stand in a square, each line with its minimum."""
+        n = len(ids)
+        side = int(np.ceil(np.sqrt(n)))
+        found = np.full(side * side, NONE, dtype=np.int64)
+        found[: n - 1] = self.pairs.find(ids[:-1], ids[1:])
+        found = found.reshape(side, side)
+        least = found.min(axis=1)
+        own, after, before = ids.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        tokens, ranks = self.tokens, self.ranks
+
+        def put(at: int, rank: int) -> None:
+            line = at // side
+            found[line, at % side] = rank
+            least[line] = rank if rank < least[line] else found[line].min()
+
+        while (best := int(least[line := int(least.argmin())])) != NONE:
+            at = line * side + int(found[line].argmin())
+            gone = after[at]
+            own[at], after[at] = best, after[gone]
+            own[gone] = -1
+            put(gone, NONE)
+            if after[at] < n:
+                before[after[at]] = at
+                put(at, ranks.get(tokens[best] + tokens[own[after[at]]], NONE))
+            else:
+                put(at, NONE)
+            if before[at] >= 0:
+                put(before[at], ranks.get(tokens[own[before[at]]] + tokens[best], NONE))
+        return np.array([i for i in own if i >= 0], dtype=np.int64)
 
     def pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
         """The ids of each piece. A piece that is itself a token is that token."""
@@ -151,7 +155,7 @@ class ByteBpe:
         for i, p in enumerate(pieces):
             rank = self.ranks.get(p)
             if rank is None and len(p) > LONG:
-                out[i] = self.merge_long(self.of_byte[np.frombuffer(p, dtype=np.uint8)])
+                out[i] = self.merge_folded(self.of_byte[np.frombuffer(p, dtype=np.uint8)])
             elif rank is None:
                 open_.append(i)
             else:
