@@ -1,15 +1,17 @@
 """Embedding near-duplicates by hierarchical navigable small-world graphs, one for each shard.
 
 Equal vectors are one class, so that copies cost nothing. Classes are dealt into shards by a hash; each shard's task builds
-a layered graph and then reads every class as a query, in batches. A batch's beam is widened until an audit of some of its queries
-against all vectors of the shard finds enough of their links, and for queries whose whole beam is linked until it is not.
+a layered graph and then reads every class as a query, in batches. A beam is widened until an audit of some queries of each batch
+against all vectors of the shard finds enough of their links to other vectors, and for queries whose whole beam is linked until it is
+not. Audits are pooled over batches; until they have seen ``FLOOR`` true links, more queries are audited and the beam is twice as
+wide. The links that all audits saw, and those of them that were found, are returned.
 Cosines are verified in double precision. A task gives each query's number of links and only those links that join different
 local components, so a large group of near copies never becomes all of its pairs.
 
 Every shard is queried with every class: the work is classes times shards times the logarithm of a shard's size. The number of shards stays
 the same until a shard would exceed ``shard_rows``.
 
-Edge cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing; so do rows without an
+Edge cases: a cosine of exactly ``least``, as double precision gives it, is a link; ids are cast to long; vectors that are null, empty, zero or hold null or non-finite components link with nothing; so do rows without an
 id; vectors of different length do not link; rows that share an id are one vertex; an empty table gives an empty result.
 """
 
@@ -20,13 +22,16 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablesmith.llm.components import components, cut
 
 DEGREE, BUILD_BEAM, BEAM, BATCH = 12, 32, 24, 1024
-AUDIT, RECALL = 48, 0.99
+#: Audited queries of a batch (four times as many below the floor), the share of their links that must be found, true links to be seen.
+AUDIT, RECALL, FLOOR = 48, 0.99, 100
+#: Cosines that a product of queries and members gives at once.
+PRODUCT = 1 << 22
 
 
 class Graph:
@@ -140,29 +145,43 @@ class Shard:
 
     def __init__(self, ids: np.ndarray, copies: np.ndarray, vectors: np.ndarray):
         self.ids, self.copies, self.v, self.graph, self.width = ids, copies, vectors, Graph(vectors), BEAM
+        self.true = self.hit = 0
 
-    def linked(self, vectors: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    def linked(self, ids: np.ndarray, vectors: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (query, member) of cosine ``least`` or more."""
-        n = len(self.ids)
-        audited = np.linspace(0, len(vectors) - 1, min(AUDIT, len(vectors))).astype(int)
-        truth = np.einsum("qd,nd->qn", vectors[audited], self.v) >= least
+        n, few = len(self.ids), self.true < FLOOR
+        audited = np.linspace(0, len(vectors) - 1, min(AUDIT * (4 if few else 1), len(vectors))).astype(int)
+        at, member = self._all(vectors[audited], least)
+        other = ids[audited[at]] != self.ids[member]
+        truth = set(zip(audited[at[other]].tolist(), member[other].tolist(), strict=True))
         while True:
-            rows, members = self._found(vectors, np.arange(len(vectors)), min(self.width, n), least)
-            hit = sum(int(truth[i, members[rows == q]].sum()) for i, q in enumerate(audited))
-            if self.width >= n or hit >= RECALL * truth.sum():
+            width = min(self.width * (2 if few else 1), n)
+            rows, members = self._found(vectors, np.arange(len(vectors)), width, least)
+            hit = len(truth & set(zip(rows.tolist(), members.tolist(), strict=True))) if truth else 0
+            if width >= n or self.hit + hit >= RECALL * (self.true + len(truth)):
+                self.true, self.hit = self.true + len(truth), self.hit + hit
                 return rows, members
             self.width *= 2
 
+    def _all(self, vectors: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs, by products of bounded size."""
+        step = max(1, PRODUCT // max(1, len(self.ids)))
+        found = [np.nonzero(vectors[i : i + step] @ self.v.T >= least) for i in range(0, len(vectors), step)]
+        return np.concatenate([r + i * step for i, (r, _) in enumerate(found)]), np.concatenate([m for _, m in found])
+
     def _found(self, vectors: np.ndarray, which: np.ndarray, width: int, least: float) -> tuple[np.ndarray, np.ndarray]:
         n = len(self.ids)
+        if width >= n:
+            at, member = self._all(vectors[which], least)
+            return which[at], member
         step = max(16, BATCH * 32 // width)
         rows, members = [], []
         again = []
         for i in range(0, len(which), step):
             own = which[i : i + step]
-            ids = np.broadcast_to(np.arange(n), (len(own), n)) if width >= n else self.graph.search(vectors[own], width)
+            ids = self.graph.search(vectors[own], width)
             near = (np.einsum("ijk,ik->ij", self.v[ids], vectors[own]) >= least) & (ids >= 0)
-            full = near.all(axis=1) & (width < n)
+            full = near.all(axis=1)
             again.append(own[full])
             r, c = np.nonzero(near & ~full[:, None])
             rows.append(own[r])
@@ -198,9 +217,24 @@ def _unit(column: pa.Array, dim: int) -> np.ndarray:
     return flat / np.sqrt((flat * flat).sum(axis=1, keepdims=True))
 
 
+FOUND = ["a", "b", "n", "audited", "seen"]
+
+
+def apart(spark: SparkSession, n: int) -> list[int]:
+    """``n`` numbers that hash partitioning into ``n`` partitions puts into one each."""
+    own = spark.range(32 * n + 64).select(F.col("id").cast("int").alias("id"))
+    return [r["id"] for r in own.groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("id")).orderBy("p").collect()]  # n rows
+
+
 def _link(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     """Rows come by (target, dim, query): first a shard's members, then all queries to it."""
     shard, key, members = None, None, []
+
+    def audit() -> Iterator[pa.RecordBatch]:
+        if shard is not None:
+            nothing = pa.nulls(1, pa.int64())
+            yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, pa.array([shard.true]), pa.array([shard.hit])], names=FOUND)
+
     for batch in batches:
         marks = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("target", "dim", "query")], axis=1)
         bounds = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1).tolist(), len(marks)]
@@ -211,6 +245,7 @@ def _link(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Record
             part = batch.slice(start, stop - start)
             rows = (np.asarray(part.column("id")), np.asarray(part.column("copies")), _unit(part.column("vec"), dim))
             if (target, dim) != key:
+                yield from audit()
                 shard, key, members = None, (target, dim), []
             if not query:
                 members.append(rows)
@@ -221,31 +256,39 @@ def _link(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Record
                 shard, members = Shard(*(np.concatenate(x) for x in zip(*members, strict=True))), []
             ids, _, vectors = rows
             for i in range(0, len(ids), BATCH):
-                q, m = shard.linked(vectors[i : i + BATCH], least)
+                q, m = shard.linked(ids[i : i + BATCH], vectors[i : i + BATCH], least)
                 a, b = ids[i + q], shard.ids[m]
                 on = a != b
                 n = np.bincount(q[on], weights=shard.copies[m[on]], minlength=len(ids[i : i + BATCH])).astype(np.int64)
                 u, v = _forest(a[on], b[on])
                 own = ids[i : i + BATCH][n > 0]
-                nothing = pa.nulls(len(own), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(own), nothing, pa.array(n[n > 0])], names=["a", "b", "n"])
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.nulls(len(u), pa.int64())], names=["a", "b", "n"])
+                none, nothing = pa.nulls(len(own), pa.int64()), pa.nulls(len(u), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(own), none, pa.array(n[n > 0]), none, none], names=FOUND)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), nothing, nothing, nothing], names=FOUND)
+    yield from audit()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, min_shards: int = 8, shard_rows: int = 250_000) -> DataFrame:
-    """``id_col``, ``n_links``, ``component_id`` and ``kept`` of every row; links are pairs of cosine ``least`` or more."""
+    """``id_col``, ``n_links``, ``component_id`` and ``kept`` of every row; links are pairs of cosine ``least`` or more.
+
+    ``audited_links`` and ``found_links``: the true links that the audits of all shards saw and those of them that the searches found.
+    """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vec"))
     good = F.col("id").isNotNull() & F.coalesce((F.size("vec") > 0) & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0), F.lit(False))
     classes = cut(rows.filter(good).groupBy("vec").agg(F.min("id").alias("class"), F.count("*").alias("copies")))
     shards = max(min_shards, ceil(classes.count() / shard_rows))
     dealt = classes.select(F.col("class").alias("id"), "copies", "vec", F.size("vec").alias("dim"))
-    members = dealt.select(F.pmod(F.xxhash64("id", "vec"), F.lit(shards)).cast("int").alias("target"), "dim", F.lit(False).alias("query"), "id", "copies", "vec")
-    queries = dealt.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("target"), "dim", F.lit(True).alias("query"), "id", "copies", "vec")
-    found = cut(members.unionByName(queries).repartition(shards, "target").sortWithinPartitions("target", "dim", "query").mapInArrow(lambda b: _link(b, least), "a long, b long, n long"))
+    numbers = apart(df.sparkSession, shards)
+    numbers += range(max(numbers) + 1, max(numbers) + 1 + shards - len(numbers))
+    target = F.element_at(F.lit(numbers), (F.pmod(F.xxhash64("id", "vec"), F.lit(shards)) + 1).cast("int")).cast("int")
+    members = dealt.select(target.alias("target"), "dim", F.lit(False).alias("query"), "id", "copies", "vec")
+    queries = dealt.select(F.explode(F.lit(numbers)).alias("target"), "dim", F.lit(True).alias("query"), "id", "copies", "vec")
+    found = cut(members.unionByName(queries).repartition(shards, "target").sortWithinPartitions("target", "dim", "query").mapInArrow(lambda b: _link(b, least), ", ".join(f"{c} long" for c in FOUND)))
+    audited, seen = found.agg(F.coalesce(F.sum("audited"), F.lit(0)), F.coalesce(F.sum("seen"), F.lit(0))).first()
     links = found.filter("n IS NOT NULL").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("others"))
-    roots = components(found.filter("n IS NULL")).select(F.col("node").alias("class"), "root")
+    roots = components(found.filter("b IS NOT NULL")).select(F.col("node").alias("class"), "root")
     named = classes.join(links, "class", "left").join(roots, "class", "left").select("vec", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "class").alias("component_id"))
     own = rows.filter(good).join(named, "vec").select("id", "n_links", "component_id")
     rest = rows.filter(~good).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = own.unionByName(rest)
-    return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"), F.lit(audited).cast("long").alias("audited_links"), F.lit(seen).cast("long").alias("found_links"))

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -37,6 +38,17 @@ def test_bpe_against_tiktoken(spark, tik):
     assert {r.doc_id: bytes(r.decoded) for r in again.collect()} == {1: cases[5].encode(), 2: b""}
 
 
+def test_bpe_folded_rows(tik):
+    bpe, rng = byte_bpe.ByteBpe(PATH, public_tokenizers.PATTERN), random.Random(3)
+    for k in range(60):
+        piece = "".join(rng.choices(rng.choice(["ab", "aab ", "etaoin", "日本a", "0123456789"]), k=rng.randint(2, 400))).encode()
+        if piece not in bpe.ranks:
+            ids = bpe.of_byte[list(piece)]
+            [plain] = bpe.merge(ids[None, :].copy(), np.array([len(ids)]))
+            assert bpe.merge_folded(ids).tolist() == plain.tolist()
+    assert bpe.merge_folded(bpe.of_byte[list(b"ab" * 100_000)]).size == 100_000
+
+
 def test_bpe_query(spark, sf, tik):
     texts = {r.doc_id: r.text for r in queries.table(spark, sf, "documents").collect()}
     for r in queries.op10_byte_bpe(spark, sf).collect():
