@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that Spark may put into one Arrow batch: texts are long, and both sides of a task hold whole batches.
@@ -49,6 +49,13 @@ def texts(batch: pa.RecordBatch) -> list[str]:
     return [t or "" for t in batch.column("text").to_pylist()]
 
 
+def apart(spark: SparkSession, n: int) -> list[int]:
+    """``n`` numbers, of which hash partitioning by an int column into ``n`` partitions puts one into each (a few may meet)."""
+    own = spark.range(8 * n + 256).select(F.col("id").cast("int").alias("id"))
+    found = [r["id"] for r in own.groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("id")).orderBy("p").collect()]  # n rows at most
+    return [*found, *range(8 * n + 256, 8 * n + 256 + n - len(found))]
+
+
 class Numbering(dict):
     """Numbers keys in the order of their first use."""
 

@@ -22,9 +22,10 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablesmith.llm.batches import apart
 from tablesmith.llm.components import components, cut
 
 DEGREE, BUILD_BEAM, BEAM, BATCH = 12, 32, 24, 1024
@@ -220,12 +221,6 @@ def _unit(column: pa.Array, dim: int) -> np.ndarray:
 FOUND = ["a", "b", "n", "audited", "seen"]
 
 
-def apart(spark: SparkSession, n: int) -> list[int]:
-    """``n`` numbers that hash partitioning into ``n`` partitions puts into one each."""
-    own = spark.range(32 * n + 64).select(F.col("id").cast("int").alias("id"))
-    return [r["id"] for r in own.groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("id")).orderBy("p").collect()]  # n rows
-
-
 def _link(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     """Rows come by (target, dim, query): first a shard's members, then all queries to it."""
     shard, key, members = None, None, []
@@ -279,7 +274,6 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     shards = max(min_shards, ceil(classes.count() / shard_rows))
     dealt = classes.select(F.col("class").alias("id"), "copies", "vec", F.size("vec").alias("dim"))
     numbers = apart(df.sparkSession, shards)
-    numbers += range(max(numbers) + 1, max(numbers) + 1 + shards - len(numbers))
     target = F.element_at(F.lit(numbers), (F.pmod(F.xxhash64("id", "vec"), F.lit(shards)) + 1).cast("int")).cast("int")
     members = dealt.select(target.alias("target"), "dim", F.lit(False).alias("query"), "id", "copies", "vec")
     queries = dealt.select(F.explode(F.lit(numbers)).alias("target"), "dim", F.lit(True).alias("query"), "id", "copies", "vec")

@@ -6,11 +6,13 @@ Probabilities are Dirichlet-smoothed: p(w | h) = (c(hw) + K p(w)) / (c(h) + K) w
 log10 K / (c(h) + K) is the failure weight and every state's probabilities sum to one over seen words and one unseen word.
 
 The model is as large as the corpus, so no task holds all of it. Documents are dealt into blocks of bounded size. A block sends
-each part of the key space its distinct words and bigrams (as 64-bit hashes, in order) with their counts among its learning
+the parts of the key space its distinct words and bigrams (as 64-bit hashes, in order) with their counts among its learning
 documents; a part adds the counts up and answers each block in that same order. The block then has the counts that all of its
-documents need: it builds its portion of the automaton and traverses it. A key, however frequent, is sent once by each block.
+documents need: it builds its portion of the automaton and traverses it. A key, however frequent, is sent once by each block, and a
+block sends nothing to a part of which it has no key, so that there are never more messages than keys of blocks: the work is linear
+in the corpus, however many blocks and parts there are. Blocks and parts are numbered so that each has a task of its own.
 
-Edge cases: a null or empty text is the end token alone; equal rows are scored one by one; without learning rows all counts
+Edge cases: a null or empty text is the end token alone; a very long text is one block, read whole; equal rows are scored one by one; without learning rows all counts
 are zero and every token has probability one (V and N are zero); an empty table gives an empty result; other columns are
 not read.
 """
@@ -27,12 +29,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablesmith.llm.batches import id_and_text
+from tablesmith.llm.batches import apart, id_and_text
+from tablesmith.llm.components import cut
 
 #: Hashed names of the end token and of the state before the first word; words hold no space.
 END, START = (np.uint64(xxhash.xxh3_64_intdigest(name)) for name in (b" end", b" start"))
-SENT = "part long, block long, sizes array<long>, keys binary, counts binary"
-ANSWER = "block long, part long, sizes array<long>, counts binary, learned long, kinds long"
+SENT = "part int, place int, block int, sizes array<long>, keys binary, counts binary"
+ANSWER = "block int, part int, place int, sizes array<long>, counts binary, learned long, kinds long"
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -72,12 +75,6 @@ class Tokens:
         self.pair = bigram(self.history, self.key)
 
 
-def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Where sorted keys pass from one part of the key space to the next."""
-    bounds = np.array([(i << 64) // parts for i in range(1, parts)], dtype=np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
-
-
 def _counted(keys: np.ndarray, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys in order and how often each occurs among the learning documents."""
     distinct = np.unique(keys)
@@ -87,21 +84,23 @@ def _counted(keys: np.ndarray, learned: np.ndarray) -> tuple[np.ndarray, np.ndar
     return distinct, counts
 
 
-def _send(block: int, texts: pa.Array, learn: np.ndarray, parts: int) -> pa.Table:
+def _send(block: int, texts: pa.Array, learn: np.ndarray, parts: list[int]) -> pa.Table:
+    """One message for each part of the key space (numbered by ``parts``) that has a word or bigram of the block."""
     tokens = Tokens(texts)
     learned = np.repeat(learn, tokens.ends - tokens.starts)
     both = [_counted(keys, learned) for keys in (tokens.key, tokens.pair)]
-    cuts = [_cuts(keys, parts) for keys, _ in both]
-    rows: dict[str, list] = {"part": [], "block": [], "sizes": [], "keys": [], "counts": []}
-    for p in range(parts):
-        keys = [k[c[p] : c[p + 1]] for (k, _), c in zip(both, cuts, strict=True)]
-        counts = [n[c[p] : c[p + 1]] for (_, n), c in zip(both, cuts, strict=True)]
-        rows["part"].append(p)
-        rows["block"].append(block)
+    bounds = np.array([(i << 64) // len(parts) for i in range(1, len(parts))], dtype=np.uint64)
+    place = [np.searchsorted(bounds, keys, "right") for keys, _ in both]
+    used = np.union1d(*place)
+    cuts = [(np.searchsorted(at, used), np.searchsorted(at, used, "right")) for at in place]
+    rows: dict[str, list] = {"part": [parts[p] for p in used], "place": used.tolist(), "block": [block] * len(used), "sizes": [], "keys": [], "counts": []}
+    for i in range(len(used)):
+        keys = [k[lo[i] : hi[i]] for (k, _), (lo, hi) in zip(both, cuts, strict=True)]
+        counts = [n[lo[i] : hi[i]] for (_, n), (lo, hi) in zip(both, cuts, strict=True)]
         rows["sizes"].append([len(k) for k in keys])
         rows["keys"].append(b"".join(pack(np.diff(k, prepend=np.uint64(0))) for k in keys))
         rows["counts"].append(pack(np.concatenate(counts)))
-    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
     return pa.table([pa.array(v, k) for v, k in zip(rows.values(), kinds, strict=True)], names=list(rows))
 
 
@@ -121,7 +120,7 @@ def _add_up(sent: pa.Table) -> pa.Table:
         sums.append(np.split(total.astype(np.uint32)[inverse], np.cumsum([len(o) for o in own])[:-1]))
     answers = [pack(np.concatenate(pair)) for pair in zip(*sums, strict=True)]
     n = sent.num_rows
-    return pa.table([sent.column("block"), sent.column("part"), sent.column("sizes"), pa.array(answers, pa.binary()), pa.array([learned] * n, pa.int64()), pa.array([kinds] * n, pa.int64())], names=["block", "part", "sizes", "counts", "learned", "kinds"])
+    return pa.table([sent.column("block"), sent.column("part"), sent.column("place"), sent.column("sizes"), pa.array(answers, pa.binary()), pa.array([learned] * n, pa.int64()), pa.array([kinds] * n, pa.int64())], names=["block", "part", "place", "sizes", "counts", "learned", "kinds"])
 
 
 class Automaton:
@@ -154,13 +153,12 @@ class Automaton:
         return tuple(np.add.reduceat(x, first) if len(first) else x[:0] for x in (root, step, known))
 
 
-def _score(docs: pa.Table, answers: pa.Table, prior: float, id_col: str) -> pa.Table:
+def _score(docs: pa.Table, answers: pa.Table, learned: int, kinds: int, prior: float, id_col: str) -> pa.Table:
     tokens = Tokens(docs.column("text").combine_chunks())
-    answers = answers.sort_by("part")
+    answers = answers.sort_by("place")
     counts, sizes = [unpack(c, np.uint32) for c in answers.column("counts").to_pylist()], answers.column("sizes").to_pylist()
     words = np.concatenate([c[: n[0]] for c, n in zip(counts, sizes, strict=True)])
     pairs = np.concatenate([c[n[0] :] for c, n in zip(counts, sizes, strict=True)])
-    learned, kinds = (pc.sum(answers.column(c)).as_py() for c in ("learned", "kinds"))
     automaton = Automaton(np.unique(tokens.key), words, np.unique(tokens.pair), pairs, learned, kinds, prior)
     base, score, known = automaton.traverse(tokens)
     n = docs.num_rows
@@ -175,9 +173,13 @@ def score(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     """
     src = id_and_text(df, id_col, text_col, F.coalesce(learn, F.lit(False)).alias("learn"))
     size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks, parts = max(1, ceil(size / block_bytes)), max(1, ceil(size / part_bytes))
-    docs = src.withColumn("block", F.pmod(F.xxhash64("id", F.length("text")), F.lit(blocks)))
+    blocks, parts = (apart(df.sparkSession, max(1, ceil(size / n))) for n in (block_bytes, part_bytes))
+    number = F.pmod(F.xxhash64("id", F.length("text")), F.lit(len(blocks))) + 1
+    docs = src.withColumn("block", F.element_at(F.lit(blocks), number.cast("int"))).repartition(len(blocks), "block")
     sent = docs.groupBy("block").applyInArrow(lambda key, t: _send(key[0].as_py(), t.column("text").combine_chunks(), np.asarray(t.column("learn")), parts), SENT)
-    answers = sent.groupBy("part").applyInArrow(_add_up, ANSWER)
+    answers = cut(sent.repartition(len(parts), "part").groupBy("part").applyInArrow(_add_up, ANSWER))
+    # Each message of a part says how many tokens and kinds of words the part has learned.
+    totals = answers.groupBy("part").agg(F.first("learned").alias("learned"), F.first("kinds").alias("kinds")).agg(F.coalesce(F.sum("learned"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    learned, kinds = int(totals[0]), int(totals[1])
     kind = src.schema["id"].dataType.simpleString()
-    return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: _score(a, b, prior, id_col), f"`{id_col}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: _score(a, b, learned, kinds, prior, id_col), f"`{id_col}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -309,11 +309,14 @@ def train(df: DataFrame, labels: DataFrame, learn: Column, label_col: str = "tox
     order = sorted(range(len(ids)), key=ids.__getitem__)
     rank = np.empty(len(ids), np.int32)
     rank[order] = np.arange(len(ids), dtype=np.int32)
-    keys, term = np.unique(h.view(np.uint64), return_inverse=True)
-    term = term.astype(np.int32)
-    del h
+    place = np.argsort(h.view(np.uint64)).astype(np.int32)
+    h = h.view(np.uint64)[place]
+    new = np.append(True, h[1:] != h[:-1])[: len(h)]
+    keys, term = h[new], np.empty(len(h), np.int32)
+    term[place] = np.cumsum(new, dtype=np.int32) - 1
+    del h, new, place
     t1, t = int(label.sum()), len(ids)
-    n1 = np.bincount(term, np.repeat(label, size).astype(float), len(keys))
+    n1 = np.bincount(term[np.repeat(label, size)], minlength=len(keys)).astype(float)
     both = np.bincount(term, minlength=len(keys))
     t0 = t - t1
     chi = t * (n1 * t0 - (both - n1) * t1) ** 2 / np.maximum(both * (t - both) * float(max(t1, 1)) * max(t0, 1), 1)
