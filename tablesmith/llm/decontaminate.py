@@ -26,11 +26,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablesmith.llm.components import cut
+from tablesmith.llm.components import cut, small
 
 WIDTH, SIMILARITY, RADIUS = 5, 0.8, 12
-#: A side of at most so many rows of fixed size may be broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 500_000
 
 
 def words(text: Column) -> Column:
@@ -54,10 +52,6 @@ def blocks(fp: str, radius: int) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("block"), F.expr(f"shiftrightunsigned({fp}, {a}) & {(1 << (b - a)) - 1 if b - a < 64 else -1}L").alias("bits")) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))])
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def find_leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """``id_col``, ``item_col``, ``start`` (word, from 0), ``similarity`` and ``differing_bits`` of the best window of each leak.
 

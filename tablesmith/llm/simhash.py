@@ -5,10 +5,12 @@ vectors is never above the fingerprints' Hamming distance, so all pairs within r
 The segments are dealt into G groups; a pair within R differs in at most R groups, hence agrees in some set of G - R groups
 and meets in the grid cell that this set's counts name. Every cell is then joined in one task: pairs within Manhattan
 distance R are verified by exact Hamming distance, and only links that join different local components leave the task, so a
-cell of m fingerprints gives at most about m rows whatever the number of its pairs. Equal fingerprints count once throughout.
+cell of m fingerprints gives at most about m rows whatever the number of its pairs. A cell of more than ``CELL`` fingerprints is dealt
+into chunks, and each pair of chunks is a task's group of its own: every pair still meets, and no group grows with the input. Equal
+fingerprints count once throughout.
 
 Edge cases: null and empty texts have fingerprint zero, linked like any other; a text of fewer words than a shingle is hashed
-whole; equal rows share a component; an empty table gives an empty result; null ids are never a component's name unless a
+whole, very long ones in steps; equal rows share a component; an empty table gives an empty result; null ids are never a component's name unless a
 component has no other; other columns are not read.
 """
 
@@ -24,9 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablesmith.llm.batches import id_and_text, steps, texts
-from tablesmith.llm.components import components, cut
+from tablesmith.llm.components import components, cut, small
 
 SEED = 42
+#: Fingerprints of one group of a grid's cell.
+CELL = 1 << 14
 ODD = 0x5555555555555555
 
 
@@ -123,11 +127,26 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return root[label]
 
 
-def links(fps: DataFrame, radius: int = 3, groups: int = 6) -> DataFrame:
+def fitting_groups(n: int, radius: int) -> int:
+    """The fewest groups for which a cell of ``n`` evenly spread fingerprints holds some 16 of them at most (10 at least as fine as any)."""
+    for groups in range(radius + 3, 10):
+        if n <= 16 * 2 ** (1.5 * 32 * (groups - radius) / groups):  # a two-bit segment's count has 1.5 bits
+            return groups
+    return 10
+
+
+def links(fps: DataFrame, radius: int = 3, groups: int | None = None) -> DataFrame:
     """``a`` and ``b``: links that connect all fingerprints (distinct rows of ``fp``) within ``radius`` bits as all pairs would."""
     vector = counts_vector(F.col("fp"))
-    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("grid"), vector.bitwiseAND(F.lit(m)).alias("cell")) for i, m in enumerate(masks(groups, radius))]))
-    dealt = fps.select("fp", cells.alias("c")).select("c.grid", "c.cell", "fp").repartition("grid", "cell").sortWithinPartitions("grid", "cell")
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("grid"), vector.bitwiseAND(F.lit(m)).alias("cell")) for i, m in enumerate(masks(groups or fitting_groups(fps.count(), radius), radius))]))
+    dealt = fps.select("fp", cells.alias("c")).select("c.grid", "c.cell", "fp")
+    large = cut(dealt.groupBy("grid", "cell").agg(F.count("*").alias("n")).filter(F.col("n") > CELL))
+    if n := large.count():
+        chunks = F.coalesce(F.ceil(F.col("n") / CELL), F.lit(1)).cast("int")
+        own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
+        met = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda other: (F.least(own, other) * F.col("chunks") + F.greatest(own, other)).cast("long") * 1000 + F.col("grid"))
+        dealt = dealt.join(small(large, n), ["grid", "cell"], "left").withColumn("chunks", chunks).select(F.explode(met).alias("grid"), "cell", "fp")
+    dealt = dealt.repartition("grid", "cell").sortWithinPartitions("grid", "cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = [np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.uint64)]
@@ -152,11 +171,11 @@ def links(fps: DataFrame, radius: int = 3, groups: int = 6) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3, groups: int = 6) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3, groups: int | None = None) -> DataFrame:
     """``id_col``, ``fp`` and ``component_id`` (the smallest id reachable by links) of every row.
 
     ``groups`` sets the grids' selectivity: with more groups a cell fixes more segments, at C(groups, radius) rows for each
-    distinct fingerprint. 6 suits tens of millions of distinct fingerprints, 8 tens of billions.
+    distinct fingerprint. It follows from the number of distinct fingerprints unless given.
     """
     docs = cut(fingerprints(df, id_col, text_col, width))
     own = docs.groupBy("fp").agg(F.min(id_col).alias("least"))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from tablesmith.llm import queries, simhash
@@ -35,7 +36,9 @@ def test_fingerprints():
         assert simhash.fingerprint(t) & (1 << 64) - 1 == plain_fingerprint(t), t
 
 
-def test_links_join_what_all_pairs_join(spark):
+@pytest.mark.parametrize("most", [1 << 14, 5])
+def test_links_join_what_all_pairs_join(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "CELL", most)
     rng = random.Random(3)
     fps = []
     for _ in range(150):

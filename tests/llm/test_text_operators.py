@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tablesmith.llm import byte_bpe, decontaminate, language_id, license_scan, license_sql, queries
+from tablesmith.llm import byte_bpe, components, decontaminate, language_id, license_scan, license_sql, queries
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -298,7 +298,7 @@ def test_leaks_beyond_the_radius_and_by_shuffle(spark, monkeypatch):
     assert len(want) > 10
     for radius in (0, 12):  # whatever the blocks find, the exact check does the rest
         assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(df, it, radius=radius).collect()} == want
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(components, "BROADCAST_ROWS", 0)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(df, it).collect()} == want
