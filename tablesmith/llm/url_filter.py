@@ -5,6 +5,9 @@ URLs and their label are transactions for Spark's FPGrowth. Rules that conclude
 confidence and lift suffice and no rule of fewer tokens with as much confidence is within them. Matching goes by an inverted index from token to
 rule: a rule fires on a URL that has as many of its tokens as the rule has.
 
+Of given rules of equal length that fit, the one given last wins; of mined rules that fire, the one of the lowest number. URLs of any
+length are read whole.
+
 Edge cases: a null URL or one without ``://`` has an empty host and path, no tokens and the verdict ``allow``; repeated rows are judged alike; without labels,
 or with too few for the support, there are no mined rules; an empty table gives an empty result; other columns are not read.
 """
@@ -15,8 +18,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablesmith.llm.components import cut
-from tablesmith.llm.decontaminate import small
+from tablesmith.llm.components import cut, small
 
 BAD = "label=bad"
 
@@ -103,7 +105,9 @@ def judge(pages: DataFrame, labels: DataFrame | None, bad: Column, rules: list[t
         known = own.join(labels.select(F.col(label_id_col).alias("id"), F.coalesce(bad, F.lit(False)).alias("bad")), "id")
         mined = mine(known, F.col("bad"), "url", **mining)
         if not mined.isEmpty():
-            out = own.join(fired(own, mined), "url", "left")
+            hits = cut(fired(own, mined))
+            has = F.coalesce(F.col("url").contains("://"), F.lit(False))  # the others, null above all, stay out of the join
+            out = own.filter(has).join(small(hits, hits.count()), "url", "left").unionByName(out.filter(~has))
     h, p = host(F.col("url")), path(F.col("url"))
     name, said = given_rule(F.col("host"), F.col("path"), rules)
     out = out.select(F.col("id").alias(id_col), "url", h.alias("host"), p.alias("path"), "mined_rule")

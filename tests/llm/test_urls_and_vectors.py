@@ -1,3 +1,5 @@
+from collections import Counter
+from itertools import combinations
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -62,6 +64,48 @@ def test_redundant_supersets_crowd_out_no_rule(spark):
     assert [r["rule"] for r in rules] == list(range(17))
 
 
+def plain_rules(rows, least, confidence, lift):
+    """Every set of tokens that is frequent, bad enough and not within reach of a smaller one as bad; rows: (url, bad)."""
+    found = [(frozenset(plain_tokens(u)), bad) for u, bad in rows]
+    n, n_bad, base = Counter(), Counter(), sum(bad for _, bad in found) / len(found)
+    for tokens, bad in found:
+        for k in range(1, len(tokens) + 1):
+            for c in combinations(sorted(tokens), k):
+                n[c] += 1
+                n_bad[c] += bad
+    sure = {c: n_bad[c] / n[c] for c in n if n_bad[c] >= least}
+    good = {c: s for c, s in sure.items() if s >= confidence and s / base >= lift}
+    return {c for c, s in good.items() if not any(sure.get(d, 0) >= s for k in range(1, len(c)) for d in combinations(c, k))}
+
+
+def plain_tokens(url):
+    host, path = parts(url)
+    labels = host.split(".")
+    query = url.split("#")[0].partition("?")[2]
+    return {*(f"host={'.'.join(labels[i:])}" for i in range(len(labels))), *(f"path={s}" for s in path.split("/") if s), *(f"query={k.split('=')[0]}" for k in query.split("&") if k)}
+
+
+def test_mined_rules_against_brute_force(spark, sf):
+    """On the given tables, where labels and URLs are unrelated, with thresholds low enough for chance to give rules."""
+    pages, labels = queries.table(spark, sf, "pages"), queries.table(spark, sf, "labels")
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    rows = [(r.url, int(r.bad)) for r in pages.join(labels, pages.page_id == labels.doc_id).select("url", bad.alias("bad")).collect() if r.url and "://" in r.url]
+    loose = {"least": 3, "support": 0.0, "confidence": 0.3, "lift": 1.0}
+    want = plain_rules(rows, 3, 0.3, 1.0)
+    known = spark.createDataFrame(rows, "url string, bad int")
+    assert {tuple(r.antecedent) for r in url_filter.mine(known, F.col("bad") == 1, **loose).collect()} == want and want
+    for r in url_filter.judge(pages, labels, bad, [], **loose).collect():
+        fires = bool(r.url) and "://" in r.url and any(set(c) <= plain_tokens(r.url) for c in want)
+        assert r.verdict == ("block" if fires else "allow"), r.url
+
+
+def test_ties_of_given_rules_and_odd_rows(spark):
+    rules = [("allow", "a.org", "/x"), ("block", "org", "/x/y"), ("block", "a.org", "/x"), ("allow", "org", "/x/z")]
+    pages = spark.createDataFrame([(1, "http://a.org/x/y", 5), (None, "http://a.org/x", 5), (2, None, 5), (2, None, 5), (3, "http://a.org/" + "x/" * 50_000, 6)], "page_id long, url string, rule int")
+    got = [(r.page_id, r["rule"], r.verdict) for r in url_filter.judge(pages, None, F.lit(False), rules).collect()]
+    assert sorted(got, key=str) == sorted([(1, "a.org/x", "block"), (None, "a.org/x", "block"), (2, None, "allow"), (2, None, "allow"), (3, "a.org/x", "block")], key=str)
+
+
 def brute(ids, vectors, least=0.9):
     good = [i for i, v in enumerate(vectors) if v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     links = {i: set() for i in range(len(ids))}
