@@ -68,12 +68,13 @@ def undercovered(df: DataFrame, column: str, domain: list[str], least: int = 1)
 
 
 def broken_chains(tables: dict[str, DataFrame], chain: list[tuple[str, str, str, str]]) -> DataFrame:
-    """Rows of the first child that do not reach the last parent; ``chain``: (child, column, parent, ref_column), outer joins."""
-    at = tables[chain[0][0]].alias("t0")
-    for i, (_, column, parent, ref) in enumerate(chain):
-        step = tables[parent].dropDuplicates([ref]).alias(f"t{i + 1}")
-        at = at.join(step, F.col(f"t{i}.{column}") == F.col(f"t{i + 1}.{ref}"), "left")
-    return at.filter(F.col(f"t{len(chain)}.{chain[-1][3]}").isNull()).select("t0.*")
+    """Rows of the first child that do not reach the last parent; ``chain``: (child, column, parent, ref_column)."""
+    # From the last parent back: the keys of each table whose rows reach the end. Semi joins need no distinct parents, and only keys move.
+    reached = tables[chain[-1][2]].select(F.col(chain[-1][3]).alias("_key"))
+    for (_, _, _, key), (child, column, _, _) in reversed(list(zip(chain, chain[1:], strict=False))):
+        reached = tables[child].join(reached, F.col(column) == F.col("_key"), "left_semi").select(F.col(key).alias("_key"))
+    child, column, _, _ = chain[0]
+    return tables[child].join(reached, F.col(column) == F.col("_key"), "left_anti")
 
 
 def roots(df: DataFrame, parent_col: str, id_col: str) -> DataFrame:

@@ -27,26 +27,31 @@ def _scalar(df: DataFrame) -> list[T.StructField]:
 def profile_table(df: DataFrame, table: str, exact: bool = True) -> DataFrame:
     """One row for each scalar column: rows, nulls, distinct values, smallest and largest, longest text, and what follows from them.
 
-    One aggregation for all columns. With ``exact`` distinct counts are exact, which expands rows by the columns' number;
-    without, they are estimates of bounded size.
+    One aggregation for all columns but for the distinct values. With ``exact`` these are counted column by column, each scan and
+    shuffle of one narrow column; without, they are estimates of bounded size within the one aggregation.
     """
-    count = F.count_distinct if exact else F.approx_count_distinct
+    fields = _scalar(df)
     parts = [F.count("*").alias("rows")]
-    for i, f in enumerate(_scalar(df)):
+    for i, f in enumerate(fields):
         c = F.col(f"`{f.name}`")
         whole = isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
-        parts += [F.count(c).alias(f"c{i}"), count(c).alias(f"d{i}"), F.min(c).cast("string").alias(f"lo{i}"), F.max(c).cast("string").alias(f"hi{i}"), F.max(F.char_length(c.cast("string"))).alias(f"len{i}")]
+        parts += [F.count(c).alias(f"c{i}"), F.min(c).cast("string").alias(f"lo{i}"), F.max(c).cast("string").alias(f"hi{i}"), F.max(F.char_length(c.cast("string"))).alias(f"len{i}")]
         parts += [(F.max(c).cast("decimal(38,0)") - F.min(c).cast("decimal(38,0)") + 1 if whole else F.lit(None).cast("decimal(38,0)")).alias(f"span{i}")]
-    wide = df.agg(*parts)
-    rows = [
+        parts += [] if exact else [F.approx_count_distinct(c).alias(f"d{i}")]
+    facts = [
         F.struct(
-            F.lit(table).alias("table"), F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), "rows", (F.col("rows") - F.col(f"c{i}")).alias("nulls"), F.col(f"d{i}").alias("distinct_values"),
-            F.col(f"lo{i}").alias("low"), F.col(f"hi{i}").alias("high"), F.col(f"len{i}").cast("long").alias("longest"), ((F.col(f"d{i}") == F.col("rows")) & (F.col(f"c{i}") == F.col("rows")) & (F.col("rows") > 0)).alias("is_unique"),
-            F.coalesce((F.col(f"span{i}") == F.col(f"d{i}")) & (F.col(f"d{i}") == F.col("rows")), F.lit(False)).alias("is_sequence"), ((F.col(f"d{i}") <= ENUM_LIMIT) & (F.col(f"d{i}") > 0)).alias("is_enum"),
+            F.lit(table).alias("table"), F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), "rows", (F.col("rows") - F.col(f"c{i}")).alias("nulls"), (F.lit(None).cast("long") if exact else F.col(f"d{i}")).alias("d"),
+            F.col(f"lo{i}").alias("low"), F.col(f"hi{i}").alias("high"), F.col(f"len{i}").cast("long").alias("longest"), F.col(f"span{i}").alias("span"),
         )
-        for i, f in enumerate(_scalar(df))
+        for i, f in enumerate(fields)
     ]
-    return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    found = df.agg(*parts).select(F.explode(F.array(*facts)).alias("r")).select("r.*")
+    if exact:
+        counts = [df.select(F.col(f"`{f.name}`").alias("v")).groupBy("v").agg(F.lit(1)).agg(F.count("v").alias("d")).select(F.lit(f.name).alias("column"), "d") for f in fields]
+        found = found.drop("d").join(F.broadcast(reduce(DataFrame.unionByName, counts)), "column")  # one row for each column
+    full = (F.col("d") == F.col("rows")) & (F.col("rows") > 0)
+    flags = [full.alias("is_unique"), F.coalesce((F.col("span") == F.col("d")) & full, F.lit(False)).alias("is_sequence"), ((F.col("d") <= ENUM_LIMIT) & (F.col("d") > 0)).alias("is_enum")]
+    return found.select("table", "column", "type", "rows", "nulls", F.col("d").alias("distinct_values"), "low", "high", "longest", *flags)
 
 
 def enum_domains(df: DataFrame, columns: list[str]) -> DataFrame:
