@@ -174,7 +174,7 @@ def score(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     src = id_and_text(df, id_col, text_col, F.coalesce(learn, F.lit(False)).alias("learn"))
     size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks, parts = (apart(df.sparkSession, max(1, ceil(size / n))) for n in (block_bytes, part_bytes))
-    number = F.pmod(F.xxhash64("id", F.length("text")), F.lit(len(blocks))) + 1
+    number = F.pmod(F.xxhash64("id", "text"), F.lit(len(blocks))) + 1
     docs = src.withColumn("block", F.element_at(F.lit(blocks), number.cast("int"))).repartition(len(blocks), "block")
     sent = docs.groupBy("block").applyInArrow(lambda key, t: _send(key[0].as_py(), t.column("text").combine_chunks(), np.asarray(t.column("learn")), parts), SENT)
     answers = cut(sent.repartition(len(parts), "part").groupBy("part").applyInArrow(_add_up, ANSWER))

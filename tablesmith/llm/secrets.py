@@ -6,7 +6,8 @@ stands for them where it is used. An assignment to a sensitive name whose value
 literal in it that no base span covers (``lexed`` where the literal stands in the assignment, ``const`` where it was bound to
 another name before).
 
-Edge cases: null and empty texts have no spans; repeated rows are scanned one by one; names and texts of any length are
+Edge cases: null and empty texts have no spans; spans of one start come in the order of the kinds, a literal that several assignments reach
+is one span (of the first); repeated rows are scanned one by one; names and texts of any length are
 lexed whole; an empty table gives an empty result; other columns are not read.
 """
 

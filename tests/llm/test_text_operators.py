@@ -313,3 +313,18 @@ def test_leaks_in_a_very_long_text_and_of_many_items(spark):
     many = spark.range(20_000).selectExpr("id as item_id", "array_join(transform(sequence(1, 31), i -> concat('k', cast(pmod(xxhash64(id, i), 100000) as string))), ' ') as text")
     docs = many.filter("item_id % 1000 = 7").selectExpr("item_id + 5 as doc_id", "concat('before ', text, ' after') as text")
     assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, many).collect()} == {(1000 * i + 12, 1000 * i + 7) for i in range(20)}
+
+
+def test_pipeline_stages_on_odd_tables(spark, sf):
+    """Empty input, clashing and missing columns, null and very long texts go through every stage."""
+    kind = queries.table(spark, sf, "documents").schema
+    odd = [(1, "word " * 60_000, "en", "s", 5), (2, None, None, None, None), (3, "", "en", "s", 0), (None, "password = 'k8sJ2mQ9xZ4tB7'", "de", "s", 28), (4, "password = 'k8sJ2mQ9xZ4tB7'", "de", "s", 28)]
+    for docs in (spark.createDataFrame([], kind), spark.createDataFrame(odd, kind).withColumns({"score": F.lit(1), "component_id": F.lit("x"), "id": F.lit(None).cast("string"), "rows": F.lit(2)}).drop("n_chars")):
+        at = docs
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, at, sf)
+            assert k == 4 or out.columns == docs.columns, name
+            at = out if k == 4 else components.cut(out)
+            if name == "secret_scan":
+                assert at.filter("text LIKE '%k8sJ2mQ9xZ4tB7%'").count() == 0
+        assert at.count() == (4 if docs.count() else 0)  # of rows 2 and 3, copies of each other, one stays
