@@ -2,7 +2,9 @@
 
 Toxic documents go; one document of each near-duplicate group stays (the one of the smallest id); documents that leak a
 benchmark item go; secrets are replaced within the texts; what is left is encoded. Rows without an id have no duplicates and
-leak nothing; rows that share an id are one document.
+leak nothing; rows that share an id are one document. Null and empty texts are one group of copies (those with an id), long texts are read
+whole, empty tables give empty results with their columns, and columns beyond those of documents, whatever their names, stay with their
+rows up to the last stage.
 """
 
 from __future__ import annotations
@@ -39,7 +41,10 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return secrets.redact_secrets(docs).withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
+    clean = secrets.redact_secrets(docs)
+    if "n_chars" not in docs.columns:
+        return clean
+    return clean.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
