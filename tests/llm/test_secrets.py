@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from tablesmith.llm import queries, secrets
@@ -64,3 +65,33 @@ def test_query_digests(spark, sf):
         assert r.n_assign + r.n_access + r.n_hex == len([x for x in want.split(",") if x])
     empty = queries.table(spark, sf, "documents").limit(0)
     assert secrets.find_secrets(empty).count() == 0
+
+
+def test_constants_reach_every_use_as_plain_substitution_says():
+    """Random programs: names are bound to literals and earlier names; the spans are those that substituting line by line gives."""
+    rng = random.Random(12)
+    for _ in range(200):
+        text, bound, want = "", {}, {}
+        for line in range(rng.randint(3, 25)):
+            sensitive = rng.random() < 0.3
+            name = rng.choice(["signing_key", "auth_header", "db_credential"]) if sensitive else f"v{rng.randint(0, 6)}"
+            text += f"{name} = "
+            own, reached = [], []
+            for k in range(rng.randint(1, 3)):
+                text += " + " if k else ""
+                if bound and rng.random() < 0.5:
+                    used = rng.choice(sorted(bound))
+                    text += used
+                    reached += bound[used]
+                else:
+                    literal = "".join(rng.sample("ghjkmnpqrstvwxyz", 12)) + "".join(rng.sample("23456789", 6))
+                    own.append((len(text) + 1, len(text) + 1 + len(literal)))
+                    reached.append(own[-1])
+                    text += f'"{literal}"'
+            text += "\n"
+            if sensitive:
+                for span in reached:
+                    want.setdefault(span, "lexed" if span in own else "const")
+            bound[name] = reached
+        got = {(s["start"], s["end"]): s["kind"] for s in secrets.scan(text)}
+        assert got == want, text
