@@ -241,3 +241,62 @@ def test_preload_reads_referenced_parents_only(spark):
     assert list(src.preload_keys(tables, s, ["b"])) == [("a", "id")]
     index = src.dense_index(spark.createDataFrame([(x,) for x in (9, 3, 3, 7)], "key long")).orderBy("idx").collect()
     assert [(r.idx, r.key) for r in index] == [(0, 3), (1, 7), (2, 9)]
+
+
+REFILLS = [
+    ("pairs", {"a": {"id": ID}, "b": {"id": ID}, "pairs": {"a_id": ref("a.id", pk=True), "b_id": ref("b.id", pk=True)}}, 3, 3),
+    ("day", {"day": {"at": {"type": "date", "pk": True}}}, 5, 5),
+    ("bell", {"bell": {"at": {"type": "time", "pk": True}}}, 5, 5),
+    ("moment", {"moment": {"at": {"type": "timestamp", "pk": True}}}, 5, 5),
+    ("snap", {"a": {"id": ID}, "snap": {"a_id": ref("a.id", pk=True), "day": {"type": "date", "pk": True}}}, 4, 4),
+    ("short", {"short": {"k": {"type": "varchar", "ddl_type": "varchar(2)", "pk": True}}}, 300, 300),
+    ("badge", {"a": {"id": ID}, "badge": {"id": ID, "a_id": ref("a.id", unique=True)}}, 2, 2),
+    ("mixed", {"mixed": {"id": {"type": "uuid", "pk": True}, "d": {"type": "date", "unique": True}, "t": {"type": "timestamp", "unique": True}, "c": {"type": "time", "unique": True}, "x": {"type": "varchar", "ddl_type": "varchar(8)", "unique": True}, "m": {"type": "numeric", "ddl_type": "numeric(10,2)", "unique": True}, "e": {"type": "text", "unique": True}}}, 5, 5),
+]
+
+
+@pytest.mark.parametrize("table, columns, rows, more", REFILLS, ids=[r[0] for r in REFILLS])
+def test_a_filled_table_goes_on_without_repeated_keys(spark, table, columns, rows, more):
+    s = spec(**columns)
+    held = {"a": spark.range(3, 12), "b": spark.range(7, 9)}
+    for k in range(3):
+        made = synth.synthesize(spark, s, rows=rows if k == 0 else more, targets=[table], existing=held).tables[table]
+        held[table] = src.cut_lineage(made if table not in held else held[table].unionByName(made))
+        assert held[table].count() == rows + k * more
+        keys = [s.keys(table), *[[c] for c, v in s.tables[table].items() if v.unique]]
+        assert all(checks.duplicates(held[table], *key).count() == 0 for key in keys if key)
+
+
+def test_exhausted_domains(spark):
+    two = spec(t={"k": {"type": "varchar", "ddl_type": "varchar(2)", "unique": True}})
+    assert synth.synthesize(spark, two, rows=1296).tables["t"].distinct().count() == 1296
+    with pytest.raises(ValueError, match="exhausted"):
+        synth.synthesize(spark, two, rows=1297)
+    clock = spec(t={"at": {"type": "time", "unique": True}})
+    with pytest.raises(ValueError, match="exhausted"):
+        synth.synthesize(spark, clock, rows=5, existing={"t": spark.createDataFrame([("23:59:57",)], "at string")})
+    child = spec(p={"id": ID}, c={"p_id": ref("p.id", pk=True), "s": {"type": "text", "generator": "randomstring(a,b)"}})
+    made = synth.synthesize(spark, child, rows=2, targets=["c"], existing={"p": spark.range(3)}, min_enum_rows=4)
+    assert made.tables["c"].count() == made.tables["c"].select("p_id").distinct().count() == 3 and made.warnings.count() == 1
+
+
+def test_children_of_a_refilled_table_refer_to_old_and_new_keys(spark):
+    s = spec(day={"at": {"type": "date", "pk": True}}, visit={"id": ID, "at": {"type": "date", "fk": "day.at"}})
+    held = spark.createDataFrame([("2000-01-01",), ("2000-01-03",)], "at string").selectExpr("cast(at as date) as at")
+    made = synth.synthesize(spark, s, rows=40, table_rows={"day": 3}, existing={"day": held}).tables
+    days = held.unionByName(made["day"])
+    assert days.distinct().count() == 5 and checks.orphans(made["visit"], "at", days, "at").count() == 0
+    assert made["visit"].select("at").distinct().count() == 5
+
+
+def test_tables_go_to_a_database_and_back(spark):
+    try:
+        spark.sparkContext._jvm.java.lang.Class.forName("org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    except Exception:
+        pytest.skip("no embedded database")
+    options = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    url = "jdbc:derby:memory:one;create=true"
+    df = spark.range(50).selectExpr("id as k", "cast(id as string) as name")
+    assert sinks.write_tables({"a": df}, ["a"], url, "jdbc", **options) == ["a"]
+    back = src.load_jdbc(spark, url, ["a"], partitionColumn="k", lowerBound="0", upperBound="50", numPartitions="3", **options)["a"]
+    assert back.rdd.getNumPartitions() == 3 and sorted((r[0], r[1]) for r in back.collect()) == [(i, str(i)) for i in range(50)]
