@@ -53,8 +53,39 @@ NAMES = [
     (["longitude", "lng", "lon"], [], "longitude"),
 ]
 #: Defaults by type name for the two dialects.
-MYSQL = [(BOOLS + ["tinyint", "bit"], "bool"), (["smallint", "mediumint", "int", "integer"], "number(1,1000)"), (["bigint"], "number(1,100000)"), (["float", "double", "real"], "float64"), (DECIMALS, "price(1,1000)"), (["char", "varchar"], "word"), (["text", "tinytext", "mediumtext", "longtext"], "sentence"), (DATES, "date"), (["time"], "time"), (["datetime", "timestamp"], "datetime"), (["year"], "number(2000,2025)"), (["json"], "json")]
-POSTGRES = [(BOOLS, "bool"), (["smallint", "int2"], "number(1,1000)"), (["int", "integer", "int4"], "number(1,10000)"), (["bigint", "int8"], "number(1,100000)"), (["serial", "bigserial", "smallserial"], ""), (["real", "float4", "float8", "double precision"], "float64"), (DECIMALS, "price(1,1000)"), (["money"], "price(1,10000)"), (["char", "varchar", "bpchar", "character varying", "character"], "word"), (["text"], "sentence"), (["uuid"], "uuid"), (DATES, "date"), (TIMES, "time"), (INSTANTS[1:], "datetime"), (["json", "jsonb"], "json"), (["inet", "cidr"], "ipv4"), (["macaddr"], "macaddress")]
+MYSQL = [
+    (BOOLS + ["tinyint", "bit"], "bool"),
+    (["smallint", "mediumint", "int", "integer"], "number(1,1000)"),
+    (["bigint"], "number(1,100000)"),
+    (["float", "double", "real"], "float64"),
+    (DECIMALS, "price(1,1000)"),
+    (["char", "varchar"], "word"),
+    (["text", "tinytext", "mediumtext", "longtext"], "sentence"),
+    (DATES, "date"),
+    (["time"], "time"),
+    (["datetime", "timestamp"], "datetime"),
+    (["year"], "number(2000,2025)"),
+    (["json"], "json"),
+]
+POSTGRES = [
+    (BOOLS, "bool"),
+    (["smallint", "int2"], "number(1,1000)"),
+    (["int", "integer", "int4"], "number(1,10000)"),
+    (["bigint", "int8"], "number(1,100000)"),
+    (["serial", "bigserial", "smallserial"], ""),
+    (["real", "float4", "float8", "double precision"], "float64"),
+    (DECIMALS, "price(1,1000)"),
+    (["money"], "price(1,10000)"),
+    (["char", "varchar", "bpchar", "character varying", "character"], "word"),
+    (["text"], "sentence"),
+    (["uuid"], "uuid"),
+    (DATES, "date"),
+    (TIMES, "time"),
+    (INSTANTS[1:], "datetime"),
+    (["json", "jsonb"], "json"),
+    (["inet", "cidr"], "ipv4"),
+    (["macaddr"], "macaddress"),
+]
 
 
 def _listed(values: Column) -> Column:

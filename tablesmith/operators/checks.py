@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablesmith.sources.tables import cut_lineage, row_counts
+from tablesmith.sources.tables import cut_lineage, row_counts, small
 
 
 def summary(violations: DataFrame, name: str) -> DataFrame:
@@ -86,9 +86,11 @@ def depth_violations(df: DataFrame, id_col: str, parent_col: str, depth: int) ->
     """``id`` of rows more than ``depth`` steps from a root; rows on a cycle or below one never reach a root and violate."""
     links = cut_lineage(df.select(F.col(id_col).alias("id"), F.col(parent_col).alias("up")))
     open_ = cut_lineage(links.filter(F.col("up").isNotNull() & (F.col("up") != F.col("id"))).select("id", "up"))
+    step = links.filter(F.col("up").isNotNull() & (F.col("up") != F.col("id"))).select(F.col("id").alias("up"), F.col("up").alias("next"))
     for _ in range(depth):
-        step = links.select(F.col("id").alias("up"), F.when(F.col("up") == F.col("id"), F.lit(None)).otherwise(F.col("up")).alias("next"))
-        open_ = cut_lineage(open_.join(step, "up", "left").filter(F.col("next").isNotNull()).select("id", F.col("next").alias("up")))
+        # Most rows may share a few parents: the parents are looked up once each, and few of them are broadcast.
+        known = cut_lineage(open_.select("up").distinct().join(step, "up"))
+        open_ = cut_lineage(open_.join(small(known, known.count()), "up").select("id", F.col("next").alias("up")))
         if open_.isEmpty():
             break
     return open_.select("id")

@@ -82,7 +82,9 @@ def seed_plan(ranked: DataFrame, edges: DataFrame, volumes: DataFrame) -> DataFr
     hard = hard_edges(edges).groupBy(F.col("child").alias("table")).agg(F.array_sort(F.collect_set("parent")).alias("hard"))
     soft = edges.filter(F.col("nullable") & (F.col("parent") != F.col("child"))).groupBy(F.col("child").alias("table")).agg(F.array_sort(F.collect_set(F.concat("parent", F.lit("?")))).alias("soft"))
     none = F.array().cast("array<string>")
-    return ranked.join(volumes, "table", "left").join(hard, "table", "left").join(soft, "table", "left").select("table", "level", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.array_join(F.concat(F.coalesce("hard", none), F.coalesce("soft", none)), ",").alias("dependencies"))
+    dependencies = F.array_join(F.concat(F.coalesce("hard", none), F.coalesce("soft", none)), ",").alias("dependencies")
+    full = ranked.join(volumes, "table", "left").join(hard, "table", "left").join(soft, "table", "left")
+    return full.select("table", "level", F.coalesce("n", F.lit(0)).cast("long").alias("n"), dependencies)
 
 
 def graph_payload(edges: DataFrame, counts: DataFrame, ranked: DataFrame) -> DataFrame:
@@ -91,7 +93,9 @@ def graph_payload(edges: DataFrame, counts: DataFrame, ranked: DataFrame) -> Dat
     ends = counts.join(stuck, "table", "left")
     child = ends.select(F.col("table").alias("child"), F.col("n").alias("child_rows"), F.col("stuck").alias("a"))
     parent = ends.select(F.col("table").alias("parent"), F.col("n").alias("parent_rows"), F.col("stuck").alias("b"))
-    return edges.filter("child <> parent").join(child, "child", "left").join(parent, "parent", "left").select("child", "column", "parent", "ref_column", "nullable", "child_rows", "parent_rows", (F.coalesce("a", F.lit(False)) | F.coalesce("b", F.lit(False))).alias("cyclic"))
+    cyclic = (F.coalesce("a", F.lit(False)) | F.coalesce("b", F.lit(False))).alias("cyclic")
+    both = edges.filter("child <> parent").join(child, "child", "left").join(parent, "parent", "left")
+    return both.select("child", "column", "parent", "ref_column", "nullable", "child_rows", "parent_rows", cyclic)
 
 
 def display_parents(edges: DataFrame) -> DataFrame:

@@ -125,7 +125,10 @@ def foreign_keys(tables: dict[str, DataFrame], names_only: bool = False) -> Data
                 continue
             values = tables[child].select(F.col(column).alias("v")).filter("v IS NOT NULL").distinct()
             held = values.join(tables[parent].select(F.col(ref).alias("v"), F.lit(1).alias("in_parent")), "v", "left")
-            found.append(held.agg(F.count("*").alias("total"), F.count("in_parent").alias("covered")).select(F.lit(child).alias("child"), F.lit(column).alias("column"), F.lit(parent).alias("parent"), F.lit(ref).alias("ref_column"), (F.col("covered") / F.col("total")).alias("coverage"), F.lit(match).alias("name_match"), F.lit(int(facts[parent, ref][0])).cast("long").alias("parent_rows")))
+            names = [F.lit(v).alias(n) for n, v in (("child", child), ("column", column), ("parent", parent), ("ref_column", ref))]
+            coverage = (F.count("in_parent") / F.count("*")).alias("coverage")
+            ranks = [F.lit(match).alias("name_match"), F.lit(int(facts[parent, ref][0])).cast("long").alias("parent_rows")]
+            found.append(held.agg(coverage).select(*names, "coverage", *ranks))
     session = next(iter(tables.values())).sparkSession
     if not found:
         return session.createDataFrame([], "child string, column string, parent string, ref_column string, coverage double, name_match boolean, rank int")

@@ -37,6 +37,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: A side of at most so many narrow rows may be broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, to be broadcast if its ``rows`` are few enough."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def key_values(df: DataFrame, column: str) -> DataFrame:
     """Only a table's key values; the scan reads that column alone."""
     return df.select(F.col(column).alias("key")).filter(F.col("key").isNotNull())
