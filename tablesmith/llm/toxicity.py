@@ -46,7 +46,7 @@ FLOOR = 0.1
 FREQUENT = 20
 #: Texts that are searched together, and blocks of each that are scored first. Cosines nearer than TIE are equal; sums in single
 #: precision, by which candidates are found before their cosines are added up in double, are within NEAR.
-TOGETHER, FIRST, TIE, NEAR = 64, 8, 1e-6, 1e-5
+TOGETHER, FIRST, TIE, NEAR = 32, 8, 1e-6, 1e-5
 #: Bytes of text that a step works on: the counts of its words take several times as much.
 STEP = 1 << 20
 #: Words whose places a task remembers.
@@ -120,7 +120,10 @@ class Index:
         names = hashes(list(idf))
         order = np.argsort(names)
         keys = names[order]
-        return Index.of([e[0] for e in examples], np.array([e[1] for e in examples], dtype=float), keys, np.array(list(idf.values()), dtype=float)[order], np.ones(len(keys), bool), np.array([i for i, _, _ in known], np.int32), np.searchsorted(keys, hashes([t for _, t, _ in known])), np.array([n for _, _, n in known]), share, bare)
+        labels, weights = np.array([e[1] for e in examples], dtype=float), np.array(list(idf.values()), dtype=float)[order]
+        doc, times = np.array([i for i, _, _ in known], np.int32), np.array([n for _, _, n in known])
+        term = np.searchsorted(keys, hashes([t for _, t, _ in known]))
+        return Index.of([e[0] for e in examples], labels, keys, weights, np.ones(len(keys), bool), doc, term, times, share, bare)
 
     @staticmethod
     def of(ids: list, labels: np.ndarray, keys: np.ndarray, idf: np.ndarray, marked: np.ndarray, doc: np.ndarray, term: np.ndarray, n: np.ndarray, share: float, bare: float) -> Index:
@@ -134,8 +137,10 @@ class Index:
         """The examples in the order of the blocks (those of a like frequent word together, which makes bounds tight), each frequent
         word's place among these (-1: rare), their full rows and maxima by block, and the rare words' postings with their weights."""
         size = np.diff(self.first.astype(np.int64))
-        weight = (1 + np.log(self.n.astype(float))) * np.repeat(self.idf, size)
-        weight = (weight / np.sqrt(np.bincount(self.at, weight * weight, len(self.ids)))[self.at]).astype(np.float32)
+        weight = np.log(self.n, dtype=np.float32)
+        weight += 1
+        weight *= np.repeat(self.idf.astype(np.float32), size)
+        weight /= np.sqrt(np.bincount(self.at, weight * weight, len(self.ids))).astype(np.float32)[self.at]
         often = size > max(BLOCK, len(self.ids) // FREQUENT)
         on, term = np.repeat(often, size), np.repeat(np.arange(len(size), dtype=np.int32), size)
         most = np.lexsort((size[term[on]], self.n[on], self.at[on]))
@@ -299,7 +304,7 @@ def train(df: DataFrame, labels: DataFrame, learn: Column, label_col: str = "tox
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), list_array(flat, sizes, pa.int64()), list_array(times, sizes, pa.int32())], names=["id", "label", "h", "n"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    got = sample.filter(~apart).mapInArrow(vectors, f"id {kind}, label int, h array<long>, n array<int>").toArrow().combine_chunks()
+    got = sample.filter(~apart).mapInArrow(vectors, f"id {kind}, label int, h array<long>, n array<int>").toArrow()
     if not got.num_rows:
         return Index()
     ids, label = got.column("id").to_pylist(), np.asarray(got.column("label")) > 0
