@@ -43,9 +43,22 @@ SENTENCES = {
     "zlib_grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
     "reserved": "all rights reserved",
 }
-SENTENCES |= {f"{kind}{version.replace(' ', '')}_free_{subject}": f"this {subject} is free software you can redistribute it and or modify it under the terms of the gnu {word}general public license as published by the free software foundation either version {version} of the license or at your option any later version" for kind, word in (("gpl", ""), ("lgpl", "lesser "), ("agpl", "affero ")) for version in ("2", "2 1", "3") for subject in ("program", "library")}
+FREE = "this {} is free software you can redistribute it and or modify it under the terms of the gnu {}general public license as published by the free software foundation either version {} of the license or at your option any later version"
+SENTENCES |= {
+    f"{kind}{version.replace(' ', '')}_free_{subject}": FREE.format(subject, word, version)
+    for kind, word in (("gpl", ""), ("lgpl", "lesser "), ("agpl", "affero "))
+    for version in ("2", "2 1", "3")
+    for subject in ("program", "library")
+}
 GNU = {"GPL": "general public license", "LGPL": "lesser general public license", "AGPL": "affero general public license"}
-CREATIVE = {"BY": "attribution", "BY-SA": "attribution sharealike", "BY-ND": "attribution noderivatives", "BY-NC": "attribution noncommercial", "BY-NC-SA": "attribution noncommercial sharealike", "BY-NC-ND": "attribution noncommercial noderivatives"}
+CREATIVE = {
+    "BY": "attribution",
+    "BY-SA": "attribution sharealike",
+    "BY-ND": "attribution noderivatives",
+    "BY-NC": "attribution noncommercial",
+    "BY-NC-SA": "attribution noncommercial sharealike",
+    "BY-NC-ND": "attribution noncommercial noderivatives",
+}
 #: How notices name a licence, normalised.
 NAMES = {
     "MIT": ["mit license", "mit", "expat license"],
@@ -59,10 +72,22 @@ NAMES = {
     "Zlib": ["zlib license"],
     "CC0-1.0": ["cc0 1 0", "cc0", "cc0 1 0 universal"],
     "Unlicense": ["unlicense"],
-} | {
-    f"{short}-{version}": [f"gnu {long} {word}{v}" for word in ("version ", "v", "") for v in _versions] + [f"{g}{short.lower()}{word}{v}" for g in ("gnu ", "") for word in (" version ", " v", "v", " ") for v in _versions]
-    for short, long in GNU.items() for version in (("2.0", "3.0") if short == "GPL" else ("2.1", "3.0") if short == "LGPL" else ("3.0",)) for _versions in [[version.replace(".", " "), *([version[0]] if version.endswith(".0") else [])]]
-} | {f"CC-{code}-4.0": [f"cc {code.lower().replace('-', ' ')} 4 0", f"cc {code.lower().replace('-', ' ')} 4 0 license", f"creative commons {words} 4 0 international license", f"creative commons {words} 4 0 license"] for code, words in CREATIVE.items()}
+}
+
+
+def _gnu_names(short: str, version: str) -> list[str]:
+    forms = [version.replace(".", " "), *([version[0]] if version.endswith(".0") else [])]
+    long = [f"gnu {GNU[short]} {word}{v}" for word in ("version ", "v", "") for v in forms]
+    return long + [f"{gnu}{short.lower()}{word}{v}" for gnu in ("gnu ", "") for word in (" version ", " v", "v", " ") for v in forms]
+
+
+def _creative_names(code: str) -> list[str]:
+    plain = f"cc {code.lower().replace('-', ' ')} 4 0"
+    return [plain, f"{plain} license", f"creative commons {CREATIVE[code]} 4 0 international license", f"creative commons {CREATIVE[code]} 4 0 license"]
+
+
+NAMES |= {f"{s}-{v}": _gnu_names(s, v) for s, v in (("GPL", "2.0"), ("GPL", "3.0"), ("LGPL", "2.1"), ("LGPL", "3.0"), ("AGPL", "3.0"))}
+NAMES |= {f"CC-{code}-4.0": _creative_names(code) for code in CREATIVE}
 #: In order: licence, class, pattern over the identifiers (each followed by a space; a gap is "- "). A notice's identifier is "@" and the licence.
 RULES = [
     ("AGPL-3.0-or-later", "copyleft", "agpl3_free_(program|library) "),

@@ -120,7 +120,9 @@ def _add_up(sent: pa.Table) -> pa.Table:
         sums.append(np.split(total.astype(np.uint32)[inverse], np.cumsum([len(o) for o in own])[:-1]))
     answers = [pack(np.concatenate(pair)) for pair in zip(*sums, strict=True)]
     n = sent.num_rows
-    return pa.table([sent.column("block"), sent.column("part"), sent.column("place"), sent.column("sizes"), pa.array(answers, pa.binary()), pa.array([learned] * n, pa.int64()), pa.array([kinds] * n, pa.int64())], names=["block", "part", "place", "sizes", "counts", "learned", "kinds"])
+    same = [sent.column(c) for c in ("block", "part", "place", "sizes")]
+    totals = [pa.array([x] * n, pa.int64()) for x in (learned, kinds)]
+    return pa.table([*same, pa.array(answers, pa.binary()), *totals], names=["block", "part", "place", "sizes", "counts", "learned", "kinds"])
 
 
 class Automaton:
