@@ -46,7 +46,9 @@ FLOOR = 0.1
 FREQUENT = 20
 #: Texts that are searched together, and blocks of each that are scored first. Cosines nearer than TIE are equal; sums in single
 #: precision, by which candidates are found before their cosines are added up in double, are within NEAR.
-TOGETHER, FIRST, TIE, NEAR = 32, 8, 1e-6, 1e-5
+TOGETHER, FIRST, TIE, NEAR = 256, 8, 1e-6, 1e-5
+#: Texts whose postings of rare words are added up at once, for less memory.
+AT_ONCE = 8
 #: Bytes of text that a step works on: the counts of its words take several times as much.
 STEP = 1 << 20
 #: Words whose places a task remembers.
@@ -189,8 +191,9 @@ class Index:
         # Texts of a like most frequent word, as those of one language, mostly need the same blocks.
         order = sorted(range(len(texts)), key=lambda i: max(zip(texts[i].values(), texts[i], strict=True), default=(0, ""))[1])
         out: list = [None] * len(texts)
-        for i in range(0, len(order), TOGETHER):
-            own = order[i : i + TOGETHER]
+        parts = -(-len(order) // TOGETHER)
+        for p in range(parts):
+            own = order[p * len(order) // parts : (p + 1) * len(order) // parts]
             for j, near in zip(own, self._together([texts[j] for j in own], k), strict=True):
                 out[j] = near
         return out
@@ -198,9 +201,13 @@ class Index:
     def _together(self, texts: list[dict[str, int]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         order, place, full, most, first, at, weight = self.blocks
         row, term, q = self.queries(texts)
-        lo, hi = first[term], first[term + 1]
-        entry, width = ranges(lo, hi), len(full) * BLOCK
-        rare = np.bincount(np.repeat(row * width, hi - lo) + at[entry], np.repeat(q, hi - lo) * weight[entry], len(texts) * width).astype(float).reshape(len(texts), width)
+        start, width = np.searchsorted(row, np.arange(len(texts) + 1)), len(full) * BLOCK
+        rare = np.empty((len(texts), width))
+        for i in range(0, len(texts), AT_ONCE):
+            own = slice(start[i], start[min(i + AT_ONCE, len(texts))])
+            lo, hi = first[term[own]], first[term[own] + 1]
+            entry, n = ranges(lo, hi), min(AT_ONCE, len(texts) - i)
+            rare[i : i + n] = np.bincount(np.repeat((row[own] - i) * width, hi - lo) + at[entry], np.repeat(q[own], hi - lo) * weight[entry], n * width).reshape(n, width)
         score = rare.astype(np.float32).reshape(len(texts), len(full), BLOCK)
         often = place[term] >= 0
         dense = np.zeros((len(texts), full.shape[1]), np.float32)
@@ -226,7 +233,7 @@ class Index:
         least = np.partition(tops, -k, axis=1)[:, -k] - NEAR if tops.shape[1] >= k else np.full(len(texts), -NEAR)
         fill(~done & (bound > 0) & (bound >= least[:, None]))
         score[~done] = 0
-        out, start = [], np.searchsorted(row, np.arange(len(texts) + 1))
+        out = []
         for i, (own, low) in enumerate(zip(score.reshape(len(texts), width), least, strict=True)):
             near = np.flatnonzero((own > 0) & (own >= low))
             if len(near) > k:
