@@ -11,6 +11,7 @@ documents; a part adds the counts up and answers each block in that same order.
 documents need: it builds its portion of the automaton and traverses it. A key, however frequent, is sent once by each block, and a
 block sends nothing to a part of which it has no key, so that there are never more messages than keys of blocks: the work is linear
 in the corpus, however many blocks and parts there are. Blocks and parts are numbered so that each has a task of its own.
+The totals of the root (tokens and kinds of words) come from a count of the learned words by themselves.
 
 Edge cases: a null or empty text is the end token alone; a very long text is one block, read whole; equal rows are scored one by one; without learning rows all counts
 are zero and every token has probability one (V and N are zero); an empty table gives an empty result; other columns are
@@ -29,13 +30,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablesmith.llm.batches import apart, id_and_text
-from tablesmith.llm.components import cut
+from tablesmith.llm.batches import apart, id_and_text, steps
 
 #: Hashed names of the end token and of the state before the first word; words hold no space.
 END, START = (np.uint64(xxhash.xxh3_64_intdigest(name)) for name in (b" end", b" start"))
 SENT = "part int, place int, block int, sizes array<long>, keys binary, counts binary"
-ANSWER = "block int, part int, place int, sizes array<long>, counts binary, learned long, kinds long"
+ANSWER = "block int, part int, place int, sizes array<long>, counts binary"
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -110,19 +110,22 @@ def _add_up(sent: pa.Table) -> pa.Table:
     for (words, _), raw in zip(sizes, raw_keys, strict=True):
         keys.append((np.cumsum(unpack(raw[: words * 8], np.uint64), dtype=np.uint64), np.cumsum(unpack(raw[words * 8 :], np.uint64), dtype=np.uint64)))
     del raw_keys, raw_counts
-    sums, learned, kinds = [], 0, 0
+    sums = []
     for side in (0, 1):
         own = [(c[: n[0]] if side == 0 else c[n[0] :]) for c, n in zip(counts, sizes, strict=True)]
         distinct, inverse = np.unique(np.concatenate([k[side] for k in keys]), return_inverse=True)
         total = np.bincount(inverse, weights=np.concatenate(own), minlength=len(distinct))
-        if side == 0:
-            learned, kinds = int(total.sum()), int((total > 0).sum())
         sums.append(np.split(total.astype(np.uint32)[inverse], np.cumsum([len(o) for o in own])[:-1]))
     answers = [pack(np.concatenate(pair)) for pair in zip(*sums, strict=True)]
-    n = sent.num_rows
     same = [sent.column(c) for c in ("block", "part", "place", "sizes")]
-    totals = [pa.array([x] * n, pa.int64()) for x in (learned, kinds)]
-    return pa.table([*same, pa.array(answers, pa.binary()), *totals], names=["block", "part", "place", "sizes", "counts", "learned", "kinds"])
+    return pa.table([*same, pa.array(answers, pa.binary())], names=["block", "part", "place", "sizes", "counts"])
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hashed tokens of some texts at a time and how often each occurs there."""
+    for batch in steps(batches):
+        words, n = np.unique(Tokens(batch.column("text")).key, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
 
 
 class Automaton:
@@ -179,9 +182,8 @@ def score(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     number = F.pmod(F.xxhash64("id", "text"), F.lit(len(blocks))) + 1
     docs = src.withColumn("block", F.element_at(F.lit(blocks), number.cast("int"))).repartition(len(blocks), "block")
     sent = docs.groupBy("block").applyInArrow(lambda key, t: _send(key[0].as_py(), t.column("text").combine_chunks(), np.asarray(t.column("learn")), parts), SENT)
-    answers = cut(sent.repartition(len(parts), "part").groupBy("part").applyInArrow(_add_up, ANSWER))
-    # Each message of a part says how many tokens and kinds of words the part has learned.
-    totals = answers.groupBy("part").agg(F.first("learned").alias("learned"), F.first("kinds").alias("kinds")).agg(F.coalesce(F.sum("learned"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
-    learned, kinds = int(totals[0]), int(totals[1])
+    answers = sent.repartition(len(parts), "part").groupBy("part").applyInArrow(_add_up, ANSWER)
+    words = src.filter("learn").select("text").mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    learned, kinds = map(int, words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first())
     kind = src.schema["id"].dataType.simpleString()
     return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: _score(a, b, learned, kinds, prior, id_col), f"`{id_col}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
