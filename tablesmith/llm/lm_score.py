@@ -53,23 +53,29 @@ def bigram(history: np.ndarray, word: np.ndarray) -> np.ndarray:
     return (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
 
 
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of the distinct words of some texts, each word's place among these, and each word's text."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    words, row = lists.flatten(), pc.list_parent_indices(lists)
+    filled = pc.greater(pc.binary_length(words), 0)
+    words, row = words.filter(filled), np.asarray(row.filter(filled), dtype=np.int64)
+    coded = words.dictionary_encode()
+    digest = xxhash.xxh3_64_intdigest
+    names = np.fromiter((digest(w) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()), dtype=np.uint64, count=len(coded.dictionary))
+    return names, np.asarray(coded.indices), row
+
+
 class Tokens:
     """The hashed tokens of a block's texts: words and an end for each text, with the history before each token."""
 
     def __init__(self, texts: pa.Array):
-        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
-        words, row = lists.flatten(), pc.list_parent_indices(lists)
-        filled = pc.greater(pc.binary_length(words), 0)
-        words, row = words.filter(filled), np.asarray(row.filter(filled), dtype=np.int64)
-        coded = words.dictionary_encode()
-        digest = xxhash.xxh3_64_intdigest
-        names = np.fromiter((digest(w) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()), dtype=np.uint64, count=len(coded.dictionary))
+        names, place, row = _words(texts)
         number = np.bincount(row, minlength=len(texts)) + 1
         self.ends = np.cumsum(number)
         self.starts = self.ends - number
         self.key = np.full(int(self.ends[-1]) if len(number) else 0, END, dtype=np.uint64)
         if len(row):
-            self.key[np.arange(len(row)) + row] = names[np.asarray(coded.indices)]
+            self.key[np.arange(len(row)) + row] = names[place]
         self.history = np.concatenate([[START], self.key[:-1]]).astype(np.uint64)[: len(self.key)]
         self.history[self.starts] = START
         self.pair = bigram(self.history, self.key)
@@ -124,7 +130,8 @@ def _add_up(sent: pa.Table) -> pa.Table:
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The hashed tokens of some texts at a time and how often each occurs there."""
     for batch in steps(batches):
-        words, n = np.unique(Tokens(batch.column("text")).key, return_counts=True)
+        names, place, _ = _words(batch.column("text"))
+        words, n = np.append(names, END), np.append(np.bincount(place, minlength=len(names)), batch.num_rows)
         yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
 
 
