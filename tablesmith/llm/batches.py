@@ -44,6 +44,20 @@ def steps(batches: Iterator[pa.RecordBatch], limit: int = STEP_BYTES, column: st
             start = stop
 
 
+def blocks(batches: Iterator[pa.RecordBatch], limit: int, column: str = "text") -> Iterator[pa.Table]:
+    """Join batches to tables of about ``limit`` bytes of their text column; a longer text is a table of its own."""
+    held, size = [], 0
+    for part in steps(batches, limit, column):
+        own = pc.sum(pc.binary_length(part.column(column))).as_py() or 0
+        if held and size + own > limit:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, size = [], 0
+        held.append(part)
+        size += own
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def texts(batch: pa.RecordBatch) -> list[str]:
     """The texts of a batch; null counts as empty."""
     return [t or "" for t in batch.column("text").to_pylist()]

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesmith.llm import byte_bpe, decontaminate, hnsw, language_id, license_scan, license_sql, lm_score, secrets, simhash, token_files, toxicity, url_filter
+from tablesmith.llm import align, byte_bpe, decontaminate, hnsw, language_id, license_scan, license_sql, lm_score, phrase_sql, phrases, secrets, simhash, token_files, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,9 +87,17 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *bpe_digests())
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write(table(spark, sf_dir, "documents"), token_files.new_folder(spark), public_tokenizers.path("byte_bpe_50k.json")).digests()
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_lm_score, op3_license_scan, op4_simhash_near_dedup, op5_url_filter, op6_toxicity, op7_embedding_near_dedup, op8_language_id, op9_decontamination, op10_byte_bpe, op12_token_files)}
-ORACLE_SQL = {"op3_license_scan": license_sql.sql()}
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_lm_score, op3_license_scan, op4_simhash_near_dedup, op5_url_filter, op6_toxicity, op7_embedding_near_dedup, op8_language_id, op9_decontamination, op10_byte_bpe, op11_tokenizer_alignment, op12_token_files, op13_phrase_mining)}
+ORACLE_SQL = {"op3_license_scan": license_sql.sql(), "op13_phrase_mining": phrase_sql.SQL}
