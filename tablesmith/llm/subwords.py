@@ -11,6 +11,7 @@ import json
 import os
 import re
 from functools import lru_cache
+from itertools import chain, compress, islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +22,17 @@ from tokenizers import Tokenizer
 from tablesmith.llm.batches import Numbering
 
 #: A worker forgets its units beyond this number and learns them anew; only time depends on it.
-KEPT_UNITS = 800_000
+KEPT_UNITS = 400_000
 #: Units that the library gets as one text.
 JOINED = 500
-#: A space after white space: such texts are cut by the slower general rule.
-ODD = r"[\s\x0b\x1c-\x1f\x{85}\pZ] "
+#: Set before each unit while texts are cut.
+MARK = "\x01"
+#: A space after white space, or the mark: such texts are cut by the slower general rule.
+ODD = r"[\s\x0b\x1c-\x1f\x{85}\pZ] |\x01"
+#: The same where white space is a unit of its own: any two white spaces.
+ODDLY_FINE = r"[\s\x0b\x1c-\x1f\x{85}\pZ]{2}|\x01"
+#: Punctuation at the end of a word that ends in a Latin letter or digit.
+WORD_END = r"([0-9A-Za-zÀ-ÖØ-öø-ɏ])([.,;:!?]+)(\x01|$)"
 CUT = re.compile(r"(?<=\S) ")
 SPACE_MARK = "▁"
 
@@ -40,7 +47,9 @@ def byte_characters() -> dict[str, int]:
 def ragged(flat: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
     """The slices of ``flat`` at ``start`` of length ``count``, one after another."""
     ends = np.cumsum(count)
-    return flat[np.repeat(start - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)]
+    place = np.repeat((start - (ends - count)).astype(np.int32), count)  # of a task's own units: fewer than 2^31
+    place += np.arange(len(place), dtype=np.int32)
+    return flat[place]
 
 
 class ByteLevel:
@@ -64,24 +73,22 @@ class ByteLevel:
             self.tokens[i] = token.encode() if token in added else bytes(of[c] for c in token)
         self.lengths = np.array([len(t) for t in self.tokens], dtype=np.int64)
 
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all units, flat, and each unit's number of ids. Units of a space and a word go to the library many at a time."""
-        plain = [i for i, u in enumerate(units) if len(u) > 1 and u[0] == " " and u[1:].strip() == u[1:]]
-        out: list = [None] * len(units)
-        for start in range(0, len(plain), JOINED):
-            own = plain[start : start + JOINED]
-            [ids] = self._ids(["".join(units[i] for i in own)])
-            cuts = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(units[i].encode()) for i in own]), "right")
-            for i, lo, hi in zip(own, [0, *cuts], cuts, strict=False):
-                out[i] = ids[lo:hi]
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, ids in zip(rest, self._ids([units[i] for i in rest]), strict=True):
-            out[i] = ids
-        count = np.fromiter(map(len, out), dtype=np.int64, count=len(out))
-        return np.fromiter((i for x in out for i in x), dtype=np.int32, count=int(count.sum())), count
+    def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all units, flat, and each unit's first place and number of ids. Units of a space and a word go to the library many at a time."""
+        plain = np.array([len(u) > 1 and u[0] == " " and not u[1].isspace() and not u[-1].isspace() for u in units], dtype=bool)
+        count = np.zeros(len(units), dtype=np.int64)
+        words = list(compress(units, plain))
+        texts = ["".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)]
+        flat = [np.array(e.ids, dtype=np.int32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.concatenate(flat) if flat else np.zeros(0, dtype=np.int32)
+        ends = np.cumsum(np.asarray(pc.binary_length(pa.array(words, pa.large_string())), dtype=np.int64))
+        count[plain] = np.diff(np.searchsorted(np.cumsum(self.lengths[flat]), ends, "right"), prepend=0)
+        rest = [e.ids for e in self.library.encode_batch_fast(list(compress(units, ~plain)), add_special_tokens=False)]
+        count[~plain] = np.fromiter(map(len, rest), dtype=np.int64, count=len(rest))
+        start = np.empty_like(count)
+        start[plain] = np.cumsum(count[plain]) - count[plain]
+        start[~plain] = len(flat) + np.cumsum(count[~plain]) - count[~plain]
+        return np.concatenate([flat, *(np.array(r, dtype=np.int32) for r in rest)]), start, count
 
 
 class Pieces:
@@ -99,18 +106,21 @@ class Pieces:
         self.lengths = np.array([len(t) for t in self.tokens], dtype=np.int64)
         self.space = self.library.piece_to_id(SPACE_MARK)
 
-    def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         out = self.library.encode([u[1:] for u in units], num_threads=1)
         out = [[self.space] if u == " " else ids for u, ids in zip(units, out, strict=True)]
         count = np.fromiter(map(len, out), dtype=np.int64, count=len(out))
-        return np.fromiter((i for x in out for i in x), dtype=np.int32, count=int(count.sum())), count
+        return np.fromiter(chain.from_iterable(out), dtype=np.int32, count=int(count.sum())), np.cumsum(count) - count, count
 
 
 class Units:
-    """The numbered units that a worker knows and their ids by each of some encoders."""
+    """The numbered units that a worker knows and their ids by each of some encoders.
+
+    Byte-level encoders alone also part white space, and punctuation at a word's end, from the word before: they never join these.
+    """
 
     def __init__(self, *encoders: ByteLevel | Pieces):
-        self.encoders = encoders
+        self.encoders, self.fine = encoders, all(isinstance(e, ByteLevel) for e in encoders)
         self._forget()
 
     def _forget(self) -> None:
@@ -119,47 +129,48 @@ class Units:
         self.known = [[none.astype(np.int32), none, none] for _ in self.encoders]  # flat ids, each unit's first place and its number of ids
         self.same = np.zeros(0, dtype=bool)
 
-    def _numbers(self, units: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.seen.__getitem__, units), dtype=np.int64, count=len(units))
+    def _numbers(self, units: list[str] | np.ndarray) -> np.ndarray:
+        return np.fromiter(map(self.seen.__getitem__, units), dtype=np.int32, count=len(units))
 
     def _learn(self) -> None:
         """Encode the units numbered last; ``same`` tells whether every encoder's tokens spell a unit out."""
         done = len(self.same)
         if len(self.seen) == done:
             return
-        new = list(self.seen)[done:]
+        new = list(islice(self.seen, done, None))
         same = np.ones(len(new), dtype=bool)
         for encoder, known in zip(self.encoders, self.known, strict=True):
-            ids, count = encoder.encode(new)
+            ids, at, count = encoder.encode(new)
             flat, start, n = known
-            known[:] = np.concatenate([flat, ids]), np.concatenate([start, len(flat) + np.cumsum(count) - count]), np.concatenate([n, count])
-            tokens, at = encoder.tokens, np.cumsum(count) - count
-            spelled = b"".join(map(tokens.__getitem__, ids.tolist()))
-            if spelled != "".join(new).encode() or any((np.add.reduceat(np.append(encoder.lengths[ids], 0), at) * (count > 0)) != [len(u.encode()) for u in new]):
-                same &= [b"".join(map(tokens.__getitem__, ids[a : a + c].tolist())) == u.encode() for a, c, u in zip(at, count, new, strict=True)]
+            known[:] = np.concatenate([flat, ids]), np.concatenate([start, len(flat) + at]), np.concatenate([n, count])
+            if not self.fine:
+                tokens, ids = encoder.tokens, ids.tolist()
+                same &= [b"".join(map(tokens.__getitem__, ids[a : a + c])) == u.encode() for a, c, u in zip(at.tolist(), count.tolist(), new, strict=True)]
         self.same = np.concatenate([self.same, same])
 
+    def _cut(self, texts: pa.Array) -> tuple[pa.ListArray, np.ndarray]:
+        """The units of each text, and which texts need the general rule instead (their units here don't count)."""
+        odd = pc.match_substring_regex(texts, ODDLY_FINE if self.fine else ODD)
+        texts = pc.replace_substring(pc.if_else(odd, "", texts), " ", MARK + " ")
+        if self.fine:
+            texts = pc.replace_substring_regex(pc.replace_substring(texts, "\n", f"{MARK}\n{MARK}"), WORD_END, rf"\1{MARK}\2\3")
+        return pc.split_pattern(texts, MARK), np.asarray(odd)
+
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The units' numbers of some texts, flat, and each text's number of units (one at least). Null counts as empty."""
         if len(self.seen) > KEPT_UNITS:
             self._forget()
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        odd = np.asarray(pc.match_substring_regex(texts, ODD))
-        lists = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
-        words, n = lists.flatten(), np.asarray(pc.list_value_length(lists), dtype=np.int64)
-        first = np.zeros(len(words), dtype=bool)
-        first[np.cumsum(n) - n] = True
-        coded = words.filter(pa.array(~first)).dictionary_encode()
-        use = np.empty(len(words), dtype=np.int64)
-        use[~first] = self._numbers([" " + w for w in coded.dictionary.to_pylist()])[np.asarray(coded.indices)]
-        use[first] = self._numbers(words.filter(pa.array(first)).to_pylist())
+        lists, odd = self._cut(texts)
+        n, coded = np.asarray(pc.list_value_length(lists), dtype=np.int64), lists.flatten().dictionary_encode()
+        use = self._numbers(coded.dictionary.to_numpy(zero_copy_only=False))[np.asarray(coded.indices)]
         if odd.any():
             cut = [[head, *(" " + w for w in tail)] for head, *tail in map(CUT.split, texts.filter(pa.array(odd)).to_pylist())]
             many, plain = n.copy(), np.repeat(~odd, n)
             many[odd] = [len(c) for c in cut]
             slow = np.repeat(odd, many)
-            both = np.empty(int(many.sum()), dtype=np.int64)
-            both[~slow], both[slow] = use[plain], self._numbers([u for c in cut for u in c])
+            both = np.empty(int(many.sum()), dtype=np.int32)
+            both[~slow], both[slow] = use[plain], self._numbers(list(chain.from_iterable(cut)))
             use, n = both, many
         self._learn()
         return use, n

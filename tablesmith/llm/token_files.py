@@ -23,12 +23,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablesmith.llm.batches import id_and_text, list_array, steps
+from tablesmith.llm.batches import blocks, id_and_text, list_array
 from tablesmith.llm.components import shared_folder
 from tablesmith.llm.subwords import byte_level_units
 
 #: Files at most; beyond it they grow. The table of files has so many rows, and no more are ever broadcast.
 MAX_FILES = 10_000
+#: Bytes of text that are encoded at a time.
+BLOCK_BYTES = 5 << 20
 
 
 def layout(encoding: str = "dictionary", row_group_bytes: int = 32 << 20, page_bytes: int = 1 << 20, page_rows: int = 2_000, codec: str = "zstd") -> dict[str, str]:
@@ -44,8 +46,8 @@ def layout(encoding: str = "dictionary", row_group_bytes: int = 32 << 20, page_b
 def _encoded(path: str, end_id: int, special_tokens: bool, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units, part, before = byte_level_units(path, special_tokens), TaskContext.get().partitionId(), 0
-        for batch in steps(batches):
-            use, n = units.of(batch.column("text"))
+        for docs in blocks(batches, BLOCK_BYTES):
+            use, n = units.of(docs.column("text").combine_chunks())
             ids, count = units.ids(0, use, n)
             ends = np.cumsum(count + 1)
             flat = np.full(int(ends[-1]) if len(ends) else 0, end_id, dtype=np.int32)
@@ -54,7 +56,7 @@ def _encoded(path: str, end_id: int, special_tokens: bool, names: list[str]):
             flat[own] = ids
             places = before + ends - (count + 1)
             before += len(flat)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.full(len(n), part, dtype=np.int32)), pa.array(places), pa.array(count + 1), list_array(flat, count + 1, pa.int32())], names=names)
+            yield pa.RecordBatch.from_arrays([docs.column("id").combine_chunks(), pa.array(np.full(len(n), part, dtype=np.int32)), pa.array(places), pa.array(count + 1), list_array(flat, count + 1, pa.int32())], names=names)
 
     return run
 

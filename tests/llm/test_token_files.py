@@ -12,12 +12,12 @@ from tokenizers import Tokenizer
 from tablesmith.llm import queries, subwords, token_files
 
 BYTE_LEVEL, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
-ODD = [None, "", " ", "  ", "a", " a", "a ", "  a  b ", "a\n b", "a\n \nb", "\n", " \n x", "   x", "x 　 y", "it's 'tis  don't", "日本語 テキスト", "é̂ñ😀 123", "<|endoftext|>", "a <|endoftext|> b", "a<|endoftext|> b <|endoftext|>", "<s> </s> <unk>", "▁ ▁a ▁▁ b", "\x00 \x1f x\x85 y", "x\t\t y", "a" * 3000, "ab " * 2000]
+ODD = [None, "", " ", "  ", "a", " a", "a ", "  a  b ", "a\n b", "a\n \nb", "\n", " \n x", "   x", "x 　 y", "it's 'tis  don't", "日本語 テキスト", "é̂ñ😀 123", "<|endoftext|>", "a <|endoftext|> b", "a<|endoftext|> b <|endoftext|>", "<s> </s> <unk>", "▁ ▁a ▁▁ b", "\x00 \x1f x\x85 y", "x\t\t y", "a\x01 b. c", "one, two.\nThree!? it's. 3. é: ×. <|endoftext|>. x<|endoftext|>, don't, x.y. ...", "a" * 3000, "ab " * 2000]
 
 
 def odd_texts(n=300, seed=5):
     rng = random.Random(seed)
-    return [*ODD, *("".join(rng.choices([" ", " ", "  ", "\n", "\t", "a", "the", "ing", "é", "日", "'s", "1", ".", "▁", " ", "\x1c"], k=rng.randint(1, 30))) for _ in range(n))]
+    return [*ODD, *("".join(rng.choices([" ", " ", "  ", "\n", "\t", "a", "the", "ing", "é", "日", "'s", "1", ".", ",", "!?", "\x01", "▁", " ", "\x1c"], k=rng.randint(1, 30))) for _ in range(n))]
 
 
 def library(special=True):
