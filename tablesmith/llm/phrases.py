@@ -29,7 +29,7 @@ from tablesmith.llm.batches import blocks, small_batches
 from tablesmith.llm.components import small, stored
 
 #: Bytes of text in a shard: a larger one has fewer different phrases for each word, and takes more memory.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 LONGEST = 5
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 #: Lower case for A-Z, a space for a tab, a line's end for the end of a piece.
