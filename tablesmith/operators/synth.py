@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 
 from tablesmith.functions import generators as G
 from tablesmith.functions.hashing import Cells
+from tablesmith.operators import domains
 from tablesmith.operators.depgraph import order_tables
+from tablesmith.operators.domains import Domain, div
 from tablesmith.sources.tables import cut_lineage, dense_index
 from tablesmith.spec import FRACTIONS, INTEGER_KEYS, ColumnSpec, SchemaSpec
 
@@ -64,7 +66,7 @@ def digits(number: Column, sizes: list[int]) -> list[Column]:
     """Mixed radix: the place within each of ``sizes``, the first running fastest."""
     out, step = [], 1
     for size in sizes:
-        out.append(((number - number % step) / step).cast("long") % size if step > 1 else number % size)
+        out.append(div(number, step) % size if step > 1 else number % size)
         step *= size
     return out
 
@@ -85,6 +87,7 @@ class Synthesizer:
         self.warned: list[tuple[str, int, int, str]] = []
         self.placed: list[str] = []
         self.planned: dict[str, int] = {}
+        self.deferred: dict[str, list[str]] = {}
 
     def cells(self, table: str, column: str, row: Column) -> Cells:
         return Cells(self.seed, table, column, row, self.kind)
@@ -95,58 +98,54 @@ class Synthesizer:
         kind = c.type.lower()
         return days if kind == "date" else 86_400 if kind.startswith("time") and not kind.startswith("timestamp") else days * 86_400 if kind in ("datetime",) or kind.startswith("timestamp") else None
 
-    def temporal(self, c: ColumnSpec, at: Column) -> Column:
-        kind = c.type.lower()
-        return G.day(at) if kind == "date" else G.instant(at) if kind == "datetime" or kind.startswith("timestamp") else G.clock(at)
+    def bound(self, table: str, name: str) -> Domain | None:
+        """The domain that a key column draws from by number: that of a small type, of a temporal primary key, or of a type whose sequence would end too soon."""
+        c, p = self.spec.tables[table][name], self.parents[table]
+        found = None if c.parent or not (c.pk or c.unique) else domains.of(c, self.end)
+        if found is None or (found.kind == "temporal" and not c.pk):
+            return None
+        if found.kind == "whole" and found.size >= domains.OPEN and c.check_min is None:
+            top = (found.size - 1) // 2
+            return found if p.next_key.get(name, 1) - 1 + self.planned.get(table, 0) > top else None
+        return found
 
     def key_sizes(self, table: str) -> tuple[list[str], list[int] | None]:
         """A table's key columns by name and their numbers of values; none if one of them is a dense row number."""
         keys = self.spec.keys(table)
         sizes = []
         for k in keys:
-            c = self.spec.tables[table][k]
-            size = self.parents[c.parent[0]].size if c.parent and c.parent[0] != table else self.domain(c)
+            c, d = self.spec.tables[table][k], self.bound(table, k)
+            size = self.parents[c.parent[0]].size if c.parent and c.parent[0] != table else d.size if d else None
             if size is None:
                 return keys, None
             sizes.append(size)
         return keys, sizes
 
-    def short(self, c: ColumnSpec) -> int | None:
-        """The number of base-36 digits of a text key that is too short for a uuid."""
-        text = not c.parent and self.domain(c) is None and c.type.lower() not in INTEGER_KEYS | FRACTIONS
-        return min(c.length(), 8) if text and (c.pk or c.unique) and c.length() and c.length() < 32 else None
-
     def bounded(self, table: str) -> dict[str, tuple[list[str], list[int]]]:
         """The keys of a bounded domain, by name (empty: the primary key): their columns and each column's number of values."""
         keys, sizes = self.key_sizes(table)
         out = {"": (keys, sizes)} if keys and sizes is not None else {}
         for name, c in self.spec.tables[table].items():
             if c.unique and c.parent and c.parent[0] != table and keys != [name]:
-                out[name] = [name], [self.parents[c.parent[0]].size]
-            elif (n := self.short(c)) is not None:
-                out[name] = [name], [36**n]
+                if not (c.nullable and self.later(c)):
+                    out[name] = [name], [self.parents[c.parent[0]].size]
+            elif (d := self.bound(table, name)) is not None and ((c.unique and keys != [name]) or (d.kind == "text" and "" not in out)):
+                out[name] = [name], [d.size]
         return out
 
     def held_numbers(self, table: str, columns: list[str], sizes: list[int]) -> DataFrame:
         """``number``: those of a bounded domain that the table's rows take up."""
         at, step, number = self.parents[table].held.select(*columns), 1, F.lit(0).cast("long")
         for name, size in zip(columns, sizes, strict=True):
-            c, value = self.spec.tables[table][name], F.col(name)
+            c = self.spec.tables[table][name]
             if c.parent:
                 index = self.parents[c.parent[0]].index.get(c.parent[1])
                 if index is None:
                     return at.select(F.lit(0).cast("long").alias("number")).filter(F.lit(False))
                 at = at.join(index.select(F.col("key").alias(name), F.col("idx").alias(f"_p_{name}")), name)
                 place = F.col(f"_p_{name}")
-            elif c.type.lower() == "date":
-                place = F.datediff(value, F.lit(G.START)).cast("long")
-            elif self.short(c):
-                code = value.cast("string")
-                place = F.when(code.rlike(f"^[0-9a-z]{{{self.short(c)}}}$"), F.conv(code, 36, 10).cast("long"))
-            elif c.type.lower().startswith("time") and not c.type.lower().startswith("timestamp"):
-                place = F.unix_timestamp(F.concat(F.lit("1970-01-01 "), value.cast("string"))) - F.unix_timestamp(F.lit("1970-01-01 00:00:00"))
             else:
-                place = F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ '2000-01-01 00:00:00', cast(`{name}` AS TIMESTAMP_NTZ))")
+                place = self.bound(table, name).number(F.col(name))
             at = at.filter((place >= 0) & (place < size))
             number, step = number + place * step, step * size
         return at.select(number.alias("number")).distinct()
@@ -172,25 +171,36 @@ class Synthesizer:
             return F.col(f"_n_{group}")
         return row if spread is None else permuted(row, spread, self.seed)
 
+    def key_number(self, table: str, row: Column, sizes: list[int]) -> Column:
+        """A row's number among the combinations of its key: in order for parents and for one number or text, spread out for the others."""
+        keys = self.spec.keys(table)
+        plain = all(self.spec.tables[table][k].parent for k in keys) or (len(keys) == 1 and self.bound(table, keys[0]).kind != "temporal")
+        return self.number(table, "", row, None if plain else prod(sizes))
+
     def key(self, table: str, column: str, row: Column) -> Column:
         """The value of a key (or sequence) column of a made table at a row, as a function of the row alone."""
         c, p = self.spec.tables[table][column], self.parents[table]
+        d = self.bound(table, column)
         if c.pk:
             keys, sizes = self.key_sizes(table)
             if sizes is not None and keys:
-                spread = None if all(self.spec.tables[table][k].parent for k in keys) else prod(sizes)
-                at = digits(self.number(table, "", row, spread), sizes)[keys.index(column)]
-                return self.parent_key(c, at) if c.parent else self.temporal(c, at)
-            dense = next((k for k in keys if self.spec.tables[table][k].type.lower() in INTEGER_KEYS | FRACTIONS and not self.spec.tables[table][k].parent), None)
+                at = digits(self.key_number(table, row, sizes), sizes)[keys.index(column)]
+                return self.parent_key(c, at) if c.parent else d.value(at)
             if c.type.lower() in INTEGER_KEYS | FRACTIONS and not c.parent:
-                return row + p.next_key.get(column, 1) if column == dense else self.cells(table, column, row).h() % 1_000_000
+                dense = next((k for k in keys if self.spec.tables[table][k].type.lower() in INTEGER_KEYS | FRACTIONS and not self.spec.tables[table][k].parent and self.bound(table, k) is None), None)
+                if column == dense:
+                    return row + p.next_key.get(column, 1)
+            if d is not None and d.kind != "text" and not c.unique:
+                return d.value(self.cells(table, column, row).h() % d.size)
+            if d is None and c.type.lower() in INTEGER_KEYS | FRACTIONS and not c.parent:
+                return self.cells(table, column, row).h() % 1_000_000
         if (c.pk or c.unique) and not c.parent:
-            if (n := self.short(c)) is not None:
-                return F.lpad(F.lower(F.conv(self.number(table, column, row).cast("string"), 10, 36)), n, "0")
+            if d is not None:
+                return d.value(self.number(table, column, row))
             if c.unique and c.type.lower() in INTEGER_KEYS | FRACTIONS:
                 return row + p.next_key.get(column, 1)
             if c.unique and self.domain(c):
-                return self.temporal(c, row + p.next_key.get(column, 0))
+                return domains.of(c, self.end).value(row + p.next_key.get(column, 0))
             if self.domain(c) is None:
                 salted = F.concat(row.cast("string"), F.lit(p.salt[column])) if column in p.salt else row
                 return G.fit_length(G.uuid(self.cells(table, column, salted).digest()), c.length())
@@ -207,23 +217,23 @@ class Synthesizer:
         parent, ref = c.parent
         if parent == table:
             if "" in self.parents[table].taken or ref in self.parents[table].taken:
-                raise ValueError(f"{table}.{name} refers to free keys of its own table, which holds rows already")
+                self.deferred.setdefault(table, []).append(name)
+                return F.lit(None), None
             at = self_parent(row, self.depth)
             value = self.key(table, ref, at)
             own = self.key(table, ref, row)
             return (F.when(at.isNotNull(), value) if c.nullable else F.when(at.isNotNull(), value).otherwise(own)), None
         p = self.parents.get(parent, Parent())
-        later = parent not in self.placed and not p.existing
-        if later and self.fill and parent in self.planned and not self.bounded(parent):
-            p.made = self.planned[parent]  # its keys are dense, so there will be as many
-        if p.size == 0 or (later and not self.fill):
+        if self.later(c):
+            if self.fill and parent in self.planned and c.nullable:
+                self.deferred.setdefault(table, []).append(name)
+                return F.lit(None), None
+        if p.size == 0 or self.later(c):
             if c.nullable:
                 return F.lit(None), None
             raise ValueError(f"no keys of {parent} for {table}.{name}")
         if c.pk and (sizes := self.key_sizes(table)[1]) is not None:
-            keys = self.spec.keys(table)
-            spread = None if all(self.spec.tables[table][k].parent for k in keys) else prod(sizes)
-            at = digits(self.number(table, "", row, spread), sizes)[keys.index(name)]
+            at = digits(self.key_number(table, row, sizes), sizes)[self.spec.keys(table).index(name)]
         elif c.unique:
             at = self.number(table, name, row, p.size)
         else:
@@ -233,8 +243,41 @@ class Synthesizer:
             return made, None
         return (F.when(at >= p.existing, made) if p.made else None), at
 
+    def later(self, c: ColumnSpec) -> bool:
+        """Whether a reference leads to a table that has no rows yet."""
+        return c.parent[0] not in self.placed and not self.parents.get(c.parent[0], Parent()).existing
+
+    def fill_deferred(self, table: str, name: str, full: DataFrame) -> DataFrame:
+        """Put in a reference that had to wait for keys: those of the table's own rows, now fixed, or those of a table made later."""
+        c, row, (parent, ref) = self.spec.tables[table][name], F.col("_row"), self.spec.tables[table][name].parent
+        p, kind = self.parents[parent], c.spark_type()
+        if parent == table:
+            if self.depth == 0:
+                return full if c.nullable else full.withColumn(name, F.col(ref).cast(kind))
+            first = full.filter(row < self.depth).select(row.alias("_at"), F.col(ref).alias("_key"))  # so many rows as the tree is deep
+            found = full.withColumn("_at", self_parent(row, self.depth)).join(F.broadcast(first), "_at", "left")
+            value = F.col("_key") if c.nullable else F.coalesce("_key", ref)
+        elif p.size == 0:
+            return full
+        else:
+            at = F.when(row < p.size, permuted(row, p.size, self.seed)) if c.unique else self.cells(table, name, row).h() % p.size
+            if not p.existing:
+                return full.withColumn(name, self.key(parent, ref, at).cast(kind))
+            keys = p.index[ref].select(F.col("idx").alias("_at"), F.col("key").alias("_key"))
+            found = full.withColumn("_at", at).join(keys, "_at", "left")
+            value = F.coalesce("_key", self.key(parent, ref, F.col("_at") - p.existing)) if p.made else F.col("_key")
+        return found.withColumn(name, value.cast(kind)).select(*full.columns)
+
+    def check_types(self, table: str, wanted: int) -> None:
+        """Raise where the types of a key have too few values for so many rows, whatever the table holds."""
+        columns = self.spec.tables[table]
+        for group, (names, sizes) in self.bounded(table).items():
+            if prod(sizes) < wanted and not any(columns[k].parent for k in names):
+                raise ValueError(f"exhausted: {'the key' if not group else group} of {table} has {prod(sizes)} values for {wanted} rows")
+
     def limit(self, table: str, wanted: int) -> int:
         """The rows a table can have; warns where keys made of foreign keys are fewer than wanted, raises where a key is exhausted."""
+        self.check_types(table, wanted)
         self.take_stock(table)
         p, most, columns = self.parents[table], wanted, self.spec.tables[table]
         for group, (names, sizes) in self.bounded(table).items():
@@ -303,7 +346,7 @@ class Synthesizer:
                     after.append((F.unix_timestamp(F.concat(F.lit("1970-01-01 "), last.cast("string"))) - F.unix_timestamp(F.lit("1970-01-01 00:00:00")) + 1).alias(name))
                 else:
                     after.append(F.greatest(F.timestamp_diff("SECOND", F.expr("TIMESTAMP_NTZ '2000-01-01 00:00:00'"), last.cast("timestamp_ntz")) + 1, F.lit(0)).cast("long").alias(name))
-            elif self.short(c) is None and self.domain(c) is None:
+            elif self.bound(table, name) is None and self.domain(c) is None:
                 text.append(F.sum(F.conv(F.substring(F.md5(value.cast("string")), 1, 8), 16, 10).cast("decimal(20,0)")).cast("string").alias(name))
         facts = held.agg(F.count("*").alias("_n"), *after, *text).first().asDict()
         p.held, p.rows = held, facts.pop("_n")
@@ -356,17 +399,19 @@ def synthesize(
     wanted = [t for t in ordered if t in (targets or spec.tables)]
     s = Synthesizer(spark, spec, seed, hash_kind, end_date, self_ref_depth, fill_near_cycles)
     referred = {v.parent for t in wanted for v in spec.tables[t].values() if v.parent}
+    s.parents = {t: Parent() for t in spec.tables}
+    for t in wanted:
+        override, enums = (table_rows or {}).get(t, 0), s.enum_columns(t)
+        s.planned[t] = override if override > 0 else enum_rows * len(next(iter(enums.values()))) if enum_rows and enums else rows
+        s.check_types(t, s.planned[t])
     for t in spec.tables:
-        s.parents[t] = p = Parent()
+        p = s.parents[t]
         held = (existing or {}).get(t)
         if held is None:
             continue
         refs = sorted({ref for table, ref in referred if table == t and ref in held.columns})
         p.index = {ref: dense_index(held.select(F.col(ref).alias("key")).filter("key IS NOT NULL")) for ref in refs}
         s.describe(t, held)
-    for t in wanted:
-        override, enums = (table_rows or {}).get(t, 0), s.enum_columns(t)
-        s.planned[t] = override if override > 0 else enum_rows * len(next(iter(enums.values()))) if enum_rows and enums else rows
     made: dict[str, DataFrame] = {}
     for t in wanted:
         override, enums = (table_rows or {}).get(t, 0), s.enum_columns(t)
@@ -383,9 +428,11 @@ def synthesize(
             out, n = top_up(s, t, out, n, enums, min_enum_rows, pinned)
             s.parents[t].made = n
         s.placed.append(t)
-        made[t] = out.drop("_row")
-        if s.parents[t].taken:
-            made[t] = s.settle(t, made[t])
+        made[t] = s.settle(t, out) if s.parents[t].taken else out
+    for t, names in s.deferred.items():
+        for name in dict.fromkeys(names):
+            made[t] = s.fill_deferred(t, name, made[t])
+    made = {t: df.drop("_row") for t, df in made.items()}
     for t in wanted:
         for name, c in spec.tables[t].items():
             if c.generator and not G.usable(c.generator) and not c.parent and not c.pk:

@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablesmith.operators import checks, depgraph, gaps, profile
+from tablesmith.operators import checks, depgraph, gaps, inclusions, profile
 from tablesmith.plans.queries import CORE, load, one, query, shared_folder
 from tablesmith.sources import sinks
 from tablesmith.sources import tables as src
@@ -65,7 +65,7 @@ def p4_unique_columns(spark, sf_dir):
 
 
 def inclusions_sql(tables: dict[str, dict[str, str]]) -> str:
-    """Coverage of every pair of a column and a unique column of another table that agree in kind and of which one's range holds the other's."""
+    """Coverage of every pair of a column and a unique column of another table that agree in kind, share a value, and of which one's range holds the other's."""
     kind = {LONG: "number", INT: "number", TEXT: "text"}
     parts = []
     for t, columns in tables.items():
@@ -73,13 +73,13 @@ def inclusions_sql(tables: dict[str, dict[str, str]]) -> str:
             for c, a in columns.items():
                 for d, b in others.items():
                     if t != u and kind.get(a) and kind.get(a) == kind.get(b):
-                        parts.append(f"SELECT '{t}' AS child, '{c}' AS \"column\", '{u}' AS parent, '{d}' AS ref_column, CAST(count(DISTINCT {c}) FILTER ({c} IN (SELECT {d} FROM {u})) AS DOUBLE) / count(DISTINCT {c}) AS coverage FROM {t} HAVING min({c}) >= (SELECT min({d}) FROM {u}) AND max({c}) <= (SELECT max({d}) FROM {u}) AND (SELECT count(DISTINCT {d}) = count(*) FROM {u})")
+                        parts.append(f"SELECT '{t}' AS child, '{c}' AS \"column\", '{u}' AS parent, '{d}' AS ref_column, CAST(count(DISTINCT {c}) FILTER ({c} IN (SELECT {d} FROM {u})) AS DOUBLE) / count(DISTINCT {c}) AS coverage FROM {t} HAVING coverage > 0 AND min({c}) >= (SELECT min({d}) FROM {u}) AND max({c}) <= (SELECT max({d}) FROM {u}) AND (SELECT count(DISTINCT {d}) = count(*) FROM {u})")
     return " UNION ALL ".join(parts)
 
 
 @query(inclusions_sql({t: COLUMNS[t] for t in ("region", "nation", "supplier", "customer")}))
 def p5_inclusions_whatever_the_names(spark, sf_dir):
-    return profile.foreign_keys(load(spark, sf_dir, "region", "nation", "supplier", "customer")).select("child", "column", "parent", "ref_column", "coverage")
+    return inclusions.foreign_keys(load(spark, sf_dir, "region", "nation", "supplier", "customer")).select("child", "column", "parent", "ref_column", "coverage")
 
 
 def core_spec() -> SchemaSpec:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,6 +137,70 @@ def o9_selection_taken_literally(spark, sf_dir):
     return counts[0].unionByName(counts[1])
 
 
+#: Types of few values, what a customer's number gives of them, and the same in SQL; the values in their order as SQL has them.
+NARROW = {
+    "smallint": ("smallint", "id", "id", "SELECT i AS v, i AS k FROM range(1, 32768) AS r(i)"),
+    "numeric": ("numeric(3,0)", "id % 300 - 150", "id % 300 - 150", "SELECT i AS v, CASE WHEN i > 0 THEN i ELSE 1000 - i END AS k FROM range(-999, 1000) AS r(i)"),
+    "tenths": ("numeric(3,1)", "cast(id % 300 AS decimal(5,0)) / 10", "CAST(id % 300 AS DECIMAL(5,1)) / 10", "SELECT CAST(i / 10.0 AS DECIMAL(3,1)) AS v, CASE WHEN i > 0 AND i % 10 = 0 THEN i // 10 WHEN i > 0 THEN 1000 + i ELSE 3000 - i END AS k FROM range(-999, 1000) AS r(i)"),
+    "boolean": ("boolean", "true", "true", "SELECT * FROM (VALUES (false, 0), (true, 1)) AS b(v, k)"),
+}
+
+
+def narrow_sql() -> str:
+    parts = []
+    for name, (kind, _, value, domain) in NARROW.items():
+        held = f"SELECT DISTINCT CAST({value} AS {kind}) AS v FROM (SELECT c_custkey AS id FROM customer WHERE c_custkey <= 600)"
+        n = "(SELECT least(count(*), 600) FROM customer)" if name != "boolean" else "1"
+        parts.append(f"SELECT '{name}' AS kind, 'held' AS part, CAST(v AS VARCHAR) AS value FROM ({held})")
+        parts.append(f"SELECT '{name}', 'more', CAST(v AS VARCHAR) FROM (SELECT v, row_number() OVER (ORDER BY k) AS place FROM ({domain}) WHERE v NOT IN ({held})) WHERE place <= {n}")
+        parts.append(f"SELECT '{name}', 'fresh', CAST(v AS VARCHAR) FROM (SELECT v, row_number() OVER (ORDER BY k) AS place FROM ({domain})) WHERE place <= {n}")
+    return " UNION ALL ".join(parts)
+
+
+@query(narrow_sql())
+def d8_bounded_numeric_keys(spark, sf_dir):
+    """Keys of small types: those that customers give, as many more that these leave free, and as many of an empty table."""
+    customer = one(spark, sf_dir, "customer").filter("c_custkey <= 600").select(F.col("c_custkey").alias("id"))
+    n, parts = min(customer.count(), 600), []
+    for name, (kind, value, _, _) in NARROW.items():
+        spec = {name: {"k": {"type": kind.partition("(")[0], "ddl_type": kind, "pk": True}}}
+        held = customer.select(F.expr(f"cast({value} AS {kind})").alias("k")).distinct()
+        rows = 1 if name == "boolean" else n
+        for part, df in (("held", held), ("more", made(spark, spec, name, rows, {name: held})), ("fresh", made(spark, spec, name, rows, {}))):
+            parts.append(df.select(F.lit(name).alias("kind"), F.lit(part).alias("part"), F.col("k").cast("string").alias("value")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+HELD_DAYS = "SELECT DISTINCT CAST(CAST(o_orderdate AS DATE) + 2922 AS DATE) AS day FROM orders"
+FREE_DAYS = f"SELECT day, row_number() OVER (ORDER BY day) - 1 AS k FROM (SELECT CAST(DATE '2000-01-01' + CAST(i AS INT) AS DATE) AS day FROM range({DAYS}) AS r(i)) WHERE day NOT IN ({HELD_DAYS})"
+
+
+def held_days(spark, sf_dir) -> DataFrame:
+    return one(spark, sf_dir, "orders").select(F.date_add(F.col("o_orderdate").cast("date"), 2922).alias("day")).distinct()
+
+
+@query(f"WITH free AS (SELECT * FROM ({FREE_DAYS}) WHERE k < 2000) SELECT f.day, p.day AS after, coalesce(p.day, f.day) AS hard_after FROM free f LEFT JOIN free p ON f.k > 0 AND p.k = least(f.k - 1, 1)")
+def d9_refilled_self_references(spark, sf_dir):
+    """A table keyed by days that holds rows: the new ones refer to days among themselves, which only then are known."""
+    day = {"type": "date", "pk": True}
+    held = held_days(spark, sf_dir)
+    spec = {"shift": {"day": day, "after": {"type": "date", "fk": "shift.day", "nullable": True}, "hard_after": {"type": "date", "fk": "shift.day"}}}
+    return made(spark, spec, "shift", 2000, {"shift": held.select("day", F.lit(None).cast("date").alias("after"), F.col("day").alias("hard_after"))})
+
+
+SPREAD = f"({synth.MULTIPLIER % DAYS} * CAST(j AS HUGEINT) + {SEED}) % {DAYS}"
+
+
+@query(f"""WITH t AS (SELECT i, {h('team', 'next_day', 'i')} % n AS j FROM (SELECT unnest(range(n)) AS i, n FROM (SELECT least(count(*), 5000) AS n FROM customer)))
+SELECT i + 1 AS id, CAST(NULL AS DATE) AS next_day, CAST(DATE '2000-01-01' + CAST({SPREAD} AS INT) AS DATE) AS filled_next_day FROM t""")
+def d17_near_cycle_to_days(spark, sf_dir):
+    """Teams have an optional day among shifts, which refer to teams, come later and are keyed by days: null, or filled once the shifts are there."""
+    n = min(one(spark, sf_dir, "customer").count(), 5000)
+    spec = SchemaSpec.of({"team": {"id": KEY, "next_day": {"type": "date", "fk": "shift.day", "nullable": True}}, "shift": {"day": {"type": "date", "pk": True}, "team_id": {"type": "bigint", "fk": "team.id"}}})
+    plain, filled = (synth.synthesize(spark, spec, rows=n, seed=SEED, hash_kind="md5", fill_near_cycles=fill).tables for fill in (False, True))
+    return plain["team"].join(filled["team"].select("id", F.col("next_day").alias("filled_next_day")), "id")
+
+
 LINE = "line"
 
 

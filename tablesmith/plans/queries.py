@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tablesmith.functions import generators as G
 from tablesmith.functions.hashing import Cells
-from tablesmith.operators import checks, depgraph, gaps, profile, synth
+from tablesmith.operators import checks, depgraph, gaps, inclusions, profile, synth
 from tablesmith.sources import sinks
 from tablesmith.sources import tables as src
 from tablesmith.spec import SchemaSpec
@@ -127,7 +127,7 @@ def p8_profile_lineitem(spark, sf_dir):
 
 @query(" UNION ALL ".join(f"SELECT '{a}' AS child, '{b}' AS \"column\", '{c}' AS parent, '{d}' AS ref_column, CAST(count(DISTINCT {b}) FILTER ({b} IN (SELECT {d} FROM {c})) AS DOUBLE) / count(DISTINCT {b}) AS coverage FROM {a}" for a, b, c, d, _ in EDGES))
 def p5_foreign_keys(spark, sf_dir):
-    return profile.foreign_keys(load(spark, sf_dir, *CORE), names_only=True).filter("rank = 1 AND coverage > 0").select("child", "column", "parent", "ref_column", "coverage")
+    return inclusions.foreign_keys(load(spark, sf_dir, *CORE), names_only=True).filter("rank = 1 AND coverage > 0").select("child", "column", "parent", "ref_column", "coverage")
 
 
 @query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", string_agg(DISTINCT {c}, ',' ORDER BY {c}) AS domain, count(DISTINCT {c}) AS n_values FROM {t}" for t, c in (("orders", "o_orderstatus"), ("orders", "o_orderpriority"))))
@@ -135,17 +135,6 @@ def p6_enum_domains(spark, sf_dir):
     return profile.enum_domains(one(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"])
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN NULL ELSE CASE l_linenumber % 4 WHEN 3 THEN NULL ELSE l_linenumber - 10 END END AS check_min, CASE l_linenumber % 4 WHEN 0 THEN NULL ELSE CASE l_linenumber % 4 WHEN 3 THEN NULL ELSE l_orderkey END END AS check_max, CASE l_linenumber % 4 WHEN 0 THEN l_returnflag || ',' || l_linestatus WHEN 3 THEN l_linestatus || ',x y' ELSE '' END AS check_values FROM lineitem")
-def p9_check_clauses(spark, sf_dir):
-    line, low = one(spark, sf_dir, "lineitem"), F.expr("cast(l_linenumber - 10 as string)")
-    high, kind = F.col("l_orderkey").cast("string"), F.col("l_linenumber") % 4
-    listed = F.concat(F.lit("CHECK ((status)::text = ANY ((ARRAY['"), F.col("l_returnflag"), F.lit("'::character varying, '"), F.col("l_linestatus"), F.lit("'::character varying])::text[]))"))
-    inside = F.concat(F.lit("(`s` in (_utf8mb4'"), F.col("l_linestatus"), F.lit("\\',_utf8mb4'x y\\'))"))
-    clause = F.when(kind == 0, listed).when(kind == 3, inside).when(kind == 1, F.concat(F.lit("CHECK (((a >= "), low, F.lit(") AND (a <= "), high, F.lit(")))"))).otherwise(F.concat(F.lit("(`a` between "), low, F.lit(" and "), high, F.lit(")")))
-    found = profile.parse_checks(line.select("l_orderkey", "l_linenumber", clause.alias("clause")))
-    return found.select("l_orderkey", "l_linenumber", "check_min", "check_max", F.array_join("check_values", ",").alias("check_values"))
-
-
 @query(f"SELECT child, parent FROM {ROW_EDGES_SQL} WHERE NOT nullable AND child <> parent")
 def o1_hard_edges(spark, sf_dir):
     return depgraph.hard_edges(row_edges(spark, sf_dir)).select("child", "parent")

@@ -1,11 +1,13 @@
 import datetime as dt
+import random
+from itertools import combinations, permutations, product
 
 import pytest
 from pyspark.sql import functions as F
 
 from tablesmith.functions import generators as G
 from tablesmith.functions.hashing import Cells
-from tablesmith.operators import assign, checks, depgraph, gaps, profile, synth
+from tablesmith.operators import assign, checks, depgraph, domains, gaps, inclusions, profile, synth
 from tablesmith.sources import sinks
 from tablesmith.sources import tables as src
 from tablesmith.spec import ColumnSpec, SchemaSpec
@@ -200,7 +202,7 @@ def test_profile_of_keys(spark):
     assert got["id"].is_sequence and got["id"].is_unique and got["s"].longest == 3 and got["b"].is_enum and not got["a"].is_sequence
     parents = spark.createDataFrame([(i,) for i in range(10)], "p_id long")
     child = spark.createDataFrame([(i % 10,) for i in range(50)] + [(None,)], "c_id long")
-    edge = profile.foreign_keys({"parent": parents, "child": child}).collect()
+    edge = inclusions.foreign_keys({"parent": parents, "child": child}).collect()
     assert [(e.child, e["column"], e.parent, e.coverage) for e in edge] == [("child", "c_id", "parent", 1.0)]
 
 
@@ -300,3 +302,109 @@ def test_tables_go_to_a_database_and_back(spark):
     assert sinks.write_tables({"a": df}, ["a"], url, "jdbc", **options) == ["a"]
     back = src.load_jdbc(spark, url, ["a"], partitionColumn="k", lowerBound="0", upperBound="50", numPartitions="3", **options)["a"]
     assert back.rdd.getNumPartitions() == 3 and sorted((r[0], r[1]) for r in back.collect()) == [(i, str(i)) for i in range(50)]
+
+
+def test_inclusions_against_sets(spark):
+    rng = random.Random(8)
+    tables, data = {}, {}
+    for t in range(3):
+        rows = [tuple(rng.choice([None, *range(rng.choice([3, 6, 9]))]) for _ in range(4)) + (rng.choice(["a", "b", "x" * 100, "x" * 101]),) for _ in range(rng.randint(1, 12))]
+        names = [f"c{i}" for i in range(4)] + ["s"]
+        data[f"t{t}"] = {c: [r[i] for r in rows] for i, c in enumerate(names)}
+        tables[f"t{t}"] = spark.createDataFrame(rows, "c0 long, c1 int, c2 smallint, c3 long, s string").withColumn("c3", F.col("c3").cast("decimal(9,0)"))
+    tables["empty"] = spark.createDataFrame([], "c0 long, s string")
+
+    def of(t, columns):
+        return [v for v in zip(*(data[t][c] for c in columns), strict=True) if None not in v]
+
+    def unique(t, columns):
+        n = len(data[t]["s"])
+        return n > 0 and len(of(t, columns)) == n == len(set(of(t, columns)))
+
+    kind = {"c0": 0, "c1": 0, "c2": 0, "c3": 0, "s": 1}
+    want = set()
+    for t, u in permutations(data, 2):
+        for c, d in product(kind, kind):
+            own = set(of(t, [c]))
+            if kind[c] == kind[d] and own and own <= set(of(u, [d])):
+                want.add((t, c, u, d, 1, len(own), 1.0, unique(u, [d])))
+    assert set(map(tuple, inclusions.inclusions(tables).collect())) == want
+    singles = {(t, c, u, d) for t, c, u, d, *_ in want}
+    pairs = set()
+    for t, u in permutations(data, 2):
+        for (a, b), (c, d) in product(combinations(sorted(kind), 2), permutations(sorted(kind), 2)):
+            own = set(of(t, [a, b]))
+            if {(t, a, u, c), (t, b, u, d)} <= singles and own and own <= set(of(u, [c, d])) and unique(u, [c, d]) and not unique(u, [c]) and not unique(u, [d]):
+                pairs.add((t, f"{a},{b}", u, f"{c},{d}", 2, len(own), 1.0, True))
+    assert set(map(tuple, inclusions.composite_inclusions(tables).collect())) == pairs
+
+
+def test_composite_inclusions_of_three_columns(spark):
+    keys = [(a, b, c) for a in range(3) for b in range(3) for c in range(3)]
+    parent = spark.createDataFrame([(*k, 0) for k in keys], "x long, y long, z long, w long")
+    child = spark.createDataFrame([(*k, 7) for k in keys[::2]] + [(None, 1, 99, 7)], "p long, q long, r long, v long").filter("r < 99")
+    [found] = [tuple(r) for r in inclusions.composite_inclusions({"parent": parent, "child": child}, 3).filter("child = 'child' AND ref_column = 'x,y,z'").collect()]
+    assert found == ("child", "p,q,r", "parent", "x,y,z", 3, 14, 1.0, True)
+    plan = inclusions.inclusions({"parent": parent, "child": child})
+    assert {tuple(r)[:4] for r in plan.collect()} >= {("child", c, "parent", d) for c, d in product("pqr", "xyz")}
+
+
+def domain_cases():
+    c = lambda kind, **more: ColumnSpec(kind.partition("(")[0], kind, **more)
+    return {
+        "smallint": (c("smallint"), 65_536), "numeric(3,0)": (c("numeric(3,0)"), 1999), "numeric(3,1)": (c("numeric(3,1)"), 1999), "numeric(2,2)": (c("numeric(2,2)"), 199), "boolean": (c("boolean"), 2), "year": (c("year"), 255), "date": (c("date"), 9497), "time": (c("time"), 86_400),
+        "char(2)": (c("char(2)"), 1296), "checked": (c("int", check_min=-3, check_max=9), 13), "listed": (c("text", check_values=["x", "y", "z"]), 3), "int": (c("int"), 1 << 32), "real": (c("real"), (1 << 25) + 1),
+    }
+
+
+@pytest.mark.parametrize("name", list(domain_cases()))
+def test_domains_number_their_values(spark, name):
+    c, size = domain_cases()[name]
+    d = domains.of(c, G.END)
+    assert d.size == size
+    few = spark.range(min(size, 100_000)).select("id", d.value(F.col("id")).alias("raw")).withColumn("v", F.col("raw").cast(c.spark_type()))
+    assert few.filter("v IS NULL").count() == 0 and few.select("v").distinct().count() == few.count()
+    assert few.filter(~d.number(F.col("v")).eqNullSafe(F.col("id"))).count() == 0
+    ends = spark.createDataFrame([(0,), (size - 1,)], "id long").select("id", d.value(F.col("id")).cast(c.spark_type()).alias("v"))
+    assert ends.filter(d.number(F.col("v")) != F.col("id")).count() == 0
+
+
+def test_narrow_keys(spark):
+    s = spec(a={"k": {"type": "smallint", "pk": True}, "code": {"type": "numeric", "ddl_type": "numeric(3,0)", "unique": True}}, b={"on": {"type": "boolean", "pk": True}, "k": ref("a.k", pk=True, type="smallint")})
+    made = synth.synthesize(spark, s, rows=1500, table_rows={"b": 3000}).tables
+    assert made["a"].agg(F.min("k"), F.max("k"), F.count_distinct("k"), F.count_distinct("code"), F.min("code")).first() == (1, 1500, 1500, 1500, -500)
+    assert checks.duplicates(made["b"], "k", "on").count() == 0 and made["b"].count() == 3000 and checks.orphans(made["b"], "k", made["a"], "k").count() == 0
+    more = synth.synthesize(spark, s, rows=400, targets=["a"], existing={"a": made["a"]}).tables["a"]
+    assert checks.duplicates(made["a"].unionByName(more), "k").count() == 0 == checks.duplicates(made["a"].unionByName(more), "code").count() and more.count() == 400
+    child = synth.synthesize(spark, s, table_rows={"b": 50}, targets=["a", "b"], rows=100, existing={"a": made["a"]}).tables
+    assert checks.orphans(child["b"], "k", made["a"].select("k").unionByName(child["a"].select("k")), "k").count() == 0
+    with pytest.raises(ValueError, match="exhausted.*code of a has 499 values for 500"):
+        synth.synthesize(spark, s, rows=500, targets=["a"], existing={"a": made["a"]})
+
+
+def test_small_types_are_refused_before_any_job(spark):
+    broken = spark.range(5).select(F.raise_error(F.lit("a job ran")).cast("smallint").alias("k"))
+    for kind, rows in (("numeric(2,0)", 200), ("boolean", 3), ("smallint", 70_000), ("char(1)", 37), ("year", 256)):
+        with pytest.raises(ValueError, match="exhausted"):
+            synth.synthesize(spark, spec(t={"k": {"type": kind.partition("(")[0], "ddl_type": kind, "pk": True}}), rows=rows, existing={"t": broken})
+
+
+def test_int_keys_go_back_when_they_reach_the_end(spark):
+    held = spark.createDataFrame([(1,), (3,), (2_147_483_640,)], "id int")
+    s = spec(t={"id": {"type": "int", "pk": True}})
+    assert rows_of(synth.synthesize(spark, s, rows=4, existing={"t": held}).tables["t"], "id") == [(2_147_483_641 + i,) for i in range(4)]
+    assert rows_of(synth.synthesize(spark, s, rows=9, existing={"t": held}).tables["t"], "id") == [(2,), *((i,) for i in range(4, 12))]
+
+
+def test_deferred_references(spark):
+    s = spec(day={"day": {"type": "date", "pk": True}, "up": {"type": "date", "fk": "day.day", "nullable": True}, "boss": {"type": "date", "fk": "day.day"}})
+    held = spark.sql("SELECT date_add(DATE '2000-01-01', cast(id * 2 AS int)) AS day, cast(NULL AS date) AS up, DATE '2000-01-01' AS boss FROM range(30)")
+    for depth in (0, 1, 3):
+        made = synth.synthesize(spark, s, rows=50, existing={"day": held}, self_ref_depth=depth).tables["day"]
+        assert made.count() == 50 and checks.duplicates(held.select("day").unionByName(made.select("day")), "day").count() == 0
+        assert checks.orphans(made, "boss", made, "day").count() == 0 == checks.depth_violations(made, "day", "boss", depth).count() == checks.depth_violations(made, "day", "up", depth).count()
+        assert made.filter("up IS NULL").count() == (50 if depth == 0 else 1)
+    near = spec(dept={"id": ID, "head": {"type": "date", "fk": "emp.day", "nullable": True, "unique": True}}, emp={"day": {"type": "date", "pk": True}, "dept_id": ref("dept.id")})
+    made = synth.synthesize(spark, near, rows=40, table_rows={"emp": 30}, fill_near_cycles=True).tables
+    assert made["dept"].filter("head IS NOT NULL").count() == 30 == made["dept"].select("head").distinct().count() - 1 and checks.orphans(made["dept"], "head", made["emp"], "day").count() == 0
+    assert synth.synthesize(spark, near, rows=40).tables["dept"].filter("head IS NOT NULL").count() == 0
