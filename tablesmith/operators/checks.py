@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablesmith.sources.tables import cut_lineage, row_counts, small
+from tablesmith.operators.depgraph import jump
+from tablesmith.sources.tables import row_counts
 
 
 def summary(violations: DataFrame, name: str) -> DataFrame:
@@ -82,18 +83,18 @@ def roots(df: DataFrame, parent_col: str, id_col: str) -> DataFrame:
     return df.filter(F.col(parent_col).isNull() | (F.col(parent_col) == F.col(id_col)))
 
 
+def depths(df: DataFrame, id_col: str, parent_col: str) -> DataFrame:
+    """``id``, ``root`` and ``depth`` (0 at a root) of every row of a self-reference; both null for rows on a cycle or below one. A parent that is no row counts as a root."""
+    links = df.select(F.col(id_col).alias("node"), F.col(parent_col).alias("target"))
+    above = F.col("target").isNotNull() & (F.col("target") != F.col("node"))
+    found = jump(links.filter(above).withColumn("dist", F.lit(1)))
+    whole = found.select(F.col("node").alias("id"), F.when(~F.col("stuck"), F.col("end")).alias("root"), F.when(~F.col("stuck"), F.col("dist")).alias("depth"))
+    return whole.unionByName(links.filter(~above | F.col("target").isNull()).select(F.col("node").alias("id"), F.col("node").alias("root"), F.lit(0).cast("long").alias("depth")))
+
+
 def depth_violations(df: DataFrame, id_col: str, parent_col: str, depth: int) -> DataFrame:
     """``id`` of rows more than ``depth`` steps from a root; rows on a cycle or below one never reach a root and violate."""
-    links = cut_lineage(df.select(F.col(id_col).alias("id"), F.col(parent_col).alias("up")))
-    open_ = cut_lineage(links.filter(F.col("up").isNotNull() & (F.col("up") != F.col("id"))).select("id", "up"))
-    step = links.filter(F.col("up").isNotNull() & (F.col("up") != F.col("id"))).select(F.col("id").alias("up"), F.col("up").alias("next"))
-    for _ in range(depth):
-        # Most rows may share a few parents: the parents are looked up once each, and few of them are broadcast.
-        known = cut_lineage(open_.select("up").distinct().join(step, "up"))
-        open_ = cut_lineage(open_.join(small(known, known.count()), "up").select("id", F.col("next").alias("up")))
-        if open_.isEmpty():
-            break
-    return open_.select("id")
+    return depths(df, id_col, parent_col).filter(F.col("depth").isNull() | (F.col("depth") > depth)).select("id")
 
 
 def unexpected_counts(tables: dict[str, DataFrame], expected: dict[str, int | str]) -> DataFrame:

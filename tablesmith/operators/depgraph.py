@@ -13,24 +13,54 @@ def hard_edges(edges: DataFrame) -> DataFrame:
     return edges.filter(~F.coalesce("nullable", F.lit(False)) & (F.col("parent") != F.col("child")) & (F.col("parent") != ""))
 
 
+def jump(links: DataFrame) -> DataFrame:
+    """Follow links of one target each to their ends: ``node``, ``end`` (not itself the node of a link; null where a target is null), ``dist`` (the
+    sum of the links' ``dist``) and ``stuck`` (the way runs into a cycle).
+
+    ``links``: node, target, dist. Each round doubles the way a link spans, so the rounds grow with the logarithm of the longest way.
+    """
+    state = cut_lineage(links.select("node", F.col("target").alias("end"), F.col("dist").cast("long").alias("dist"), F.col("target").isNull().alias("done")))
+    for _ in range(state.count().bit_length() + 1):
+        ahead = state.select(F.col("node").alias("end"), F.col("end").alias("next"), F.col("dist").alias("more"), F.col("done").alias("ends"))
+        went = state.filter("NOT done").join(ahead, "end", "left")
+        on = F.col("ends").isNotNull()
+        went = went.select("node", F.when(on, F.col("next")).otherwise(F.col("end")).alias("end"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"), F.coalesce("ends", F.lit(True)).alias("done"))
+        state = cut_lineage(state.filter("done").unionByName(went))
+        if state.filter("NOT done").isEmpty():
+            break
+    return state.select("node", "end", "dist", (~F.col("done")).alias("stuck"))
+
+
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``table`` and ``level``: the longest path from a root; null for tables on or below a cycle.
 
-    One round for each level; a round places every table all of whose parents are placed.
+    Tables of one parent are not placed one by one: ``jump`` takes each to the nearest table above it that has several parents or is placed, however
+    long the chain. The edges of tables of several parents then lead there, the longest of parallel ones counts, and what is left with one parent
+    goes the same way in the next turn. Turns grow with the number of such tables on a path, not with its length.
     """
-    pairs = cut_lineage(edges.select("child", "parent").distinct())
-    rest = cut_lineage(nodes.select("table").distinct())
-    placed, level = None, 0
+    left = cut_lineage(edges.select(F.col("child").alias("node"), F.col("parent").alias("target")).distinct().withColumn("dist", F.lit(1).cast("long")))
+    roots = nodes.select(F.col("table").alias("node")).distinct().join(left.select("node").distinct(), "node", "left_anti")
+    placed = cut_lineage(roots.select("node", F.lit(0).cast("long").alias("level")))  # in one frame
+    known, passed = placed, []  # placed last; and tables whose level is that of another one and a distance
     while True:
-        waiting = pairs.join(rest.select(F.col("table").alias("parent")), "parent", "left_semi").select(F.col("child").alias("table")).distinct()
-        ready = cut_lineage(rest.join(waiting, "table", "left_anti").select("table", F.lit(level).alias("level")))
-        if ready.isEmpty():
+        # Of an edge from a placed table only the length counts, so all of these are one.
+        end = F.when(F.col("level").isNull(), F.col("target")).alias("target")
+        left = left.join(known.select(F.col("node").alias("target"), "level"), "target", "left").select("node", end, (F.col("dist") + F.coalesce("level", F.lit(0))).alias("dist"))
+        left = cut_lineage(left.groupBy("node", "target").agg(F.max("dist").alias("dist")))
+        alone = left.groupBy("node").agg(F.count("*").alias("n")).filter("n = 1").select("node")
+        went = cut_lineage(jump(left.join(alone, "node", "left_semi")).filter("NOT stuck"))
+        if went.isEmpty():
             break
-        placed = ready if placed is None else placed.unionByName(ready)
-        rest = cut_lineage(rest.join(ready, "table", "left_anti"))
-        level += 1
-    stuck = rest.select("table", F.lit(None).cast("int").alias("level"))
-    return stuck if placed is None else placed.unionByName(stuck)
+        known = cut_lineage(went.filter("end IS NULL").select("node", F.col("dist").alias("level")))
+        placed = cut_lineage(placed.unionByName(known))
+        passed.append(went.filter("end IS NOT NULL").select("node", "end", "dist"))
+        left = left.join(went.select("node"), "node", "left_anti")
+        via = passed[-1].select(F.col("node").alias("target"), "end", F.col("dist").alias("more"))
+        left = left.join(via, "target", "left").select("node", F.coalesce("end", "target").alias("target"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"))
+    for way in reversed(passed):
+        below = way.join(placed.select(F.col("node").alias("end"), "level"), "end").select("node", (F.col("level") + F.col("dist")).alias("level"))
+        placed = cut_lineage(placed.unionByName(below))
+    return nodes.select("table").distinct().join(placed.withColumnRenamed("node", "table"), "table", "left").select("table", F.col("level").cast("int").alias("level"))
 
 
 def missing_tables(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -43,19 +73,26 @@ def cycle_report(ranked: DataFrame) -> DataFrame:
     return ranked.filter("level IS NULL").select("table").orderBy("table")
 
 
-def order_tables(spec, spark) -> list[str]:
-    """Parents first, ties by name, from a spec on the driver; raises on a missing parent or a cycle."""
+def spec_levels(spec) -> list[list[str]]:
+    """The tables of a spec by level on the driver, each level sorted: those that need no table of the same or a later one; raises on a missing parent or a cycle."""
     parents = {t: {v.parent[0] for v in columns.values() if v.parent and not v.nullable and v.parent[0] != t} for t, columns in spec.tables.items()}
     absent = sorted(p for ps in parents.values() for p in ps if p not in parents)
     if absent:
         raise ValueError(f"missing table: {', '.join(absent)}")
-    done: list[str] = []
+    found: list[list[str]] = []
+    done: set[str] = set()
     while len(done) < len(parents):
-        ready = sorted(t for t, ps in parents.items() if t not in done and ps <= set(done))
+        ready = sorted(t for t, ps in parents.items() if t not in done and ps <= done)
         if not ready:
-            raise ValueError(f"cycle among: {', '.join(sorted(set(parents) - set(done)))}")
-        done += ready
-    return done
+            raise ValueError(f"cycle among: {', '.join(sorted(set(parents) - done))}")
+        found.append(ready)
+        done |= set(ready)
+    return found
+
+
+def order_tables(spec, spark) -> list[str]:
+    """Parents first, ties by name."""
+    return [t for level in spec_levels(spec) for t in level]
 
 
 def neighbours(edges: DataFrame) -> DataFrame:
@@ -66,15 +103,32 @@ def neighbours(edges: DataFrame) -> DataFrame:
 
 
 def close_selection(edges: DataFrame, selected: DataFrame) -> DataFrame:
-    """``table`` and ``auto_added``: the selection with all of its hard parents, one frontier at a time."""
+    """``table`` and ``auto_added``: the selection with all of its hard parents.
+
+    Where tables have one parent, steps of 1, 2, 4 ... parents reach all that stand above in a logarithmic number of rounds; only tables of several
+    parents are passed one at a time.
+    """
     pairs = cut_lineage(hard_edges(edges).select("child", "parent").distinct())
-    seen = cut_lineage(selected.select("table").distinct().withColumn("auto_added", F.lit(False)))
-    frontier = seen
-    while not frontier.isEmpty():
-        found = pairs.join(frontier.select(F.col("table").alias("child")), "child", "left_semi").select(F.col("parent").alias("table")).distinct()
-        frontier = cut_lineage(found.join(seen, "table", "left_anti").withColumn("auto_added", F.lit(True)))
-        seen = cut_lineage(seen.unionByName(frontier))
-    return seen
+    alone = pairs.groupBy("child").agg(F.count("*").alias("n")).filter("n = 1").select("child")
+    steps = [cut_lineage(pairs.join(alone, "child", "left_semi"))]
+    while len(steps) <= steps[0].count().bit_length():
+        twice = steps[-1].join(steps[-1].select(F.col("child").alias("parent"), F.col("parent").alias("next")), "parent").select("child", F.col("next").alias("parent"))
+        steps.append(cut_lineage(twice))
+        if steps[-1].isEmpty():
+            break
+    several = cut_lineage(pairs.join(alone, "child", "left_anti"))
+    chosen = cut_lineage(selected.select("table").distinct())
+    new = seen = chosen
+    while True:
+        for step in steps:  # what is reached by steps of any length so far, and from there by this one
+            found = step.join(new.select(F.col("table").alias("child")), "child", "left_semi").select(F.col("parent").alias("table"))
+            new = cut_lineage(new.unionByName(found).distinct())
+        seen = cut_lineage(seen.unionByName(new).distinct())
+        over = several.join(new.select(F.col("table").alias("child")), "child", "left_semi").select(F.col("parent").alias("table")).distinct()
+        new = cut_lineage(over.join(seen, "table", "left_anti"))
+        if new.isEmpty():
+            break
+    return seen.join(chosen.withColumn("chosen", F.lit(True)), "table", "left").select("table", F.col("chosen").isNull().alias("auto_added"))
 
 
 def seed_plan(ranked: DataFrame, edges: DataFrame, volumes: DataFrame) -> DataFrame:

@@ -10,45 +10,45 @@ from tablesmith.spec import SchemaSpec
 
 #: Each table's columns beside the key ``id``: name, then ``>table`` (optional: ``?``), a type, ``e:`` an enumeration, ``u:`` a unique type.
 TABLES = """
-brand: name varchar(100), enabled boolean
-category: parent_id >category?, slug uuid
-tag: name varchar(100)
-user: email u:varchar(255), username u:varchar(100), role e:admin|user|guest, created_at timestamp
-coupon: code u:varchar(20), kind e:percentage|fixed, discount_value numeric(10,2)
-company: name varchar(255), founded_year integer
-supplier: email varchar(255), rating numeric(3,2)
-hard_self_employee: manager_id >hard_self_employee, title varchar(100)
-address: user_id >user, city varchar(100), postal_code varchar(20)
-product: category_id >category, brand_id >brand, price numeric(10,2), stock integer, sku uuid, metadata jsonb
-department: company_id >company, parent_dept_id >department?, head_employee_id >employee?, budget numeric(15,2)
-warehouse: company_id >company, is_active boolean
-employee: department_id >department, manager_id >employee?, email varchar(255), status e:active|inactive|on_leave|terminated
-product_tag: product_id >product, tag_id >tag
-order: user_id >user, address_id >address?, coupon_id >coupon?, status e:pending|processing|shipped|delivered|cancelled, total_amount numeric(12,2)
-wishlist: user_id >user, is_public boolean
-project: department_id >department, lead_id >employee, status e:planning|active|on_hold|completed|cancelled, start_date date
-inventory: product_id >product, warehouse_id >warehouse, quantity integer
-purchase_order: supplier_id >supplier, approved_by >employee?, status e:draft|submitted|approved|received|cancelled
-support_ticket: user_id >user, assigned_to >employee?, order_id >order?, priority e:low|medium|high|critical
-order_item: order_id >order, product_id >product, quantity integer
-shipment: order_id >order, status e:pending|in_transit|delivered|failed, shipped_at timestamp
-payment: order_id >order, method e:card|paypal|bank_transfer|crypto, amount numeric(12,2)
-review: user_id >user, product_id >product, rating integer, status e:published|hidden|pending
-wishlist_item: wishlist_id >wishlist, product_id >product
-audit_log: user_id >user?, employee_id >employee?, ip_address inet
-project_assignment: project_id >project, employee_id >employee, role e:lead|developer|designer|qa|manager
-purchase_order_item: purchase_order_id >purchase_order, product_id >product, quantity integer
-return_request: order_item_id >order_item, processed_by >employee?, status e:pending|approved|rejected|refunded
-external_ref: big_amount numeric(20,0), external_order_id u:bigint, usage_ratio numeric(3,2)
-metric_source: name varchar(100)
+venue: name varchar(80), opened date, seats integer
+hall: venue_id >venue, code char(36), seats integer
+zone: hall_id >hall, label varchar(12), factor numeric(4,2)
+genre: parent_id >genre?, title varchar(60)
+play: genre_id >genre, title varchar(120), minutes integer, fee numeric(9,2)
+part: play_id >play, name varchar(60), lines integer
+troupe: home_id >venue, lead_id >artist?, founded_year integer
+artist: troupe_id >troupe, mentor_id >artist?, email u:varchar(120), skill e:voice|dance|stage|sound
+steward: chief_id >steward, badge u:varchar(40)
+season: title varchar(40), opens date, budget numeric(15,2)
+staging: play_id >play, troupe_id >troupe, season_id >season, state e:draft|booked|playing|closed
+casting: staging_id >staging, artist_id >artist, part_id >part, understudy_id >artist?
+showing: staging_id >staging, hall_id >hall, starts_at timestamp
+rehearsal: staging_id >staging, hall_id >hall?, starts_at timestamp
+patron: email u:varchar(120), joined_at timestamp, city varchar(60)
+membership: patron_id >patron, tier e:friend|gold|patron, fee numeric(8,2)
+voucher_batch: season_id >season, pieces integer
+voucher: batch_id >voucher_batch, code u:varchar(40), worth numeric(8,2)
+booking: patron_id >patron, showing_id >showing, voucher_id >voucher?, channel e:web|desk|phone
+ticket: booking_id >booking, zone_id >zone, price numeric(7,2)
+refund: ticket_id >ticket, cleared_by >steward?, state e:asked|granted|refused
+duty: steward_id >steward, showing_id >showing
+stock_room: venue_id >venue, shelf varchar(10)
+prop: staging_id >staging?, room_id >stock_room, title varchar(80)
+prop_loan: prop_id >prop, artist_id >artist, due date
+carrier: name varchar(80), rating numeric(3,2)
+delivery: carrier_id >carrier, room_id >stock_room, state e:ordered|moving|there
+donor: account u:bigint, pledge numeric(20,0), share numeric(3,2)
+award: donor_id >donor, staging_id >staging?, amount numeric(14,2)
+opinion: patron_id >patron, showing_id >showing, stars integer
+sensor: hall_id >hall, name varchar(30)
 """
 #: Tables without ``id``: key columns first.
 KEYED = {
-    "metric_snapshot": {"source_id": {"type": "bigint", "fk": "metric_source.id", "pk": True}, "snapshot_day": {"type": "date", "pk": True}, "total": {"type": "integer"}},
-    "time_log": {"log_date": {"type": "date", "pk": True}, "note": {"type": "text"}},
-    "time_mark": {"mark_time": {"type": "time", "pk": True}, "label": {"type": "varchar", "ddl_type": "varchar(40)"}},
-    "event_log": {"occurred_at": {"type": "timestamp", "pk": True}, "kind": {"type": "varchar", "ddl_type": "varchar(40)"}},
-    "shift_schedule": {"source_id": {"type": "bigint", "fk": "metric_source.id", "pk": True}, "shift_time": {"type": "time", "pk": True}, "note": {"type": "varchar", "ddl_type": "varchar(40)"}},
+    "climate_day": {"sensor_id": {"type": "bigint", "fk": "sensor.id", "pk": True}, "day": {"type": "date", "pk": True}, "degrees": {"type": "integer"}},
+    "rota": {"steward_id": {"type": "bigint", "fk": "steward.id", "pk": True}, "begins": {"type": "time", "pk": True}, "remark": {"type": "varchar", "ddl_type": "varchar(30)"}},
+    "closing_day": {"day": {"type": "date", "pk": True}, "reason": {"type": "text"}},
+    "bell": {"rings": {"type": "time", "pk": True}, "tune": {"type": "varchar", "ddl_type": "varchar(20)"}},
+    "alarm": {"raised_at": {"type": "timestamp", "pk": True}, "place": {"type": "varchar", "ddl_type": "varchar(30)"}},
 }
 
 
@@ -118,10 +118,10 @@ def x2_keys_and_domains_of_36_tables(spark, sf_dir):
     return checks.report({name: check(made[t]) for name, (t, check) in rules().items()})
 
 
-@query("SELECT 'category' AS \"table\", n, CAST(1 AS BIGINT) AS roots, CAST(0 AS BIGINT) AS too_deep FROM (SELECT count(*) AS n FROM supplier) UNION ALL SELECT 'hard_self_employee', count(*), 1, 0 FROM supplier")
+@query("SELECT 'genre' AS \"table\", n, CAST(1 AS BIGINT) AS roots, CAST(0 AS BIGINT) AS too_deep FROM (SELECT count(*) AS n FROM supplier) UNION ALL SELECT 'steward', count(*), 1, 0 FROM supplier")
 def x3_trees_of_36_tables(spark, sf_dir):
     """The self-references of the schema: one root each, nothing deeper than two steps."""
-    made, trees = filled(spark, sf_dir).tables, {"category": "parent_id", "hard_self_employee": "manager_id"}
+    made, trees = filled(spark, sf_dir).tables, {"genre": "parent_id", "steward": "chief_id"}
     parts = []
     for t, c in trees.items():
         counts = made[t].agg(F.count("*").alias("n")).withColumn("table", F.lit(t))
