@@ -48,10 +48,14 @@ def fill_gaps(spark: SparkSession, spec, tables: dict[str, DataFrame], rows: int
     return synthesize(spark, spec, rows=rows, targets=empty, existing=filled, **options)
 
 
+def as_text(df: DataFrame, columns: list[str]) -> DataFrame:
+    """All columns as text, by name, ``NULL`` for null."""
+    return df.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("NULL")).alias(c) for c in sorted(columns)])
+
+
 def preview(df: DataFrame, key: list[str], limit: int = 25, offset: int = 0) -> DataFrame:
     """A page of a table in the order of its key: 1 to 100 rows, all columns as text by name, ``NULL`` for null."""
-    page = df.orderBy(*key).offset(max(0, offset)).limit(min(100, max(1, limit)))
-    return page.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("NULL")).alias(c) for c in sorted(df.columns)])
+    return as_text(df.orderBy(*key).offset(max(0, offset)).limit(min(100, max(1, limit))), df.columns)
 
 
 def generated_counts(tables: dict[str, DataFrame]) -> DataFrame:

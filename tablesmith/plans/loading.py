@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablesmith.operators import checks, depgraph
+from tablesmith.operators import checks, depgraph, pages
 from tablesmith.plans.queries import load, one, query, shared_folder
 from tablesmith.sources import loads
 from tablesmith.sources.tables import dense_index
@@ -78,3 +78,12 @@ def o5_closure_over_long_chains(spark, sf_dir):
     name = lambda c: F.concat(F.lit("o"), F.col(c).cast("string"))
     edges = links.filter("up IS NOT NULL").select(name("k").alias("child"), name("up").alias("parent"), F.lit(False).alias("nullable"))
     return depgraph.close_selection(edges, links.filter("k % 70 = 69").select(name("k").alias("table")))
+
+
+@query("SELECT page, CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS k, count(*) OVER () AS n FROM orders), (VALUES (0), (50), (90), (100)) AS p(page) WHERE k >= n * page // 100 - CASE WHEN page = 100 THEN 10 ELSE 0 END AND k < n * page // 100 + 40")
+def r6_late_pages(spark, sf_dir):
+    """Pages of 40 orders at the start, in the middle, at nine tenths, and the last ten."""
+    orders = one(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    n, written = orders.count(), pages.write_pages(orders, ["o_orderkey"], shared_folder(spark), 16)
+    found = [written.page(n * p // 100 - (10 if p == 100 else 0), 40).select(F.lit(p).alias("page"), "o_orderkey", "o_custkey", "o_orderstatus") for p in (0, 50, 90, 100)]
+    return reduce(DataFrame.unionByName, found)

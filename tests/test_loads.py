@@ -3,8 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tablesmith.operators import checks, depgraph, synth
-from tablesmith.sources import loads
+from tablesmith.operators import checks, depgraph, gaps, pages, synth
+from tablesmith.sources import external, loads, sinks
 from tablesmith.spec import SchemaSpec
 
 ID = {"type": "bigint", "pk": True}
@@ -86,3 +86,38 @@ def test_batches(spark):
     assert loads.insert_batches(df.limit(0), "t").count() == 0 and loads.insert_batches(df.repartition(4), "t", 1).count() == 25
     with pytest.raises(ValueError):
         loads.insert_batches(df, "t", 0)
+
+
+def test_pages(spark, tmp_path):
+    df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k"), F.when(F.col("id") % 3 > 0, F.col("id")).alias("v"), (F.col("id") % 5).alias("g"))
+    written = pages.write_pages(df, ["k"], str(tmp_path / "p"), 8)
+    for offset, limit in ((0, 25), (899, 100), (990, 50), (1000, 10), (5000, 3), (-4, 1)):
+        assert sorted(map(tuple, written.page(offset, limit).collect())) == sorted(map(tuple, gaps.preview(df, ["k"], limit, offset).collect()))
+    late = written.page(900, 5)
+    assert len({f.rsplit("/", 2)[1] for f in late.inputFiles()}) == 1 or "PartitionFilters: [isnotnull(_part" in late._jdf.queryExecution().executedPlan().toString()
+    grouped = pages.write_pages(df, ["g", "k"], str(tmp_path / "g"), 4)
+    assert [tuple(r) for r in grouped.page(195, 10).collect()] == [tuple(r) for r in gaps.preview(df, ["g", "k"], 10, 195).collect()]
+    empty = pages.write_pages(df.limit(0), ["k"], str(tmp_path / "e"), 4)
+    assert empty.page(0).count() == 0
+
+
+def test_external_tables_are_split_evenly(spark):
+    try:
+        spark.sparkContext._jvm.java.lang.Class.forName("org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    except Exception:
+        pytest.skip("no embedded database")
+    options, url = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}, "jdbc:derby:memory:split;create=true"
+    skewed = spark.range(4000).selectExpr("cast(pow(id, 3) AS bigint) AS k", "concat('n', id) AS name", "date_add(DATE '2020-01-01', cast(id % 50 AS int)) AS day")
+    one = spark.createDataFrame([(5, "x")], "k long, name string")
+    sinks.write_tables({"a": skewed, "b": one, "c": one.limit(0)}, ["a", "b", "c"], url, "jdbc", **options)
+    tables = external.load_split(spark, url, {"a": "k", "b": "k", "c": "k"}, 8, **options)
+    sizes = [len(x) for x in tables["a"].rdd.glom().collect()]
+    assert len(sizes) == 8 and sum(sizes) == 4000 and max(sizes) < 1.2 * min(sizes)
+    assert tables["a"].exceptAll(skewed).count() == 0 and tables["b"].count() == 1 and tables["c"].count() == 0
+    plan = tables["a"].select("k")._jdf.queryExecution().executedPlan().toString()
+    assert "name" not in plan.split("ReadSchema")[1]
+    days = external.load_split(spark, url, {"a": "day"}, 5, **options)["a"]
+    assert days.count() == 4000 and days.rdd.getNumPartitions() == 5
+    assert external.key_ranges([3, 7], "k") == ["k < 3 OR k IS NULL", "k >= 3 AND k < 7", "k >= 7"]
+    with pytest.raises(ValueError):
+        external.plan_ranges(spark, url, "a", "name", 4, **options)
