@@ -38,7 +38,8 @@ def key_columns(tables: dict[str, DataFrame]) -> list[Columns]:
     return [(t, (f.name,)) for t, df in sorted(tables.items()) for f in df.schema if kind_of(f.dataType)]
 
 
-def _value(df: DataFrame, column: str) -> Column:
+def comparable(df: DataFrame, column: str) -> Column:
+    """A value as a text of bounded size that is equal where the values are."""
     value = F.col(f"`{column}`")
     if kind_of(df.schema[column].dataType) == "s":
         return F.when(F.octet_length(value) <= LONGEST_VALUE, value).otherwise(F.concat(F.lit("#"), F.sha2(value, 256)))
@@ -54,7 +55,7 @@ def _entries(df: DataFrame, own: list[tuple[int, tuple[str, ...]]], table: int,
 
     full = {number: reduce(Column.__and__, [F.col(f"`{c}`").isNotNull() for c in columns]) for number, columns in own}
     filled = F.array(F.lit(str(table)), *[F.when(full[number], F.lit(str(number))).otherwise(F.lit("")) for number, _ in own])
-    found = [F.when(full[number], entry(F.lit("".join(kind_of(df.schema[c].dataType) for c in columns)), F.array(*[_value(df, c) for c in columns]), number)) for number, columns in own]
+    found = [F.when(full[number], entry(F.lit("".join(kind_of(df.schema[c].dataType) for c in columns)), F.array(*[comparable(df, c) for c in columns]), number)) for number, columns in own]
     return df.select(F.explode(F.array_compact(F.array(entry(F.lit("#"), filled, None), *found))).alias("e")).select("e.*")
 
 

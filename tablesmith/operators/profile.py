@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import combinations
-from math import prod
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +10,6 @@ from pyspark.sql import types as T
 
 #: Columns of at most so many distinct values are enum-like.
 ENUM_LIMIT = 12
-MAX_KEY_COLUMNS = 3
 
 
 def columns_of(df: DataFrame, table: str) -> DataFrame:
@@ -20,7 +17,7 @@ def columns_of(df: DataFrame, table: str) -> DataFrame:
     return df.sparkSession.createDataFrame([(table, c, i, k) for i, (c, k) in enumerate(df.dtypes, 1)], "table string, column string, ordinal int, type string")
 
 
-def _scalar(df: DataFrame) -> list[T.StructField]:
+def scalar_fields(df: DataFrame) -> list[T.StructField]:
     return [f for f in df.schema if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))]
 
 
@@ -30,7 +27,7 @@ def profile_table(df: DataFrame, table: str, exact: bool = True) -> DataFrame:
     One aggregation for all columns but for the distinct values. With ``exact`` these are counted column by column, each scan and
     shuffle of one narrow column; without, they are estimates of bounded size within the one aggregation.
     """
-    fields = _scalar(df)
+    fields = scalar_fields(df)
     parts = [F.count("*").alias("rows")]
     for i, f in enumerate(fields):
         c = F.col(f"`{f.name}`")
@@ -60,42 +57,6 @@ def enum_domains(df: DataFrame, columns: list[str]) -> DataFrame:
     return sets.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.array_join(c, ",").alias("domain"), F.size(c).cast("long").alias("n_values")) for c in columns])).alias("r")).select("r.*")
 
 
-def key_candidates(df: DataFrame, columns: list[str] | None = None, max_columns: int = MAX_KEY_COLUMNS) -> list[tuple[str, ...]]:
-    """The smallest sets of columns without nulls whose values are unique, level by level, up to ``max_columns`` columns.
-
-    Keys of more columns are not looked for (``key_table`` says how far the search went). A set is estimated only if its columns'
-    distinct values could be as many as the rows, and counted exactly only if its own estimate is near that; all exact counts of a
-    level are one job. Sets that hold a key found before are left out.
-    """
-    columns = sorted(columns or [f.name for f in _scalar(df)])
-    c = {name: F.col(f"`{name}`") for name in columns}
-    stats = df.agg(F.count("*").alias("n"), *[F.count(x).alias(f"c_{name}") for name, x in c.items()], *[F.approx_count_distinct(x, 0.02).alias(f"d_{name}") for name, x in c.items()]).first()
-    n, full = stats["n"], [name for name in columns if stats[f"c_{name}"] == stats["n"]]
-    found: list[tuple[str, ...]] = []
-    for size in range(1, max_columns + 1):
-        sets = [s for s in combinations(full, size) if not any(set(k) <= set(s) for k in found) and prod(1.1 * stats[f"d_{x}"] for x in s) >= 0.9 * n]
-        if not sets or not n:
-            break
-        near = df.agg(*[F.approx_count_distinct(F.struct(*[c[x] for x in s]), 0.02).alias(str(i)) for i, s in enumerate(sets)]).first()
-        likely = [s for i, s in enumerate(sets) if near[str(i)] >= 0.9 * n]
-        repeats = [df.groupBy(*[c[x] for x in s]).agg(F.count("*").alias("count")).agg(F.coalesce(F.max("count"), F.lit(0)).alias("most")).select(F.lit(i).alias("i"), "most") for i, s in enumerate(likely)]
-        if repeats:
-            most = {r["i"]: r["most"] for r in reduce(DataFrame.unionByName, repeats).collect()}  # one row for each candidate
-            found += [s for i, s in enumerate(likely) if most[i] == 1]
-    return found
-
-
-def key_table(tables: dict[str, DataFrame], max_columns: int = MAX_KEY_COLUMNS) -> DataFrame:
-    """``table``, ``key`` (columns, comma-joined), ``n_columns`` and ``searched``: keys of more columns than that were not looked for."""
-    rows = [(t, ",".join(k), len(k), max_columns) for t, df in sorted(tables.items()) for k in key_candidates(df, max_columns=max_columns)]
-    return next(iter(tables.values())).sparkSession.createDataFrame(rows, "table string, key string, n_columns int, searched int")
-
-
-def unique_columns(df: DataFrame, primary: tuple[str, ...] = ()) -> list[str]:
-    """Single columns of unique values, but for the chosen primary key."""
-    return [k[0] for k in key_candidates(df, max_columns=1) if k != primary]
-
-
 def parse_checks(clauses: DataFrame, clause_col: str = "clause") -> DataFrame:
     """CHECK clauses with ``check_values`` (array), ``check_min`` and ``check_max`` (signed integers), as far as the text states them.
 

@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablesmith.operators import checks, depgraph, gaps, inclusions, profile
+from tablesmith.operators import checks, depgraph, gaps, inclusions, keys, profile
 from tablesmith.plans.queries import CORE, load, one, query, shared_folder
 from tablesmith.sources import sinks
 from tablesmith.sources import tables as src
@@ -54,13 +54,13 @@ CONVERSATIONS = {"conv_id": LONG, "turn": LONG, "role": TEXT, "text": TEXT}
 
 @query(keys_sql({"conversations": CONVERSATIONS, "nation": COLUMNS["nation"], "orders": COLUMNS["orders"], "part": COLUMNS["part"]}, 2))
 def p3_key_candidates(spark, sf_dir):
-    return profile.key_table(load(spark, sf_dir, "conversations", "nation", "orders", "part"), 2)
+    return keys.key_table(load(spark, sf_dir, "conversations", "nation", "orders", "part"), 2)
 
 
 @query(" UNION ALL ".join(f"SELECT '{t}' AS \"table\", '{c}' AS \"column\" FROM {t} HAVING count(DISTINCT {c}) = count(*) AND count(*) > 0" for t, key in (("region", "r_regionkey"), ("nation", "n_nationkey"), ("customer", "c_custkey"), ("supplier", "s_suppkey")) for c in COLUMNS[t] if c != key))
 def p4_unique_columns(spark, sf_dir):
     primary = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey"}
-    rows = [(t, c) for t, df in load(spark, sf_dir, *primary).items() for c in profile.unique_columns(df, (primary[t],))]
+    rows = [(t, c) for t, df in load(spark, sf_dir, *primary).items() for c in keys.unique_columns(df, (primary[t],))]
     return spark.createDataFrame(rows, "table string, column string")
 
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablesmith.sources.catalog import properties, quoted, spec_properties
+
 
 def write_tables(tables: dict[str, DataFrame], order: list[str], base: str, fmt: str = "parquet", mode: str = "append", **options: str) -> list[str]:
     """Write each table, parents first, below a folder (or into a database with ``fmt`` "table"); the names written."""
@@ -77,7 +79,7 @@ def truncate_tables(spark: SparkSession, order: list[str], database: str = "", p
 
 
 def clone_structure(spark: SparkSession, source: str, target: str, order: list[str], spec=None, drop: bool = False) -> list[str]:
-    """Create the tables of database ``source`` in ``target``, empty; keys and checks of ``spec`` become table properties.
+    """Create the tables of database ``source`` in ``target``, empty, with their defaults, comments and properties; keys and checks of ``spec`` become properties too.
 
     A target that holds any of the tables is refused unless ``drop`` is set.
     """
@@ -89,9 +91,9 @@ def clone_structure(spark: SparkSession, source: str, target: str, order: list[s
         spark.sql(f"DROP TABLE {target}.{name}")
     for name in order:
         spark.sql(f"CREATE TABLE {target}.{name} LIKE {source}.{name}")
-        marks = {}
-        for column, c in (spec.tables.get(name, {}) if spec else {}).items():
-            marks |= {f"{kind}.{column}": str(value) for kind, value in (("pk", c.pk), ("fk", c.fk), ("unique", c.unique), ("check_values", ",".join(c.check_values)), ("check_min", c.check_min), ("check_max", c.check_max)) if value not in (None, False, "")}
+        marks = properties(spark, f"{source}.{name}") | (spec_properties(spec.tables.get(name, {})) if spec else {})
+        if note := spark.catalog.getTable(f"{source}.{name}").description:
+            marks["comment"] = note
         if marks:
-            spark.sql(f"ALTER TABLE {target}.{name} SET TBLPROPERTIES ({', '.join(f"'{k}' = '{v}'" for k, v in sorted(marks.items()))})")
+            spark.sql(f"ALTER TABLE {target}.{name} SET TBLPROPERTIES ({', '.join(f'{quoted(k)} = {quoted(v)}' for k, v in sorted(marks.items()))})")
     return order

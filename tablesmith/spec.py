@@ -31,6 +31,8 @@ class ColumnSpec:
     check_values: list[str] = field(default_factory=list)
     check_min: int | None = None
     check_max: int | None = None
+    default: str | None = None
+    comment: str | None = None
 
     @property
     def parent(self) -> tuple[str, str] | None:
@@ -80,6 +82,7 @@ class ColumnSpec:
 @dataclass
 class SchemaSpec:
     tables: dict[str, dict[str, ColumnSpec]]
+    comments: dict[str, str] = field(default_factory=dict)
 
     @staticmethod
     def of(spec: dict | str) -> SchemaSpec:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tablesmith.functions import generators as G
 from tablesmith.functions.hashing import Cells
-from tablesmith.operators import assign, checks, depgraph, domains, gaps, inclusions, profile, synth
+from tablesmith.operators import assign, checks, depgraph, domains, gaps, inclusions, keys, profile, sketches, synth
 from tablesmith.sources import sinks
 from tablesmith.sources import tables as src
 from tablesmith.spec import ColumnSpec, SchemaSpec
@@ -196,8 +196,8 @@ def test_checks_report_damage(spark):
 
 def test_profile_of_keys(spark):
     df = spark.createDataFrame([(i, i // 2, i % 2, "x" * (i % 3 + 1)) for i in range(20)], "id long, a long, b long, s string")
-    assert profile.key_candidates(df) == [("id",), ("a", "b"), ("a", "s")]
-    assert profile.unique_columns(df, ("id",)) == []
+    assert keys.key_candidates(df) == [("id",), ("a", "b"), ("a", "s")]
+    assert keys.unique_columns(df, ("id",)) == []
     got = {r["column"]: r for r in profile.profile_table(df, "t").collect()}
     assert got["id"].is_sequence and got["id"].is_unique and got["s"].longest == 3 and got["b"].is_enum and not got["a"].is_sequence
     parents = spark.createDataFrame([(i,) for i in range(10)], "p_id long")
@@ -408,3 +408,33 @@ def test_deferred_references(spark):
     made = synth.synthesize(spark, near, rows=40, table_rows={"emp": 30}, fill_near_cycles=True).tables
     assert made["dept"].filter("head IS NOT NULL").count() == 30 == made["dept"].select("head").distinct().count() - 1 and checks.orphans(made["dept"], "head", made["emp"], "day").count() == 0
     assert synth.synthesize(spark, near, rows=40).tables["dept"].filter("head IS NOT NULL").count() == 0
+
+
+def test_keys_against_all_sets(spark):
+    rng = random.Random(11)
+    for _ in range(4):
+        rows = list({tuple(rng.randrange(k) for k in (2, 3, 3, 4, 2)) for _ in range(rng.randint(2, 40))})
+        df = spark.createDataFrame([(*r, None if i % 2 else 1, "x" * 70 + str(r[0])) for i, r in enumerate(rows)], "a long, b int, c long, d string, e double, hole int, long string".replace("d string", "d int").replace("e double", "e long"))
+        data = {c: [r[i] for r in rows] for i, c in enumerate("abcde")} | {"long": [r[0] for r in rows]}
+        unique = {s for k in range(1, 7) for s in combinations(sorted(data), k) if len(set(zip(*(data[c] for c in s), strict=True))) == len(rows)}
+        want = sorted((s for s in unique if not any(set(t) < set(s) for t in unique)), key=lambda s: (len(s), s))
+        assert keys.key_candidates(df) == want
+        assert keys.key_candidates(df, max_columns=2) == [s for s in want if len(s) <= 2]
+    twice = spark.createDataFrame([(1, 2), (1, 2), (3, 4)], "a int, b int")
+    assert keys.key_candidates(twice) == [] and keys.key_candidates(twice.limit(0)) == [] and keys.key_candidates(twice.limit(1)) == [("a",), ("b",)]
+    assert keys.key_candidates(spark.range(3000).selectExpr("id % 50 AS a", "id % 60 AS b", "id div 300 AS c", "id % 7 AS d")) == [("a", "b", "c"), ("a", "c", "d"), ("b", "c", "d")]
+
+
+def test_sketches_add_up(spark):
+    df = spark.range(3000).select(F.col("id"), (F.col("id") % 5).cast("string").alias("few"), (F.col("id") * 7 % 1000).cast("int").alias("some"), F.when(F.col("id") % 4 > 0, F.col("id").cast("double") - 1000).alias("holes"), (F.col("id") % 3).cast("string").alias("part"))
+    parts = [sketches.sketch_parts(df.filter(f"part = '{p}'"), "t", "part") for p in "012"]
+    merged = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    whole = {r["column"]: r for r in sketches.profile_from(sketches.sketch_parts(df, "t", "part"), df).collect()}
+    got = {r["column"]: r for r in sketches.profile_from(merged, df).collect()}
+    exact = {side: {c: r if r.exact else tuple(r)[:5] + tuple(r)[6:] for c, r in found.items()} for side, found in (("got", got), ("whole", whole))}
+    assert exact["got"] == exact["whole"] and all(abs(got[c].distinct_values - r.distinct_values) <= 0.03 * r.distinct_values for c, r in whole.items())
+    assert set(got) == {"id", "few", "some", "holes"}
+    assert got["id"].is_unique and got["few"].is_enum and got["few"].distinct_values == 5 and not got["some"].exact and abs(got["some"].distinct_values - 1000) < 50
+    assert (got["holes"].rows, got["holes"].nulls, float(got["holes"].low), float(got["holes"].high)) == (3000, 750, -999.0, 1999.0) and (got["id"].low, got["id"].high) == ("0", "2999")
+    assert sketches.new_parts(df, "part", parts[0].unionByName(parts[1])).select("part").distinct().collect() == [("2",)]
+    assert sketches.profile_from(sketches.sketch_parts(df.limit(0), "t", "part"), df.limit(0)).count() == 0
