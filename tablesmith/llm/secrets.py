@@ -8,15 +8,17 @@ another name before).
 
 Edge cases: null and empty texts have no spans; spans of one start come in the order of the kinds, a literal that several assignments reach
 is one span (of the first); repeated rows are scanned one by one; names and texts of any length are
-lexed whole; an empty table gives an empty result; other columns are not read.
+lexed whole, in time that grows with their length; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,7 +33,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 OPERATOR = re.compile(r":=|=>|[:=]")
-PART = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([A-Za-z0-9_$.+/=-]+))""")
+PART = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([A-Za-z0-9_$.+/-]+(?:={1,2}(?![A-Za-z0-9_$.+/="'-]))?))""")
 PLUS = re.compile(r"[ \t]*(?:\+|\.\.|&)[ \t]*(?=[\"'A-Za-z_$])")
 NAME_END = re.compile(r"[A-Za-z0-9_$.-]")
 IDENTIFIER = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.]*")
@@ -39,10 +41,10 @@ WORDS_OF_NAME = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 #: How sensitive a name is by the words in it.
 WEIGHTS = {"password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "secret": 1.0, "token": 1.0, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "bearer": 0.9, "authorization": 0.9, "auth": 0.7, "signature": 0.6, "key": 0.6, "salt": 0.6, "cert": 0.6, "dsn": 0.6}
 PAIRS = {("api", "key"): 1.0, ("private", "key"): 1.0, ("access", "key"): 1.0, ("client", "secret"): 1.0, ("account", "key"): 0.9, ("encryption", "key"): 1.0}
-PLACEHOLDER = re.compile(r"(?i)^(?:change_?me|example|placeholder|none|null|true|false|undefined|password|secret|token|your[_-].*|<.*>|\$\{.*|\{\{.*|%\(.*|(.)\1*|\*+|x+)$")
+PLACEHOLDER = re.compile(r"(?is)^(?:change_?me|example|placeholder|none|null|true|false|undefined|password|secret|token|your[_-].*|<.*>|\$\{.*|\{\{.*|%\(.*|(.)\1*|\*+|x+)$")
 THRESHOLD = 0.55
-#: A value keeps repeats of a literal among so many; beyond that each literal counts once.
-REPEATS = 64
+#: Characters that tell a placeholder from the beginning of a longer value.
+HEAD = 32
 
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("at", pa.int32()), ("name", pa.string()), ("score", pa.float64())])
 SPAN_SQL = "array<struct<kind:string,start:int,end:int,at:int,name:string,score:double>>"
@@ -54,16 +56,46 @@ def sensitivity(name: str) -> float:
     return max([0.0, *(WEIGHTS.get(w, 0.0) for w in words), *(PAIRS.get(p, 0.0) for p in zip(words, words[1:], strict=False))])
 
 
-def shape(value: str) -> float:
-    """0 to 1: how much a literal looks like a secret, by its length, its entropy and its characters."""
-    if len(value) < 6 or PLACEHOLDER.match(value):
-        return 0.0
-    n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    if n >= 16 and entropy >= 3 and any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and not any(c.isspace() for c in value):
-        return 1.0
-    mixed = any(c.isdigit() for c in value) + any(not c.isalnum() for c in value)
-    return min(1.0, 0.3 * min(1, n / 16) + 0.4 * min(1, entropy / 3) + 0.15 * mixed)
+class Value:
+    """What a name is bound to: literals and earlier values, in order, with the characters of the text that they spell out together.
+
+    The text itself is never built: a constant used many times, or built on others that repeat, stays as small as it stands in the source.
+    """
+
+    def __init__(self, items: list):
+        self.items, self.counts, self.n, self.head, self.tail, self.spread = items, Counter(), 0, "", "", False
+        for item in items:
+            if isinstance(item, Value):
+                for c, n in item.counts.items():
+                    self.counts[c] += n
+                n, head, tail = item.n, item.head, item.tail
+            else:
+                self.counts.update(item[0])
+                n, head, tail = len(item[0]), item[0][:HEAD], item[0][-1:]
+            self.n, self.head, self.tail = self.n + n, (self.head + head)[:HEAD] if self.n == len(self.head) else self.head, tail or self.tail
+
+    def literals(self) -> Iterator[tuple[str, int, int, bool]]:
+        """The literals, but for those of values whose literals were taken before."""
+        stack = [self]
+        while stack:
+            item = stack.pop()
+            if isinstance(item, tuple):
+                yield item
+            elif not item.spread:
+                item.spread = True
+                stack += reversed(item.items)
+
+    def shape(self) -> float:
+        """0 to 1: how much the text looks like a secret, by its length, its entropy and its characters."""
+        n, short = self.n, self.n <= HEAD
+        if n < 6 or PLACEHOLDER.match(self.head if short else self.head + "\n" + self.tail) or len(self.counts) == 1:
+            return 0.0
+        entropy = -sum(c / n * math.log2(c / n) for c in self.counts.values())
+        digits, letters, spaces = (any(f(c) for c in self.counts) for f in (str.isdigit, str.isalpha, str.isspace))
+        if n >= 16 and entropy >= 3 and digits and letters and not spaces:
+            return 1.0
+        mixed = digits + any(not c.isalnum() for c in self.counts)
+        return min(1.0, 0.3 * min(1, n / 16) + 0.4 * min(1, entropy / 3) + 0.15 * mixed)
 
 
 def _name_before(text: str, end: int) -> str:
@@ -100,21 +132,6 @@ def lex(text: str) -> Iterator[tuple[str, list[tuple[str, int, int, bool]]]]:
             yield name, parts
 
 
-def spread(value: list) -> list[tuple[str, int, int, bool]]:
-    """The literals of a bound value, in which earlier values stand as they are (so that constants built on each other take little room)."""
-    out, seen, done, stack = [], set(), set(), [value]
-    while stack:
-        item = stack.pop()
-        if isinstance(item, tuple):
-            if len(out) < REPEATS or item not in seen:
-                seen.add(item)
-                out.append(item)
-        elif len(out) < REPEATS or id(item) not in done:
-            done.add(id(item))
-            stack += reversed(item)
-    return out
-
-
 def scan(text: str) -> list[dict]:
     """All spans by start, then kind. ``at``: where the secret itself begins within the span."""
     spans = []
@@ -124,28 +141,29 @@ def scan(text: str) -> list[dict]:
         spans += [("access", m.start(), m.end(), m.start(), "", 1.0) for m in ACCESS.finditer(text)]
     spans += [("hex", m.start(), m.end(), m.start(), "", 1.0) for m in HEX.finditer(text)]
     if "=" in text or ":" in text:
-        bound: dict[str, list] = {}
-        base, seen = list(spans), set()
+        bound: dict[str, Value] = {}
+        starts = [s[1] for s in sorted(spans, key=lambda s: s[1])]
+        reach = list(accumulate((s[2] for s in sorted(spans, key=lambda s: s[1])), max))  # how far the base spans up to each start go
+        seen = set()
         for name, parts in lex(text):
             own: list = []
             for value, start, end, quoted in parts:
                 if not quoted and IDENTIFIER.fullmatch(value) and value in bound:
-                    own += [bound[value]] if bound[value] else []
+                    own += [bound[value]] if bound[value].items else []
                 elif quoted or (any(c.isdigit() for c in value) and len(value) >= 8):
                     own.append((value, start, end, quoted))
-            bound[name] = own
             weight = sensitivity(name)
-            if not weight or not own:
-                continue
-            here = {p for p in own if isinstance(p, tuple)}
-            literals = [(*p, "lexed" if p in here else "const") for p in spread(own)]
-            score = weight * shape("".join(p[0] for p in literals))
+            made = bound[name] = Value(own)
+            score = weight * made.shape() if weight and own else 0.0
             if score < THRESHOLD:
                 continue
-            for _, start, end, _, kind in literals:
-                if end > start and (start, end) not in seen and not any(s[1] <= start and end <= s[2] for s in base):
+            here = {p for p in own if isinstance(p, tuple)}
+            for literal in made.literals():
+                _, start, end, _ = literal
+                before = bisect_right(starts, start)
+                if end > start and (start, end) not in seen and not (before and end <= reach[before - 1]):
                     seen.add((start, end))
-                    spans.append((kind, start, end, start, name, score))
+                    spans.append(("lexed" if literal in here else "const", start, end, start, name, score))
     spans.sort(key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
     return [dict(zip(("kind", "start", "end", "at", "name", "score"), s, strict=True)) for s in spans]
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from tablesmith.llm import queries, secrets
 
@@ -95,3 +96,24 @@ def test_constants_reach_every_use_as_plain_substitution_says():
             bound[name] = reached
         got = {(s["start"], s["end"]): s["kind"] for s in secrets.scan(text)}
         assert got == want, text
+
+
+def test_long_texts_take_linear_time():
+    chain = "=".join(f"k{i}" for i in range(200_000))
+    many = "BIG = " + " + ".join(f'"q{i}Zx{i * 7919}"' for i in range(20_000)) + "\n" + "".join(f"auth_key{i} = BIG\npassword{i} = BIG + \"Zq7{i}\"\n" for i in range(20_000))
+    hexes = "\n".join(f"signing_key{i} = \"{i:06d}xQ{i * 7919:09d}Lm\" {'ab12' * 7}" for i in range(12_000))
+    for text in (chain, many, hexes):
+        assert len(text) > 700_000
+        start = time.process_time()
+        found = secrets.scan(text)
+        assert time.process_time() - start < 6, len(text)
+    assert sum(s["kind"] == "hex" for s in found) == 12_000 and sum(s["kind"] == "lexed" for s in found) > 10_000
+    found = secrets.scan(many)
+    assert sum(s["kind"] == "const" for s in found) == 20_000 == sum(s["kind"] == "lexed" for s in found)
+
+
+def test_values_end_where_the_next_assignment_begins():
+    assert [s["name"] for s in secrets.scan("a=b=client_pwd=Qw7Lm2Rt5xZ9") if s["kind"] == "lexed"] == ["client_pwd"]
+    text = "db_pwd=QWxhZGRpbjpvcGVuIHNlc2FtZQ== next"
+    assert {text[s["start"] : s["end"]] for s in secrets.scan(text) if s["kind"] == "lexed"} == {"QWxhZGRpbjpvcGVuIHNlc2FtZQ=="}
+    assert secrets.scan('db_pwd = "' + "your_" + "password" * 20 + '"') == [] == secrets.scan('db_pwd = "' + "x" * 500 + '"')
