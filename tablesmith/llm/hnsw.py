@@ -2,8 +2,8 @@
 
 Equal vectors are one class, so that copies cost nothing. Classes are dealt into shards by a hash; each shard's task builds
 a layered graph and then reads every class as a query, in batches. A beam is widened until an audit of some queries of each batch
-against all vectors of the shard finds enough of their links to other vectors, and for queries whose whole beam is linked until it is
-not. Audits are pooled over batches; until they have seen ``FLOOR`` true links, more queries are audited and the beam is twice as
+against all vectors of the shard finds enough of their links to other vectors; a query whose whole beam is linked is compared with all
+members, by products of bounded size. Audits are pooled over batches; until they have seen ``FLOOR`` true links, more queries are audited and the beam is twice as
 wide. The links that all audits saw, and those of them that were found, are returned.
 Cosines are verified in double precision. A task gives each query's number of links and only those links that join different
 local components, so a large group of near copies never becomes all of its pairs.
@@ -142,57 +142,73 @@ class Graph:
 
 
 class Shard:
-    """The vectors of a shard, their graph and the beam that audits have asked for so far."""
+    """The vectors of a shard, their graph, the beam that audits have asked for so far, and which members are known to be linked to each other.
+
+    ``label`` has a member of the same component for each member. Links of a query to members of one label say the same, so one of them is kept:
+    a dense cluster gives a few links a query, not its square.
+    """
 
     def __init__(self, ids: np.ndarray, copies: np.ndarray, vectors: np.ndarray):
         self.ids, self.copies, self.v, self.graph, self.width = ids, copies, vectors, Graph(vectors), BEAM
         self.true = self.hit = 0
+        self.label = np.arange(len(ids))
 
-    def linked(self, ids: np.ndarray, vectors: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, member) of cosine ``least`` or more."""
+    def linked(self, ids: np.ndarray, vectors: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each query the number of rows it is linked to at cosine ``least`` or more, and a forest of ids that these links connect."""
         n, few = len(self.ids), self.true < FLOOR
-        audited = np.linspace(0, len(vectors) - 1, min(AUDIT * (4 if few else 1), len(vectors))).astype(int)
-        at, member = self._all(vectors[audited], least)
-        other = ids[audited[at]] != self.ids[member]
-        truth = set(zip(audited[at[other]].tolist(), member[other].tolist(), strict=True))
+        audited = np.zeros(len(vectors), dtype=bool)
+        audited[np.linspace(0, len(vectors) - 1, min(AUDIT * (4 if few else 1), len(vectors))).astype(int)] = True
+        truth = [q * n + m for q, m in self._products(vectors, np.flatnonzero(audited), least) for other in [ids[q] != self.ids[m]] for q, m in [(q[other], m[other])]]
+        truth = np.sort(np.concatenate(truth)) if truth else np.zeros(0, dtype=np.int64)
+        edges: list[tuple[np.ndarray, np.ndarray]] = []
         while True:
             width = min(self.width * (2 if few else 1), n)
-            rows, members = self._found(vectors, np.arange(len(vectors)), width, least)
-            hit = len(truth & set(zip(rows.tolist(), members.tolist(), strict=True))) if truth else 0
+            counts, hit = np.zeros(len(ids)), 0
+            for q, m in self._found(vectors, width, least):
+                other = ids[q] != self.ids[m]
+                q, m = q[other], m[other]
+                counts += np.bincount(q, weights=self.copies[m], minlength=len(ids))
+                seen = audited[q]
+                hit += int(np.isin(truth, q[seen] * n + m[seen]).sum())
+                edges.append(self._joined(q, m))
             if width >= n or self.hit + hit >= RECALL * (self.true + len(truth)):
                 self.true, self.hit = self.true + len(truth), self.hit + hit
-                return rows, members
+                a, b = (np.concatenate(x) for x in zip(*edges, strict=True))
+                return counts.astype(np.int64), *_forest(ids[a], self.ids[b])
             self.width *= 2
 
-    def _all(self, vectors: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """All pairs, by products of bounded size."""
+    def _joined(self, q: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Links with one member for each query and label; the labels that a query joins become one."""
+        m = self.label[m]
+        new = np.ones(len(q), dtype=bool)
+        new[1:] = (q[1:] != q[:-1]) | (m[1:] != m[:-1])
+        q, m = q[new], m[new]
+        node, root = _forest(q + len(self.ids), m)
+        same = np.arange(len(self.ids))
+        members = node < len(same)
+        same[node[members]] = root[members]
+        self.label = same[self.label]
+        return q, m
+
+    def _products(self, vectors: np.ndarray, which: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All pairs of some queries, by products of bounded size."""
         step = max(1, PRODUCT // max(1, len(self.ids)))
-        found = [np.nonzero(vectors[i : i + step] @ self.v.T >= least) for i in range(0, len(vectors), step)]
-        return np.concatenate([r + i * step for i, (r, _) in enumerate(found)]), np.concatenate([m for _, m in found])
-
-    def _found(self, vectors: np.ndarray, which: np.ndarray, width: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-        n = len(self.ids)
-        if width >= n:
-            at, member = self._all(vectors[which], least)
-            return which[at], member
-        step = max(16, BATCH * 32 // width)
-        rows, members = [], []
-        again = []
         for i in range(0, len(which), step):
-            own = which[i : i + step]
+            q, m = np.nonzero(vectors[which[i : i + step]] @ self.v.T >= least)
+            yield which[i + q], m
+
+    def _found(self, vectors: np.ndarray, width: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of a query and a member. A query whose whole beam is near enough has more than it: it is compared with all members, at a known cost."""
+        full, step = [], max(16, BATCH * 32 // width)
+        for i in range(0, len(vectors) if width < len(self.ids) else 0, step):
+            own = np.arange(i, min(i + step, len(vectors)))
             ids = self.graph.search(vectors[own], width)
             near = (np.einsum("ijk,ik->ij", self.v[ids], vectors[own]) >= least) & (ids >= 0)
-            full = near.all(axis=1)
-            again.append(own[full])
-            r, c = np.nonzero(near & ~full[:, None])
-            rows.append(own[r])
-            members.append(ids[r, c])
-        again_ = np.concatenate(again) if again else which[:0]
-        if len(again_):
-            more = self._found(vectors, again_, min(4 * width, n), least)
-            rows.append(more[0])
-            members.append(more[1])
-        return np.concatenate(rows), np.concatenate(members)
+            whole = near.all(axis=1)
+            full.append(own[whole])
+            q, at = np.nonzero(near & ~whole[:, None])
+            yield own[q], ids[q, at]
+        yield from self._products(vectors, np.concatenate(full) if full else np.arange(len(vectors)), least)
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -251,11 +267,7 @@ def _link(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Record
                 shard, members = Shard(*(np.concatenate(x) for x in zip(*members, strict=True))), []
             ids, _, vectors = rows
             for i in range(0, len(ids), BATCH):
-                q, m = shard.linked(ids[i : i + BATCH], vectors[i : i + BATCH], least)
-                a, b = ids[i + q], shard.ids[m]
-                on = a != b
-                n = np.bincount(q[on], weights=shard.copies[m[on]], minlength=len(ids[i : i + BATCH])).astype(np.int64)
-                u, v = _forest(a[on], b[on])
+                n, u, v = shard.linked(ids[i : i + BATCH], vectors[i : i + BATCH], least)
                 own = ids[i : i + BATCH][n > 0]
                 none, nothing = pa.nulls(len(own), pa.int64()), pa.nulls(len(u), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(own), none, pa.array(n[n > 0]), none, none], names=FOUND)

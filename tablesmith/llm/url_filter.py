@@ -15,7 +15,7 @@ or with too few for the support, there are no mined rules; an empty table gives
 from __future__ import annotations
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablesmith.llm.components import cut, small
@@ -66,7 +66,10 @@ def mine(urls: DataFrame, bad: Column, url_col: str = "url", least: int = 20, su
     found = cut(model.associationRules.filter(F.col("consequent")[0] == BAD).select(F.sort_array("antecedent").alias("antecedent"), "confidence", "lift"))
     kept = minimal(found).filter((F.col("confidence") >= confidence) & (F.col("lift") >= lift))
     ordered = kept.orderBy(F.desc("confidence"), F.size("antecedent"), F.array_join("antecedent", " "))
-    return cut(session.createDataFrame(ordered.rdd.zipWithIndex().map(lambda r: (r[1], *r[0])), none.schema))
+    placed = cut(ordered.select("*", F.monotonically_increasing_id().alias("m"))).withColumn("part", F.shiftright("m", 33))
+    before = placed.groupBy("part").count().select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("before"))  # a row for each partition
+    number = (F.col("before") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1))).alias("rule")
+    return cut(placed.join(F.broadcast(before), "part").select(number, "antecedent", "confidence", "lift"))
 
 
 def minimal(rules: DataFrame) -> DataFrame:

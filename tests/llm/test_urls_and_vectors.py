@@ -148,9 +148,13 @@ def test_recall_of_the_graph():
     v[1500:2200] = v[0] + rng.normal(size=(700, 24)) * 0.1
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     shard = hnsw.Shard(np.arange(3000), np.ones(3000, np.int64), v)
-    q, m = shard.linked(np.arange(3000), v, 0.9)
+    counts, a, b = shard.linked(np.arange(3000), v, 0.9)
     truth = v @ v.T >= 0.9
-    assert truth[q, m].all() and len(q) >= 0.99 * truth.sum() and 100 < shard.hit <= shard.true
+    others = truth.sum(axis=1) - 1
+    assert (counts <= others).all() and counts.sum() >= 0.99 * others.sum() and 100 < shard.hit <= shard.true
+    assert set(zip(a.tolist(), b.tolist(), strict=True)) and all(others[x] and others[y] for x, y in zip(a, b, strict=True))
+    pairs = list(shard._found(v, hnsw.BEAM, 0.9))
+    assert all(truth[q, m].all() for q, m in pairs) and sum(len(q) for q, _ in pairs) >= 0.98 * truth.sum()
 
 
 def test_embedding_query(spark, sf):
@@ -158,3 +162,25 @@ def test_embedding_query(spark, sf):
     got = {r.vec_id: (r.n_links, r.component_id) for r in queries.op7_embedding_near_dedup(spark, sf).collect()}
     want = brute([r.vec_id for r in rows], [list(r.embedding) for r in rows])
     assert got == want
+
+
+def test_dense_clusters_stay_bounded():
+    import time
+
+    rng = np.random.default_rng(1)
+    n, centre = 3000, rng.normal(size=32)
+    v = np.concatenate([centre / np.linalg.norm(centre) + rng.normal(size=(n, 32)) * 0.03, rng.normal(size=(1500, 32))])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    ids, copies = rng.permutation(len(v)).astype(np.int64), rng.integers(1, 4, len(v))
+    start = time.process_time()
+    shard, counts, edges = hnsw.Shard(ids, copies, v), np.zeros(len(v), dtype=np.int64), []
+    for i in range(0, len(v), hnsw.BATCH):
+        counts[i : i + hnsw.BATCH], a, b = shard.linked(ids[i : i + hnsw.BATCH], v[i : i + hnsw.BATCH], 0.9)
+        edges.append((a, b))
+    assert time.process_time() - start < 60
+    true = v @ v.T >= 0.9
+    np.fill_diagonal(true, False)
+    assert abs(counts - true @ copies).sum() <= 0.01 * (true @ copies).sum() and (counts <= true @ copies).all()
+    assert sum(len(a) for a, _ in edges) < 3 * len(v)
+    node, root = hnsw._forest(*(np.concatenate(x) for x in zip(*edges, strict=True)))
+    assert set(node) | set(root) == set(ids[true.any(axis=1)]) and np.unique(root[np.isin(node, ids[:n])]).size == 1
