@@ -256,9 +256,9 @@ def v6_outside_domain(spark, sf_dir):
     return checks.outside_domain(one(spark, sf_dir, "orders"), "o_orderstatus", ["F", "O"]).select("o_orderkey", "o_orderstatus")
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE length(p_name) > 12")
+@query("SELECT p_partkey, p_name FROM part WHERE length(p_name) > 9")
 def v7_too_long(spark, sf_dir):
-    return checks.too_long(one(spark, sf_dir, "part"), "p_name", 12).select("p_partkey", "p_name")
+    return checks.too_long(one(spark, sf_dir, "part"), "p_name", 9).select("p_partkey", "p_name")
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE NOT regexp_matches(c_name, '[02468]$')")
