@@ -106,10 +106,10 @@ def _unpacked(raw: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, n).T).view("<i4").ravel()
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shards(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[pa.RecordBatch]:
     """Each shard's number, its text as numbers, and its words with their counts."""
     part = TaskContext.get().partitionId()
-    for k, docs in enumerate(blocks(batches, SHARD_BYTES)):
+    for k, docs in enumerate(blocks(batches, shard_bytes)):
         langs = pc.fill_null(docs.column("lang").combine_chunks(), "und").dictionary_encode()
         of = np.asarray(langs.indices)
         texts = pc.fill_null(docs.column("text").combine_chunks().cast(pa.large_binary()), b"").to_pylist()
@@ -184,11 +184,11 @@ def _part(key: str, start: Column | int, length: Column | int) -> Column:
     return F.slice(key, start, length)
 
 
-def count_phrases(df: DataFrame, min_count: int, longest: int = LONGEST, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
+def count_phrases(df: DataFrame, min_count: int, longest: int = LONGEST, text_col: str = "text", lang_col: str = "lang", shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
     """The frequent words (``id``, ``lang``, ``word``, ``f``, ``total``: all words of the language) and the frequent phrases of one to ``longest`` words (``key``: ids, ``f``)."""
     small_batches(df)
     src = df.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
-    shards = stored(src.mapInArrow(_shards, "shard long, size long, text binary, langs array<string>, words array<string>, counts array<int>"))
+    shards = stored(src.mapInArrow(lambda b: _shards(b, shard_bytes), "shard long, size long, text binary, langs array<string>, words array<string>, counts array<int>"))
     words = shards.select("shard", F.posexplode(F.arrays_zip("langs", "words", "counts")).alias("place", "w")).select("shard", (F.col("place") + 1).alias("local"), F.col("w.langs").alias("lang"), F.col("w.words").alias("word"), F.col("w.counts").cast("long").alias("n"))
     totals = stored(words.groupBy("lang").agg(F.sum("n").alias("total")))
     common = words.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count).join(small(totals, totals.count()), "lang")
@@ -207,14 +207,14 @@ def count_phrases(df: DataFrame, min_count: int, longest: int = LONGEST, text_co
     return known, stored(reduce(DataFrame.unionByName, found))
 
 
-def mine(df: DataFrame, top: int = 2000, min_count: int = 100, longest: int = LONGEST, absorbed: int = 100, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def mine(df: DataFrame, top: int = 2000, min_count: int = 100, longest: int = LONGEST, absorbed: int = 100, text_col: str = "text", lang_col: str = "lang", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``lang``, ``rank``, ``phrase``, ``a``, ``l``, ``r``, ``n`` and ``score`` of each language's first ``top`` phrases, and the numbers of their frequent extensions
     by one word to either side (``left_extensions``, ``right_extensions``).
 
     A phrase goes if a longer one that holds it has at least ``absorbed`` hundredths of its count. An extension by one word is never rarer than the
     longer phrases beyond it, so extensions by one word decide.
     """
-    words, phrases = count_phrases(df, min_count, longest, text_col, lang_col)
+    words, phrases = count_phrases(df, min_count, longest, text_col, lang_col, shard_bytes)
     size = F.size("key")
     many = phrases.filter(size > 1)
     sides = F.explode(F.array(F.struct(_part("key", 1, size - 1).alias("part"), F.lit(1).alias("right")), F.struct(_part("key", 2, size - 1).alias("part"), F.lit(0).alias("right")))).alias("s")

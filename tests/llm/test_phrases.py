@@ -57,15 +57,14 @@ def test_index_enumerates_every_phrase():
 
 
 @pytest.mark.parametrize("shard", [300, 8 << 20])
-def test_against_brute_force(spark, monkeypatch, shard):
-    monkeypatch.setattr(phrases, "SHARD_BYTES", shard)
+def test_against_brute_force(spark, shard):
     rng = random.Random(4)
     words = ["a", "B", "the", "of", "É", "ss", "x1", "日本", "\x00", "q"]
     rows = [("".join(rng.choices(words, k=1)[0] + rng.choices([" ", "  ", "\t", ". ", ",", "\n", "\r\n\x0b", "  "], [20, 2, 1, 1, 1, 1, 1, 1])[0] for _ in range(rng.randint(0, 40))), rng.choice(["en", "fr", "en", None, "und"])) for _ in range(400)]
     rows += [(None, "en"), ("", None), ("...", "de"), ("one two three four five six " * 30, "xx"), ("one two three four five six " * 30, "xx"), ("a " * 500, "yy")]
     df = spark.createDataFrame([(t, x, "z", 3) for t, x in rows], "text string, lang string, word string, shard int").repartition(5)
     for least, absorbed in ((3, 100), (20, 60)):
-        assert values(phrases.mine(df, top=60, min_count=least, absorbed=absorbed)) == sorted(brute(rows, 60, least, absorbed=absorbed))
+        assert values(phrases.mine(df, top=60, min_count=least, absorbed=absorbed, shard_bytes=shard)) == sorted(brute(rows, 60, least, absorbed=absorbed))
     assert values(phrases.mine(df, min_count=2, longest=2)) == sorted(brute(rows, 2000, 2, 2))
     assert phrases.mine(df.limit(0)).count() == 0
     assert phrases.mine(df.limit(3), min_count=10_000).count() == 0

@@ -104,6 +104,13 @@ def test_files(spark, tmp_path, encoding):
     assert groups > 4
 
 
+def test_small_blocks_and_a_long_text(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "BLOCK_BYTES", 50)
+    rows = [*enumerate(odd_texts(40, 2)), (1000, "A long text, told twice over; " * 40_000)]
+    files = token_files.write(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "s"), BYTE_LEVEL)
+    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in files.digests().collect()) == brute(rows)
+
+
 def test_odd_tables(spark, tmp_path):
     same = [(None, "a"), (None, None), (3, "x y"), (3, "x y"), (3, "z"), (1, ""), (1, None)]
     files = token_files.write(spark.createDataFrame(same, "doc_id int, text string"), str(tmp_path / "a"), BYTE_LEVEL)
