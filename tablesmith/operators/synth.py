@@ -293,6 +293,7 @@ class Synthesizer:
                 if wanted > room:
                     raise ValueError(f"exhausted: {table}.{name} has {room} values for {wanted} rows")
         if most < wanted:
+            self.warned = [w for w in self.warned if w[0] != table]  # of a table that is topped up the last request counts
             self.warned.append((table, wanted, most, f"the keys of its parents make {most} combinations"))
         return most
 
