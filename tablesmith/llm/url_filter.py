@@ -1,7 +1,7 @@
 """URL filter: given host and path rules first, then association rules that FP-growth mines from labelled URLs.
 
 A URL's tokens are its host, the host's ends (``com``, ``example.com`` ...), its path segments and the keys of its query. Labelled
-URLs and their label are transactions for Spark's FPGrowth. Rules that conclude the bad label are kept if their support,
+URLs and their label are transactions for Spark's FPGrowth; tokens that always occur together are one item there. Rules that conclude the bad label are kept if their support,
 confidence and lift suffice and no rule of fewer tokens with as much confidence is within them. Matching goes by an inverted index from token to
 rule: a rule fires on a URL that has as many of its tokens as the rule has.
 
@@ -56,15 +56,19 @@ def mine(urls: DataFrame, bad: Column, url_col: str = "url", least: int = 20, su
 
     A rule needs ``support`` of the labelled rows and at least ``least`` of them.
     """
-    session = urls.sparkSession
-    rows = urls.select(F.array_union(tokens(F.col(url_col)), F.when(bad, F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items"), F.coalesce(bad, F.lit(False)).alias("bad"))
+    rows = cut(urls.select(tokens(F.col(url_col)).alias("tokens"), F.coalesce(bad, F.lit(False)).alias("bad"), F.monotonically_increasing_id().alias("row")))
     n, n_bad = rows.agg(F.count("*"), F.sum(F.col("bad").cast("long"))).first()
-    none = session.createDataFrame([], "rule long, antecedent array<string>, confidence double, lift double")
+    none = urls.sparkSession.createDataFrame([], "rule long, antecedent array<string>, confidence double, lift double")
     if not n_bad or n_bad < least:
         return none
-    model = FPGrowth(itemsCol="items", minSupport=max(support, least / n), minConfidence=0.0).fit(rows.select("items"))
+    classes = _classes(rows, max(support * n, least))
+    names = cut(classes.select(F.explode("members").alias("token"), F.col("members")[0].alias("name")))
+    items = rows.select("row", F.explode("tokens").alias("token")).join(small(names, names.count()), "token").groupBy("row").agg(F.collect_set("name").alias("items"))
+    empty = F.array().cast("array<string>")
+    baskets = rows.join(items, "row", "left").select(F.concat(F.coalesce("items", empty), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(empty)).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=max(support, least / n), minConfidence=0.0).fit(baskets)
     found = cut(model.associationRules.filter(F.col("consequent")[0] == BAD).select(F.sort_array("antecedent").alias("antecedent"), "confidence", "lift"))
-    kept = minimal(found).filter((F.col("confidence") >= confidence) & (F.col("lift") >= lift))
+    kept = _spelled_out(minimal(found).filter((F.col("confidence") >= confidence) & (F.col("lift") >= lift)), classes)
     ordered = kept.orderBy(F.desc("confidence"), F.size("antecedent"), F.array_join("antecedent", " "))
     placed = cut(ordered.select("*", F.monotonically_increasing_id().alias("m"))).withColumn("part", F.shiftright("m", 33))
     before = placed.groupBy("part").count().select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("before"))  # a row for each partition
@@ -72,6 +76,26 @@ def mine(urls: DataFrame, bad: Column, url_col: str = "url", least: int = 20, su
     return cut(placed.join(F.broadcast(before), "part").select(number, "antecedent", "confidence", "lift"))
 
 
+def _classes(rows: DataFrame, least: float) -> DataFrame:
+    """``members``: tokens that stand in exactly the same rows, each token of at least ``least`` bad rows in one class.
+
+    A class is one item for FP-growth, whose sets would double with each token of it. Rows are compared by their number and two sums of hashes.
+    """
+    each = rows.select("row", "bad", F.explode("tokens").alias("token"))
+    same = [F.sum(F.xxhash64("row", F.lit(salt)).cast("decimal(38,0)")).alias(f"h{salt}") for salt in (0, 1)]
+    found = each.groupBy("token").agg(F.count("*").alias("n"), F.count_if("bad").alias("n_bad"), *same).filter(F.col("n_bad") >= least)
+    return cut(found.groupBy("n", "n_bad", "h0", "h1").agg(F.sort_array(F.collect_list("token")).alias("members")).select("members"))  # at most the tokens of one URL
+
+
+def _spelled_out(rules: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rules over classes as rules over tokens: one for each choice of a token from each class."""
+    numbered = cut(rules.select("*", F.monotonically_increasing_id().alias("id")))
+    groups = numbered.select("id", F.explode("antecedent").alias("name")).join(classes.select(F.col("members")[0].alias("name"), "members"), "name").groupBy("id").agg(F.collect_list("members").alias("groups"))
+    start = F.array(F.array().cast("array<string>"))
+    choices = F.aggregate("groups", start, lambda done, group: F.flatten(F.transform(done, lambda d: F.transform(group, lambda t: F.concat(d, F.array(t))))))
+    return numbered.join(groups, "id").select(F.explode(choices).alias("antecedent"), "confidence", "lift").select(F.sort_array("antecedent").alias("antecedent"), "confidence", "lift")
+
+
 def minimal(rules: DataFrame) -> DataFrame:
     """The rules (every subset of an antecedent has one) without a rule of fewer tokens and as much confidence within them.
 

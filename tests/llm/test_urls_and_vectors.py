@@ -64,6 +64,18 @@ def test_redundant_supersets_crowd_out_no_rule(spark):
     assert [r["rule"] for r in rules] == list(range(17))
 
 
+def test_many_tokens_in_one_shape(spark):
+    import time
+
+    wide = "http://a.b.bad.net/" + "/".join(f"p{k}" for k in range(20)) + "?" + "&".join(f"q{k}=1" for k in range(10))
+    urls = [(wide, 1)] * 60 + [(wide + "&odd=1", 0)] * 20 + [(f"http://good.com/{i}/p3", 0) for i in range(300)]
+    df = spark.createDataFrame(urls, "url string, toxic int")
+    start = time.time()
+    rules = url_filter.mine(df, F.col("toxic") == 1).collect()
+    assert time.time() - start < 60  # without classes there are 2^34 sets
+    assert {tuple(r.antecedent) for r in rules} == {(t,) for t in plain_tokens(wide) - {"path=p3"}} and {r.confidence for r in rules} == {0.75}
+
+
 def plain_rules(rows, least, confidence, lift):
     """Every set of tokens that is frequent, bad enough and not within reach of a smaller one as bad; rows: (url, bad)."""
     found = [(frozenset(plain_tokens(u)), bad) for u, bad in rows]
