@@ -75,7 +75,9 @@ def key_candidates(df: DataFrame, columns: list[str] | None = None, max_columns:
             own = [names[i] for i in range(len(full)) if s >> i & 1]
             groups = values.groupBy(*own).agg(F.count("*").alias("n"), F.min(whole).alias("a"), F.max(whole).alias("b")).filter("n > 1")
             pair = F.struct("a", "b")
-            parts.append(groups.agg(F.count("*").alias("groups"), *[f(pair, by).alias(x) for x, f, by in (("p", F.max_by, F.col("n")), ("q", F.min_by, F.xxhash64("a")), ("r", F.max_by, F.xxhash64("b")))]).select(F.lit(format(s, "x")).alias("s"), "groups", "p", "q", "r"))
+            chosen = [F.max_by(pair, F.col("n")).alias("p"), F.min_by(pair, F.xxhash64("a")).alias("q"), F.max_by(pair, F.xxhash64("b")).alias("r")]
+            found_pairs = groups.agg(F.count("*").alias("groups"), *chosen)
+            parts.append(found_pairs.select(F.lit(format(s, "x")).alias("s"), "groups", "p", "q", "r"))
         for r in reduce(DataFrame.unionByName, parts).collect():  # a row for each set
             if not r["groups"]:
                 keys.add(int(r["s"], 16))

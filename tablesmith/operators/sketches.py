@@ -27,8 +27,12 @@ def sketch_parts(df: DataFrame, table: str, part: str) -> DataFrame:
     for i, f in enumerate(fields):
         c = F.col(f"`{f.name}`")
         text = c.cast("string")
-        aggregates += [F.count(c).alias(f"n{i}"), F.min(c).cast("string").alias(f"lo{i}"), F.max(c).cast("string").alias(f"hi{i}"), F.max(F.char_length(text)).cast("long").alias(f"len{i}"), F.hll_sketch_agg(text, F.lit(REGISTERS)).alias(f"s{i}")]
-    entries = [F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), F.col(f"n{i}").alias("filled"), F.col(f"lo{i}").alias("low"), F.col(f"hi{i}").alias("high"), F.col(f"len{i}").alias("longest"), F.col(f"s{i}").alias("sketch")) for i, f in enumerate(fields)]
+        facts = {"filled": F.count(c), "low": F.min(c).cast("string"), "high": F.max(c).cast("string"), "longest": F.max(F.char_length(text)).cast("long"), "sketch": F.hll_sketch_agg(text, F.lit(REGISTERS))}
+        aggregates += [value.alias(f"{name}_{i}") for name, value in facts.items()]
+    entries = []
+    for i, f in enumerate(fields):
+        named = [F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type")]
+        entries.append(F.struct(*named, *[F.col(f"{name}_{i}").alias(name) for name in COLUMNS[5:]]))
     found = df.groupBy(F.col(part).cast("string").alias("part")).agg(*aggregates)
     return found.select("part", F.lit(table).alias("table"), "rows", F.explode(F.array(*entries)).alias("e")).select("part", "table", "rows", "e.*").select(*COLUMNS)
 
@@ -47,7 +51,8 @@ def add_up(entries: DataFrame) -> DataFrame:
 
     kinds = [r["type"] for r in entries.select("type").distinct().collect()]  # a row for each type
     ends = [F.coalesce(*[end(name, f, k) for k in kinds], F.lit(None).cast("string")).alias(name) for name, f in (("low", F.min), ("high", F.max))]
-    out = entries.groupBy("table", "column").agg(F.first("type").alias("type"), F.sum("rows").alias("rows"), (F.sum("rows") - F.sum("filled")).alias("nulls"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct_values"), *ends, F.max("longest").alias("longest"))
+    sums = [F.first("type").alias("type"), F.sum("rows").alias("rows"), (F.sum("rows") - F.sum("filled")).alias("nulls"), F.max("longest").alias("longest")]
+    out = entries.groupBy("table", "column").agg(*sums, F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct_values"), *ends)
     return out.select("table", "column", "type", "rows", "nulls", "distinct_values", "low", "high", "longest")
 
 
