@@ -16,8 +16,6 @@ from itertools import chain, compress, islice
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import sentencepiece
-from tokenizers import Tokenizer
 
 from tablesmith.llm.batches import Numbering
 
@@ -64,6 +62,8 @@ class ByteLevel:
             raise ValueError(f"{path} is no plain byte-level tokenizer")
         if any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] for t in parts["added_tokens"]):
             raise ValueError(f"{path} has added tokens that reach over spaces")
+        from tokenizers import Tokenizer  # here and below, so that the driver, which encodes nothing, does without
+
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = not special_tokens
         of, added = byte_characters(), {t["content"] for t in parts["added_tokens"]}
@@ -98,6 +98,8 @@ class Pieces:
     """
 
     def __init__(self, path: str):
+        import sentencepiece
+
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size())]
         if any(re.search(f"[^{SPACE_MARK}]{SPACE_MARK}", n) for n in names):

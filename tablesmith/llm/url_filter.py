@@ -14,7 +14,6 @@ or with too few for the support, there are no mined rules; an empty table gives
 
 from __future__ import annotations
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,6 +65,8 @@ def mine(urls: DataFrame, bad: Column, url_col: str = "url", least: int = 20, su
     items = rows.select("row", F.explode("tokens").alias("token")).join(small(names, names.count()), "token").groupBy("row").agg(F.collect_set("name").alias("items"))
     empty = F.array().cast("array<string>")
     baskets = rows.join(items, "row", "left").select(F.concat(F.coalesce("items", empty), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(empty)).alias("items"))
+    from pyspark.ml.fpm import FPGrowth  # here, so that other queries' drivers do without the library
+
     model = FPGrowth(itemsCol="items", minSupport=max(support, least / n), minConfidence=0.0).fit(baskets)
     found = cut(model.associationRules.filter(F.col("consequent")[0] == BAD).select(F.sort_array("antecedent").alias("antecedent"), "confidence", "lift"))
     kept = _spelled_out(minimal(found).filter((F.col("confidence") >= confidence) & (F.col("lift") >= lift)), classes)
