@@ -53,8 +53,10 @@ def clock_sql(seconds: str) -> str:
 @query(f"""WITH held AS (SELECT DISTINCT c_custkey * 7 % 86400 AS s FROM customer), n AS (SELECT least(count(*), 20000) AS n FROM held), free AS (SELECT i AS s FROM range(86400) AS r(i) WHERE i NOT IN (SELECT s FROM held))
 SELECT {clock_sql('s')} AS at, false AS is_new FROM held UNION ALL SELECT {clock_sql('s')}, true FROM (SELECT s, row_number() OVER (ORDER BY s) AS k FROM free), n WHERE k <= n""")
 def d4_refilled_times(spark, sf_dir):
+    """As many more times as there are (up to 20,000), or all that are left of a day, which may be none."""
     held = one(spark, sf_dir, "customer").select(G.clock(F.col("c_custkey") * 7 % 86_400).alias("at")).distinct()
-    return with_held(held, made(spark, {"bell": {"at": {"type": "time", "pk": True}}}, "bell", min(held.count(), 20_000), {"bell": held}))
+    n = held.count()
+    return with_held(held, made(spark, {"bell": {"at": {"type": "time", "pk": True}}}, "bell", min(n, 20_000, 86_400 - n), {"bell": held}))
 
 
 @query(f"""WITH p AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS a, p_partkey FROM part), s AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS b, s_suppkey FROM supplier),
