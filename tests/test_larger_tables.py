@@ -43,3 +43,11 @@ def test_a_day_without_free_times(spark, folder):
     folder(spark.range(1, 80_001).select(F.col("id").alias("c_custkey")), "customer")
     df = registry.QUERIES["d4_refilled_times"](spark, folder.path)
     assert {(r.is_new, r["count"]) for r in df.groupBy("is_new").count().collect()} == {(False, 80_000), (True, 6_400)} and df.select("at").distinct().count() == 86_400
+
+
+@pytest.mark.parametrize("name", ["x1_orphans_of_36_tables", "x2_keys_and_domains_of_36_tables", "x3_trees_of_36_tables"])
+def test_more_rows_than_days(spark, folder, name):
+    folder(spark.range(1, 12_001).select(F.col("id").alias("s_suppkey")), "supplier")
+    got, want = answers(spark, folder.path, name)
+    assert got == want
+    assert set(schema36.full_tables(schema36.SPEC, 12_000)) == {"closing_day"} and set(schema36.full_tables(schema36.SPEC, 90_000)) == {"closing_day", "bell"}
