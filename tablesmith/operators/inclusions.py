@@ -163,16 +163,17 @@ def _bare(column: str) -> str:
 def foreign_keys(tables: dict[str, DataFrame], names_only: bool = False) -> DataFrame:
     """Ranked candidates: child, column, parent, ref_column, coverage, name_match, rank.
 
-    Parents are unique columns that hold some value of the child and whose range holds the child's. With ``names_only`` the names must agree too (which leaves out references
+    Parents are unique columns of the child's kind whose range holds the child's; their coverage may be 0. With ``names_only`` the names must agree too (which leaves out references
     of another name), else names only rank the candidates. Inclusion does not prove a foreign key.
     """
     found = Overlaps(tables, key_columns(tables))
+    kind = {(t, c): kind_of(tables[t].schema[c].dataType) for t, (c,) in found.lists}
     rows = []
     for (child, (column,)), (parent, (ref,)) in permutations(found.lists, 2):
-        coverage, match = found.coverage((child, (column,)), (parent, (ref,))), _bare(column) == _bare(ref)
-        if child == parent or not coverage or not found.unique[found.place[parent, (ref,)]]:
+        a, b, match = found.place[child, (column,)], found.place[parent, (ref,)], _bare(column) == _bare(ref)
+        if child == parent or kind[child, column] != kind[parent, ref] or not found.distinct[a] or not found.unique[b]:
             continue
-        (low, high), (first, last) = (found.range[found.place[x]] for x in ((child, (column,)), (parent, (ref,))))
+        coverage, (low, high), (first, last) = found.coverage(found.lists[a], found.lists[b]), found.range[a], found.range[b]
         if first <= low and high <= last and (match or not names_only):
             rows.append((child, column, parent, ref, coverage, match, found.rows[parent]))
     place = Window.partitionBy("child", "column").orderBy(F.desc("name_match"), F.desc("coverage"), "parent_rows", "parent")

@@ -51,3 +51,11 @@ def test_more_rows_than_days(spark, folder, name):
     got, want = answers(spark, folder.path, name)
     assert got == want
     assert set(schema36.full_tables(schema36.SPEC, 12_000)) == {"closing_day"} and set(schema36.full_tables(schema36.SPEC, 90_000)) == {"closing_day", "bell"}
+
+
+def test_inclusions_without_a_common_value(spark, folder):
+    """A range within another one counts though no value is shared."""
+    folder(spark.createDataFrame([(5, "b"), (15, "d")], "r_regionkey int, r_name string"), "region")
+    folder(spark.createDataFrame([(0, "a", 5), (10, "c", 5), (20, "e", 15)], "n_nationkey int, n_name string, n_regionkey int"), "nation")
+    got, want = answers(spark, folder.path, "p5_inclusions_whatever_the_names")
+    assert got == want and ("region", "r_regionkey", "nation", "n_nationkey", 0.0) in got and ("region", "r_name", "nation", "n_name", 0.0) in got
