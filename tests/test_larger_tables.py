@@ -36,6 +36,29 @@ def answers(spark, path, name):
     return sorted(map(tuple, df.select(*columns).collect())), sorted(want.fetchall())
 
 
+def test_estimated_sizes_do_not_grow_by_rounds(spark):
+    """A checkpoint's estimate squares in each round; read back from files it does not."""
+    links = spark.range(200).select(F.col("id").alias("node"), F.when(F.col("id") > 0, F.col("id") - 1).alias("target"), F.lit(1).alias("dist"))
+    tables = links.select(F.col("node").cast("string").alias("table"))
+    edges = links.filter("target IS NOT NULL").select(F.col("node").cast("string").alias("child"), F.col("target").cast("string").alias("parent"))
+    for df in (depgraph.jump(links), depgraph.levels(tables, edges), depgraph.close_selection(edges.withColumn("nullable", F.lit(False)), tables.filter("table = '199'"))):
+        assert df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 120
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_contracted_links_lead_to_the_same_ends(spark, monkeypatch, kind):
+    rows = [(i, i - 1) for i in range(1, 500)] + [(i, 7 if i % 2 else 600 + i // 2 % 90) for i in range(700, 1500)] + [(2000 + i, 2000 + (i + 1) % 9) for i in range(9)] + [(3000, 2000), (3001, None), (3002, 3001), (3003, 9999)]
+    links = spark.createDataFrame(rows, "node long, target long").select(F.col("node").cast(kind).alias("node"), F.col("target").cast(kind).alias("target"), F.lit(2).alias("dist"))
+    found = []
+    for most in (1_000_000, 300):
+        monkeypatch.setattr(depgraph, "DOUBLED", most, raising=False)
+        found.append(sorted((r.node, None if r.stuck else (r.end, r.dist), r.stuck) for r in depgraph.jump(links).collect()))
+    assert len(found[0]) == len(rows) and found[0] == found[1]
+    ends = {int(n): (e, stuck) for n, e, stuck in found[1]}
+    of = int if kind == "long" else str
+    assert ends[499] == ((of(0), 998), False) and ends[3002] == ((None, 4), False) and ends[2003] == ends[3000] == (None, True) and ends[3003] == ((of(9999), 2), False)
+
+
 def test_a_day_without_free_times(spark, folder):
     folder(spark.range(1, 90_001).select(F.col("id").alias("c_custkey")), "customer")
     df = registry.QUERIES["d4_refilled_times"](spark, folder.path)
@@ -59,3 +82,9 @@ def test_inclusions_without_a_common_value(spark, folder):
     folder(spark.createDataFrame([(0, "a", 5), (10, "c", 5), (20, "e", 15)], "n_nationkey int, n_name string, n_regionkey int"), "nation")
     got, want = answers(spark, folder.path, "p5_inclusions_whatever_the_names")
     assert got == want and ("region", "r_regionkey", "nation", "n_nationkey", 0.0) in got and ("region", "r_name", "nation", "n_name", 0.0) in got
+
+
+def test_depths_of_contracted_chains(spark, monkeypatch):
+    monkeypatch.setattr(depgraph, "DOUBLED", 500, raising=False)
+    links = spark.range(3000).select(F.col("id"), F.when(F.col("id") % 1000 > 0, F.col("id") - 1).alias("up"))
+    assert checks.depths(links, "id", "up").filter("depth = id % 1000 AND root = id - id % 1000").count() == 3000
