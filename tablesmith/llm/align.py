@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablesmith.llm.batches import blocks, id_and_text, list_array
+from tablesmith.llm.batches import blocks, id_and_text, list_array, steps
 from tablesmith.llm.components import small, stored
 from tablesmith.llm.subwords import paired_units
 
 #: Bytes of text in a block: a larger one sends fewer rows and takes more memory.
 BLOCK_BYTES = 6 << 20
+#: Bytes of text that are aligned at a time within a block: their tokens take many times as much.
+ALIGNED_BYTES = 1 << 20
 #: Tokens that are spelled out in digits at a time.
 SPELLED = 1 << 19
 FACTS = ["n_a", "n_b", "n_groups", "n_links"]
@@ -94,9 +97,10 @@ def _spelled_groups(a: tuple, b: tuple, cut_a: np.ndarray, cut_b: np.ndarray, n:
     return b"".join(out), sizes
 
 
-def _align(docs: pa.Table, block: int, files: tuple[str, str], with_groups: bool) -> pa.RecordBatch:
-    units, n = paired_units(*files), docs.num_rows
-    text = pc.fill_null(docs.column("text").combine_chunks().cast(pa.large_string()), "")
+def _step(docs: pa.RecordBatch, units, with_groups: bool) -> tuple:
+    """What some documents come to: their facts, digests, groups and numbers of distinct pairs, and these pairs with their times, document by document."""
+    n = docs.num_rows
+    text = pc.fill_null(docs.column("text").cast(pa.large_string()), "")
     use, pieces = units.of(pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), text, pa.scalar("", pa.large_string())))
     sizes = np.asarray(pc.binary_length(text), dtype=np.int64)
     held = units.spelled(use, pieces) & (sizes > 0)
@@ -113,20 +117,27 @@ def _align(docs: pa.Table, block: int, files: tuple[str, str], with_groups: bool
     groups = [raw[stop - size : stop - 1] if size else None for stop, size in zip(at.tolist(), ends.tolist(), strict=True)]
     digest = [sha256(g).hexdigest() if g is not None else "" for g in groups]
     linked, id_a, id_b = _links(a, b, np.where(held, sizes + 1, 0))
+    own, times = np.unique((linked << 32) | (id_a.astype(np.int64) * len(units.encoders[1].tokens) + id_b), return_counts=True)
+    facts = np.stack([number[0], number[1], np.bincount(document, minlength=n), np.bincount(linked, minlength=n)]).astype(np.int64)
+    spelled = [str(g, "ascii") if g is not None else "" for g in groups] if with_groups else []
+    return facts, digest, spelled, np.bincount(own >> 32, minlength=n), own & 0xFFFFFFFF, times.astype(np.int32)
+
+
+def _align(docs: pa.Table, block: int, files: tuple[str, str], with_groups: bool) -> pa.RecordBatch:
+    units, n = paired_units(*files), docs.num_rows
+    parts = [_step(part, units, with_groups) for part in steps(iter(docs.to_batches()), ALIGNED_BYTES)]
+    facts, many, code, times = (np.concatenate([p[i] for p in parts], axis=-1) for i in (0, 3, 4, 5))
+    digest, spelled = (list(chain.from_iterable(p[i] for p in parts)) for i in (1, 2))
     kinds = len(units.encoders[1].tokens)
-    own, times = np.unique((linked << 32) | (id_a.astype(np.int64) * kinds + id_b), return_counts=True)
-    of, code = own >> 32, own & 0xFFFFFFFF
     partial = pa.table({"code": code}).group_by("code", use_threads=False).aggregate([([], "count_all")])
     codes, documents = partial.column("code").to_numpy(), partial.column("count_all").to_numpy()
     order = np.argsort(codes)
     codes, documents = codes[order], documents[order]
-    many = np.bincount(of, minlength=n)
-    facts = [number[0], number[1], np.bincount(document, minlength=n), np.bincount(linked, minlength=n)]
     first = [np.concatenate([[len(codes)], np.zeros(n - 1)]).astype(np.int64)] * 3  # the block's pairs stand in its first row
-    columns = [docs.column("id").combine_chunks(), pa.array(np.full(n, block, dtype=np.int64)), *map(pa.array, (f.astype(np.int64) for f in facts)), pa.array(digest)]
+    columns = [docs.column("id").combine_chunks(), pa.array(np.full(n, block, dtype=np.int64)), *map(pa.array, facts), pa.array(digest)]
     columns += [list_array(x.astype(np.int32), many, pa.int32()) for x in (np.searchsorted(codes, code), times)]
     columns += [list_array(x.astype(np.int32), k, pa.int32()) for x, k in zip((codes // kinds, codes % kinds, documents), first, strict=True)]
-    columns += [pa.array([str(g, "ascii") if g is not None else "" for g in groups])] if with_groups else []
+    columns += [pa.array(spelled)] if with_groups else []
     names = ["id", "block", *FACTS, "groups_sha256", "pair", "times", "pair_a", "pair_b", "pair_documents", *["groups"] * with_groups]
     return pa.RecordBatch.from_arrays(columns, names=names)
 
