@@ -30,6 +30,8 @@ from tablesmith.llm.components import small, stored
 
 #: Bytes of text in a shard: a larger one has fewer different phrases for each word, and takes more memory.
 SHARD_BYTES = 4 << 20
+#: Phrases that a task sends at a time.
+SENT_ROWS = 1 << 15
 LONGEST = 5
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 #: Lower case for A-Z, a space for a tab, a line's end for the end of a piece.
@@ -40,21 +42,26 @@ class FmIndex:
     """Intervals of a text (0 at its end and wherever no phrase may reach over, words from 1 on) sorted by its first ``depth`` symbols."""
 
     def __init__(self, text: np.ndarray, depth: int):
-        rank, reach = text.astype(np.int64), 1
+        rank, reach = text.astype(np.int32), 1
         order = np.argsort(rank)
         while reach < depth:
             step = min(reach, depth - reach)
-            key = rank * (int(rank.max(initial=0)) + 1) + np.roll(rank, -step)
+            key = rank.astype(np.int64)
+            key *= int(rank.max(initial=0)) + 1
+            key += np.roll(rank, -step)
             order = np.argsort(key)
-            change = np.concatenate([[0], np.diff(key[order]) != 0])
-            rank = np.empty_like(rank)
-            rank[order] = np.cumsum(change)
+            key = key[order]
+            rank[order[1:]] = np.cumsum(key[1:] != key[:-1], dtype=np.int32)
+            rank[order[:1]] = 0
             reach += step
         self.bwt = text[order - 1]  # before the first symbol stands the last
         self.first = np.searchsorted(np.sort(text), np.arange(int(text.max(initial=0)) + 2))
-        rows = np.sort(self.bwt.astype(np.int64) * len(text) + np.arange(len(text))) % max(1, len(text))
-        self.before = np.empty(len(text), dtype=np.int64)  # the row of the suffix that begins one symbol earlier
-        self.before[rows] = np.arange(len(text))
+        rows = self.bwt.astype(np.int64) * len(text)
+        rows += np.arange(len(text))
+        rows.sort()
+        rows %= max(1, len(text))
+        self.before = np.empty(len(text), dtype=np.int32)  # the row of the suffix that begins one symbol earlier
+        self.before[rows] = np.arange(len(text), dtype=np.int32)
 
     def extend(self, low: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All extensions of intervals by the symbol before: the interval's number, the symbol, the new interval's start and size, and how many
@@ -148,8 +155,8 @@ def _pairs(shard: pa.Table, answers: pa.Table) -> pa.Table:
 
 def _longer(shard: pa.Table, answers: pa.Table, longest: int) -> pa.Table:
     """The phrases of three words and more of a shard all of whose pairs are frequent. ``answers``: these pairs, by the shard's numbers and by name."""
-    columns: list[list] = [[] for _ in range(longest)]
-    counts = []
+    schema = pa.schema([(c, pa.int64()) for c in (*(f"g{i}" for i in range(longest)), "n")])
+    parts = [schema.empty_table()]
     if shard.num_rows and answers.num_rows:
         text = _unpacked(shard.column("text")[0].as_py(), shard.column("size")[0].as_py()).astype(np.int64)
         local_a, local_b, a, b = (answers.column(c).to_numpy() for c in ("local_a", "local_b", "a", "b"))
@@ -167,13 +174,13 @@ def _longer(shard: pa.Table, answers: pa.Table, longest: int) -> pa.Table:
         place = np.cumsum(near + cut.astype(np.int64)) - 1
         short = np.zeros(int(place[-1]) + 2 if len(place) else 1, dtype=np.int32)
         short[place[near]] = text[near]
+        del text, held, key, joined, last, inner, long, near, cut, place
         for phrases, n in enumerate_phrases(short, longest):
-            if phrases.shape[1] > 2:
-                for i in range(longest):
-                    columns[i].append(names[phrases[:, i]] if i < phrases.shape[1] else np.full(len(n), -1, dtype=np.int64))
-                counts.append(n.astype(np.int64))
-    none = np.zeros(0, dtype=np.int64)
-    return pa.table({**{f"g{i}": np.concatenate(c) if c else none for i, c in enumerate(columns)}, "n": np.concatenate(counts) if counts else none})
+            for start in range(0, len(n) if phrases.shape[1] > 2 else 0, SENT_ROWS):
+                own, none = phrases[start : start + SENT_ROWS], np.full(len(n[start : start + SENT_ROWS]), -1, dtype=np.int64)
+                named = [names[own[:, i]] if i < own.shape[1] else none for i in range(longest)]
+                parts.append(pa.table([*named, n[start : start + SENT_ROWS].astype(np.int64)], schema=schema))
+    return pa.concat_tables(parts)  # Spark gets its chunks one by one
 
 
 def _of_shards(shards: DataFrame, answers: DataFrame, fn, schema: str) -> DataFrame:
