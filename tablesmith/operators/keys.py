@@ -1,8 +1,10 @@
 """Keys of any number of columns.
 
 Two rows that agree in some columns show that no set of these alone is a key: each key has a column in which they differ. The smallest sets that
-meet what is known of such differences are the only possible keys. A bounded sample gives the first differences; then the sets proposed are counted
-exactly, and each that repeats gives rows that agree in it and so a difference that rules it out. What is left in the end are all smallest keys.
+meet what is known of such differences are the only possible keys. A bounded sample gives the first differences. Then each set proposed is looked at in
+whole groups of rows, those whose values' hash falls into a small share: rows that agree in it rule it out, for a shuffle of bounded size. A set
+that this does not rule out is counted exactly, over a hash of its values in every row; where hashes repeat, the rows themselves are compared. What is
+left in the end are all smallest keys.
 """
 
 from __future__ import annotations
@@ -15,12 +17,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablesmith.operators.inclusions import comparable
-from tablesmith.sources.tables import cut_lineage
+from tablesmith.sources.tables import stored
 
 #: Rows whose pairs give the first differences.
 SAMPLE = 500
-#: Sets counted in one job.
-AT_ONCE = 12
+#: About so many rows are grouped to rule a set out before all of them are.
+GROUPED = 50_000
+#: Sets looked at in one job, and differences that one returns.
+AT_ONCE, RETURNED = 12, 2000
 
 
 def smallest(sets: set[int]) -> list[int]:
@@ -50,6 +54,33 @@ def _of(rows: np.ndarray) -> set[int]:
     return out - {0}
 
 
+def _differences(groups: DataFrame, names: list[str]) -> list[tuple[int, int]]:
+    """Of groups of rows (``s``, ``n``, ``a`` and ``b``: two of them), how two of a group differ: ``s`` and the difference, those of the fewest columns first."""
+    same = [F.when(F.col(f"a.{c}") == F.col(f"b.{c}"), "0").otherwise("1") for c in reversed(names)]
+    masks = groups.filter("n > 1").select("s", F.concat(*same).alias("mask")).distinct()
+    first = masks.orderBy(F.length(F.replace("mask", F.lit("0"), F.lit(""))), "s", "mask").limit(RETURNED).collect()  # a bounded number
+    return [(int(r["s"], 16), int(r["mask"], 2)) for r in first]
+
+
+def _ends(names: list[str]) -> list:
+    return [F.count("*").alias("n"), F.min(F.struct(*names)).alias("a"), F.max(F.struct(*names)).alias("b")]
+
+
+def _in_some_groups(values: DataFrame, sets: dict[int, list[str]], one_in: int) -> DataFrame:
+    """Groups of rows that agree in a set's columns, whole ones, for about one in ``one_in`` of its different values; one pass over the table."""
+    names = values.columns
+    own = [F.when(F.pmod(F.xxhash64(*c), F.lit(one_in)) == 0, F.struct(F.lit(format(s, "x")).alias("s"), F.array(*c).alias("value"))) for s, c in sets.items()]
+    chosen = values.select(*names, F.explode(F.array_compact(F.array(*own))).alias("e"))
+    return chosen.groupBy("e.s", "e.value").agg(*_ends(names))
+
+
+def _repeated(values: DataFrame, sets: dict[int, list[str]]) -> dict[int, DataFrame]:
+    """The sets of which a hash repeats, with these hashes (``h``): every row counts, and of a row its hash alone is shuffled."""
+    hashes = {s: values.select(F.xxhash64(*c).alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h") for s, c in sets.items()}
+    found = reduce(DataFrame.unionByName, [h.agg(F.count("*").alias("n")).select(F.lit(format(s, "x")).alias("s"), "n") for s, h in hashes.items()]).collect()  # a row for each set
+    return {s: hashes[s] for s in (int(r["s"], 16) for r in found if r["n"])}
+
+
 def key_candidates(df: DataFrame, columns: list[str] | None = None, max_columns: int | None = None) -> list[tuple[str, ...]]:
     """The smallest sets of columns without nulls whose values are unique, by size and name; of at most ``max_columns`` columns if that is given.
 
@@ -57,35 +88,38 @@ def key_candidates(df: DataFrame, columns: list[str] | None = None, max_columns:
     """
     fields = [f.name for f in df.schema if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType, T.VariantType))]
     columns = sorted(columns or fields)
-    stats = df.agg(F.count("*").alias("n"), *[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(columns)]).first()
-    full = [c for i, c in enumerate(columns) if stats[f"c{i}"] == stats["n"]]
-    if not stats["n"] or not full:
+    if not columns:
         return []
+    values = stored(df.select(*[comparable(df, c).alias(f"v{i}") for i, c in enumerate(columns)]))
+    stats = values.agg(F.count("*").alias("n"), *[F.count(c).alias(c) for c in values.columns]).first()
+    places = [i for i in range(len(columns)) if stats[f"v{i}"] == stats["n"]]
+    if not stats["n"] or not places:
+        return []
+    full, names = [columns[i] for i in places], [f"v{i}" for i in places]
     most = min(max_columns or len(full), len(full))
-    values = cut_lineage(df.select(*[comparable(df, c).alias(f"v{i}") for i, c in enumerate(full)]))
-    names = values.columns
+    values = values.select(*names)
     sample = np.array(values.orderBy(F.xxhash64(*names), *names).limit(SAMPLE).collect(), dtype=object)  # a bounded sample
     found = [1 << i for i in range(len(full))]
     for difference in smallest(_of(sample.astype(str))) if len(sample) > 1 and len(full) <= 62 else []:
         found = meeting(found, difference, most)
-    keys: set[int] = set()
-    while open_ := [s for s in found if s not in keys][:AT_ONCE]:
-        whole, parts = F.struct(*names), []
-        for s in open_:
-            own = [names[i] for i in range(len(full)) if s >> i & 1]
-            groups = values.groupBy(*own).agg(F.count("*").alias("n"), F.min(whole).alias("a"), F.max(whole).alias("b")).filter("n > 1")
-            pair = F.struct("a", "b")
-            chosen = [F.max_by(pair, F.col("n")).alias("p"), F.min_by(pair, F.xxhash64("a")).alias("q"), F.max_by(pair, F.xxhash64("b")).alias("r")]
-            found_pairs = groups.agg(F.count("*").alias("groups"), *chosen)
-            parts.append(found_pairs.select(F.lit(format(s, "x")).alias("s"), "groups", "p", "q", "r"))
-        for r in reduce(DataFrame.unionByName, parts).collect():  # a row for each set
-            if not r["groups"]:
-                keys.add(int(r["s"], 16))
-            for x in (r["p"], r["q"], r["r"]) if r["groups"] else ():
-                difference = sum(1 << i for i, (a, b) in enumerate(zip(x["a"], x["b"], strict=True)) if a != b)
-                if not difference:
-                    return []  # rows that are equal in every column
-                found = meeting(found, difference, most)
+    columns_of = lambda sets: {s: [names[i] for i in range(len(full)) if s >> i & 1] for s in sets}
+    one_in, looked, keys = stats["n"] // GROUPED, set(), set()
+    while open_ := [s for s in found if s not in keys]:
+        if one_in > 1 and (new := [s for s in open_ if s not in looked][:AT_ONCE]):
+            looked.update(new)
+            ruled_out = _differences(_in_some_groups(values, columns_of(new), one_in), names)
+        else:
+            counted = open_[:AT_ONCE]
+            repeated = _repeated(values, columns_of(counted))
+            of = columns_of(repeated)
+            rows = [values.withColumn("h", F.xxhash64(*of[s])).join(h, "h", "left_semi").groupBy(*of[s]).agg(*_ends(names)).select(F.lit(format(s, "x")).alias("s"), "n", "a", "b") for s, h in repeated.items()]
+            ruled_out = _differences(reduce(DataFrame.unionByName, rows), names) if rows else []
+            known = set(repeated) if len(ruled_out) == RETURNED else {s for s, _ in ruled_out}  # with so many, not every set need be among them
+            keys.update(set(counted) - known)
+        for difference in smallest({d for _, d in ruled_out}):
+            if not difference:
+                return []  # rows that are equal in every column
+            found = meeting(found, difference, most)
     return sorted((tuple(full[i] for i in range(len(full)) if s >> i & 1) for s in keys), key=lambda k: (len(k), k))
 
 

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tablesmith.operators import checks, depgraph
+from tablesmith.operators import checks, depgraph, keys
 from tablesmith.plans import registry, schema36
 
 
@@ -88,3 +88,23 @@ def test_depths_of_contracted_chains(spark, monkeypatch):
     monkeypatch.setattr(depgraph, "DOUBLED", 500, raising=False)
     links = spark.range(3000).select(F.col("id"), F.when(F.col("id") % 1000 > 0, F.col("id") - 1).alias("up"))
     assert checks.depths(links, "id", "up").filter("depth = id % 1000 AND root = id - id % 1000").count() == 3000
+
+
+def test_sets_that_are_no_keys_cost_no_shuffle_of_all_rows(spark, monkeypatch):
+    """Sets are ruled out in a share of their groups; a set of which a hash repeats is counted by its rows."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        stages = store.stageList(None, False, False, getattr(store, "stageList$default$4")(), getattr(store, "stageList$default$5")())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    monkeypatch.setattr(keys, "GROUPED", 2000, raising=False)
+    monkeypatch.setattr(keys, "SAMPLE", 20)
+    halves = spark.range(20_000).select(*[(F.floor(F.col("id") / 2 ** (i + 1)) * 2**i + F.col("id") % 2**i).alias(f"c{i}") for i in range(8)])
+    before = written()
+    assert keys.key_candidates(halves, max_columns=1) == [] and written() - before < 2 * 20_000
+    df = spark.range(20_736).selectExpr("id % 12 AS a", "id div 12 % 12 AS b", "id div 144 % 12 AS c", "id div 1728 AS d", "id % 3 AS e", "'x' AS f", "(id % 12 + id div 12) % 12 AS s")
+    assert keys.key_candidates(df) == [("a", "b", "c", "d"), ("a", "c", "d", "s"), ("b", "c", "d", "s")]
+    assert keys.key_candidates(df.unionByName(df.limit(1))) == []
+    few = spark.range(30_000).selectExpr("if(id = 29999, 7, id) AS a", "if(id = 29998, 7, id) AS b", "id % 2 AS c")
+    assert keys.key_candidates(few) == [("a", "b"), ("b", "c")]
