@@ -4,10 +4,13 @@ A shard is a bounded stretch of documents whose words are numbered; numbers of d
 Its FM-index (Burrows-Wheeler transforms of the text and of its reverse, sorted as deep as phrases are long) keeps every phrase as a
 pair of synchronised intervals. One step extends all intervals of a length by one word to the left and to the right at once; a phrase that
 both its beginning (extended right) and its end (extended left) lead to is counted, with both of them: each count is an extension of two shorter
-phrases. Shards are summed up by Spark: first words, then pairs of frequent words, then longer phrases all of whose pairs are frequent, since no phrase
-is more frequent than a part of it. A shard gets back only what is frequent of its own words and pairs, so nothing is ever whole in one place.
+phrases. Words are summed up by Spark first, and rare ones end a piece, since no phrase is more frequent than a part of it. Then a shard sends its longest
+phrases, and shorter ones as often as nothing follows them: their order is that of their beginnings, so they go to parts, which are ranges of it, as
+sorted and compressed lists, and in a part the phrases that begin alike are a run whose sum is the count of that beginning. What a shard sends is
+in proportion to its words, however many phrases are frequent; only runs at the ends of parts are added up afterwards. The ranges follow from a
+bounded sample, on which no result depends, so nothing is ever whole in one place.
 
-Words are named by the row numbers of a stored table and phrases by lists of these, so counts are exact; scores are computed with decimals of 38 digits.
+Words are named by their places in a stored table, the most frequent first, and phrases by lists of these, so counts are exact; scores are computed with decimals of 38 digits.
 
 Edge cases: a null text has no words and a null lang is ``und``; an empty text or table has no phrases; a text that is longer than a shard is a shard of its
 own; rows are counted one by one whether or not they are equal; no id is read, and neither are other columns.
@@ -32,6 +35,10 @@ from tablesmith.llm.components import small, stored
 SHARD_BYTES = 4 << 20
 #: Phrases that a task sends at a time.
 SENT_ROWS = 1 << 15
+#: Words of the table for each part of the phrases: about as many phrases, at most, are sorted at a time.
+PART_WORDS = 2 << 20
+#: Shards and places in each that the ranges of the parts follow from.
+SAMPLED_SHARDS, SAMPLED_PLACES = 16, 1600
 LONGEST = 5
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 #: Lower case for A-Z, a space for a tab, a line's end for the end of a piece.
@@ -83,6 +90,12 @@ class FmIndex:
 
 def enumerate_phrases(text: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each length from 2 to ``longest``: the phrases of a text (a row of word numbers each) and their counts."""
+    for phrases, n, _ in _extended(text, longest):
+        yield phrases, n
+
+
+def _extended(text: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """As ``enumerate_phrases``, with the place that each phrase without its last word has among those of one word less."""
     if len(text) < 3:
         return
     ahead, back = FmIndex(text, longest), FmIndex(text[::-1], longest)
@@ -100,7 +113,7 @@ def enumerate_phrases(text: np.ndarray, longest: int) -> Iterator[tuple[np.ndarr
         low, low_back, n = left[by_left], left_back[by_left], size[by_left]
         if not len(n):
             return
-        yield phrases, n
+        yield phrases, n, start[by_right]
 
 
 def _packed(text: np.ndarray) -> bytes:
@@ -140,17 +153,80 @@ def _shards(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + k]), pa.array([len(text)]), pa.array([_packed(text)], pa.binary()), *lists], names=["shard", "size", "text", "langs", "words", "counts"])
 
 
-def _pairs(shard: pa.Table, answers: pa.Table) -> pa.Table:
-    """The pairs of frequent words of a shard. ``answers``: the shard's numbers of these words and their names."""
+def _common_text(shard: pa.Table, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """A shard's text, with rare words as ends of pieces, and the names of its words. ``answers``: the shard's numbers of frequent words and their names."""
     local, name = (answers.column(c).to_numpy() for c in ("local", "id"))
     text = _unpacked(shard.column("text")[0].as_py(), shard.column("size")[0].as_py()) if shard.num_rows else np.zeros(0, dtype=np.int32)
-    names = np.full(max(int(text.max(initial=0)), int(local.max(initial=0))) + 1, -1, dtype=np.int64)
+    names = np.zeros(max(int(text.max(initial=0)), int(local.max(initial=0))) + 1, dtype=np.int32)
     names[local] = name
-    text = np.where(names[text] >= 0, text, 0)
-    found = [(p, n) for p, n in enumerate_phrases(text, 2)] or [(np.zeros((0, 2), dtype=np.int32), np.zeros(0, dtype=np.int64))]
-    [(pairs, n)] = found
-    a, b = pairs[:, 0], pairs[:, 1]
-    return pa.table({"shard": pa.array(np.full(len(n), shard.column("shard")[0].as_py() if shard.num_rows else 0)), "local_a": a.astype(np.int32), "local_b": b.astype(np.int32), "a": names[a], "b": names[b], "n": n.astype(np.int64)})
+    text = np.where(names[text] > 0, text, 0)
+    return text[(text != 0) | (np.roll(text, 1) != 0)], names
+
+
+def _sampled(shard: pa.Table, answers: pa.Table, longest: int) -> pa.Table:
+    """The phrases at some places of a shard."""
+    text, names = _common_text(shard, answers)
+    text = np.append(names[text], np.zeros(longest, dtype=np.int32))
+    places = np.flatnonzero((text[:-1] > 0) & (text[1:] > 0))
+    places = places[np.linspace(0, len(places) - 1, min(len(places), SAMPLED_PLACES)).astype(np.int64)] if len(places) else places
+    rows = text[places[:, None] + np.arange(longest)]
+    rows[np.cumsum(rows == 0, axis=1) > 0] = 0
+    return pa.table({"row": pa.array([r.astype(">i4").tobytes() for r in rows], pa.binary())})
+
+
+def _sorted(rows: np.ndarray) -> np.ndarray:
+    """The order of rows of numbers."""
+    wide = rows.astype(np.int64)
+    return np.lexsort([(wide[:, i] << 32) + (wide[:, i + 1] if i + 1 < rows.shape[1] else 0) for i in range(0, rows.shape[1], 2)][::-1])
+
+
+def _sent(shard: pa.Table, answers: pa.Table, longest: int, bounds: list[bytes]) -> pa.Table:
+    """A shard's phrases of ``longest`` words, and shorter ones as often as no word follows, to each part (those from one of ``bounds`` on): how many, and their words and counts."""
+    text, names = _common_text(shard, answers)
+    rows, counts = [np.zeros((0, longest), dtype=np.int32)], [np.zeros(0, dtype=np.int64)]
+    before = None
+    for phrases, n, start in _extended(text, longest):
+        if before is not None:
+            counts[-1] -= np.bincount(start, weights=n, minlength=before).astype(np.int64)
+        own = np.zeros((len(n), longest), dtype=np.int32)
+        own[:, : phrases.shape[1]] = names[phrases]
+        rows.append(own)
+        counts.append(n.astype(np.int64))
+        before = len(n)
+    found = [(r[n > 0], n[n > 0]) for r, n in zip(rows, counts, strict=True)]
+    rows, counts = np.concatenate([r for r, _ in found]), np.concatenate([n for _, n in found])
+    order = _sorted(rows)
+    rows, counts = rows[order], counts[order].astype(np.int32)
+    keys = np.ascontiguousarray(rows.astype(">i4")).view(f"S{4 * longest}").ravel()
+    ends = np.concatenate([[0], np.searchsorted(keys, np.array(bounds, dtype=f"S{4 * longest}")), [len(rows)]]).astype(np.int64)
+    parts = np.flatnonzero(ends[1:] > ends[:-1])
+    packed = [_packed(np.concatenate([np.diff(rows[i:j, 0], prepend=0), rows[i:j, 1:].T.ravel(), counts[i:j]])) for i, j in zip(ends[parts], ends[parts + 1], strict=True)]
+    return pa.table({"part": pa.array(parts, pa.int32()), "size": pa.array((ends[1:] - ends[:-1])[parts], pa.int64()), "sent": pa.array(packed, pa.binary())})
+
+
+def _counted(messages: pa.Table, longest: int, min_count: int) -> pa.Table:
+    """The frequent phrases of a part with their counts, and those at its ends, which the parts beside it may have too."""
+    found = [_unpacked(m, n * (longest + 1)).reshape(longest + 1, n) for m, n in zip(messages.column("sent").to_pylist(), messages.column("size").to_pylist(), strict=True)]
+    for f in found:
+        np.cumsum(f[0], out=f[0])
+    columns = np.concatenate(found, axis=1)
+    del found
+    order = _sorted(columns[:longest].T)
+    columns, counts = columns[:longest, order], columns[longest, order].astype(np.int64)
+    new = np.ones(len(counts), dtype=bool)
+    new[1:] = columns[0, 1:] != columns[0, :-1]
+    schema = pa.schema([(c, pa.int64()) for c in (*(f"g{i}" for i in range(longest)), "n")])
+    parts = [schema.empty_table()]
+    for k in range(1, longest):
+        new[1:] |= columns[k, 1:] != columns[k, :-1]
+        starts = np.flatnonzero(new)
+        n = np.add.reduceat(counts, starts)
+        kept = n >= min_count
+        kept[[0, -1]] = True
+        kept &= columns[k, starts] > 0
+        named = [columns[i, starts[kept]].astype(np.int64) if i <= k else np.full(int(kept.sum()), -1, dtype=np.int64) for i in range(longest)]
+        parts += [pa.table([c[i : i + SENT_ROWS] for c in (*named, n[kept])], schema=schema) for i in range(0, int(kept.sum()), SENT_ROWS)]
+    return pa.concat_tables(parts)
 
 
 def _longer(shard: pa.Table, answers: pa.Table, longest: int) -> pa.Table:
@@ -191,6 +267,15 @@ def _part(key: str, start: Column | int, length: Column | int) -> Column:
     return F.slice(key, start, length)
 
 
+def _numbered(common: DataFrame) -> DataFrame:
+    """Frequent words with an ``id`` from 1 on, the most frequent first."""
+    ordered = stored(common.orderBy(F.desc("f"), "lang", "word").select("lang", "word", "f", "total", F.monotonically_increasing_id().alias("m")))
+    place = ordered.select("*", F.shiftright("m", 33).alias("part"), F.col("m").bitwiseAND(F.lit((1 << 33) - 1)).alias("offset"))
+    sizes = place.groupBy("part").count()  # one row for each partition
+    before = sizes.select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("before"))
+    return stored(place.join(F.broadcast(before), "part").select((F.col("before") + F.col("offset") + 1).alias("id"), "lang", "word", "f", "total"))
+
+
 def count_phrases(df: DataFrame, min_count: int, longest: int = LONGEST, text_col: str = "text", lang_col: str = "lang", shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
     """The frequent words (``id``, ``lang``, ``word``, ``f``, ``total``: all words of the language) and the frequent phrases of one to ``longest`` words (``key``: ids, ``f``)."""
     small_batches(df)
@@ -199,18 +284,19 @@ def count_phrases(df: DataFrame, min_count: int, longest: int = LONGEST, text_co
     words = shards.select("shard", F.posexplode(F.arrays_zip("langs", "words", "counts")).alias("place", "w")).select("shard", (F.col("place") + 1).alias("local"), F.col("w.langs").alias("lang"), F.col("w.words").alias("word"), F.col("w.counts").cast("long").alias("n"))
     totals = stored(words.groupBy("lang").agg(F.sum("n").alias("total")))
     common = words.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count).join(small(totals, totals.count()), "lang")
-    known = stored(common.select(F.monotonically_increasing_id().alias("id"), "lang", "word", "f", "total"))
+    known = _numbered(common)
     own = words.join(small(known.select("id", "lang", "word"), known.count()), ["lang", "word"]).select("shard", "local", "id")
-    pairs = stored(_of_shards(shards, own, _pairs, "shard long, local_a int, local_b int, a long, b long, n long"))
-    frequent = stored(pairs.groupBy("a", "b").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count))
-    back = pairs.join(small(frequent.select("a", "b"), frequent.count()), ["a", "b"]).select("shard", "local_a", "local_b", "a", "b")
-    names = [f"g{i}" for i in range(longest)]
     found = [known.select(F.array("id").alias("key"), "f")]
     if longest > 1:
-        found.append(frequent.select(F.array("a", "b").alias("key"), "f"))
-    if longest > 2:
-        longer = _of_shards(shards, back, lambda s, a: _longer(s, a, longest), ", ".join(f"{c} long" for c in [*names, "n"]))
-        found.append(longer.groupBy(*names).agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count).select(F.filter(F.array(*names), lambda x: x >= 0).alias("key"), "f"))
+        names = [f"g{i}" for i in range(longest)]
+        n_shards, n_words = shards.agg(F.count("*"), F.sum("size")).first()
+        some = F.pmod(F.xxhash64("shard"), F.lit(max(1, n_shards // SAMPLED_SHARDS))) == 0
+        sample = sorted(bytes(r["row"]) for r in _of_shards(shards.filter(some), own.filter(some), lambda s, a: _sampled(s, a, longest), "row binary").collect())  # a bounded sample
+        n_parts = (n_words or 0) // PART_WORDS + 1
+        bounds = sorted({sample[len(sample) * i // n_parts] for i in range(1, n_parts)}) if sample else []
+        sent = _of_shards(shards, own, lambda s, a: _sent(s, a, longest, bounds), "part int, size long, sent binary")
+        counted = sent.groupBy("part").applyInArrow(lambda m: _counted(m, longest, min_count), ", ".join(f"{c} long" for c in [*names, "n"]))
+        found.append(counted.groupBy(*names).agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count).select(F.filter(F.array(*names), lambda x: x >= 0).alias("key"), "f"))
     return known, stored(reduce(DataFrame.unionByName, found))
 
 

@@ -32,3 +32,24 @@ def test_steps_of_a_block_do_not_show(monkeypatch):
         monkeypatch.setattr(align, "ALIGNED_BYTES", most)
         found.append(align._align(docs, 5, files, True).to_pylist())
     assert found[0] == found[1] and sum(r["n_links"] for r in found[0]) > 0
+
+
+def test_what_shards_send_does_not_grow_with_the_frequent_pairs(spark, monkeypatch):
+    """Nearly all pairs are frequent; the phrases of 20 parts and more are those of one."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        stages = store.stageList(None, False, False, getattr(store, "stageList$default$4")(), getattr(store, "stageList$default$5")())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(" ".join(f"w{x}" for x in rng.integers(0, 100, 600)), "en") for _ in range(100)], "text string, lang string")
+    found = []
+    for most in (1 << 20, 3000):
+        monkeypatch.setattr(phrases, "PART_WORDS", most, raising=False)
+        before = written()
+        words, counted = phrases.count_phrases(df, 3, shard_bytes=4096)
+        assert written() - before < 60_000
+        word = {r.id: r.word for r in words.collect()}
+        found.append(sorted((tuple(word[x] for x in r.key), r.f) for r in counted.collect()))
+    assert found[0] == found[1] and sum(len(k) == 2 for k, _ in found[0]) > 9000
