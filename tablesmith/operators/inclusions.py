@@ -22,6 +22,8 @@ from tablesmith.sources.tables import cut_lineage
 WORD = 62
 #: Longer texts are compared by their digest, so that an entry has a bounded size.
 LONGEST_VALUE = 64
+#: Of lists of several columns about so many rows' values are compared before all are.
+FIRST_VALUES = 200_000
 #: A table and some of its columns.
 Columns = tuple[str, tuple[str, ...]]
 
@@ -46,25 +48,45 @@ def comparable(df: DataFrame, column: str) -> Column:
     return value.cast("string")
 
 
-def _entries(df: DataFrame, own: list[tuple[int, tuple[str, ...]]], table: int, words: int) -> DataFrame:
-    """An entry for each list of columns without a null, and one that tells which lists these are."""
+def _value(df: DataFrame, columns: tuple[str, ...], width: int) -> list[Column]:
+    """A row's value in a list of columns, equal where the values are: whole numbers as such, in ``width`` places, and what is none (or too large) as texts, null if there is none."""
+    numbers, texts = [], []
+    for c in columns:
+        kind = df.schema[c].dataType
+        number = F.col(f"`{c}`").try_cast("long") if kind_of(kind) == "n" else F.lit(None).cast("long")
+        numbers.append(number)
+        texts.append(F.when(number.isNull(), comparable(df, c)) if isinstance(kind, T.DecimalType) or kind_of(kind) != "n" else None)
+    none = F.lit(None).cast("string")
+    own = [none if x is None else x for x in texts]
+    text = F.lit(None).cast("array<string>") if not any(x is not None for x in texts) else F.when(F.coalesce(*own).isNotNull(), F.array(*own))
+    return [*numbers, *[F.lit(None).cast("long")] * (width - len(columns)), text]
 
-    def entry(kind: Column, value: Column, number: int | None) -> Column:
+
+def _entries(df: DataFrame, own: list[tuple[int, tuple[str, ...]]], table: int, words: int, width: int, one_in: int) -> DataFrame:
+    """An entry for each list of columns without a null, and one that tells which lists these are (``#``: null for all of them). With ``one_in``, for about one of so many values."""
+
+    def entry(kind: str, value: list[Column], number: int | None) -> Column:
         sets = [F.lit(1 << number % WORD if number is not None and number // WORD == w else 0).cast("long").alias(f"w{w}") for w in range(words)]
-        return F.struct(kind.alias("kind"), value.alias("value"), *sets)
+        return F.struct(F.lit(kind).alias("kind"), *[x.alias(f"x{i}") for i, x in enumerate(value[:-1])], value[-1].alias("text"), *sets)
 
+    values = {number: _value(df, columns, width) for number, columns in own}
     full = {number: reduce(Column.__and__, [F.col(f"`{c}`").isNotNull() for c in columns]) for number, columns in own}
-    filled = F.array(F.lit(str(table)), *[F.when(full[number], F.lit(str(number))).otherwise(F.lit("")) for number, _ in own])
-    found = [F.when(full[number], entry(F.lit("".join(kind_of(df.schema[c].dataType) for c in columns)), F.array(*[comparable(df, c) for c in columns]), number)) for number, columns in own]
-    return df.select(F.explode(F.array_compact(F.array(entry(F.lit("#"), filled, None), *found))).alias("e")).select("e.*")
+    if one_in > 1:
+        full = {number: there & (F.pmod(F.xxhash64(*values[number]), F.lit(one_in)) == 0) for number, there in full.items()}
+    filled = F.when(~reduce(Column.__and__, full.values()), F.array(*[F.when(there, F.lit(str(number))).otherwise(F.lit("")) for number, there in full.items()]))
+    row = entry("#", [F.lit(table).cast("long"), *[F.lit(None).cast("long")] * (width - 1), filled], None)
+    found = [F.when(full[number], entry("".join(kind_of(df.schema[c].dataType) for c in columns), values[number], number)) for number, columns in own]
+    return df.select(F.explode(F.array(F.when(reduce(Column.__or__, full.values()), row) if one_in > 1 else row, *found)).alias("e")).filter("e IS NOT NULL").select("e.*")
 
 
 class Overlaps:
     """How many distinct values lists of columns have (``distinct``), which are ``unique`` (a value in each row, none twice), the ``rows`` of their
     tables, how many values two lists share (``shared``, by their places in ``lists``), and the ``range`` of the values of lists of one column (of
-    texts that are longer than an entry holds, that of their digests)."""
+    texts that are longer than an entry holds, that of their digests).
+
+    With ``one_in`` all this is of about one of so many values, each with all its rows: what is not included there, or ``repeated``, is not at all."""
 
-    def __init__(self, tables: dict[str, DataFrame], lists: list[Columns]):
+    def __init__(self, tables: dict[str, DataFrame], lists: list[Columns], one_in: int = 1):
         self.lists, self.place = lists, {x: i for i, x in enumerate(lists)}
         names, words = sorted({t for t, _ in lists}), len(lists) // WORD + 1
         masks = [f"w{w}" for w in range(words)]
@@ -73,25 +95,27 @@ class Overlaps:
         self.rows: dict[str, int] = defaultdict(int)
         filled: dict[int, int] = defaultdict(int)
         if lists:
-            parts = [_entries(tables[t], [(i, c) for i, (u, c) in enumerate(lists) if u == t], k, words) for k, t in enumerate(names)]
-            held = reduce(DataFrame.unionByName, parts).groupBy("kind", "value").agg(F.count("*").alias("n"), *[F.bit_or(m).alias(m) for m in masks])
-            one, number = F.element_at("value", 1), F.col("kind") == "n"
-            values = {"number": F.when(number, one.try_cast("decimal(38,0)")), "text": F.when(~number, one)}
+            width = max(len(c) for _, c in lists)
+            parts = [_entries(tables[t], [(i, c) for i, (u, c) in enumerate(lists) if u == t], k, words, width, one_in) for k, t in enumerate(names)]
+            held = reduce(DataFrame.unionByName, parts).groupBy("kind", *[f"x{i}" for i in range(width)], "text").agg(F.count("*").alias("n"), *[F.bit_or(m).alias(m) for m in masks])
+            one, number, row = F.element_at("text", 1), F.col("kind") == "n", F.col("kind") == "#"
+            values = {"number": F.when(number, F.col("x0")), "large": F.when(number, one.try_cast("decimal(38,0)")), "text": F.when(~number, one)} if width == 1 else {}
             ranges = [f(x).alias(f"{side}_{k}") for k, x in values.items() for side, f in (("low", F.min), ("high", F.max))]
-            sets = cut_lineage(held.groupBy(F.when(F.col("kind") == "#", F.col("value")).alias("filled"), *masks).agg(F.sum("n").alias("n"), F.count("*").alias("values"), *ranges))
+            sets = cut_lineage(held.groupBy(F.when(row, F.col("x0")).alias("of"), F.when(row, F.col("text")).alias("filled"), *masks).agg(F.sum("n").alias("n"), F.count("*").alias("values"), *ranges))
             members = F.array_compact(F.array(*[F.when(F.col(f"w{i // WORD}").bitwiseAND(F.lit(1 << i % WORD)) != 0, F.lit(i)) for i in range(len(lists))]))
-            meet = sets.filter("filled IS NULL").select("values", members.alias("m")).select("values", "m", F.explode("m").alias("a")).select("values", "a", F.explode("m").alias("b"))
+            meet = sets.filter("of IS NULL").select("values", members.alias("m")).select("values", "m", F.explode("m").alias("a")).select("values", "a", F.explode("m").alias("b"))
             self.shared = {(r["a"], r["b"]): r["values"] for r in meet.groupBy("a", "b").agg(F.sum("values").alias("values")).collect()}  # a row for two lists at most
             ends = [f(f"{side}_{k}").alias(f"{side}_{k}") for k in values for side, f in (("low", F.min), ("high", F.max))]
-            for r in sets.filter("filled IS NULL").withColumn("a", F.explode(members)).groupBy("a").agg(*ends).collect():  # a row for each list
-                low, high = (r[f"{side}_number"] if r["low_number"] is not None else r[f"{side}_text"] for side in ("low", "high"))
-                self.range[r["a"]] = low, high
-            for r in sets.filter("filled IS NOT NULL").select("filled", "n").collect():  # a row for each pattern of nulls
-                table, *numbers = r["filled"]
-                self.rows[names[int(table)]] += r["n"]
-                for i in filter(None, numbers):
-                    filled[int(i)] += r["n"]
+            for r in sets.filter("of IS NULL").withColumn("a", F.explode(members)).groupBy("a").agg(*ends).collect() if ends else ():  # a row for each list
+                numbers = [[r[f"{side}_{k}"] for k in ("number", "large") if r[f"{side}_{k}"] is not None] for side in ("low", "high")]
+                self.range[r["a"]] = (min(numbers[0]), max(numbers[1])) if numbers[0] else (r["low_text"], r["high_text"])
+            for r in sets.filter("of IS NOT NULL").select("of", "filled", "n").collect():  # a row for each pattern of nulls
+                table = names[r["of"]]
+                self.rows[table] += r["n"]
+                for i in [i for i, (t, _) in enumerate(lists) if t == table] if r["filled"] is None else map(int, filter(None, r["filled"])):
+                    filled[i] += r["n"]
         self.distinct = [self.shared.get((i, i), 0) for i in range(len(lists))]
+        self.repeated = [filled[i] > self.distinct[i] for i in range(len(lists))]
         self.unique = [0 < self.rows[t] == filled[i] == self.distinct[i] for i, (t, _) in enumerate(lists)]
 
     def coverage(self, child: Columns, parent: Columns) -> float:
@@ -120,7 +144,7 @@ def composite_inclusions(tables: dict[str, DataFrame], max_columns: int = 2) ->
     unique list of another table's columns no part of which is unique.
 
     Level by level: a list is looked at if its columns are included one by one and, from three columns on, all lists of one column less are included
-    in theirs. Each level is one pass over the tables.
+    in theirs. Each level is one pass over the tables, for large tables after one over a share of the values, which leaves out what these disprove.
     """
     found = Overlaps(tables, key_columns(tables))
     single = {(a, b) for a, b in found.shared if found.lists[a][0] != found.lists[b][0] and found.shared[a, b] == found.distinct[a]}
@@ -141,11 +165,21 @@ def composite_inclusions(tables: dict[str, DataFrame], max_columns: int = 2) ->
                     wanted.append((ends, pairs))
         if not wanted:
             break
-        lists = sorted({(ends[side], tuple(p[side] for p in pairs)) for ends, pairs in wanted for side in (0, 1)})
+        sides = lambda ends, pairs: [(ends[side], tuple(p[side] for p in pairs)) for side in (0, 1)]
+        one_in = max(found.rows.values()) // FIRST_VALUES
+        if one_in > 1:
+            some, kept = Overlaps(tables, sorted({x for w in wanted for x in sides(*w)}), one_in), []
+            for w in wanted:
+                child, parent = sides(*w)
+                disproved = some.distinct[some.place[child]] and some.coverage(child, parent) < 1.0
+                if not disproved and not (size == max_columns and some.repeated[some.place[parent]]):
+                    kept.append(w)
+            wanted = kept
+        lists = sorted({x for w in wanted for x in sides(*w)})
         level = Overlaps(tables, lists)
         held = set()
         for ends, pairs in wanted:
-            child, parent = ((ends[side], tuple(p[side] for p in pairs)) for side in (0, 1))
+            child, parent = sides(ends, pairs)
             if level.distinct[level.place[child]] and level.coverage(child, parent) == 1.0:
                 held.add((ends, pairs))
                 if level.unique[level.place[parent]]:

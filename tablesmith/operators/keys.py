@@ -70,7 +70,7 @@ def _in_some_groups(values: DataFrame, sets: dict[int, list[str]], one_in: int)
     """Groups of rows that agree in a set's columns, whole ones, for about one in ``one_in`` of its different values; one pass over the table."""
     names = values.columns
     own = [F.when(F.pmod(F.xxhash64(*c), F.lit(one_in)) == 0, F.struct(F.lit(format(s, "x")).alias("s"), F.array(*c).alias("value"))) for s, c in sets.items()]
-    chosen = values.select(*names, F.explode(F.array_compact(F.array(*own))).alias("e"))
+    chosen = values.select(*names, F.explode(F.array(*own)).alias("e")).filter("e IS NOT NULL")
     return chosen.groupBy("e.s", "e.value").agg(*_ends(names))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tablesmith.operators import inclusions
 from tablesmith.plans.queries import load, query
+from tablesmith.sources.tables import stored
 
 #: Columns of comparable kinds of the given tables: whole numbers, texts, instants.
 NUMBERS = {
@@ -71,7 +72,7 @@ def p5_composite_inclusions(spark, sf_dir):
     line, talk = t["lineitem"], t["conversations"]
     tables = {
         "lineitem": line.select("l_partkey", "l_suppkey", "l_linenumber"),
-        "offer": line.select(F.col("l_partkey").alias("part_id"), F.col("l_suppkey").alias("supplier_id")).distinct(),
+        "offer": stored(line.select(F.col("l_partkey").alias("part_id"), F.col("l_suppkey").alias("supplier_id")).distinct()),
         "conversations": talk.select("conv_id", "turn"),
         "answer": talk.filter("role = 'assistant'").select(F.col("conv_id").alias("of_conv"), F.col("turn").alias("of_turn")),
     }

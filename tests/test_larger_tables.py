@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tablesmith.operators import checks, depgraph, keys
+from tablesmith.operators import checks, depgraph, inclusions, keys
 from tablesmith.plans import registry, schema36
 
 
@@ -108,3 +108,28 @@ def test_sets_that_are_no_keys_cost_no_shuffle_of_all_rows(spark, monkeypatch):
     assert keys.key_candidates(df.unionByName(df.limit(1))) == []
     few = spark.range(30_000).selectExpr("if(id = 29999, 7, id) AS a", "if(id = 29998, 7, id) AS b", "id % 2 AS c")
     assert keys.key_candidates(few) == [("a", "b"), ("b", "c")]
+
+
+def test_lists_that_a_share_of_the_values_disproves_are_not_compared_in_full(spark, monkeypatch):
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        stages = store.stageList(None, False, False, getattr(store, "stageList$default$4")(), getattr(store, "stageList$default$5")())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    monkeypatch.setattr(inclusions, "FIRST_VALUES", 500, raising=False)
+    pairs = spark.range(20_000).select((F.col("id") % 200).alias("x"), F.floor(F.col("id") / 200).alias("y")).filter("(x * 7 + y) % 2 = 0")
+    child = pairs.select(F.col("x").alias("a"), F.col("y").cast("decimal(20,0)").alias("b"), F.pmod(F.xxhash64("x", "y"), F.lit(100)).alias("c"))
+    before = written()
+    got = sorted(map(tuple, inclusions.composite_inclusions({"child": child, "parent": pairs}).collect()))
+    assert got == [("child", "a,b", "parent", "x,y", 2, 10_000, 1.0, True), ("parent", "x,y", "child", "a,b", 2, 10_000, 1.0, True)]
+    assert written() - before < 30_000
+
+
+def test_numbers_of_all_types_are_equal_where_their_values_are(spark):
+    big = 10**25
+    a = spark.createDataFrame([(1, 7), (2, None), (3, 9)], "k int, m int").select("k", F.col("m").cast("decimal(30,0)").alias("m"))
+    b = spark.sql(f"SELECT * FROM VALUES (1BD), (2BD), (3BD), ({big}BD) AS t(d)").select(F.col("d").cast("decimal(38,0)").alias("d"))
+    found = inclusions.inclusions({"a": a, "b": b, "c": spark.sql(f"SELECT CAST({big} AS decimal(38,0)) AS e")})
+    assert {(r.child, r.column, r.parent, r.ref_column) for r in found.collect()} == {("a", "k", "b", "d"), ("c", "e", "b", "d")}
+    assert inclusions.Overlaps({"b": b}, [("b", ("d",))]).range[0] == (1, big)
